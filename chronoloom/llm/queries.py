@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import langid, mixing, quality_rules
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_language_id": langid.op10_language_id,
 }
 
 ORACLE = {
+    "op2_quality_rules": quality_rules.OP2_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
 }
