@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality_rules
+from . import langid, mixing, quality_rules, warc
 
 QUERIES = {
+    "op1_warc_round_trip": warc.op1_warc_round_trip,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_language_id": langid.op10_language_id,
 }
 
 ORACLE = {
+    "op1_warc_round_trip": warc.OP1_SQL,
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
 }
