@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality_rules, token_files, warc
+from . import langid, mixing, quality_rules, sentencepiece_fst, token_files, warc
 
 QUERIES = {
     "op1_warc_round_trip": warc.op1_warc_round_trip,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_sentencepiece": sentencepiece_fst.op3_sentencepiece,
     "op4_token_files": token_files.op4_token_files,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_language_id": langid.op10_language_id,
