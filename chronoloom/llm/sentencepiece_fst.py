@@ -11,7 +11,8 @@ A model file is compiled into a transducer from text to piece ids, the compositi
 
 Each input is composed with it position by position, and the shortest path is taken in the tropical semiring
 (min, +). Pieces that start with U+2581 have it only in front, so no path crosses the start of a run of marks, nor a
-character that occurs in no longer piece: the transducer is back in its start state there. A text so falls into segments
+character that occurs in no longer piece, nor the end of a word where no piece has more after a letter (found out when
+the model is compiled): the transducer is back in its start state there. A text so falls into segments
 whose shortest paths are independent; a batch composes each distinct segment once, and ids of texts are gathered from
 those of their segments. The most frequent segments' paths are kept from batch to batch, in a table of bounded size.
 
@@ -39,7 +40,7 @@ from .common import ragged, segments, slices, table
 
 MARK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
-SLICE, KEPT, LONG_SEGMENT, MEMO = 8 << 20, 200_000, 48, 1_000_000
+SLICE, KEPT, LONG_SEGMENT, MEMO = 8 << 20, 400_000, 48, 1_000_000
 
 
 class Transducer:
@@ -66,10 +67,16 @@ class Transducer:
         # Characters that stand alone on every path.
         joined = set(itertools.chain.from_iterable(p for p in self.ids if len(p) > 1))
         self.splits_at_line_end = "\n" not in joined
+        self.splits_after_letters = not any(a.isalpha() and not b.isalpha() for p in self.ids for a, b in itertools.pairwise(p))
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece spans a space")
         self._allowed: dict[tuple[str, str], bool] = {}
 
+    @functools.cache  # noqa: B019  one for each model
+    def surfaces(self) -> pa.Array:
+        """Bytes of every piece, then those of every piece that opens a text."""
+        return pa.array([*self.surface, *(x.removeprefix(MARK.encode()) for x in self.surface)], pa.large_binary())
+
     def _trie(self) -> dict:
         """Nested arcs by character; under "" the piece that ends here."""
         root: dict = {}
@@ -175,9 +182,15 @@ class Encoder:
     def __init__(self, fst: Transducer):
         self.fst, self.known = fst, {}
 
-    def segment_ids(self, segment: str) -> np.ndarray:
+    def segment_ids(self, segment: str) -> list[int]:
         got = self.known.get(segment)
         if got is None:
+            if self.fst.splits_after_letters and not segment[-1].isalpha():
+                n = len(segment)
+                while n and not segment[n - 1].isalpha():
+                    n -= 1
+                if n:  # no piece goes on after letters: a word and what follows it are segments of their own
+                    return self.segment_ids(segment[:n]) + self.segment_ids(segment[n:])
             got = self.fst.encode_segment(segment)
             if len(segment) <= LONG_SEGMENT:
                 if len(self.known) >= KEPT:
@@ -222,13 +235,11 @@ class Encoder:
 
 def decode(ids: np.ndarray, at: np.ndarray, fst: Transducer) -> pa.Array:
     """Texts, as UTF-8 bytes, of ids on end with n + 1 offsets."""
-    surfaces = pa.array(fst.surface, pa.large_binary())
-    parts = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), surfaces.take(pa.array(ids)))
-    text = pc.replace_substring(pc.binary_join(parts, pa.scalar(b"", pa.large_binary())), MARK.encode(), b" ")
-    if not fst.prefix:
-        return text
-    starts = pc.starts_with(text, b" ")
-    return pc.if_else(starts, pc.binary_slice(text, 1), text)
+    ids = ids.astype(np.int64)
+    if fst.prefix:  # a text's first piece loses its first mark
+        ids[at[:-1][np.diff(at) > 0]] += len(fst.surface)
+    parts = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), fst.surfaces().take(pa.array(ids)))
+    return pc.replace_substring(pc.binary_join(parts, pa.scalar(b"", pa.large_binary())), MARK.encode(), b" ")
 
 
 def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
