@@ -7,9 +7,10 @@ the same words as a scan of code points.
 from __future__ import annotations
 
 import functools
-import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,19 +49,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete tables that ``materialise`` wrote, once nothing reads them any more."""
-    for df in frames:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            remove(df.sparkSession, path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def filesystem(uri: str):
     """(pyarrow filesystem, path): reads and writes file:, hdfs:, s3: or gs: folders from executors."""
     from pyarrow import fs
@@ -68,6 +56,26 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context: their Python need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_chronoloom_shipped", False):
+        return
+    root = pathlib.Path(__file__).parents[1]
+    at = pathlib.Path(tempfile.mkdtemp(prefix="chronoloom-code-")) / "chronoloom_code.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(at))
+    sc._chronoloom_shipped = True
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow, with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, segments, slices, sum_by, table
+from .common import crc_mod, map_arrow, segments, slices, sum_by, table
 
 BUCKETS, ORDERS, SMOOTHING, MAX_LANGS, EVIDENCE = 1 << 14, (1, 2, 3), 0.5, 512, 60.0
 UNDETERMINED = "und"
@@ -82,7 +82,7 @@ def train_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
             yield pa.record_batch([pa.array([lang] * len(full)), pa.array(np.where(full == buckets, -1, full).astype(np.int32)), pa.array(held[full])], names=["lang", "bucket", "n"])
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return map_arrow(rows, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", buckets: int = BUCKETS, smoothing: float = SMOOTHING, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ def predict(docs: DataFrame, model, *, text_col: str = "text") -> DataFrame:
                 lang, score = score_texts(part.column(text_col).to_pylist(), langs, prior, logp)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*part.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, segments, slices, table, text_bytes, word_hashes, word_spans
+from .common import crc_mod, map_arrow, segments, slices, table, text_bytes, word_hashes, word_spans
 
 PASSAGE, MAX_DOCS, MAX_PASSAGES, SLICE, THRESHOLD = 64, 4000, 32, 1 << 20, 0.3
 HIDDEN, GATE, STEPS, RATE, DECAY, SEED = 24, 12, 250, 0.02, 1e-4, 7
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                     kept.append(h[own].astype("<f4").tobytes())
                 yield pa.record_batch([part.column("_id"), part.column("label"), pa.array(kept, pa.binary())], names=["_id", "label", "passages"])
 
-    got = rows.mapInArrow(run, rows.drop("text").schema.add("passages", "binary")).toPandas().sort_values(["_id", "label"], kind="stable")
+    got = map_arrow(rows, run, rows.drop("text").schema.add("passages", "binary")).toPandas().sort_values(["_id", "label"], kind="stable")
     bags = [np.frombuffer(x, "<f4").reshape(-1, WIDTH) for x in got["passages"]]
     h = np.concatenate(bags).astype(np.float64) if bags else np.empty((0, WIDTH))
     return train(h, segments(np.array([len(x) for x in bags], np.int64)), got["label"].to_numpy(dtype=np.float64))
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
                 h, at = encode_passages(part.column(text_col))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(held.value.score(h, at))], names=[*rest, "score"])
 
-    return docs.mapInArrow(run, docs.drop(text_col).schema.add("score", "double"))
+    return map_arrow(docs, run, docs.drop(text_col).schema.add("score", "double"))
 
 
 def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ragged, segments, slices, table
+from .common import map_arrow, ragged, segments, slices, table
 
 MARK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
@@ -262,7 +262,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id"
                     columns.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(own)))
                 yield pa.record_batch(columns, names=["doc_id", "n_tokens", "ids_crc32", "decoded_bytes", "round_trip", "ids"][: len(columns)])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
 def _model() -> str:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialise, new_path, table
+from .common import filesystem, map_arrow, materialise, new_path, table
 
 MIN_REVISIT, SALTS, ARCHIVE_BYTES, BLOCK = 100, 16, 64 << 20, 1 << 18
 VERSION = b"WARC/1.1"
@@ -216,7 +216,7 @@ def write_warc(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
         if done:
             yield pa.record_batch([pa.array([f"{path}/{x}" for x, _, _ in done]), pa.array([x for _, x, _ in done], pa.int64()), pa.array([x for _, _, x in done], pa.int64())], names=["path", "records", "bytes"])
 
-    return materialise(rows.mapInArrow(run, MANIFEST), "warc-manifest")
+    return materialise(map_arrow(rows, run, MANIFEST), "warc-manifest")
 
 
 def read_warc(manifest: DataFrame, *, payloads: bool = False, partitions: int | None = None) -> DataFrame:
@@ -240,7 +240,7 @@ def read_warc(manifest: DataFrame, *, payloads: bool = False, partitions: int |
 
     if partitions is None:
         partitions = max(1, min(10_000, manifest.count()))
-    return manifest.select("path").repartition(partitions).mapInArrow(run, RECORDS)
+    return map_arrow(manifest.select("path").repartition(partitions), run, RECORDS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
