@@ -105,8 +105,8 @@ def scan_list(x: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, epsilon:
 class Index:
     """Centroids, rotation, sample and largest norm: what is broadcast, of bounded size."""
 
-    def __init__(self, sample: np.ndarray, largest: float, rows: int, k: int):
-        self.largest, self.k = largest, k
+    def __init__(self, classes: np.ndarray, sample: np.ndarray, largest: float, rows: int, k: int):
+        self.classes, self.largest, self.k = classes, largest, k
         self.sample = self.augment(sample)
         self.rotation = rotation(self.sample.shape[1])
         lists = max(1, min(MAX_LISTS, rows // PER_LIST, len(sample) // 8))
@@ -137,12 +137,14 @@ class Index:
     def queries(self, x: np.ndarray) -> np.ndarray:
         return np.hstack([x.astype(np.float64), np.zeros((len(x), 1))])
 
-    def bounds(self, q: np.ndarray) -> np.ndarray:
-        """Squared distance of each query to the (k + 1)-th nearest of the sample."""
-        if len(self.sample) <= self.k:
-            return np.full(len(q), np.inf)
+    def nearest(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each query: its k + 1 nearest of the sample, and the squared distance to the last of them, within which lie
+        the k + 1 nearest of the table; infinite where the sample is no larger."""
         d = (q * q).sum(axis=1)[:, None] + (self.sample**2).sum(axis=1)[None] - 2 * (q @ self.sample.T)
-        return np.partition(d, self.k, axis=1)[:, self.k]
+        if len(self.sample) <= self.k + 1:
+            return np.tile(np.arange(len(self.sample)), (len(q), 1)), np.full(len(q), np.inf)
+        near = np.argpartition(d, self.k, axis=1)[:, : self.k + 1]
+        return near, np.take_along_axis(d, near, axis=1).max(axis=1)
 
     def distances(self, x: np.ndarray) -> np.ndarray:
         return (self.centroids**2).sum(axis=1) - 2 * (x @ self.centroids.T)
@@ -161,10 +163,10 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
 
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     stats = classes.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(square)).alias("largest")).first()
-    sample = classes.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("v").toPandas()["v"]
+    sample = classes.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("class", "v").toPandas()
     if not stats["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    held = spark.sparkContext.broadcast(Index(np.stack([np.asarray(x, np.float64) for x in sample]), stats["largest"], stats["n"], k))
+    held = spark.sparkContext.broadcast(Index(sample["class"].to_numpy(), np.stack([np.asarray(x, np.float64) for x in sample["v"]]), stats["largest"], stats["n"], k))
 
     def assign(batches):
         for batch in batches:
@@ -183,12 +185,22 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
                 n = min(index.probes, d.shape[1])
                 best = np.sort(np.argpartition(d, n - 1, axis=1)[:, :n], axis=1).astype(np.int32)
                 rows = []
-                for query, v, bound, lists in zip(part["query"], part["v"], index.bounds(q), best, strict=True):
+                for query, v, bound, lists in zip(part["query"], part["v"], index.nearest(q)[1], best, strict=True):
                     group = lists // GROUP
                     cuts = np.flatnonzero(np.diff(group)) + 1
                     rows += [(int(x[0]) // GROUP, query, v, bound, x) for x in np.split(lists, cuts)]
                 yield pd.DataFrame(rows, columns=["group", "query", "q", "bound", "lists"])
 
+    def sampled(batches):
+        index = held.value
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                part = batch.iloc[at : at + 200]
+                q = index.queries(np.stack(part["v"].to_numpy()))
+                near = index.nearest(q)[0]
+                score = np.einsum("qd,qkd->qk", q, index.sample[near])  # the query's last coordinate is zero
+                yield pd.DataFrame({"query": np.repeat(part["query"].to_numpy(), near.shape[1]), "class": index.classes[near.ravel()], "score": score.ravel()})
+
     indexed = materialise(classes.mapInPandas(assign, "v array<float>, ids array<long>, class long, list int"), "ann-index")
     group = F.floor(F.col("list") / GROUP).cast("int").alias("group")
     blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks")
@@ -222,6 +234,8 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
         return pd.DataFrame({"query": query, "class": of, "score": score})
 
     hits = dealt.groupBy("group", "block").cogroup(probed.groupBy("group", "block")).applyInPandas(scan, "query long, class long, score double")
+    # The sample's nearest are answers too: they make up for lists not probed.
+    hits = hits.unionByName(asked.mapInPandas(sampled, "query long, class long, score double")).groupBy("query", "class").agg(F.max("score").alias("score"))
     # The k + 1 best classes of a query class, then the k + 1 best ids of theirs.
     best = Window.partitionBy("query").orderBy(F.desc("score"), "class")
     top = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality_mil, quality_rules, sentencepiece_fst, token_files, warc
+from . import ann, langid, mixing, quality_mil, quality_rules, sentencepiece_fst, token_files, warc
 
 QUERIES = {
     "op1_warc_round_trip": warc.op1_warc_round_trip,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_sentencepiece": sentencepiece_fst.op3_sentencepiece,
     "op4_token_files": token_files.op4_token_files,
+    "op6_nearest_neighbours": ann.op6_nearest_neighbours,
     "op7_quality_mil": quality_mil.op7_quality_mil,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_language_id": langid.op10_language_id,
