@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, mixing, quality_mil, quality_rules, sentencepiece_fst, token_files, warc
+from . import ann, chat, langid, mixing, quality_mil, quality_rules, sentencepiece_fst, token_files, warc
 
 QUERIES = {
     "op1_warc_round_trip": warc.op1_warc_round_trip,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_files": token_files.op4_token_files,
     "op6_nearest_neighbours": ann.op6_nearest_neighbours,
     "op7_quality_mil": quality_mil.op7_quality_mil,
+    "op8_preference_pairs": chat.op8_preference_pairs,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_language_id": langid.op10_language_id,
 }
@@ -18,5 +19,6 @@ QUERIES = {
 ORACLE = {
     "op1_warc_round_trip": warc.OP1_SQL,
     "op2_quality_rules": quality_rules.OP2_SQL,
+    "op8_preference_pairs": chat.OP8_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
 }
