@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, chat, langid, mixing, quality_mil, quality_rules, sentencepiece_fst, token_files, warc
+from . import ann, chat, langid, mixing, ngram_join, quality_mil, quality_rules, sentencepiece_fst, token_files, warc
 
 QUERIES = {
     "op1_warc_round_trip": warc.op1_warc_round_trip,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_sentencepiece": sentencepiece_fst.op3_sentencepiece,
     "op4_token_files": token_files.op4_token_files,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_nearest_neighbours": ann.op6_nearest_neighbours,
     "op7_quality_mil": quality_mil.op7_quality_mil,
     "op8_preference_pairs": chat.op8_preference_pairs,
