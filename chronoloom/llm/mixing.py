@@ -103,6 +103,15 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix itself: every document as many times as it is taken, in the columns of docs. Ids are expected to be unique
+    by now; rows that share one are all taken as often as the one that is taken most. Rows without an id go."""
+    columns = docs.columns
+    taken = mix(docs.select("doc_id", "text", "source")).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    taken = taken.groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
+    return docs.join(taken, "doc_id").withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+
+
 OP9_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,

@@ -80,7 +80,10 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.sort_array(twice), start, lambda a, i: F.struct((a["n"] + (i + WINDOW) - F.greatest(i, a["end"])).cast("long").alias("n"), (i + WINDOW).alias("end")), lambda a: a["n"]
     )
     d = d.withColumn("n_repeat_words", F.when(s.isNull(), F.lit(0).cast("long")).otherwise(covered))
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    # Filters on the verdict must not be pushed below this point: with the arrays written out in place of their names,
+    # they would be built anew for every element. A column that is not deterministic keeps them above.
+    d = d.withColumn("_row", F.monotonically_increasing_id())
+    base = (F.col("_row") < 0) | (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     d = d.withColumn("base_failed", base)
     chars, words = F.greatest("word_chars", F.lit(1)).cast("double"), F.greatest("n_words", F.lit(1)).cast("double")
     values = {
@@ -91,7 +94,7 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "word_length": F.col("word_chars") / words,
     }
     level = F.least(*[_first_level(values[k], GRIDS[k]) for k in GRIDS])
-    return d.withColumn("reject_level", level).drop(*inner, "_n_lines")
+    return d.withColumn("reject_level", F.when(F.col("_row") < 0, -1).otherwise(level)).drop(*inner, "_n_lines", "_row")
 
 
 def _first_level(value: Column, grid: tuple[float, ...]) -> Column:
@@ -177,6 +180,7 @@ def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     once more where the verdict is passed, instead of being shuffled to meet its verdict."""
     columns = docs.columns
     small = with_measures(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", "base_failed", "reject_level")
+    small = materialise(small, "quality-measures")
     cuts = materialise(cutoffs(labelled_good(small, table(spark, sf_dir, "labels"))), "quality-cutoffs")
     return with_verdict(with_measures(docs), cuts).where("kept").select(*columns)
 
