@@ -9,8 +9,8 @@ smallest document goes on: copies are never paired with each other.
 merge range by range; the ``HOT`` most frequent buckets (a table of fixed size) are broadcast. (2) Sets are ordered by
 that frequency and hash. Two sets with the required overlap share one of the first n - T + 1 shingles of each, T being
 the overlap that n requires at least; these are posted, rare ones first, so that what is common to many documents is posted only by
-those that consist of little else. (3) Postings are packed, merged range by range, and lists of one document end
-there. A list of a shingle that more than ``BLOCK`` documents have is dealt out to blocks by document, and pairs of blocks meet.
+those that consist of little else. (3) Postings are packed, merged range by range, and end there if no other of their
+list is in reach by size (in a list of two, also by the shingle's places in the two orders). A list of a shingle that more than ``BLOCK`` documents have is dealt out to blocks by document, and pairs of blocks meet.
 (4) Within a list, a pair is dropped if sizes alone exclude the overlap, or a parity bitmap does: the bitmaps of two sets
 differ in no more bits than the sets in shingles. The bitmap grows with the set. What is left is close to the links; it
 is not emitted in pairs, but as the components that a list's pairs make (a document and the smallest one connected).
@@ -184,52 +184,73 @@ def describe(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, percen
 
 
 def list_keys(shingle: np.ndarray, freq: np.ndarray, doc: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """(list, document) of postings: a shingle is one list, or one for each pair of blocks of documents where more than
+    """(list, posting) of postings: a shingle is one list, or one for each pair of blocks of documents where more than
     ``block`` documents have it."""
     blocks = np.maximum(1, -(-freq // block))
     one = blocks == 1
-    keys, docs = [shingle[one]], [doc[one]]
-    s, nb, d = shingle[~one], blocks[~one], doc[~one]
+    keys, rows = [shingle[one]], [np.flatnonzero(one)]
+    s, nb, d, own = shingle[~one], blocks[~one], doc[~one], np.flatnonzero(~one)
     mine = (mix(d.astype(np.uint64)) % nb.astype(np.uint64)).astype(np.int64) if len(d) else d
     other = np.arange(int(nb.sum())) - np.repeat(segments(nb)[:-1], nb)
-    s, d, mine = np.repeat(s, nb), np.repeat(d, nb), np.repeat(mine, nb)
+    s, own, mine = np.repeat(s, nb), np.repeat(own, nb), np.repeat(mine, nb)
     two = other != mine
     lo, hi = np.minimum(mine, other)[two].astype(np.uint64), np.maximum(mine, other)[two].astype(np.uint64)
     keys.append(mix(s[two] + lo * _TERMS[0] + hi * _TERMS[1] + np.uint64(1)))
-    docs.append(d[two])
-    return np.concatenate(keys), np.concatenate(docs)
+    rows.append(own[two])
+    return np.concatenate(keys), np.concatenate(rows)
 
 
-def shared_lists(reps: DataFrame, ranges: int) -> DataFrame:
-    """(list, doc_id) of every list of two documents or more."""
+def worth_keeping(key: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Of postings by (list, size): those with another of their list in reach. Sizes alone exclude a posting when its
+    neighbours by size are too small or too large. In a list of two, so may the places of the shingle in the two sets'
+    order: what precedes both, the shingle, and what follows both bound the overlap."""
+    same = key[1:] == key[:-1]
+    near = same & (100 * size[:-1] >= percent * size[1:])
+    alone = np.concatenate([[True], ~same])  # starts of lists
+    starts = np.flatnonzero(alone)
+    two = starts[np.diff(np.append(starts, len(key))) == 2]
+    a, b = two, two + 1
+    bound = np.minimum(place[a], place[b]) + 1 + np.minimum(size[a] - place[a], size[b] - place[b]) - 1
+    near[two[bound < overlap_required(size[a], size[b], percent)]] = False
+    return np.concatenate([[False], near]) | np.concatenate([near, [False]])
+
+
+def shared_lists(reps: DataFrame, ranges: int, percent: int) -> DataFrame:
+    """(list, doc_id) of postings with another of their list in reach."""
 
     def post(batches):
         for batch in batches:
-            doc_ids, posted = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("posted").to_numpy(zero_copy_only=False)
+            doc_ids, n, posted = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "posted"))
+            if not len(posted):
+                continue
             shingle, freq = [], []
             for data, p in zip(batch.column("prefix").to_pylist(), posted.tolist(), strict=True):
                 x = np.frombuffer(data, np.uint64)
                 shingle.append(x[:p])
                 freq.append(x[p:] if len(x) > p else np.zeros(p, np.uint64))
-            if not shingle:
-                continue
-            keys, docs = list_keys(np.concatenate(shingle), np.concatenate(freq).astype(np.int64), np.repeat(doc_ids, posted))
+            doc = np.repeat(np.arange(len(posted)), posted)
+            keys, rows = list_keys(np.concatenate(shingle), np.concatenate(freq).astype(np.int64), doc_ids[doc])
+            place = (np.arange(len(doc)) - segments(posted)[:-1][doc])[rows]
+            doc = doc[rows]
             order = np.argsort(keys, kind="stable")
-            keys, docs = keys[order], docs[order]
+            keys, doc, place = keys[order], doc[order], place[order]
             cuts = np.searchsorted(keys, np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64))
-            runs = [(i, x, y) for i, (x, y) in enumerate(zip(np.split(keys, cuts), np.split(docs, cuts), strict=True)) if len(x)]
-            yield pa.record_batch([pa.array([i for i, _, _ in runs], pa.int32()), pa.array([pack(x, gaps=True) for _, x, _ in runs], pa.binary()), pa.array([pack(y) for _, _, y in runs], pa.binary())], names=["range", "keys", "docs"])
+            runs = [(i, *x) for i, x in enumerate(zip(np.split(keys, cuts), np.split(doc, cuts), np.split(place, cuts), strict=True)) if len(x[0])]
+            packed = [pa.array([f(x) for x in runs], pa.binary()) for f in (lambda x: pack(x[1], gaps=True), lambda x: pack(doc_ids[x[2]]), lambda x: pack(n[x[2]].astype(np.uint32)), lambda x: pack(x[3].astype(np.uint32)))]
+            yield pa.record_batch([pa.array([x[0] for x in runs], pa.int32()), *packed], names=["range", "keys", "docs", "sizes", "places"])
 
     def merge(runs: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([unpack(x, "u8", gaps=True) for x in runs["keys"]])
         docs = np.concatenate([unpack(x, "i8") for x in runs["docs"]])
+        size, place = (np.concatenate([unpack(x, "u4") for x in runs[c]]).astype(np.int64) for c in ("sizes", "places"))
         order = np.argsort(keys, kind="stable")
-        keys, docs = keys[order], docs[order]
-        same = keys[1:] == keys[:-1]
-        kept = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        return pd.DataFrame({"list": keys[kept].view(np.int64), "doc_id": docs[kept]})
+        same = keys[order][1:] == keys[order][:-1]
+        some = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        some = some[np.lexsort((size[some], keys[some]))]
+        some = some[worth_keeping(keys[some], size[some], place[some], percent)] if len(some) else some
+        return pd.DataFrame({"list": keys[some].view(np.int64), "doc_id": docs[some]})
 
-    runs = map_arrow(reps.select("doc_id", "prefix", "posted"), post, "range int, keys binary, docs binary")
+    runs = map_arrow(reps.select("doc_id", "n", "prefix", "posted"), post, "range int, keys binary, docs binary, sizes binary, places binary")
     return runs.groupBy("range").applyInPandas(merge, "list long, doc_id long")
 
 
@@ -369,7 +390,7 @@ def divide_skip(own: np.ndarray, at: np.ndarray, percent: int = PERCENT):
             yield np.full(len(hit), q), rank[hit]
 
 
-def true_edges(grouped: DataFrame, k: int, percent: int) -> DataFrame:
+def true_edges(grouped: DataFrame, parts: int, k: int, percent: int) -> DataFrame:
     """(grp, doc_id, packed text) -> (a, b): edges with the components that links make."""
     import zstandard
 
@@ -387,14 +408,14 @@ def true_edges(grouped: DataFrame, k: int, percent: int) -> DataFrame:
             if links and (edges := _stars(doc, np.concatenate([i for i, _ in links]), np.concatenate([j for _, j in links]))) is not None:
                 yield edges
 
-    return map_arrow(grouped.repartition("grp").sortWithinPartitions("grp", "doc_id"), run, "a long, b long").distinct()
+    return map_arrow(grouped.repartition(parts, "grp").sortWithinPartitions("grp", "doc_id"), run, "a long, b long").distinct()
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
     import zstandard
 
     def run(batches):
-        press = zstandard.ZstdCompressor(level=1).compress
+        press = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             yield pa.record_batch([batch.column("doc_id"), pa.array([press((x or "").encode()) for x in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "text"])
 
@@ -416,7 +437,7 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     chosen = classes.select(F.col("sig"), F.col("rep").alias("doc_id"))
 
     reps = described.join(chosen, ["sig", "doc_id"], "left_semi")
-    lists = materialise(shared_lists(reps, ranges), "ngram-lists")
+    lists = materialise(shared_lists(reps, ranges, percent), "ngram-lists")
     sizes = described.select("doc_id", "n", "bits", "sig").join(chosen, ["sig", "doc_id"], "left_semi").drop("sig")
     groups = connected(candidate_edges(lists.join(sizes, "doc_id"), percent))
 
@@ -427,7 +448,7 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     dealt = dealt.select("node", "component", "nb", "mine", other.alias("other"))
     key = F.when(F.col("nb").isNull(), F.col("component")).otherwise(F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")))
     dealt = dealt.select(F.col("node").alias("doc_id"), key.alias("grp"))
-    links = connected(true_edges(packed_texts(docs).join(dealt, "doc_id"), k, percent))
+    links = connected(true_edges(packed_texts(docs).join(dealt, "doc_id"), ranges, k, percent))
 
     # Back to all documents, by digest; copies are dealt out over salts.
     salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
