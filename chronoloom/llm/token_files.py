@@ -14,7 +14,8 @@ partition, are sorted there, and streamed to files of about ``FILE_TOKENS`` ids
 The committed manifest lists the files that count. A file's first offset is the sum of the files before it.
 
 *Encoding.* The tokenizer drops white space and never joins across it, so a batch is split at spaces and line ends, and
-the library encodes each distinct piece of the batch once; ids of documents are gathered from those of their pieces.
+the library encodes each distinct piece of the batch once; ids of documents are gathered from those of their pieces. The
+ids of pieces seen are kept from batch to batch, in a table of bounded size.
 
 Defined results. A null or empty text has the end id alone. Null ids come first. Repeated ids keep all their rows,
 ordered by their ids' bytes. An empty table writes no file. Only the id and text columns are read.
@@ -26,6 +27,7 @@ import functools
 import itertools
 import json
 import struct
+import unicodedata
 import uuid
 import zlib
 
@@ -35,9 +37,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, input_partitions, materialise, new_path, ragged, segments, slices, table
+from .common import filesystem, input_partitions, map_arrow, materialise, new_path, ragged, segments, slices, table
 
-END_ID, SAMPLE, FILE_TOKENS, SLICE, MAX_RANGES, READ_IDS = 2, 256, 64 << 20, 8 << 20, 4096, 1 << 20
+END_ID, SAMPLE, FILE_TOKENS, SLICE, MAX_RANGES, READ_IDS, KEPT, JOINED = 2, 256, 64 << 20, 8 << 20, 4096, 1 << 20, 400_000, 400
+CLOSING = ".,;:!?#$%&*+-/=@^_`~()[]{}\"'\\"  # not those of which special tokens are made
 MAGIC = b"CLTOKEF1"
 MANIFEST = "shard int, seq int, path string, docs long, tokens long"
 
@@ -214,20 +217,86 @@ def split_pieces(col: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words.dictionary, words.indices.to_numpy(zero_copy_only=False), segments(counts)
 
 
-def encode_texts(col: pa.Array, tokenizer, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts on end, each followed by end_id, n + 1 offsets)."""
-    distinct, which, at = split_pieces(col)
-    found = tokenizer.encode_batch_fast(distinct.to_pylist(), add_special_tokens=False)
-    ids = [e.ids for e in found]
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-    starts = segments(lengths)
-    if end_id is not None:  # as a further piece at the end of each text
-        which = np.insert(which.astype(np.int64), at[1:], len(ids))
-        at = at + np.arange(len(at))
-        flat, lengths = np.append(flat, np.uint32(end_id)), np.append(lengths, 1)
-    own = lengths[which]
-    return flat[ragged(starts[which], own)], segments(own)[at]
+@functools.lru_cache(4096)
+def _ends_in_letter(c: str) -> bool:
+    """Whether a character, normalised and in lower case, ends in a letter: some then end in a mark."""
+    return unicodedata.normalize("NFC", c).lower()[-1].isalpha()
+
+
+class Encoder:
+    """Encodes batches, and keeps the ids (as bytes of 32-bit integers) of pieces seen, in a table of bounded size."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.known = tokenizer, {}
+        # Tokens that end a word, where the vocabulary tells them apart.
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Words of letters many at a time: each ends with one token that ends a word, which tells where to cut. If there
+        are more such tokens than words in a text, or the vocabulary has none, words are encoded one by one."""
+        plain = [p for p in new if p.isalpha()]
+        single = [p for p in new if not p.isalpha()]
+        texts = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)] if self.ends.any() else []
+        for words, ids in zip(texts, self._encode([" ".join(x) for x in texts]), strict=True):
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(words):
+                single += words
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, to in zip(words, ends.tolist(), strict=True):
+                self.known[w] = raw[at:to]
+                at = to
+        if not texts:
+            single = new
+        for p, ids in zip(single, self._encode(single), strict=True):
+            self.known[p] = ids.tobytes()
+
+    def pieces(self, distinct: list[str]) -> list[bytes]:
+        """Ids of every piece. A word and the marks that close it are encoded each on its own: the tokenizer ends a
+        token where letters end, and none of these marks combines with a letter."""
+        known = self.known
+        if len(known) > KEPT:
+            for old in list(itertools.islice(known, len(known) - KEPT // 2)):
+                del known[old]
+        out = list(map(known.get, distinct))
+        cut: dict[int, tuple[str, str]] = {}
+        new: dict[str, None] = {}
+        lacking = [i for i, x in enumerate(out) if x is None]
+        for i in lacking:
+            p = distinct[i]
+            word = p.rstrip(CLOSING)
+            if len(word) < len(p) and word and _ends_in_letter(word[-1]):
+                cut[i] = (word, p[len(word) :])
+                for part in cut[i]:
+                    if part not in known:
+                        new[part] = None
+            else:
+                new[p] = None
+        self._learn(list(new))
+        for i in lacking:
+            out[i] = known[cut[i][0]] + known[cut[i][1]] if i in cut else known[distinct[i]]
+        return out
+
+    def encode(self, col: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts on end, each followed by end_id, n + 1 offsets)."""
+        distinct, which, at = split_pieces(col)
+        ids = self.pieces(distinct.to_pylist())
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        starts = segments(lengths)
+        if end_id is not None:  # as a further piece at the end of each text
+            which = np.insert(which.astype(np.int64), at[1:], len(ids))
+            at = at + np.arange(len(at))
+            flat, lengths = np.append(flat, np.uint32(end_id)), np.append(lengths, 1)
+        own = lengths[which]
+        return flat[ragged(starts[which], own)], segments(own)[at]
 
 
 def width_of(tokenizer) -> int:
@@ -250,11 +319,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "do
 
     def encode(batches):
         tokenizer = _tokenizer(tokenizer_path)
-        kind = "<u2" if width_of(tokenizer) == 2 else "<u4"
+        encoder, kind = Encoder(tokenizer), "<u2" if width_of(tokenizer) == 2 else "<u4"
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                ids, at = encode_texts(part.column("text"), tokenizer, end_id)
+                ids, at = encoder.encode(part.column("text"), end_id)
                 ids = ids.astype(kind)
                 own = part.column("doc_id")
                 shard = np.searchsorted(cuts, pc.fill_null(own, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
@@ -290,8 +359,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "do
         if done:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*done, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["shard", "seq", "path", "docs", "tokens"])
 
-    rows = docs.mapInArrow(encode, "shard int, doc_id long, ids binary").repartitionById(len(cuts) + 1, "shard")
-    return materialise(rows.sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(write, MANIFEST), "token-manifest")
+    rows = map_arrow(docs, encode, "shard int, doc_id long, ids binary").repartitionById(len(cuts) + 1, "shard")
+    return materialise(map_arrow(rows.sortWithinPartitions("shard", "doc_id", "ids"), write, MANIFEST), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, *, ids: bool = False) -> DataFrame:
@@ -319,7 +388,7 @@ def read_token_files(manifest: DataFrame, *, ids: bool = False) -> DataFrame:
                         yield pa.record_batch(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
                         k = to
 
-    return files.select("path", "base").repartition(max(1, min(10_000, manifest.count()))).mapInArrow(run, schema)
+    return map_arrow(files.select("path", "base").repartition(max(1, min(10_000, manifest.count()))), run, schema)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
