@@ -1,6 +1,465 @@
-"""Named queries over the driver's tables, and the SQL that each is checked against."""
+"""Named queries over the driver's tables, and the SQL that each is checked against.
+
+The tables play the graph's parts as ``sources.views`` says. Queries ask at a fixed instant, never the clock.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import identity, text
+from ..operators import checks, chunk, gates, reads, resolve, review, search, workflow
+from ..sources.views import ENTITY_SQL, NOW, SUPPLY_SQL, TEMPORAL_SQL, entities, supply_facts, table, temporal_facts
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+QUESTION = "purchase by user 7 with key 12"
+WORDS = "attion thanedble eriner anea"
+STRICT, LOOSE = 0.75, 0.3
+_now = F.lit(NOW).cast("timestamp_ntz")
+_FACTS = f"WITH facts AS ({TEMPORAL_SQL}), cur AS (SELECT *, invalid_at IS NULL OR invalid_at > TIMESTAMP '{NOW}' AS current FROM facts)"
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _bm25_sql(rows: str, question: str, key: str) -> str:
+    """BM25 of rows (key, body) for a question, as SQL up to a relation ``scored``."""
+    terms = ", ".join(f"('{t}')" for t in search.question_terms(question))
+    return f"""
+tok AS (SELECT {key}, regexp_extract_all(lower(coalesce(body, '')), '[\\p{{L}}\\p{{N}}_]+') AS w FROM {rows}),
+doc AS (SELECT {key}, w, len(w) AS dl FROM tok), stat AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM doc),
+term(t) AS (VALUES {terms}),
+tf AS (SELECT {key}, t, dl, len(list_filter(w, lambda x: x = t)) AS tf FROM doc, term),
+df AS (SELECT t, count_if(tf > 0) AS df FROM tf GROUP BY t),
+scored AS (
+  SELECT {key}, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
+  FROM tf JOIN df USING (t), stat WHERE tf > 0 GROUP BY {key})"""
+
+
+# ---------------------------------------------------------------- currency
+
+
+@query(f"""{_FACTS}, f2 AS (SELECT uuid, name || ' ' || fact AS body FROM facts), {_bm25_sql("f2", QUESTION, "uuid")},
+cand AS (SELECT uuid, score, row_number() OVER (ORDER BY score DESC, uuid) AS rank FROM scored QUALIFY rank <= 30),
+kept AS (SELECT c.uuid, cand.rank, cur.fact, cur.valid_at FROM cand JOIN cur USING (uuid), (SELECT uuid FROM cand) c WHERE c.uuid = cur.uuid AND current)
+SELECT uuid, fact, valid_at, round((count(*) OVER () - (row_number() OVER (ORDER BY rank) - 1)) / count(*) OVER (), 9) AS score
+FROM kept ORDER BY rank LIMIT 10""")
+def ask_current_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search_facts(temporal_facts(spark, sf_dir), QUESTION, _now, limit=10)
+    return found.select("uuid", "fact", "valid_at", "score")
+
+
+@query(f"{_FACTS}, f2 AS (SELECT uuid, name || ' ' || fact AS body FROM facts), {_bm25_sql('f2', QUESTION, 'uuid')}, cand AS (SELECT uuid FROM scored ORDER BY score DESC, uuid LIMIT 30)" + """
+SELECT 10 AS requested, 30 AS candidate_limit, count(*) AS candidates_seen, count_if(current) AS eligible, least(count_if(current), 10) AS returned,
+       count(*) - count_if(current) AS suppressed, count(*) >= 30 AS recall_may_be_incomplete FROM cand JOIN cur USING (uuid)""")
+def search_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_report(temporal_facts(spark, sf_dir), QUESTION, _now, limit=10)
+
+
+@query(f"{_FACTS} SELECT uuid, name, fact, valid_at, invalid_at FROM cur WHERE current")
+def current_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.current_facts(temporal_facts(spark, sf_dir), _now).select("uuid", "name", "fact", "valid_at", "invalid_at")
+
+
+@query(f"""{_FACTS} SELECT uuid, current, row_number() OVER (PARTITION BY name, source_node_uuid, current ORDER BY valid_at DESC, uuid) AS place
+FROM cur QUALIFY place <= 3""")
+def history_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = temporal_facts(spark, sf_dir).withColumn("current", reads.is_current(_now))
+    place = F.row_number().over(Window.partitionBy("name", "source_node_uuid", "current").orderBy(F.desc("valid_at"), "uuid"))
+    return f.withColumn("place", place).where("place <= 3").select("uuid", "current", "place")
+
+
+@query(f"""{_FACTS} SELECT uuid, name, valid_at, invalid_at FROM facts WHERE valid_at >= TIMESTAMP '2024-01-05' AND valid_at <= TIMESTAMP '2024-01-12'
+AND invalid_at >= TIMESTAMP '2024-01-06' AND name IN ('CLICK', 'PURCHASE')""")
+def facts_in_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda x: F.lit(x).cast("timestamp_ntz")
+    f = reads.of_types(temporal_facts(spark, sf_dir), ["CLICK", "PURCHASE"])
+    return reads.in_date_range(f, valid_after=t("2024-01-05"), valid_before=t("2024-01-12"), invalid_after=t("2024-01-06")).select("uuid", "name", "valid_at", "invalid_at")
+
+
+@query(f"{_FACTS} SELECT group_id, name, count(*) AS candidates_seen, count_if(current) AS eligible, count(*) - count_if(current) AS suppressed FROM cur GROUP BY group_id, name")
+def suppressed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.suppressed(temporal_facts(spark, sf_dir), _now, "group_id", "name")
+
+
+@query(f"{_FACTS} SELECT count(*) AS leaked FROM cur WHERE NOT current AND uuid IN (SELECT uuid FROM cur WHERE current)")
+def invalidation_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = temporal_facts(spark, sf_dir)
+    return checks.leaked(reads.current_facts(f, _now), f, _now).agg(F.count(F.lit(1)).alias("leaked"))
+
+
+# ---------------------------------------------------------------- nodes, episodes, groups
+
+
+@query(f"SELECT uuid, name, group_id FROM ({ENTITY_SQL}) WHERE group_id IN ('supplier', 'nation')")
+def nodes_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.with_any_label(entities(spark, sf_dir), ["supplier", "nation"]).select("uuid", "name", "group_id")
+
+
+@query(f"SELECT g AS group_id, count(uuid) AS nodes FROM (VALUES ('customer'), ('part'), ('planet')) v(g) LEFT JOIN ({ENTITY_SQL}) e ON e.group_id = g GROUP BY g")
+def status_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = spark.createDataFrame([("customer",), ("part",), ("planet",)], "group_id string")
+    return reads.count_by_group(entities(spark, sf_dir), groups)
+
+
+@query("SELECT conv_id, turn, role, md5(text) AS digest FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 20")
+def recent_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").orderBy(F.desc("conv_id"), F.desc("turn")).limit(20)
+    return c.select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+
+
+@query(f"""WITH e AS ({ENTITY_SQL}), s AS (SELECT uuid, name, 0 AS scope FROM e WHERE group_id <> 'part' UNION ALL SELECT uuid, upper(name), 1 FROM e)
+SELECT uuid, name FROM s QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY scope) = 1""")
+def collect_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = entities(spark, sf_dir).select("uuid", "name", "group_id")
+    return reads.collect_scopes([e.where("group_id <> 'part'"), e.withColumn("name", F.upper("name"))]).select("uuid", "name")
+
+
+@query(f"""SELECT 'entity_node' AS kind, count(*) AS n FROM ({ENTITY_SQL}) UNION ALL SELECT 'episodic_node', count(*) FROM documents
+UNION ALL SELECT 'entity_edge', count(*) FROM events UNION ALL SELECT 'episodic_edge', count(*) FROM lineitem""")
+def export_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    return reads.count_by_kind({"entity_node": entities(spark, sf_dir), "episodic_node": t("documents"), "entity_edge": t("events"), "episodic_edge": t("lineitem")})
+
+
+# ---------------------------------------------------------------- duplicates
+
+
+@query(f"""WITH k AS (SELECT trim(regexp_replace(lower(name), '[^0-9a-z]+', ' ', 'g')) AS name FROM ({ENTITY_SQL}))
+SELECT name, count(*) AS count, sum(count(*)) OVER () AS duplicates FROM k WHERE name <> '' GROUP BY name HAVING count(*) > 1""")
+def duplicate_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reads.duplicate_entities(entities(spark, sf_dir), members=False)
+    return found.join(F.broadcast(reads.total_members(found))).select("name", "count", "duplicates")  # one row
+
+
+@query(f"""WITH f AS ({SUPPLY_SQL}), k AS (SELECT *, trim(regexp_replace(lower(fact), '[^0-9a-z]+', ' ', 'g')) AS key FROM f)
+SELECT source_node_uuid, target_node_uuid, key, count(*) AS count, string_agg(uuid, ',' ORDER BY strftime(created_at, '%Y-%m-%d %H:%M:%S'), uuid) AS members
+FROM k GROUP BY ALL HAVING count(*) > 1""")
+def duplicate_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reads.duplicate_facts(supply_facts(spark, sf_dir))
+    return found.select("source_node_uuid", "target_node_uuid", "key", "count", F.array_join("members", ",").alias("members"))
+
+
+# ---------------------------------------------------------------- text and identity
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^0-9a-z]+', ' ', 'g'))) AS name FROM documents")
+def normalized_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalized_name(F.col("text"))).alias("name"))
+
+
+@query()
+def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).alias("n"), text.is_atomic(F.col("text")).alias("atomic"))
+
+
+def _secret_sql() -> str:
+    parts = []
+    for name, pattern in text.SECRETS.items():
+        p = pattern.replace("'", "''")
+        parts.append(f"CASE WHEN regexp_matches(text, '{p}') THEN '{name}' END")
+    return f"SELECT doc_id, array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), ',') AS families FROM documents"
+
+
+@query(_secret_sql())
+def secret_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.secret_shapes(F.col("text")), ",").alias("families"))
+
+
+@query(r"""WITH r AS (SELECT doc_id, lang || chr(31) || trim(source) || chr(31) || regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(31) AS m FROM documents)
+SELECT doc_id, substr(sha256(m), 1, 32) AS key, substr(sha256(m), 1, 8) || '-' || substr(sha256(m), 9, 4) || '-' || substr(sha256(m), 13, 4) || '-' || substr(sha256(m), 17, 4) || '-' || substr(sha256(m), 21, 12) AS episode_uuid FROM r""")
+def record_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    rows = d.select("doc_id", F.col("lang").alias("domain"), F.col("source").alias("name"), F.col("text").alias("body"), F.lit(None).cast("string").alias("valid_at"))
+    return workflow.keyed_records(rows, "en").select("doc_id", "key", "episode_uuid")
+
+
+@query("""SELECT doc_id, 'sha256:' || sha256('{"domain":"' || lang || '","fact_type":"source-fact","id":"proposal-' || doc_id || '","operation":"assert","provenance":"' || source || '","supersedes":"","text":"' || md5(text) || '"}') AS digest FROM documents""")
+def content_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("proposal-"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("domain"), F.lit("source-fact").alias("fact_type"), F.lit("assert").alias("operation"),
+        F.col("source").alias("provenance"), F.lit("").alias("supersedes"), F.md5("text").alias("text"), F.lit(None).cast("string").alias("link"),
+    )
+    return p.select("doc_id", identity.content_digest(p.columns).alias("digest"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id % 3 <> 0 AND sha256(lang || chr(31) || source || chr(31) || text) NOT IN (SELECT sha256(lang || chr(31) || source || chr(31) || text) FROM documents WHERE doc_id % 3 = 0)")
+def resume_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    rows = workflow.keyed_records(d.select("doc_id", F.col("lang").alias("domain"), F.col("source").alias("name"), F.col("text").alias("body"), F.lit(None).cast("string").alias("valid_at")), "en")
+    ledger = rows.where("doc_id % 3 = 0").select("key")  # what an earlier run had ingested
+    return workflow.resume_plan(rows, ledger).select("doc_id", F.col("name").alias("source"))
+
+
+@query()
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("body"))
+    return chunk.chunk_records(d, 2000).select("doc_id", "name", F.length("body").alias("n_chars"), F.md5("body").alias("digest"), "chunk_index", "chunk_count")
+
+
+# ---------------------------------------------------------------- provenance
+
+
+def _order_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urgent orders as episodes, with the facts they produced."""
+    f = supply_facts(spark, sf_dir).select(F.explode("episodes").alias("uuid"), F.col("uuid").alias("fact_id"))
+    lists = f.groupBy("uuid").agg(F.sort_array(F.collect_list("fact_id")).alias("entity_edges"))
+    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("uuid"))
+    return lists.join(o, "uuid", "left_semi")
+
+
+@query(f"""WITH f AS ({SUPPLY_SQL}), pair AS (SELECT source_node_uuid, target_node_uuid, list_distinct(flatten(list(episodes))) AS eps, min(uuid) AS uuid FROM f GROUP BY ALL),
+urgent AS (SELECT 'O' || o_orderkey AS uuid FROM orders WHERE o_orderpriority = '1-URGENT'),
+sup AS (SELECT uuid, source_node_uuid, target_node_uuid, unnest(eps) AS e FROM pair)
+SELECT s.uuid, bool_and(u.uuid IS NOT NULL) AS only FROM sup s LEFT JOIN urgent u ON u.uuid = s.e GROUP BY s.uuid, source_node_uuid, target_node_uuid HAVING count(u.uuid) > 0""")
+def provenance_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier-part facts with all orders that support them, split by whether urgent orders alone do."""
+    f = supply_facts(spark, sf_dir)
+    pairs = f.groupBy("source_node_uuid", "target_node_uuid").agg(F.array_distinct(F.flatten(F.collect_list("episodes"))).alias("episodes"), F.min("uuid").alias("uuid"))
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("_e"))
+    lists = pairs.select("uuid", F.explode("episodes").alias("_e")).join(urgent, "_e").groupBy("_e").agg(F.collect_list("uuid").alias("entity_edges")).withColumnRenamed("_e", "uuid")
+    given = urgent.join(lists.withColumnRenamed("uuid", "_e"), "_e").withColumnRenamed("_e", "uuid")
+    return reads.episode_edges(given, pairs).select("uuid", "only")
+
+
+@query(f"WITH f AS ({SUPPLY_SQL}) SELECT f.uuid, f.group_id FROM f JOIN orders o ON f.episodes[1] = 'O' || o_orderkey WHERE o_orderpriority = '1-URGENT'")
+def episode_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.episode_edges(_order_episodes(spark, sf_dir), supply_facts(spark, sf_dir)).select("uuid", "group_id")
+
+
+@query("SELECT DISTINCT 'P' || l_partkey AS uuid, p_name AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderpriority = '1-URGENT'")
+def episode_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = supply_facts(spark, sf_dir).select(F.explode("episodes").alias("source_node_uuid"), "target_node_uuid")
+    return reads.episode_entities(_order_episodes(spark, sf_dir), supply_facts(spark, sf_dir), m, entities(spark, sf_dir))[1].select("uuid", "name")
+
+
+@query(f"""WITH f AS ({SUPPLY_SQL}), x AS (SELECT uuid, unnest([episodes[1], 'O-none']) AS episode, unnest([0, 1]) AS pos FROM f)
+SELECT x.uuid, pos, episode, o_orderstatus AS status FROM x LEFT JOIN orders ON episode = 'O' || o_orderkey""")
+def edge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = supply_facts(spark, sf_dir).withColumn("episodes", F.array_append("episodes", F.lit("O-none")))
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("uuid"), F.col("o_orderstatus").alias("status"))
+    return reads.edge_sources(f, o).select("uuid", "pos", "episode", "status")
+
+
+@query(f"""WITH f AS ({SUPPLY_SQL}) SELECT uuid, CASE WHEN s_suppkey IS NULL THEN 'source' ELSE 'target' END AS missing FROM f
+LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) ON source_node_uuid = 'S' || s_suppkey LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 2) ON target_node_uuid = 'P' || p_partkey
+WHERE s_suppkey IS NULL OR p_partkey IS NULL""")
+def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = lambda n, mark, key, where: table(spark, sf_dir, n).where(where).select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("uuid"))
+    return reads.dangling(supply_facts(spark, sf_dir), node("supplier", "S", "s_suppkey", "s_acctbal > 0"), node("part", "P", "p_partkey", "p_size > 2")).select("uuid", "missing")
+
+
+# ---------------------------------------------------------------- search
+
+
+@query(f"WITH d AS (SELECT doc_id, text AS body FROM documents), {_bm25_sql('d', WORDS, 'doc_id')} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 20")
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.top(search.bm25(d, "doc_id", F.col("text"), WORDS), 20, "doc_id").select("doc_id", "score", "rank")
+
+
+@query(f"WITH d AS ({ENTITY_SQL}), e AS (SELECT uuid, name AS body FROM d), {_bm25_sql('e', 'red widget customer', 'uuid')} SELECT uuid, score, row_number() OVER (ORDER BY score DESC, uuid) AS rank FROM scored QUALIFY rank <= 20")
+def node_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top(search.bm25(entities(spark, sf_dir), "uuid", F.col("name"), "red widget customer"), 20, "uuid").select("uuid", "score", "rank")
+
+
+_COSINE = """cos AS (
+  SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score
+  FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)"""
+
+
+@query(f"WITH {_COSINE} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cos QUALIFY rank <= 10")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return search.vector_top(v, v.where("vec_id % 100 = 0"), 10).select("query_id", "vec_id", "score", "rank")
+
+
+@query(f"""WITH {_COSINE}, d AS (SELECT doc_id, text AS body FROM documents), {_bm25_sql('d', WORDS, 'doc_id')},
+lists AS (
+  SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM cos WHERE query_id = 0 QUALIFY rank <= 50
+  UNION ALL SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 50),
+fused AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM lists GROUP BY id)
+SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= 20""")
+def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    near = search.vector_top(v, v.where("vec_id = 0"), 50).select(F.col("vec_id").alias("id"), "rank")
+    found = search.top(search.bm25(d, "doc_id", F.col("text"), WORDS), 50, "doc_id").select(F.col("doc_id").alias("id"), "rank")
+    return search.top(search.fuse([near, found], "id"), 20, "id").select("id", "score", "rank")
+
+
+@query(f"""{_FACTS}, f2 AS (SELECT uuid, name || ' ' || fact AS body FROM facts), {_bm25_sql('f2', QUESTION, 'uuid')},
+cand AS (SELECT uuid, fact, row_number() OVER (ORDER BY score DESC, uuid) AS rank FROM scored JOIN facts USING (uuid) QUALIFY rank <= 30),
+r AS (SELECT fact, row_number() OVER (PARTITION BY fact ORDER BY rank DESC) AS nth, 31 - rank AS place, round(rank / 30.0::DOUBLE, 9) AS score FROM cand WHERE rank <= 20),
+e AS (SELECT *, row_number() OVER (PARTITION BY fact ORDER BY rank) AS nth, min(rank) OVER (PARTITION BY fact) AS first FROM cand),
+b AS (SELECT uuid, coalesce(r.score, 0) AS score, place, first, rank FROM e LEFT JOIN r USING (fact, nth))
+SELECT uuid, score, row_number() OVER (ORDER BY place NULLS LAST, first, rank) AS final_rank FROM b QUALIFY final_rank <= 25""")
+def rerank_with_omissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ranker that turns the order round and leaves out the last ten candidates."""
+    f = temporal_facts(spark, sf_dir)
+    cand = search.top(search.bm25(f, "uuid", F.concat_ws(" ", "name", "fact"), QUESTION), 30, "uuid").select("uuid", "fact", "rank")
+    ranked = cand.where("rank <= 20").select(F.col("fact").alias("passage"), (31 - F.col("rank")).alias("place"), F.round(F.col("rank") / 30.0, 9).alias("score"))
+    return search.rerank(cand, ranked, limit=25).select("uuid", "score", "final_rank")
+
+
+@query(f"""WITH RECURSIVE f AS ({SUPPLY_SQL}), b AS (SELECT source_node_uuid AS a, target_node_uuid AS b FROM f UNION SELECT target_node_uuid, source_node_uuid FROM f),
+walk(uuid, distance) AS (SELECT 'S1', 0 UNION SELECT b.b, distance + 1 FROM walk JOIN b ON b.a = walk.uuid WHERE distance < 2)
+SELECT uuid, min(distance) AS distance FROM walk GROUP BY uuid""")
+def node_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.node_distance(supply_facts(spark, sf_dir), "S1", 2)
+
+
+# ---------------------------------------------------------------- gates and review
+
+_LINES = r"""WITH lines AS (SELECT doc_id, lang, trim(unnest(string_split(text, chr(10)))) AS text FROM documents)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("text"))
+    return d.select("doc_id", "lang", F.trim("text").alias("text"))
+
+
+@query(_LINES + f""", l AS (SELECT DISTINCT doc_id, text FROM lines WHERE text <> ''),
+lw AS (SELECT doc_id, text, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM l),
+bw AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM benchmark),
+le AS (SELECT doc_id, text, w, unnest(w) AS t FROM lw), be AS (SELECT item_id, w, unnest(w) AS t FROM bw),
+o AS (SELECT doc_id, le.text, item_id, count(*) AS o, any_value(len(le.w)) AS a, any_value(len(be.w)) AS b FROM le JOIN be USING (t) GROUP BY doc_id, le.text, item_id)
+SELECT doc_id, item_id, round(max(o / (a + b - o)), 9) AS ratio FROM o WHERE o / (a + b - o) >= {LOOSE} GROUP BY doc_id, item_id""")
+def rejected_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents that resemble a benchmark item, which plays the rejected fact."""
+    lines = _lines(spark, sf_dir).where("text <> ''").select(F.col("doc_id").alias("id"), F.lit("all").alias("domain"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("all").alias("domain"), F.array("text").alias("facts"))
+    found = gates.rejected_matches(lines, items, LOOSE)
+    return found.groupBy(F.col("id").alias("doc_id"), F.col("rejected_id").alias("item_id")).agg(F.round(F.max("ratio"), 9).alias("ratio"))
+
+
+def _proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as proposals of every kind."""
+    n = F.col("doc_id")
+    pick = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), (n % len(values) + 1).cast("int"))
+    empty = F.lit(None).cast("string")
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("proposal-"), n.cast("string")).alias("id"), F.lit("2024-01-10T00:00:00Z").alias("created_at"), F.col("lang").alias("domain"),
+        pick(["belief", "source-fact", "action-record", "live-finding", "rumour"]).alias("fact_type"), pick(["assert", "assert", "revise", "invalidate", "assert", "guess", "retire"]).alias("operation"),
+        F.col("text"), F.when(n % 2 == 0, F.array("text")).otherwise(F.array(F.col("text"), F.md5("text"))).alias("facts"), F.when(n % 3 == 0, "an earlier fact").alias("supersedes"),
+        F.when(n % 4 != 1, F.col("source")).alias("provenance"), F.when(n % 8 == 1, "src").alias("source"), F.when(n % 16 == 1, "https://a.example").alias("link"),
+        F.when(n % 32 == 3, "they said so").alias("said"), empty.alias("supersedes_rejection"), empty.alias("valid_at"), empty.alias("learned_at"),
+    )
+
+
+_PROPOSALS = """WITH p AS (
+  SELECT 'proposal-' || doc_id AS id, doc_id, text, ['belief', 'source-fact', 'action-record', 'live-finding', 'rumour'][doc_id % 5 + 1] AS fact_type,
+         ['assert', 'assert', 'revise', 'invalidate', 'assert', 'guess', 'retire'][doc_id % 7 + 1] AS operation, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS n,
+         CASE WHEN doc_id % 3 = 0 THEN 'an earlier fact' END AS supersedes, CASE WHEN doc_id % 4 <> 1 THEN source END AS provenance,
+         CASE WHEN doc_id % 8 = 1 THEN 'src' END AS src, CASE WHEN doc_id % 16 = 1 THEN 'https://a.example' END AS link, CASE WHEN doc_id % 32 = 3 THEN 'they said so' END AS said
+  FROM documents)"""
+
+
+@query(_PROPOSALS + """ SELECT id, CASE WHEN fact_type = 'rumour' THEN 'fact_type' WHEN operation = 'guess' THEN 'operation' WHEN trim(text) = '' AND n = 1 THEN 'empty'
+WHEN operation <> 'assert' AND supersedes IS NULL THEN 'supersedes' WHEN n > 1 AND provenance IS NULL AND src IS NULL AND link IS NULL AND said IS NULL THEN 'bundle_source' END AS refusal FROM p""")
+def filing_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.first_refusal(_proposals(spark, sf_dir)).select("id", "refusal")
+
+
+@query()
+def gate_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("rejected-"), F.col("item_id").cast("string")).alias("id"), F.lit("en").alias("domain"), F.array("text").alias("facts"))
+    return gates.gate_codes(_proposals(spark, sf_dir), items).select("id", "refusal", F.array_join("secrets", ",").alias("secrets"), "n_sentences", "resembles", "exit_code")
+
+
+@query(_PROPOSALS + """ SELECT id, CASE WHEN operation = 'assert' THEN CASE WHEN fact_type = 'source-fact' AND src IS NOT NULL AND link IS NOT NULL THEN 'policy:source-fact:source-link'
+WHEN fact_type = 'live-finding' AND said IS NOT NULL THEN 'policy:live-finding:said' END END AS rule FROM p""")
+def auto_approval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [gates.ApproveRule("source-fact", "source-link"), gates.ApproveRule("live-finding", "said")]
+    return gates.approving_rule(_proposals(spark, sf_dir), rules).select("id", "rule")
+
+
+@query("""WITH s AS (SELECT event_id % 500 AS id, event_id AS seq, ['pending', 'approved', 'rejected', 'draining', 'archived'][event_id % 5 + 1] AS status FROM events)
+SELECT id, max(seq) AS seq, max_by(status, seq) AS status FROM s GROUP BY id""")
+def proposal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("pending", "approved", "rejected", "draining", "archived")]), (n % 5 + 1).cast("int"))
+    return workflow.latest_states(e.select((n % 500).alias("id"), n.alias("seq"), status.alias("status")))
+
+
+@query(_PROPOSALS + """, q AS (SELECT id, doc_id, operation, fact_type, provenance, src, link, said, supersedes, n, unnest([text, md5(text)]) AS fact, unnest([0, 1]) AS index FROM p WHERE operation <> 'retire')
+SELECT id, index, 'workspace ' || id || CASE WHEN n > 1 THEN ' #' || (index + 1) ELSE '' END AS name,
+md5(CASE WHEN operation = 'assert' THEN fact ELSE 'Correction as of 2024-01-10: ' || fact || ' This supersedes: ' || supersedes END) AS body,
+concat_ws('; ', 'workspace', fact_type, coalesce(provenance, 'unspecified'), 'source: ' || src, 'link: ' || link, 'said: ' || said) AS provenance
+FROM q WHERE index < n AND NOT (doc_id % 6 = 1 AND index = 0)""")
+def drain_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _proposals(spark, sf_dir).withColumn("landed", F.when(F.expr("cast(substring(id, 10) as bigint) % 6 = 1"), F.array(F.lit(0))))
+    return workflow.episodes_to_land(p).select("id", "index", "name", F.md5("body").alias("body"), "provenance")
+
+
+@query(f"""{_FACTS} SELECT uuid, CASE WHEN invalid_at IS NULL THEN 'retired' ELSE 'already_invalid' END AS outcome, coalesce(invalid_at, TIMESTAMP '2024-02-01') AS invalid_at,
+CASE WHEN invalid_at IS NULL THEN TIMESTAMP '{NOW}' END AS expired_at FROM facts WHERE name = 'SIGNUP'""")
+def retire_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = temporal_facts(spark, sf_dir)
+    out = workflow.retire(f, f.where("name = 'SIGNUP'"), groups=None, ended=F.lit("2024-02-01").cast("timestamp_ntz"), now=_now)
+    return out.where("outcome IS NOT NULL").select("uuid", "outcome", "invalid_at", "expired_at")
+
+
+@query("""WITH d AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'refuse' WHEN quality = 1 THEN 'accept' ELSE 'review' END AS decision FROM documents LEFT JOIN labels USING (doc_id)),
+k AS (SELECT lang, count(*) AS facts, count_if(decision = 'refuse') AS refused FROM documents JOIN d USING (doc_id) GROUP BY lang)
+SELECT lang AS uuid, facts - refused AS kept, refused FROM k""")
+def review_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as facts, languages as the episodes that list them, labels as decisions."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("uuid"), "lang")
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("uuid"), "quality", "toxic")
+    word = F.when(F.col("toxic") == 1, "refuse").when(F.col("quality") == 1, "accept").otherwise("review")
+    decisions = d.join(lab, "uuid", "left").select("uuid", word.alias("decision"))
+    episodes = d.groupBy("lang").agg(F.collect_list("uuid").alias("entity_edges")).withColumnRenamed("lang", "uuid")
+    total = episodes.select("uuid", F.size("entity_edges").alias("n"))
+    kept = review.apply_decisions(d, episodes, decisions)[1].select("uuid", F.size("entity_edges").cast("long").alias("kept"))
+    return kept.join(total, "uuid").select("uuid", "kept", (F.col("n") - F.col("kept")).cast("long").alias("refused"))
+
+
+@query("""WITH d AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'refuse' WHEN quality = 1 THEN 'accept' ELSE 'review' END AS decision FROM labels)
+SELECT CASE WHEN decision IS NULL THEN 'missing' WHEN decision = 'review' THEN 'unresolved' ELSE 'no reason' END AS problem, count(*) AS n
+FROM documents LEFT JOIN d USING (doc_id) WHERE decision IS DISTINCT FROM 'accept' GROUP BY 1""")
+def decision_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.when(F.col("toxic") == 1, "refuse").when(F.col("quality") == 1, "accept").otherwise("review")
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("uuid"), word.alias("decision"), F.lit("").alias("reason"))
+    found = review.decision_problems(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uuid")), rows)
+    return found.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- resolution and checks
+
+
+@query("""WITH k AS (SELECT 'P' || p_partkey AS uuid, trim(regexp_replace(lower(p_name), '[^0-9a-z]+', ' ', 'g')) AS key, p_size FROM part),
+g AS (SELECT key, count(*) AS matches, min(uuid) AS one FROM k WHERE p_size <= 2 GROUP BY key)
+SELECT uuid, CASE WHEN matches = 1 THEN one END AS resolved, coalesce(matches, 0) AS matches FROM k LEFT JOIN g USING (key)""")
+def exact_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("uuid"), F.col("p_name").alias("name"), "p_size")
+    return resolve.exact_resolution(p, p.where("p_size <= 2"))
+
+
+@query("""WITH n AS (SELECT 'C' || c_custkey AS uuid, trim(regexp_replace(lower(c_name), '[^0-9a-z]+', ' ', 'g')) AS key FROM customer),
+k AS (SELECT 'S' || s_suppkey AS uuid, trim(regexp_replace(lower('Customer' || substr(s_name, 9)), '[^0-9a-z]+', ' ', 'g')) AS key FROM supplier),
+sn AS (SELECT uuid, key, list_distinct(list_transform(range(1, length(replace(key, ' ', '')) - 1), lambda i: substr(replace(key, ' ', ''), i, 3))) AS s FROM n),
+sk AS (SELECT uuid, key, list_distinct(list_transform(range(1, length(replace(key, ' ', '')) - 1), lambda i: substr(replace(key, ' ', ''), i, 3))) AS s FROM k),
+p AS (SELECT sn.uuid, sk.uuid AS resolved, round(len(list_intersect(sn.s, sk.s)) / len(list_distinct(list_concat(sn.s, sk.s))), 9) AS score FROM sn, sk)
+SELECT sn.uuid, b.resolved, b.score FROM sn LEFT JOIN (SELECT * FROM p WHERE score >= 0.9 QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY score DESC, resolved) = 1) b ON b.uuid = sn.uuid""")
+def fuzzy_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("uuid"), F.col("c_name").alias("name"))
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("uuid"), F.concat(F.lit("Customer"), F.substring("s_name", 9, 100)).alias("name"))
+    return resolve.fuzzy_resolution(c, s)
+
+
+@query(f"""WITH f AS ({SUPPLY_SQL}), e AS ({ENTITY_SQL})
+SELECT 'duplicate ids' AS check, CASE WHEN d = 0 THEN 'ok' ELSE 'fail' END AS status, d AS detail FROM (SELECT count(*) AS d FROM (SELECT uuid FROM f GROUP BY uuid HAVING count(*) > 1))
+UNION ALL SELECT 'unknown endpoints', CASE WHEN d = 0 THEN 'ok' ELSE 'fail' END, d FROM (SELECT count(*) AS d FROM f WHERE source_node_uuid NOT IN (SELECT uuid FROM e) OR target_node_uuid NOT IN (SELECT uuid FROM e))
+UNION ALL SELECT 'blank facts', CASE WHEN d = 0 THEN 'ok' ELSE 'warn' END, d FROM (SELECT count(*) AS d FROM f WHERE trim(coalesce(fact, '')) = '')
+UNION ALL SELECT 'vector width', CASE WHEN d = 0 THEN 'ok' ELSE 'fail' END, d FROM (SELECT count(*) AS d FROM embeddings WHERE len(embedding) <> 64)""")
+def data_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.data_checks(supply_facts(spark, sf_dir), entities(spark, sf_dir), 64, table(spark, sf_dir, "embeddings"))
