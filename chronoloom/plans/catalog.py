@@ -17,10 +17,13 @@ ORACLE: dict[str, str] = {}
 QUESTION = "purchase by user 7 with key 12"
 WORDS = "attion thanedble eriner anea"
 STRICT, LOOSE = 0.75, 0.3
-_now = F.lit(NOW).cast("timestamp_ntz")
 _FACTS = f"WITH facts AS ({TEMPORAL_SQL}), cur AS (SELECT *, invalid_at IS NULL OR invalid_at > TIMESTAMP '{NOW}' AS current FROM facts)"
 
 
+def _now():
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
 def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
@@ -54,7 +57,7 @@ kept AS (SELECT c.uuid, cand.rank, cur.fact, cur.valid_at FROM cand JOIN cur USI
 SELECT uuid, fact, valid_at, round((count(*) OVER () - (row_number() OVER (ORDER BY rank) - 1)) / count(*) OVER (), 9) AS score
 FROM kept ORDER BY rank LIMIT 10""")
 def ask_current_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.search_facts(temporal_facts(spark, sf_dir), QUESTION, _now, limit=10)
+    found = search.search_facts(temporal_facts(spark, sf_dir), QUESTION, _now(), limit=10)
     return found.select("uuid", "fact", "valid_at", "score")
 
 
@@ -62,18 +65,18 @@ def ask_current_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 10 AS requested, 30 AS candidate_limit, count(*) AS candidates_seen, count_if(current) AS eligible, least(count_if(current), 10) AS returned,
        count(*) - count_if(current) AS suppressed, count(*) >= 30 AS recall_may_be_incomplete FROM cand JOIN cur USING (uuid)""")
 def search_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_report(temporal_facts(spark, sf_dir), QUESTION, _now, limit=10)
+    return search.search_report(temporal_facts(spark, sf_dir), QUESTION, _now(), limit=10)
 
 
 @query(f"{_FACTS} SELECT uuid, name, fact, valid_at, invalid_at FROM cur WHERE current")
 def current_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.current_facts(temporal_facts(spark, sf_dir), _now).select("uuid", "name", "fact", "valid_at", "invalid_at")
+    return reads.current_facts(temporal_facts(spark, sf_dir), _now()).select("uuid", "name", "fact", "valid_at", "invalid_at")
 
 
 @query(f"""{_FACTS} SELECT uuid, current, row_number() OVER (PARTITION BY name, source_node_uuid, current ORDER BY valid_at DESC, uuid) AS place
 FROM cur QUALIFY place <= 3""")
 def history_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = temporal_facts(spark, sf_dir).withColumn("current", reads.is_current(_now))
+    f = temporal_facts(spark, sf_dir).withColumn("current", reads.is_current(_now()))
     place = F.row_number().over(Window.partitionBy("name", "source_node_uuid", "current").orderBy(F.desc("valid_at"), "uuid"))
     return f.withColumn("place", place).where("place <= 3").select("uuid", "current", "place")
 
@@ -88,13 +91,13 @@ def facts_in_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_FACTS} SELECT group_id, name, count(*) AS candidates_seen, count_if(current) AS eligible, count(*) - count_if(current) AS suppressed FROM cur GROUP BY group_id, name")
 def suppressed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.suppressed(temporal_facts(spark, sf_dir), _now, "group_id", "name")
+    return reads.suppressed(temporal_facts(spark, sf_dir), _now(), "group_id", "name")
 
 
 @query(f"{_FACTS} SELECT count(*) AS leaked FROM cur WHERE NOT current AND uuid IN (SELECT uuid FROM cur WHERE current)")
 def invalidation_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = temporal_facts(spark, sf_dir)
-    return checks.leaked(reads.current_facts(f, _now), f, _now).agg(F.count(F.lit(1)).alias("leaked"))
+    return checks.leaked(reads.current_facts(f, _now()), f, _now()).agg(F.count(F.lit(1)).alias("leaked"))
 
 
 # ---------------------------------------------------------------- nodes, episodes, groups
@@ -404,7 +407,7 @@ def drain_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE WHEN invalid_at IS NULL THEN TIMESTAMP '{NOW}' END AS expired_at FROM facts WHERE name = 'SIGNUP'""")
 def retire_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = temporal_facts(spark, sf_dir)
-    out = workflow.retire(f, f.where("name = 'SIGNUP'"), groups=None, ended=F.lit("2024-02-01").cast("timestamp_ntz"), now=_now)
+    out = workflow.retire(f, f.where("name = 'SIGNUP'"), groups=None, ended=F.lit("2024-02-01").cast("timestamp_ntz"), now=_now())
     return out.where("outcome IS NOT NULL").select("uuid", "outcome", "invalid_at", "expired_at")
 
 
