@@ -466,3 +466,134 @@ UNION ALL SELECT 'blank facts', CASE WHEN d = 0 THEN 'ok' ELSE 'warn' END, d FRO
 UNION ALL SELECT 'vector width', CASE WHEN d = 0 THEN 'ok' ELSE 'fail' END, d FROM (SELECT count(*) AS d FROM embeddings WHERE len(embedding) <> 64)""")
 def data_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.data_checks(supply_facts(spark, sf_dir), entities(spark, sf_dir), 64, table(spark, sf_dir, "embeddings"))
+
+
+# ---------------------------------------------------------------- payloads, retraction, restore, metadata
+
+
+@query(f"SELECT uuid, name, fact, group_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at, strftime(valid_at, '%Y-%m-%dT%H:%M:%S+00:00') AS valid_at, strftime(invalid_at, '%Y-%m-%dT%H:%M:%S+00:00') AS invalid_at, 0 AS n_episodes FROM ({TEMPORAL_SQL})")
+def fact_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = temporal_facts(spark, sf_dir).withColumn("episodes", F.lit(None).cast("array<string>")).withColumn("expired_at", F.lit(None).cast("timestamp_ntz"))
+    return reads.fact_rows(f).select("uuid", "name", "fact", "group_id", "created_at", "valid_at", "invalid_at", F.size("episodes").alias("n_episodes"))
+
+
+@query("SELECT 'P' || p_partkey AS uuid, substr(p_type || ' ' || p_brand || ' ' || repeat('x', p_size * 4), 1, 120) AS summary, 'brand,size' AS keys FROM part")
+def node_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries cut to 120 characters; attributes without those that name an embedding."""
+    text_ = F.concat_ws(" ", "p_type", "p_brand", F.expr("repeat('x', p_size * 4)"))
+    n = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("uuid"), F.col("p_name").alias("name"), F.lit("part").alias("group_id"), F.array(F.lit("part")).alias("labels"), F.lit(None).cast("timestamp").alias("created_at"), text_.alias("summary"), F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("Name_Embedding"), F.lit("[0.5]"), F.lit("size"), F.col("p_size").cast("string")).alias("attributes"))
+    return reads.node_rows(n).select("uuid", reads.member(F.col("summary")).alias("summary"), F.array_join(F.array_sort(F.map_keys("attributes")), ",").alias("keys"))
+
+
+@query(f"""WITH f AS ({SUPPLY_SQL}), pair AS (SELECT source_node_uuid, target_node_uuid, min(uuid) AS uuid, list_distinct(flatten(list(episodes))) AS eps, max(created_at) AS last FROM f GROUP BY ALL),
+sup AS (SELECT uuid, unnest(eps) AS e FROM pair WHERE last > TIMESTAMP '1998-06-01'), given AS (SELECT 'O' || o_orderkey AS e FROM orders WHERE o_orderstatus = 'F')
+SELECT s.uuid, CASE WHEN count(*) = count(g.e) THEN 'retire' ELSE 'keep' END AS action FROM sup s LEFT JOIN given g USING (e) GROUP BY s.uuid HAVING count(g.e) > 0""")
+def retraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a retraction of all finished orders would retire: the pairs that rest on them alone."""
+    f = supply_facts(spark, sf_dir)
+    pairs = f.groupBy("source_node_uuid", "target_node_uuid").agg(F.array_distinct(F.flatten(F.collect_list("episodes"))).alias("episodes"), F.min("uuid").alias("uuid"), F.max("created_at").alias("invalid_at"))
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("uuid"))
+    lists = pairs.select(F.col("uuid").alias("fact_id"), F.explode("episodes").alias("uuid")).join(done, "uuid").groupBy("uuid").agg(F.collect_list("fact_id").alias("entity_edges"))
+    at = F.lit("1998-06-01").cast("timestamp_ntz")
+    return workflow.retraction(lists, pairs.withColumn("invalid_at", F.col("invalid_at").cast("timestamp_ntz")), at).select("uuid", "action")
+
+
+@query("""WITH old AS (SELECT 'C' || c_custkey AS uuid, c_name AS name FROM customer), new AS (SELECT 'C' || o_custkey AS uuid, max(o_orderpriority) AS name FROM orders WHERE o_custkey % 2 = 0 GROUP BY o_custkey)
+SELECT uuid, name FROM new UNION ALL SELECT uuid, name FROM old WHERE uuid NOT IN (SELECT uuid FROM new)""")
+def restore_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("uuid"), F.col("c_name").alias("name"))
+    new = table(spark, sf_dir, "orders").where("o_custkey % 2 = 0").groupBy("o_custkey").agg(F.max("o_orderpriority").alias("name"))
+    return workflow.upsert(old, new.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("uuid"), "name"))
+
+
+@query(f"""WITH f AS ({SUPPLY_SQL}), nodes AS (SELECT 'S' || s_suppkey AS uuid FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT 'P' || p_partkey FROM part)
+SELECT CASE WHEN source_node_uuid NOT IN (SELECT uuid FROM nodes) THEN 'source' WHEN target_node_uuid NOT IN (SELECT uuid FROM nodes) THEN 'target' ELSE 'restored' END AS outcome, count(*) AS n FROM f GROUP BY 1""")
+def restore_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines restored into a graph that lacks a third of the suppliers."""
+    uuid = lambda mark, key: F.concat(F.lit(mark), F.col(key).cast("string")).alias("uuid")
+    nodes = table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(uuid("S", "s_suppkey")).union(table(spark, sf_dir, "part").select(uuid("P", "p_partkey")))
+    f = supply_facts(spark, sf_dir)
+    out, failed = review.restore({"entity_node": nodes.limit(0)}, {"entity_node": nodes, "entity_edge": f})
+    done = out["entity_edge"].select(F.lit("restored").alias("outcome"))
+    return done.union(failed.select("missing")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, sha256(lang) AS folder, CASE WHEN source = '' OR source IS NULL THEN 'no group' WHEN source NOT IN ('src0', 'src1', 'src2') THEN 'not allowed' END AS problem FROM documents")
+def group_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.metadata import target_group
+
+    d = table(spark, sf_dir, "documents").withColumn("group_id", F.col("source"))
+    return target_group(d, None, ["src0", "src1", "src2"]).select("doc_id", identity.group_folder(F.col("lang")).alias("folder"), "problem")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 1 THEN 'dimensions' WHEN p_size % 2 = 1 THEN 'model' END AS drift FROM part")
+def embedder_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.metadata import embedder_drift as drift
+
+    p = table(spark, sf_dir, "part")
+    key = F.concat(F.lit("db:"), F.col("p_partkey").cast("string")).alias("database_key")
+    old = p.select(key, F.when(F.col("p_size") % 2 == 1, "other-model").otherwise("a-model:latest").alias("model"), F.when(F.col("p_size") % 3 == 1, 384).otherwise(768).alias("dimensions"))
+    new = p.select(key, F.lit("a-model:v2").alias("model"), F.lit(768).alias("dimensions"))
+    return drift(old, new).select(F.substring("database_key", 4, 30).cast("long").alias("p_partkey"), "drift")
+
+
+@query("SELECT event_type AS domain, count_if(value >= 5) AS ingested, count_if(value < 5) AS failed, count_if(value >= 5 AND value < 10) AS without_facts FROM events GROUP BY event_type")
+def land_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = table(spark, sf_dir, "events").select(F.col("event_type").alias("domain"), F.when(F.col("value") < 5, "no answer").alias("error"), F.when(F.col("value") < 10, 0).otherwise(2).alias("edges"))
+    return workflow.land_summary(outcome)
+
+
+@query("""SELECT event_id, CASE WHEN s BETWEEN 400 AND 599 THEN s = 429 OR s >= 500 ELSE k IN ('TimeoutError', 'ConnectionError') OR d LIKE '%overloaded%' END AS retryable
+FROM (SELECT event_id, [429, 400, 503, 200, 0][event_id % 5 + 1] AS s, ['TimeoutError', 'ValueError', 'KeyError'][event_id % 3 + 1] AS k, CASE WHEN event_id % 7 = 0 THEN 'server overloaded' ELSE 'bad request' END AS d FROM events)""")
+def retryable_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.metadata import retryable
+
+    n = F.col("event_id")
+    pick = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), (n % len(values) + 1).cast("int"))
+    detail = F.when(n % 7 == 0, "Server OVERLOADED").otherwise("bad request")
+    return table(spark, sf_dir, "events").select("event_id", retryable(pick([429, 400, 503, 200, 0]), pick(["TimeoutError", "ValueError", "KeyError"]), detail).alias("retryable"))
+
+
+@query("""SELECT id, decided, row_number() OVER (ORDER BY decided DESC NULLS LAST, id) AS place FROM (SELECT doc_id AS id, CASE WHEN doc_id % 4 <> 0 THEN strftime(DATE '2024-01-01' + CAST(doc_id % 28 AS INTEGER), '%Y-%m-%d') END AS decided
+FROM documents WHERE doc_id % 5 = 0) QUALIFY place <= 25""")
+def recent_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest rejections first, those without a date last: half in the queue, half in the archive."""
+    from ..sources.records import rejected
+
+    n = F.col("doc_id")
+    at = F.when(n % 4 != 0, F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (n % 28).cast("int")), "yyyy-MM-dd"))
+    rows = table(spark, sf_dir, "documents").select(n.alias("id"), F.col("lang").alias("domain"), F.col("text"), F.lit(None).cast("array<string>").alias("facts"), F.when(n % 5 == 0, "rejected").otherwise("pending").alias("status"), at.alias("decided_at"))
+    best = rejected(rows.where("id % 2 = 0"), rows.where("id % 2 = 1")).limit(25)
+    return best.select("id", F.col("decided_at").alias("decided"), F.row_number().over(Window.orderBy(F.desc(F.coalesce("decided_at", F.lit(""))), "id")).alias("place"))
+
+
+@query(f"""WITH RECURSIVE d AS ({ENTITY_SQL}), e AS (SELECT uuid, name AS body FROM d), {_bm25_sql('e', 'red widget', 'uuid')}, f AS ({SUPPLY_SQL}),
+b AS (SELECT source_node_uuid AS a, target_node_uuid AS b FROM f UNION SELECT target_node_uuid, source_node_uuid FROM f),
+walk(uuid, distance) AS (SELECT 'S1', 0 UNION SELECT b.b, distance + 1 FROM walk JOIN b ON b.a = walk.uuid WHERE distance < 2),
+near AS (SELECT uuid, min(distance) AS distance FROM walk GROUP BY uuid), cand AS (SELECT uuid, score FROM scored ORDER BY score DESC, uuid LIMIT 60)
+SELECT uuid, coalesce(distance, 3) AS distance, row_number() OVER (ORDER BY coalesce(distance, 3), score DESC, uuid) AS rank FROM cand LEFT JOIN near USING (uuid) QUALIFY rank <= 20""")
+def node_search_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes found by words, those nearest to a centre first."""
+    found = search.top(search.bm25(entities(spark, sf_dir), "uuid", F.col("name"), "red widget"), 60, "uuid").select("uuid", "score")
+    near = found.join(search.node_distance(supply_facts(spark, sf_dir), "S1", 2), "uuid", "left").withColumn("distance", F.coalesce("distance", F.lit(3)))
+    by = ("distance", F.desc("score"), "uuid")
+    return near.orderBy(*by).limit(20).select("uuid", "distance", F.row_number().over(Window.orderBy(*by)).alias("rank"))
+
+
+@query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windowed counts from a stream of the events that ends when it has read them."""
+    import uuid
+
+    from ..streaming.ingest import event_counts
+
+    schema = table(spark, sf_dir, "events").schema
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/chronoloom-stream-{uuid.uuid4().hex}"
+    counts = event_counts(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir), delay="366 days")
+
+    def land(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    counts.writeStream.outputMode("complete").foreachBatch(land).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
