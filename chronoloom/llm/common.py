@@ -6,11 +6,12 @@ the same words as a scan of code points.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
-import pathlib
+import gc
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -56,24 +59,31 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a context: their Python need not have it installed."""
-    sc = spark.sparkContext
-    if getattr(sc, "_chronoloom_shipped", False):
-        return
-    root = pathlib.Path(__file__).parents[1]
-    at = pathlib.Path(tempfile.mkdtemp(prefix="chronoloom-code-")) / "chronoloom_code.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(at))
-    sc._chronoloom_shipped = True
-
-
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow, with this package at hand on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def lean(batches):
+        yield from run(batches)
+        release_memory()
+
+    return df.mapInArrow(lean, schema)
+
+
+def shielded(docs: DataFrame, *used: str):
+    """(docs with all columns but the used ones under names of our own, a function that gives them their names back): a
+    stage's own columns then cannot clash with those that only pass through."""
+    own = {c: c if c in used else f"_passed{i}" for i, c in enumerate(docs.columns)}
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in own}
+    return docs.select(*[quoted[c].alias(name) for c, name in own.items()]), lambda df: df.select(*[F.col(name).alias(c) for c, name in own.items()])
+
+
+def release_memory() -> None:
+    """Give what a finished task no longer uses back to the system: Python workers live on, beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def crc_mod(id_col: str, n: int) -> Column:

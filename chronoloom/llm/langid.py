@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, map_arrow, segments, slices, sum_by, table
+from .common import crc_mod, map_arrow, segments, shielded, slices, sum_by, table
 
 BUCKETS, ORDERS, SMOOTHING, MAX_LANGS, EVIDENCE = 1 << 14, (1, 2, 3), 0.5, 512, 60.0
 UNDETERMINED = "und"
-SLICE = 1 << 20
+SLICE = 1 << 19
 _MULTIPLIERS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35))
 
 
@@ -144,4 +144,5 @@ def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """docs whose language is recognised: those without a letter go, and those whose best language is not likelier than
     all others together."""
     model = fit(docs.where(~held_out()).select("text", "lang"))
-    return predict(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= 0.5)).select(*docs.columns)
+    docs, restored = shielded(docs, "text")
+    return restored(predict(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= 0.5)))

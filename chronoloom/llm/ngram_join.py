@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_partitions, map_arrow, materialise, mix, ragged, segments, ship, slices, table, text_bytes, word_hashes, word_spans
+from .common import input_partitions, map_arrow, materialise, mix, ragged, release_memory, segments, ship, slices, table, text_bytes, word_hashes, word_spans
 from .components import connected, local_roots
 
 SHINGLE, PERCENT = 4, 85
@@ -142,6 +142,7 @@ def frequent_buckets(docs: DataFrame, k: int, ranges: int) -> tuple[np.ndarray,
         at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
         n = np.diff(np.append(at, len(b)))
         often = n >= HOT_LEAST
+        release_memory()
         return pd.DataFrame({"bucket": b[at][often].astype(np.int64), "n": n[often]})
 
     runs = map_arrow(docs.select("text"), count, "range int, run binary")
@@ -248,6 +249,7 @@ def shared_lists(reps: DataFrame, ranges: int, percent: int) -> DataFrame:
         some = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
         some = some[np.lexsort((size[some], keys[some]))]
         some = some[worth_keeping(keys[some], size[some], place[some], percent)] if len(some) else some
+        release_memory()
         return pd.DataFrame({"list": keys[some].view(np.int64), "doc_id": docs[some]})
 
     runs = map_arrow(reps.select("doc_id", "n", "prefix", "posted"), post, "range int, keys binary, docs binary, sizes binary, places binary")

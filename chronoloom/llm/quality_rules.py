@@ -19,7 +19,8 @@ Strata are the ``MAX_STRATA`` languages with most labelled good documents, every
 pooled stratum; so the table of cutoffs has at most ``MAX_STRATA`` + 1 rows, and only this table is broadcast.
 
 Defined results. A null or empty text has no words, and so fails the base rules. Labels of a repeated doc_id count once,
-at their lowest quality. A document without an id has no label. Only the named columns are read.
+at their lowest quality. A document without an id has no label. Columns named as the
+measures are replaced in with_measures; a stage passes all columns through.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, shielded, table
 
 RISK, ERROR, MAX_STRATA, POOLED = 0.05, 0.05, 64, "(other)"
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
@@ -51,6 +52,7 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     One pass over the text. A 5-word window is known by a 64-bit hash within its document; positions are looked at only
     in documents where two windows agree."""
     t = F.coalesce(F.col(text_col), F.lit(""))
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "reject_level", "_row")
     inner = ("_words", "_lines", "_windows", "_sorted", "_length", "_upper", "_exclaim", "_rules")
     d = docs.select(
         "*",
@@ -178,11 +180,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the rules reject, in the columns of docs. The text is measured once for the cutoffs and
     once more where the verdict is passed, instead of being shuffled to meet its verdict."""
-    columns = docs.columns
+    docs, restored = shielded(docs, "doc_id", "text", "lang")
     small = with_measures(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", "base_failed", "reject_level")
     small = materialise(small, "quality-measures")
     cuts = materialise(cutoffs(labelled_good(small, table(spark, sf_dir, "labels"))), "quality-cutoffs")
-    return with_verdict(with_measures(docs), cuts).where("kept").select(*columns)
+    return restored(with_verdict(with_measures(docs), cuts).where("kept"))
 
 
 def _oracle() -> str:

@@ -25,6 +25,7 @@ character map, or that removes spaces) are an error. Only the id and text column
 
 from __future__ import annotations
 
+import array
 import functools
 import itertools
 import math
@@ -40,7 +41,7 @@ from .common import map_arrow, ragged, segments, slices, table
 
 MARK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
-SLICE, KEPT, LONG_SEGMENT, MEMO = 8 << 20, 400_000, 48, 1_000_000
+SLICE, KEPT, LONG_SEGMENT, MEMO = 2 << 20, 200_000, 48, 200_000
 
 
 class Transducer:
@@ -111,6 +112,10 @@ class Transducer:
             got = self._allowed[key] = self.merged(first + second) == [first, second]
         return got
 
+    def forget(self) -> None:
+        """Let go of what was found out about pairs of pieces; a worker may go on to other tasks."""
+        self._allowed.clear()
+
     def shortest(self, segment: str) -> list[str]:
         """Pieces, and characters that are none, along the shortest path."""
         n = len(segment)
@@ -177,12 +182,12 @@ def transducer(path: str) -> Transducer:
 
 
 class Encoder:
-    """Encodes batches; keeps the ids of segments seen."""
+    """Encodes batches; keeps the ids (as bytes of 32-bit integers) of segments seen."""
 
     def __init__(self, fst: Transducer):
         self.fst, self.known = fst, {}
 
-    def segment_ids(self, segment: str) -> list[int]:
+    def segment_ids(self, segment: str) -> bytes:
         got = self.known.get(segment)
         if got is None:
             if self.fst.splits_after_letters and not segment[-1].isalpha():
@@ -191,7 +196,7 @@ class Encoder:
                     n -= 1
                 if n:  # no piece goes on after letters: a word and what follows it are segments of their own
                     return self.segment_ids(segment[:n]) + self.segment_ids(segment[n:])
-            got = self.fst.encode_segment(segment)
+            got = array.array("i", self.fst.encode_segment(segment)).tobytes()
             if len(segment) <= LONG_SEGMENT:
                 if len(self.known) >= KEPT:
                     for old in list(itertools.islice(self.known, KEPT // 2)):  # the half that came first
@@ -226,9 +231,9 @@ class Encoder:
         return self._gather(texts, np.arange(len(texts)), np.arange(len(texts) + 1))
 
     def _gather(self, distinct: list[str], which: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids = [self.segment_ids(s) if s else [] for s in distinct]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum()))
+        ids = [self.segment_ids(s) if s else b"" for s in distinct]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.int32)
         own = lengths[which]
         return flat[ragged(segments(lengths)[:-1][which], own)], segments(own)[at]
 
@@ -261,6 +266,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id"
                 if ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(own)))
                 yield pa.record_batch(columns, names=["doc_id", "n_tokens", "ids_crc32", "decoded_bytes", "round_trip", "ids"][: len(columns)])
+        encoder.fst.forget()
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
