@@ -41,7 +41,7 @@ from .common import map_arrow, ragged, segments, slices, table
 
 MARK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
-SLICE, KEPT, LONG_SEGMENT, MEMO = 2 << 20, 200_000, 48, 200_000
+SLICE, KEPT, LONG_SEGMENT, MEMO = 2 << 20, 300_000, 48, 300_000
 
 
 class Transducer:
@@ -71,7 +71,8 @@ class Transducer:
         self.splits_after_letters = not any(a.isalpha() and not b.isalpha() for p in self.ids for a, b in itertools.pairwise(p))
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece spans a space")
-        self._allowed: dict[tuple[str, str], bool] = {}
+        self._arcs: dict[str | None, dict[str, bool]] = {}
+        self._kept = 0
 
     @functools.cache  # noqa: B019  one for each model
     def surfaces(self) -> pa.Array:
@@ -102,65 +103,80 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def allowed(self, first: str, second: str) -> bool:
-        """Whether the BPE grammar has an arc from one piece to the next."""
-        key = (first, second)
-        got = self._allowed.get(key)
-        if got is None:
-            if len(self._allowed) >= MEMO:
-                self._allowed.clear()
-            got = self._allowed[key] = self.merged(first + second) == [first, second]
-        return got
+    def _arc(self, before: str | None, piece: str, known: dict[str, bool]) -> bool:
+        """Whether the BPE grammar has an arc from one piece (None: the start) to the next; kept in known."""
+        self._kept += 1
+        ok = known[piece] = self.merged(piece) == [piece] if before is None else self.merged(before + piece) == [before, piece]
+        return ok
 
     def forget(self) -> None:
         """Let go of what was found out about pairs of pieces; a worker may go on to other tasks."""
-        self._allowed.clear()
+        self._arcs.clear()
+        self._kept = 0
 
     def shortest(self, segment: str) -> list[str]:
         """Pieces, and characters that are none, along the shortest path."""
-        n = len(segment)
-        trie, unigram, score = self.trie, self.unigram, self.score
-        weight: list[float] = [0.0] + [math.inf] * n
+        last = self._by_weight(segment) if self.unigram else self._by_grammar(segment)
+        out, at = [], len(segment)
+        while at:
+            piece = last[at]
+            out.append(piece)
+            at -= len(piece)
+        return out[::-1]
+
+    def _by_grammar(self, segment: str) -> list[str | None]:
+        """The last piece of the one path of weight zero to every position."""
+        if self._kept >= MEMO:
+            self.forget()
+        n, trie, arcs = len(segment), self.trie, self._arcs
         last: list[str | None] = [None] * (n + 1)
-        allowed = self._allowed
         for i in range(n):
-            so_far = weight[i]
-            if so_far == math.inf:
-                continue
             before = last[i]
-            node, j = trie, i
-            single = False
-            while j < n:
+            if before is None and i:
+                continue
+            known = arcs.get(before)
+            if known is None:
+                known = arcs[before] = {}
+            node, single = trie, False
+            for j in range(i, n):
                 node = node.get(segment[j])
                 if node is None:
                     break
-                j += 1
                 piece = node.get("")
-                if piece is None:
-                    continue
-                single = single or j == i + 1
-                if unigram:
-                    w = so_far - score[piece]
-                    if w < weight[j]:
-                        weight[j], last[j] = w, piece
-                elif last[j] is None and (before is None or (allowed.get((before, piece)) if (before, piece) in allowed else self.allowed(before, piece))) and (before is not None or j == i + 1 or self.merged_alone(piece)):
-                    weight[j], last[j] = 0.0, piece
-            if not single:
+                if piece is not None:
+                    if j == i:
+                        single = True
+                    if last[j + 1] is None:
+                        ok = known.get(piece)
+                        if ok or (ok is None and self._arc(before, piece, known)):
+                            last[j + 1] = piece
+            if not single and last[i + 1] is None:
                 c = segment[i]
-                w = so_far + self.unknown_weight if unigram else 0.0
-                if w < weight[i + 1] if unigram else last[i + 1] is None and (before is None or self.allowed(before, c)):
-                    weight[i + 1], last[i + 1] = w, c
-        out, at = [], n
-        while at:
-            piece = last[at]
-            out.append(piece)
-            at -= len(piece)
-        return out[::-1]
-
-    @functools.cache  # noqa: B019  at most one entry a piece
-    def merged_alone(self, piece: str) -> bool:
-        """Whether the merges build the piece at all; the start state's arcs."""
-        return self.merged(piece) == [piece]
+                ok = known.get(c)
+                if ok or (ok is None and self._arc(before, c, known)):
+                    last[i + 1] = c
+        return last
+
+    def _by_weight(self, segment: str) -> list[str | None]:
+        """The last piece of the lightest path to every position."""
+        n, score = len(segment), self.score
+        weight: list[float] = [0.0] + [math.inf] * n
+        last: list[str | None] = [None] * (n + 1)
+        for i in range(n):
+            node, single = self.trie, False
+            for j in range(i, n):
+                node = node.get(segment[j])
+                if node is None:
+                    break
+                piece = node.get("")
+                if piece is not None:
+                    single = single or j == i
+                    w = weight[i] - score[piece]
+                    if w < weight[j + 1]:
+                        weight[j + 1], last[j + 1] = w, piece
+            if not single and weight[i] + self.unknown_weight < weight[i + 1]:
+                weight[i + 1], last[i + 1] = weight[i] + self.unknown_weight, segment[i]
+        return last
 
     def encode_segment(self, segment: str) -> list[int]:
         ids: list[int] = []
