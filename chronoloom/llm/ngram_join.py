@@ -10,17 +10,23 @@ merge range by range; the ``HOT`` most frequent buckets (a table of fixed size)
 that frequency and hash. Two sets with the required overlap share one of the first n - T + 1 shingles of each, T being
 the overlap that n requires at least; these are posted, rare ones first, so that what is common to many documents is posted only by
 those that consist of little else. (3) Postings are packed, merged range by range, and end there if no other of their
-list is in reach by size (in a list of two, also by the shingle's places in the two orders). A list of a shingle that more than ``BLOCK`` documents have is dealt out to blocks by document, and pairs of blocks meet.
+list is in reach by size (in a list of two, also by the shingle's places in the two orders). A shingle that more than
+``BLOCK`` documents have is no list: it is a node of its own, which the documents that post it are connected with.
 (4) Within a list, a pair is dropped if sizes alone exclude the overlap, or a parity bitmap does: the bitmaps of two sets
 differ in no more bits than the sets in shingles. The bitmap grows with the set. What is left is close to the links; it
 is not emitted in pairs, but as the components that a list's pairs make (a document and the smallest one connected).
 
 *T-occurrence search.* The components of these candidates are groups: documents of different groups cannot link. Texts of
-documents in groups meet, and within a group (many small ones at a time; a group of more than ``BLOCK`` documents in pairs of
-blocks) the exact join is DivideSkip (Li, Lu, Lu 2008): of a document's inverted lists, the L longest are set aside; the others are
+documents in groups meet, and within a group (many small ones at a time) the exact join is DivideSkip (Li, Lu, Lu 2008): of a document's inverted lists, the L longest are set aside; the others are
 heap-merged, and documents on at least T - L of them are probed for in the long lists by binary search, keeping those that
 reach the overlap that both sizes require. Links again leave a task as the components they make.
 
+*Large groups* (more than ``BLOCK`` documents) are dealt out to blocks, each with the same few ``PIVOTS`` of the group, and
+joined block by block; copies of one text come together through the pivots. What is still apart is joined once more:
+the documents of small components, in pooled blocks, with every block of the group, and large components with each
+other. Two documents already connected are never compared again, so a group of near copies costs in
+proportion to its size, and only what does not connect is compared block by block.
+
 Shared folder tables cut the lineage between steps. The driver sees only the table of frequent buckets.
 
 Defined results. A null or empty text, or one without words, has no shingles, links with nothing and is its own component.
@@ -37,14 +43,14 @@ import itertools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import input_partitions, map_arrow, materialise, mix, ragged, release_memory, segments, ship, slices, table, text_bytes, word_hashes, word_spans
 from .components import connected, local_roots
 
 SHINGLE, PERCENT = 4, 85
-HOT, HOT_LEAST, BLOCK, SLICE, CHUNK, SALTS = 1 << 18, 16, 4096, 1 << 20, 2048, 16
+HOT, HOT_LEAST, BLOCK, PIVOTS, SLICE, CHUNK, SALTS = 1 << 18, 16, 4096, 8, 1 << 20, 2048, 16
 BITMAPS = ((600, 512), (2400, 2048), (9600, 8192), (1 << 62, 32768))  # up to so many shingles, so many bits
 PAIRS, MERGE_BY_HEAP, SKIP_MU = 1 << 19, 2048, 0.0085
 _TERMS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -150,9 +156,9 @@ def frequent_buckets(docs: DataFrame, k: int, ranges: int) -> tuple[np.ndarray,
     return hot["bucket"].to_numpy(np.uint32), hot["n"].to_numpy(np.int64)
 
 
-def describe(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
-    """(doc_id, n, sig, prefix, posted, bits): of every document its set's size and digest, the posted shingles (and then,
-    if one is frequent, their frequencies), their number, and the bitmap."""
+def describe(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, percent: int, block: int) -> DataFrame:
+    """(doc_id, n, sig, prefix, posted, hubs, bits): of every document its set's size and digest, the posted shingles and
+    their number, the nodes of those that more than ``block`` documents have, and the bitmap."""
     held = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
@@ -165,40 +171,26 @@ def describe(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, percen
                 freq = np.where(buckets[seat] == b, counts[seat], 0) if len(buckets) else np.zeros(len(own), np.int64)
                 often = np.concatenate([[0], np.cumsum(freq > 0)])
                 n = np.diff(at)
-                posted = n - overlap_least(n, percent) + 1
-                sig, prefix, bits = [], [], []
-                for i, (a, z) in enumerate(itertools.pairwise(at.tolist())):
-                    if a == z:
-                        sig.append(None), prefix.append(None), bits.append(None)
-                        continue
-                    s, p = own[a:z], int(posted[i])
-                    sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    bits.append(bitmap(s))
-                    if often[z] > often[a]:
+                ends = n - overlap_least(n, percent) + 1
+                sig, prefix, posted, hubs, bits = [], [], [], [], []
+                for (a, z), p in zip(itertools.pairwise(at.tolist()), ends.tolist(), strict=True):
+                    s, hub = own[a:z], None
+                    if often[z] > often[a]:  # the rare ones first, each kind by hash
                         order = np.argsort(freq[a:z], kind="stable")[:p]
-                        prefix.append(np.concatenate([s[order], freq[a:z][order].astype(np.uint64)]).tobytes())
+                        shared = freq[a:z][order] > block
+                        s, hub = s[order[~shared]], (s[order[shared]] | np.uint64(1 << 63)).view(np.int64).tolist()
                     else:
-                        prefix.append(s[:p].tobytes())
-                yield pa.record_batch([part.column("doc_id"), pa.array(n), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary()), pa.array([p if s else 0 for p, s in zip(posted.tolist(), sig, strict=True)], pa.int32()), pa.array(bits, pa.binary())], names=["doc_id", "n", "sig", "prefix", "posted", "bits"])
-
-    return map_arrow(docs, run, "doc_id long, n long, sig binary, prefix binary, posted int, bits binary")
-
+                        s = s[:p]
+                    full = z > a
+                    sig.append(hashlib.blake2b(own[a:z].tobytes(), digest_size=16).digest() if full else None)
+                    prefix.append(s.tobytes() if full else None)
+                    posted.append(len(s) if full else 0)
+                    hubs.append(hub or None)
+                    bits.append(bitmap(own[a:z]) if full else None)
+                columns = [part.column("doc_id"), pa.array(n), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary()), pa.array(posted, pa.int32()), pa.array(hubs, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+                yield pa.record_batch(columns, names=["doc_id", "n", "sig", "prefix", "posted", "hubs", "bits"])
 
-def list_keys(shingle: np.ndarray, freq: np.ndarray, doc: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """(list, posting) of postings: a shingle is one list, or one for each pair of blocks of documents where more than
-    ``block`` documents have it."""
-    blocks = np.maximum(1, -(-freq // block))
-    one = blocks == 1
-    keys, rows = [shingle[one]], [np.flatnonzero(one)]
-    s, nb, d, own = shingle[~one], blocks[~one], doc[~one], np.flatnonzero(~one)
-    mine = (mix(d.astype(np.uint64)) % nb.astype(np.uint64)).astype(np.int64) if len(d) else d
-    other = np.arange(int(nb.sum())) - np.repeat(segments(nb)[:-1], nb)
-    s, own, mine = np.repeat(s, nb), np.repeat(own, nb), np.repeat(mine, nb)
-    two = other != mine
-    lo, hi = np.minimum(mine, other)[two].astype(np.uint64), np.maximum(mine, other)[two].astype(np.uint64)
-    keys.append(mix(s[two] + lo * _TERMS[0] + hi * _TERMS[1] + np.uint64(1)))
-    rows.append(own[two])
-    return np.concatenate(keys), np.concatenate(rows)
+    return map_arrow(docs, run, "doc_id long, n long, sig binary, prefix binary, posted int, hubs array<long>, bits binary")
 
 
 def worth_keeping(key: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -224,15 +216,9 @@ def shared_lists(reps: DataFrame, ranges: int, percent: int) -> DataFrame:
             doc_ids, n, posted = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "posted"))
             if not len(posted):
                 continue
-            shingle, freq = [], []
-            for data, p in zip(batch.column("prefix").to_pylist(), posted.tolist(), strict=True):
-                x = np.frombuffer(data, np.uint64)
-                shingle.append(x[:p])
-                freq.append(x[p:] if len(x) > p else np.zeros(p, np.uint64))
+            keys = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.uint64)
             doc = np.repeat(np.arange(len(posted)), posted)
-            keys, rows = list_keys(np.concatenate(shingle), np.concatenate(freq).astype(np.int64), doc_ids[doc])
-            place = (np.arange(len(doc)) - segments(posted)[:-1][doc])[rows]
-            doc = doc[rows]
+            place = np.arange(len(doc)) - segments(posted)[:-1][doc]
             order = np.argsort(keys, kind="stable")
             keys, doc, place = keys[order], doc[order], place[order]
             cuts = np.searchsorted(keys, np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64))
@@ -427,13 +413,50 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the join
 
 
+def group_links(texts: DataFrame, groups: DataFrame, parts: int, k: int, percent: int, block: int) -> DataFrame:
+    """texts (doc_id, packed text) and groups (node, component) -> (node, component) of the links within groups."""
+    large = groups.groupBy("component").count().where(F.col("count") > block).select("component", F.ceil(F.col("count") / block).cast("int").alias("nb"))
+    large = materialise(large, "ngram-large")
+    dealt = groups.join(large, "component", "left")
+    small = dealt.where("nb IS NULL").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"))
+    if large.isEmpty():
+        return connected(true_edges(texts.join(small, "doc_id"), parts, k, percent))
+
+    big = materialise(dealt.where("nb IS NOT NULL"), "ngram-dealt")
+    own = big.select("node", F.xxhash64("component", F.pmod(F.xxhash64("node"), "nb")).alias("grp"))
+    first = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("node", F.lit(1)), "node"))
+    pivots = big.withColumn("n", first).where(F.col("n") <= PIVOTS).select("node", "component", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).alias("b"))
+    once = own.union(pivots.select("node", F.xxhash64("component", "b"))).distinct().withColumnRenamed("node", "doc_id")
+    inside = materialise(true_edges(texts.join(small.union(once), "doc_id"), parts, k, percent), "ngram-links")
+    so_far = connected(inside).withColumnRenamed("component", "label")
+
+    # Blocks again, now by what is connected: large components have blocks of their own, small ones share blocks.
+    labelled = materialise(big.join(so_far, "node", "left").select("node", "component", F.coalesce("label", "node").alias("label")), "ngram-labels")
+    counts = labelled.groupBy("component", "label").count()
+    pool = counts.where(F.col("count") <= block // 2).groupBy("component").agg(F.ceil(F.sum("count") / block).cast("int").alias("pb"))
+    seated = labelled.join(counts, ["component", "label"]).join(pool, "component", "left")
+    pooled = F.col("count") <= block // 2
+    seat = F.when(pooled, F.xxhash64("component", F.pmod(F.xxhash64("label"), "pb"))).otherwise(F.xxhash64("component", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / block))))
+    seated = materialise(seated.select("node", "component", F.when(~pooled, F.col("label")).alias("label"), seat.alias("seat")), "ngram-seats")
+    seats = materialise(seated.select("component", "label", "seat").distinct(), "ngram-blocks")
+    shared, whole = seats.where("label IS NULL").select("component", F.col("seat").alias("x")), seats.where("label IS NOT NULL")
+    pairs = shared.join(seats.select("component", F.col("seat").alias("y")), "component").select("component", "x", "y")
+    names = whole.select("component", "label").distinct()
+    two = names.join(names.select("component", F.col("label").alias("other")), "component").where("label < other")
+    pairs = pairs.union(two.join(whole, ["component", "label"]).withColumnRenamed("seat", "x").join(whole.select("component", F.col("label").alias("other"), F.col("seat").alias("y")), ["component", "other"]).select("component", "x", "y"))
+    pairs = pairs.select(F.explode(F.array("x", "y")).alias("seat"), F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("grp")).distinct()
+    again = seated.select(F.col("node").alias("doc_id"), "seat").join(pairs, "seat").select("doc_id", "grp")
+    return connected(inside.union(true_edges(texts.join(again, "doc_id"), parts, k, percent)))
+
+
 def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranges = max(8, input_partitions(docs))
+    block = BLOCK
     hot = frequent_buckets(docs, k, ranges)
-    described = materialise(describe(docs, hot, k, percent), "ngram-docs")
+    described = materialise(describe(docs, hot, k, percent, block), "ngram-docs")
     small = described.select("doc_id", "n", "sig")
     classes = materialise(small.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "ngram-classes")
     chosen = classes.select(F.col("sig"), F.col("rep").alias("doc_id"))
@@ -441,16 +464,10 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = described.join(chosen, ["sig", "doc_id"], "left_semi")
     lists = materialise(shared_lists(reps, ranges, percent), "ngram-lists")
     sizes = described.select("doc_id", "n", "bits", "sig").join(chosen, ["sig", "doc_id"], "left_semi").drop("sig")
-    groups = connected(candidate_edges(lists.join(sizes, "doc_id"), percent))
+    hubs = described.where("hubs IS NOT NULL").join(chosen, ["sig", "doc_id"], "left_semi").select(F.col("doc_id").alias("a"), F.explode("hubs").alias("b"))
+    groups = connected(candidate_edges(lists.join(sizes, "doc_id"), percent).union(hubs))
 
-    # Groups of more than BLOCK documents meet in pairs of blocks.
-    large = groups.groupBy("component").count().where(F.col("count") > BLOCK).select("component", F.ceil(F.col("count") / BLOCK).cast("int").alias("nb"))
-    dealt = groups.join(large, "component", "left").withColumn("mine", F.pmod(F.xxhash64("node"), F.coalesce("nb", F.lit(1))).cast("int"))
-    other = F.explode(F.when(F.col("nb").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: x != F.col("mine"))))
-    dealt = dealt.select("node", "component", "nb", "mine", other.alias("other"))
-    key = F.when(F.col("nb").isNull(), F.col("component")).otherwise(F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")))
-    dealt = dealt.select(F.col("node").alias("doc_id"), key.alias("grp"))
-    links = connected(true_edges(packed_texts(docs).join(dealt, "doc_id"), ranges, k, percent))
+    links = group_links(packed_texts(docs), groups, ranges, k, percent, block)
 
     # Back to all documents, by digest; copies are dealt out over salts.
     salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
@@ -467,8 +484,6 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedupe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one document of each component, the one with the smallest id (one row of it); rows without an id stay."""
-    from pyspark.sql import Window
-
     kept = join_components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
     one = docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("_n = 1").drop("_n")
     return one.select(*docs.columns).union(docs.where("doc_id IS NULL"))

@@ -257,12 +257,13 @@ def test_join_equals_brute_force(spark, sf_dir):
     assert joined(spark, docs) == brute_components(docs)
 
 
-def test_join_in_blocks(spark, monkeypatch):
-    """Lists and groups of more than BLOCK documents meet in pairs of blocks."""
+@pytest.mark.parametrize("block", [4, 9, 30])
+def test_join_of_large_groups(spark, monkeypatch, block):
+    """Frequent shingles as nodes, and groups of more than BLOCK documents in blocks."""
     monkeypatch.setattr(ngram_join, "HOT_LEAST", 3)
-    monkeypatch.setattr(ngram_join, "BLOCK", 8)
-    monkeypatch.setattr(ngram_join.list_keys, "__defaults__", (8,))
-    docs = near_copies(2, 12, 40)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    docs = near_copies(2, 12, 60)
     assert joined(spark, docs) == brute_components(docs)
 
 
