@@ -65,15 +65,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): exact nearest of a question's vectors, at most MAX_QUERIES of them (more are an
-    error: search them through an index). The vectors are literals of the plan, each row is scored against them where it
+    error: search them through an index). The vectors are one value of a scalar subquery, each row is scored against them where it
     is read, and group limits keep k rows a query and task before the shuffle."""
     asked = queries.select(id_col, vector_col).limit(MAX_QUERIES + 1).collect()
     if len(asked) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} query vectors")
     spark = vectors.sparkSession
     schema = f"query_id {dict(vectors.dtypes)[id_col]}, q {dict(vectors.dtypes)[vector_col]}"
-    small = F.broadcast(spark.createDataFrame([(r[0], r[1]) for r in asked], schema).groupBy().agg(F.collect_list(F.struct("query_id", "q")).alias("asked")))
-    scored = vectors.join(small).select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v"), F.explode("asked").alias("a")) if asked else vectors.limit(0).select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v"), F.lit(None).cast(f"struct<query_id:bigint,q:{dict(vectors.dtypes)[vector_col]}>").alias("a"))
+    held = spark.createDataFrame([(r[0], r[1]) for r in asked], schema).agg(F.collect_list(F.struct("query_id", "q")))
+    scored = vectors.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v"), F.explode(held.scalar()).alias("a"))
     scored = scored.where(F.col("_id") != F.col("a.query_id")).select(F.col("a.query_id").alias("query_id"), "_id", F.round(cosine(F.col("_v"), F.col("a.q")), 6).alias("score")).where("score IS NOT NULL")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("_id", id_col)

@@ -141,7 +141,7 @@ def export_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT name, count(*) AS count, sum(count(*)) OVER () AS duplicates FROM k WHERE name <> '' GROUP BY name HAVING count(*) > 1""")
 def duplicate_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reads.duplicate_entities(entities(spark, sf_dir), members=False)
-    return found.join(F.broadcast(reads.total_members(found))).select("name", "count", "duplicates")  # one row
+    return found.select("name", "count", reads.total_members(found).scalar().alias("duplicates"))
 
 
 @query(f"""WITH f AS ({SUPPLY_SQL}), k AS (SELECT *, trim(regexp_replace(lower(fact), '[^0-9a-z]+', ' ', 'g')) AS key FROM f)
@@ -583,12 +583,14 @@ def node_search_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windowed counts from a stream of the events that ends when it has read them."""
+    import tempfile
     import uuid
 
     from ..streaming.ingest import event_counts
 
     schema = table(spark, sf_dir, "events").schema
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/chronoloom-stream-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()  # a folder of our own only where none is shared
+    base = f"{shared.rstrip('/')}/chronoloom-stream-{uuid.uuid4().hex}"
     counts = event_counts(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir), delay="366 days")
 
     def land(batch: DataFrame, number: int) -> None:
