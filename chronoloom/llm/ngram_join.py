@@ -43,6 +43,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +51,9 @@ from .common import input_partitions, map_arrow, materialise, mix, ragged, relea
 from .components import connected, local_roots
 
 SHINGLE, PERCENT = 4, 85
-HOT, HOT_LEAST, BLOCK, PIVOTS, SLICE, CHUNK, SALTS = 1 << 18, 16, 4096, 8, 1 << 20, 2048, 16
+HOT, HOT_LEAST, BLOCK, PIVOTS, SLICE, CHUNK, SALTS = 1 << 18, 16, 4096, 8, 1 << 20, 1 << 20, 16
 BITMAPS = ((600, 512), (2400, 2048), (9600, 8192), (1 << 62, 32768))  # up to so many shingles, so many bits
-PAIRS, MERGE_BY_HEAP, SKIP_MU = 1 << 19, 2048, 0.0085
+PAIRS, MERGE_BY_HEAP, SKIP_MU = 1 << 18, 2048, 0.0085
 _TERMS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -135,7 +136,7 @@ def frequent_buckets(docs: DataFrame, k: int, ranges: int) -> tuple[np.ndarray,
 
     def count(batches):
         for batch in batches:
-            for part in slices(batch, "text", 8 * SLICE):
+            for part in slices(batch, "text", 4 * SLICE):
                 b = np.concatenate([(shingle_sets(p.column("text"), k)[0] >> np.uint64(32)).astype(np.uint32) for p in slices(part, "text", SLICE)])
                 b.sort()
                 cuts = np.searchsorted(b, (np.arange(1, ranges) << 32) // ranges)
@@ -280,24 +281,29 @@ def possible_pairs(size: np.ndarray, maps: list[bytes], at: np.ndarray, percent:
         a = z
 
 
-def runs_of(batches, key: str, least: int):
-    """Record batches sorted by key, as tables of at least ``least`` rows that end where a key ends."""
-    held: list[pa.RecordBatch] = []
-    n = 0
-    for batch in batches:
-        if not batch.num_rows:
+def runs_of(batches, key: str, most: int, weight=None):
+    """Record batches sorted by key, as tables that end where a key ends and weigh about ``most`` (a heavier key is a table of
+    its own). weight: of every row of a table; one by default."""
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
             continue
-        held.append(batch)
-        n += batch.num_rows
-        if n >= least:
-            whole = pa.Table.from_batches(held)
-            keys = whole.column(key).to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1], side="left"))
-            if cut:
-                yield whole.slice(0, cut)
-                held, n = whole.slice(cut).to_batches(), whole.num_rows - cut
-    if n:
-        yield pa.Table.from_batches(held)
+        parts = [x for x in (held, pa.Table.from_batches([batch]) if batch is not None else None) if x is not None]
+        if not parts:
+            return
+        whole = pa.concat_tables(parts)
+        keys = whole.column(key).to_numpy()
+        ends = np.flatnonzero(keys[1:] != keys[:-1]) + 1  # of keys that are complete
+        if batch is None:
+            ends = np.append(ends, len(keys))
+        upto = np.concatenate([[0], np.cumsum(weight(whole) if weight else np.ones(len(keys), np.int64))])
+        at = 0
+        while len(left := ends[ends > at]) and (batch is None or upto[left[-1]] - upto[at] >= most):
+            fit = left[upto[left] - upto[at] <= most]
+            to = int(fit[-1] if len(fit) else left[0])
+            yield whole.slice(at, to - at)
+            at = to
+        held = whole.slice(at) if at < len(keys) else None
 
 
 def _stars(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch | None:
@@ -383,7 +389,7 @@ def true_edges(grouped: DataFrame, parts: int, k: int, percent: int) -> DataFram
     import zstandard
 
     def run(batches):
-        for t in runs_of(batches, "grp", CHUNK):
+        for t in runs_of(batches, "grp", CHUNK, lambda t: pc.binary_length(t.column("text")).to_numpy().astype(np.int64) + 200):
             doc = t.column("doc_id").to_numpy()
             open_ = zstandard.ZstdDecompressor().decompress
             texts = pa.array([open_(x).decode() for x in t.column("text").to_pylist()], pa.large_string())

@@ -291,6 +291,17 @@ def test_possible_pairs_lose_none():
     assert len(kept) < every / 5
 
 
+@pytest.mark.parametrize("most", [1, 5, 1000])
+def test_runs_end_where_keys_end(most):
+    rng = random.Random(most)
+    keys = sorted(rng.choices(range(40), k=200)) + [99] * 30
+    batches = [pa.record_batch([pa.array(keys[a : a + 17], pa.int64())], names=["k"]) for a in range(0, len(keys), 17)]
+    got = [t.column("k").to_pylist() for t in ngram_join.runs_of(batches, "k", most)]
+    assert list(itertools.chain(*got)) == keys and all(len(x) <= most or len(set(x)) == 1 for x in got)
+    assert all(a[-1] != b[0] for a, b in itertools.pairwise(got))
+    assert list(ngram_join.runs_of([], "k", most)) == []
+
+
 def test_packed_columns():
     rng = np.random.default_rng(0)
     for kind in ("u4", "u8", "i8"):
