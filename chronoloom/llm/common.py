@@ -80,6 +80,7 @@ def shielded(docs: DataFrame, *used: str):
 
 def release_memory() -> None:
     """Give what a finished task no longer uses back to the system: Python workers live on, beside those of later stages."""
+    _powers.cache_clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
