@@ -5,8 +5,9 @@ zero; then the nearest by Euclidean distance is the largest by inner product.
 
 *Lists.* k-means centroids are fitted on a bounded sample (``SAMPLE`` vectors, those whose hashed ids come first); every
 vector is indexed, in the list of its nearest centroid. There is a list for about every ``PER_LIST`` vectors, up to
-``MAX_LISTS``. How many lists a query probes is tuned on the sample: so many that ``REACH`` of the neighbours of sampled
-vectors within the sample lie in them. (Neighbours within the whole table are nearer, so they are met at least as soon.)
+``MAX_LISTS``. How many lists a query probes is tuned on the sample: sampled vectors are asked as queries are, with a zero
+for the added coordinate, and so many lists are probed that ``REACH`` of their neighbours by inner product within the
+sample lie in them.
 Lists are dealt out in groups of neighbouring lists, a group longer than ``BLOCK_ROWS`` to several blocks; a query goes
 once to each block of a group that it probes.
 
@@ -119,14 +120,15 @@ class Index:
     def _tune(self) -> int:
         x, n = self.sample, len(self.sample)
         pick = np.random.default_rng(SEED).choice(n, size=min(TUNING, n), replace=False)
-        d = (x * x).sum(axis=1) - 2 * (x[pick] @ x.T)
+        asked = self.queries(x[pick, :-1])
+        d = -(asked @ x.T)  # the asked vectors' last coordinate is zero
         d[np.arange(len(pick)), pick] = np.inf
         k = min(self.k, n - 1)
         if k < 1:
             return len(self.centroids)
         near = np.argpartition(d, k - 1, axis=1)[:, :k]
         own = self.distances(x).argmin(axis=1)
-        place = np.argsort(np.argsort(self.distances(x[pick]), axis=1), axis=1)
+        place = np.argsort(np.argsort(self.distances(asked), axis=1), axis=1)
         return min(len(self.centroids), int(np.quantile(np.take_along_axis(place, own[near], axis=1), REACH)) + 1)
 
     def augment(self, x: np.ndarray) -> np.ndarray:

@@ -338,6 +338,23 @@ def test_nearest_recall(spark, sf_dir):
     assert hit / (150 * 20) >= 0.9
 
 
+@pytest.mark.parametrize("least", [0.5, 1.0])
+def test_probes_are_tuned_for_inner_products(least):
+    """Norms between least and 2: the probed lists hold the neighbours by inner product of a table beyond the sample."""
+    n, k = 6000, 20
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, 24))
+    x *= rng.uniform(least, 2, (n, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    index = ann.Index(np.arange(1500), x[:1500], float(np.linalg.norm(x, axis=1).max()), n, k)
+    asked = np.arange(0, n, 30)
+    place = np.argsort(np.argsort(index.distances(index.queries(x[asked])), axis=1), axis=1)
+    own = index.distances(index.augment(x)).argmin(axis=1)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    assert (np.take_along_axis(place, own[near], axis=1) < index.probes).mean() >= 0.93
+
+
 def test_scan_abandons_early_but_keeps_the_near():
     rng = np.random.default_rng(0)
     x, q = rng.normal(size=(2000, 64)), rng.normal(size=(5, 64))
