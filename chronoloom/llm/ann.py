@@ -5,15 +5,17 @@ zero; then the nearest by Euclidean distance is the largest by inner product.
 
 *Lists.* k-means centroids are fitted on a bounded sample (``SAMPLE`` vectors, those whose hashed ids come first); every
 vector is indexed, in the list of its nearest centroid. There is a list for about every ``PER_LIST`` vectors, up to
-``MAX_LISTS``. How many lists a query probes is tuned on the sample: sampled vectors are asked as queries are, with a zero
-for the added coordinate, and so many lists are probed that ``REACH`` of their neighbours by inner product within the
-sample lie in them.
+``MAX_LISTS``. How many lists a query probes is tuned on the part of the sample (one in ``HELD_OUT``) that the fit leaves
+out: these vectors are asked as queries are, with a zero for the added coordinate, and so many lists are probed that ``REACH``
+of their neighbours by inner product within that part lie in them.
 Lists are dealt out in groups of neighbouring lists, a group longer than ``BLOCK_ROWS`` to several blocks; a query goes
 once to each block of a group that it probes.
 
 *Scan.* Vectors and queries are turned by one random rotation, so that any leading coordinates hold a fair share of a
 distance, and lists are kept in columns, ``STRIPE`` coordinates at a time. A query's bound is its distance to the
-k-th nearest vector of the sample, which the k-th nearest of the table cannot exceed. Stripe by stripe, partial distances
+``SPARE`` (k + 1)-th nearest of those vectors of the sample that are in its lists, which the (k + 1)-th nearest in the lists
+cannot exceed (a query probes more lists while these hold fewer of the sample). The sample gives the bound and nothing else: every
+answer comes from a list. Stripe by stripe, partial distances
 to all vectors of a list grow, and a vector is abandoned as soon as the hypothesis that its distance is within the bound
 is refuted: with d of D coordinates seen, when sqrt(partial * D / d) > bound * (1 + EPSILON / sqrt(d)) (the test of
 ADSampling). Partial distances are matrix products while most vectors survive, and are taken one by one after that. Survivors'
@@ -39,7 +41,7 @@ from .common import materialise, ship, table
 
 K, EVERY = 20, 20
 SAMPLE, PER_LIST, MAX_LISTS, GROUP, BLOCK_ROWS, REACH, TUNING = 16_384, 128, 2048, 16, 4096, 0.96, 512
-STRIPE, EPSILON, DENSE, SALTS, SEED = 16, 2.1, 0.15, 16, 11
+STRIPE, EPSILON, DENSE, SALTS, SEED, SPARE, HELD_OUT = 16, 2.1, 0.15, 16, 11, 2, 4
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -106,30 +108,32 @@ def scan_list(x: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, epsilon:
 class Index:
     """Centroids, rotation, sample and largest norm: what is broadcast, of bounded size."""
 
-    def __init__(self, classes: np.ndarray, sample: np.ndarray, largest: float, rows: int, k: int):
-        self.classes, self.largest, self.k = classes, largest, k
+    def __init__(self, sample: np.ndarray, largest: float, rows: int, k: int):
+        self.largest, self.k = largest, k
         self.sample = self.augment(sample)
         self.rotation = rotation(self.sample.shape[1])
         lists = max(1, min(MAX_LISTS, rows // PER_LIST, len(sample) // 8))
-        c = kmeans(self.sample, lists)
+        self.fitted = len(sample) - len(sample) // HELD_OUT
+        c = kmeans(self.sample[: self.fitted], lists)
         # Neighbouring lists get neighbouring numbers: in order along the centroids' principal axis.
         axis = np.linalg.svd(c - c.mean(axis=0), full_matrices=False)[2][0] if len(c) > 1 else np.ones(c.shape[1])
         self.centroids = c[np.argsort(c @ axis, kind="stable")]
+        self.own = self.distances(self.sample).argmin(axis=1)  # the sample's lists
         self.probes = self._tune()
 
     def _tune(self) -> int:
-        x, n = self.sample, len(self.sample)
+        """On vectors that the centroids were not fitted on: those that were lie nearer to their centroids than the table's."""
+        x, n = self.sample[self.fitted :], len(self.sample) - self.fitted
+        k = min(self.k, n - 1)
+        if k < 1:
+            return len(self.centroids)
         pick = np.random.default_rng(SEED).choice(n, size=min(TUNING, n), replace=False)
         asked = self.queries(x[pick, :-1])
         d = -(asked @ x.T)  # the asked vectors' last coordinate is zero
         d[np.arange(len(pick)), pick] = np.inf
-        k = min(self.k, n - 1)
-        if k < 1:
-            return len(self.centroids)
         near = np.argpartition(d, k - 1, axis=1)[:, :k]
-        own = self.distances(x).argmin(axis=1)
         place = np.argsort(np.argsort(self.distances(asked), axis=1), axis=1)
-        return min(len(self.centroids), int(np.quantile(np.take_along_axis(place, own[near], axis=1), REACH)) + 1)
+        return min(len(self.centroids), int(np.quantile(np.take_along_axis(place, self.own[self.fitted :][near], axis=1), REACH)) + 1)
 
     def augment(self, x: np.ndarray) -> np.ndarray:
         x = x.astype(np.float64)
@@ -139,14 +143,21 @@ class Index:
     def queries(self, x: np.ndarray) -> np.ndarray:
         return np.hstack([x.astype(np.float64), np.zeros((len(x), 1))])
 
-    def nearest(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each query: its k + 1 nearest of the sample, and the squared distance to the last of them, within which lie
-        the k + 1 nearest of the table; infinite where the sample is no larger."""
+    def lists_and_bounds(self, q: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Of each query: the lists it probes, and the squared distance to the SPARE (k + 1)-th nearest of the sample in
+        them; infinite where the sample has no more."""
+        least = SPARE * (self.k + 1)
+        order = np.argsort(self.distances(q), axis=1, kind="stable")
+        held = np.cumsum(np.bincount(self.own, minlength=len(self.centroids))[order], axis=1)
+        probes = np.minimum(np.maximum(self.probes, (held < least).sum(axis=1) + 1), len(self.centroids))
+        probed = np.zeros(order.shape, bool)
+        np.put_along_axis(probed, order, np.arange(order.shape[1]) < probes[:, None], axis=1)
+        lists = [np.flatnonzero(x).astype(np.int32) for x in probed]
+        if len(self.sample) < least:
+            return lists, np.full(len(q), np.inf)
         d = (q * q).sum(axis=1)[:, None] + (self.sample**2).sum(axis=1)[None] - 2 * (q @ self.sample.T)
-        if len(self.sample) <= self.k + 1:
-            return np.tile(np.arange(len(self.sample)), (len(q), 1)), np.full(len(q), np.inf)
-        near = np.argpartition(d, self.k, axis=1)[:, : self.k + 1]
-        return near, np.take_along_axis(d, near, axis=1).max(axis=1)
+        d[~probed[:, self.own]] = np.inf
+        return lists, np.partition(d, least - 1, axis=1)[:, least - 1]
 
     def distances(self, x: np.ndarray) -> np.ndarray:
         return (self.centroids**2).sum(axis=1) - 2 * (x @ self.centroids.T)
@@ -165,10 +176,10 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
 
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     stats = classes.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(square)).alias("largest")).first()
-    sample = classes.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("class", "v").toPandas()
+    sample = classes.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("v").toPandas()
     if not stats["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    held = spark.sparkContext.broadcast(Index(sample["class"].to_numpy(), np.stack([np.asarray(x, np.float64) for x in sample["v"]]), stats["largest"], stats["n"], k))
+    held = spark.sparkContext.broadcast(Index(np.stack([np.asarray(x, np.float64) for x in sample["v"]]), stats["largest"], stats["n"], k))
 
     def assign(batches):
         for batch in batches:
@@ -183,26 +194,14 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
             for at in range(0, len(batch), 200):
                 part = batch.iloc[at : at + 200]
                 q = index.queries(np.stack(part["v"].to_numpy()))
-                d = index.distances(q)
-                n = min(index.probes, d.shape[1])
-                best = np.sort(np.argpartition(d, n - 1, axis=1)[:, :n], axis=1).astype(np.int32)
+                best, bounds = index.lists_and_bounds(q)
                 rows = []
-                for query, v, bound, lists in zip(part["query"], part["v"], index.nearest(q)[1], best, strict=True):
+                for query, v, bound, lists in zip(part["query"], part["v"], bounds, best, strict=True):
                     group = lists // GROUP
                     cuts = np.flatnonzero(np.diff(group)) + 1
                     rows += [(int(x[0]) // GROUP, query, v, bound, x) for x in np.split(lists, cuts)]
                 yield pd.DataFrame(rows, columns=["group", "query", "q", "bound", "lists"])
 
-    def sampled(batches):
-        index = held.value
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.iloc[at : at + 200]
-                q = index.queries(np.stack(part["v"].to_numpy()))
-                near = index.nearest(q)[0]
-                score = np.einsum("qd,qkd->qk", q, index.sample[near])  # the query's last coordinate is zero
-                yield pd.DataFrame({"query": np.repeat(part["query"].to_numpy(), near.shape[1]), "class": index.classes[near.ravel()], "score": score.ravel()})
-
     indexed = materialise(classes.mapInPandas(assign, "v array<float>, ids array<long>, class long, list int"), "ann-index")
     group = F.floor(F.col("list") / GROUP).cast("int").alias("group")
     blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks")
@@ -236,8 +235,6 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
         return pd.DataFrame({"query": query, "class": of, "score": score})
 
     hits = dealt.groupBy("group", "block").cogroup(probed.groupBy("group", "block")).applyInPandas(scan, "query long, class long, score double")
-    # The sample's nearest are answers too: they make up for lists not probed.
-    hits = hits.unionByName(asked.mapInPandas(sampled, "query long, class long, score double")).groupBy("query", "class").agg(F.max("score").alias("score"))
     # The k + 1 best classes of a query class, then the k + 1 best ids of theirs.
     best = Window.partitionBy("query").orderBy(F.desc("score"), "class")
     top = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)

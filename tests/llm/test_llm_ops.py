@@ -345,7 +345,7 @@ def test_probes_are_tuned_for_inner_products(least):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(n, 24))
     x *= rng.uniform(least, 2, (n, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
-    index = ann.Index(np.arange(1500), x[:1500], float(np.linalg.norm(x, axis=1).max()), n, k)
+    index = ann.Index(x[:1500], float(np.linalg.norm(x, axis=1).max()), n, k)
     asked = np.arange(0, n, 30)
     place = np.argsort(np.argsort(index.distances(index.queries(x[asked])), axis=1), axis=1)
     own = index.distances(index.augment(x)).argmin(axis=1)
@@ -355,6 +355,26 @@ def test_probes_are_tuned_for_inner_products(least):
     assert (np.take_along_axis(place, own[near], axis=1) < index.probes).mean() >= 0.93
 
 
+@pytest.mark.parametrize("probes", [None, 1])
+def test_answers_come_from_the_lists(spark, monkeypatch, probes):
+    """No other path makes up for lists that are not probed: with one list a query, the sample being the whole table, many
+    neighbours are missed; with probes as tuned, the sample being a quarter of the table, few."""
+    n = 4000
+    monkeypatch.setattr(ann, "SAMPLE", n if probes else n // 4)
+    if probes:
+        monkeypatch.setattr(ann.Index, "_tune", lambda self: probes)
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(n, 24)) * rng.uniform(0.5, 2, (n, 1))).astype(np.float32)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = collections.defaultdict(set)
+    for r in ann.search(v, F.col("vec_id") % 20 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    s = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(s, -np.inf)
+    hit = sum(len(got[q] & set(np.argsort(-s[q])[:20].tolist())) for q in range(0, n, 20)) / (n // 20 * 20)
+    assert all(len(got[q]) == 20 for q in range(0, n, 20)) and (hit < 0.7 if probes else hit >= 0.93)
+
+
 def test_scan_abandons_early_but_keeps_the_near():
     rng = np.random.default_rng(0)
     x, q = rng.normal(size=(2000, 64)), rng.normal(size=(5, 64))
