@@ -52,6 +52,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a key of our own for every row, ``_row``; written, so that it is the same whenever it is read."""
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path): reads and writes file:, hdfs:, s3: or gs: folders from executors."""
     from pyarrow import fs

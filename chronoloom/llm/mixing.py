@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table, word_count
+from .common import keyed, materialise, shielded, table, word_count
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -54,11 +54,12 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
-    """Per document: (doc_id, source, size, source_size, target, taken)."""
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST_COPIES, seed: str = SEED, row_col: str | None = None) -> DataFrame:
+    """Per document: (doc_id, source, size, source_size, target, taken), and row_col, if given."""
+    row = [row_col] if row_col else []
     size = word_count(F.col(text_col)) if size is None else size
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), draw.alias("draw"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), draw.alias("draw"), *row)
     sized = materialise(sized.withColumn("range", F.substring("draw", 1, 3)).withColumn("key", _key(F.col("source"))), "mix-sizes")
 
     ranges = sized.groupBy("key", "range").agg(F.sum("size").alias("range_size"), F.first("source").alias("source"))
@@ -70,7 +71,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     inside = Window.partitionBy("key", "range").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     queued = sized.join(ranges, ["key", "range"]).withColumn("queued", F.col("before") + F.sum("size").over(inside))
-    queued = materialise(queued.select("doc_id", "source", "size", "source_size", "target", "key", "draw", "queued"), "mix-queue")
+    queued = materialise(queued.select("doc_id", "source", "size", "source_size", "target", "key", "draw", "queued", *row), "mix-queue")
 
     can = (F.col("size") > 0) & (F.col("target") > 0)
     times = [F.when(can, (F.lit(k) * F.col("source_size") + F.col("queued")) / F.col("target")) for k in range(most)]
@@ -96,7 +97,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
                 entry = F.struct(t.alias("time"), F.col("key"), F.col("draw"), F.col("doc_id"), F.lit(k).alias("copy"))
                 in_range = entry <= F.struct(*[F.lit(last[c]).cast(dict(entries.dtypes)[c]).alias(c) for c in order])
             taken.append(F.when(t.isNotNull() & ((span(t) < cut["span"]) | ((span(t) == cut["span"]) & in_range)), F.col("size")).otherwise(0))
-    return queued.select("doc_id", "source", "size", "source_size", "target", sum(taken[1:], taken[0]).cast("long").alias("taken"))
+    return queued.select("doc_id", "source", "size", "source_size", "target", sum(taken[1:], taken[0]).cast("long").alias("taken"), *row)
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,12 +105,12 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: every document as many times as it is taken, in the columns of docs. Ids are expected to be unique
-    by now; rows that share one are all taken as often as the one that is taken most. Rows without an id go."""
-    columns = docs.columns
-    taken = mix(docs.select("doc_id", "text", "source")).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    taken = taken.groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
-    return docs.join(taken, "doc_id").withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    """The mix itself: every row as many times as it is taken, in the columns of docs. Rows are told apart by a key of the
+    stage's own, so rows without an id, or that share one, are each taken as often as the mix says."""
+    docs, named = shielded(docs, "doc_id", "text", "source")
+    docs = keyed(docs, "mix-rows")
+    taken = mix(docs.select("_row", "doc_id", "text", "source"), row_col="_row").where("taken > 0").select("_row", (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    return named(docs.join(taken, "_row").withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
 
 
 OP9_SQL = r"""

@@ -47,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import input_partitions, map_arrow, materialise, mix, ragged, release_memory, segments, ship, slices, table, text_bytes, word_hashes, word_spans
+from .common import input_partitions, keyed, map_arrow, materialise, mix, ragged, release_memory, segments, shielded, ship, slices, table, text_bytes, word_hashes, word_spans
 from .components import connected, local_roots
 
 SHINGLE, PERCENT = 4, 85
@@ -489,7 +489,12 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedupe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one document of each component, the one with the smallest id (one row of it); rows without an id stay."""
-    kept = join_components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("_n = 1").drop("_n")
-    return one.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    """docs with one row of each component, the one with the smallest id (rows without an id come after the others). Rows are
+    told apart by a key of the stage's own, so rows without an id, or that share one, are each joined by their own text."""
+    docs, named = shielded(docs, "doc_id", "text")
+    docs = keyed(docs, "dedupe-rows")
+    component = join_components(docs, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
+    ids = docs.select("_row", order.alias("order"))
+    kept = component.join(ids, "_row").groupBy("component_id").agg(F.min("order")["_row"].alias("_row"))
+    return named(docs.join(kept.select("_row"), "_row", "left_semi"))
