@@ -51,6 +51,7 @@ from .common import input_partitions, keyed, map_arrow, materialise, mix, ragged
 from .components import connected, local_roots
 
 SHINGLE, PERCENT = 4, 85
+STAGE_SHINGLE, STAGE_PERCENT = 5, 80  # of the pipeline's stage
 HOT, HOT_LEAST, BLOCK, PIVOTS, SLICE, CHUNK, SALTS = 1 << 18, 16, 4096, 8, 1 << 19, 1 << 20, 16
 BITMAPS = ((600, 512), (2400, 2048), (9600, 8192), (1 << 62, 32768))  # up to so many shingles, so many bits
 PAIRS, MERGE_BY_HEAP, SKIP_MU = 1 << 18, 2048, 0.0085
@@ -489,11 +490,11 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedupe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one row of each component, the one with the smallest id (rows without an id come after the others). Rows are
-    told apart by a key of the stage's own, so rows without an id, or that share one, are each joined by their own text."""
+    """docs with one row of each component of near copies (5-word shingles, 80 % or more), the one with the smallest id (rows without an id
+    come after the others). Rows are told apart by a key of the stage's own, so rows without an id, or that share one, are each joined by their own text."""
     docs, named = shielded(docs, "doc_id", "text")
     docs = keyed(docs, "dedupe-rows")
-    component = join_components(docs, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    component = join_components(docs, id_col="_row", k=STAGE_SHINGLE, percent=STAGE_PERCENT).select(F.col("doc_id").alias("_row"), "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
     ids = docs.select("_row", order.alias("order"))
     kept = component.join(ids, "_row").groupBy("component_id").agg(F.min("order")["_row"].alias("_row"))
