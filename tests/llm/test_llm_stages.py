@@ -1,4 +1,6 @@
-from chronoloom.llm import mixing, ngram_join
+from pyspark.sql import functions as F
+
+from chronoloom.llm import chat, mixing, ngram_join
 
 SCHEMA = "doc_id long, source string, text string"
 
@@ -30,3 +32,10 @@ def test_stage_joins_five_words_at_80_percent(spark, sf_dir):
     rows = [(1, "a", change()), (2, "a", change(30, 60)), (3, "a", change(10, 45, 80))]
     kept = ngram_join.dedupe_stage(spark, spark.createDataFrame(rows, SCHEMA), sf_dir)
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
+def test_common_turns_are_the_prompt(spark):
+    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no")]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    (got,) = chat.format_pairs(df, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0).collect()
+    assert got["n_prompt_turns"] == 1 and "hi" in got["prompt"] and "yes" in got["chosen"] and "no" in got["rejected"] and "hi" not in got["chosen"]
