@@ -19,7 +19,9 @@ is not emitted in pairs, but as the components that a list's pairs make (a docum
 *T-occurrence search.* The components of these candidates are groups: documents of different groups cannot link. Texts of
 documents in groups meet, and within a group (many small ones at a time) the exact join is DivideSkip (Li, Lu, Lu 2008): of a document's inverted lists, the L longest are set aside; the others are
 heap-merged, and documents on at least T - L of them are probed for in the long lists by binary search, keeping those that
-reach the overlap that both sizes require. Links again leave a task as the components they make.
+reach the overlap that both sizes require. Two switches by size leave the result as it is: above 2^16 postings in all of a
+document's lists, as in large groups, none is set aside; above ``MERGE_BY_HEAP`` postings in the lists to be merged,
+occurrences are counted in an array, without a heap. Links again leave a task as the components they make.
 
 *Large groups* (more than ``BLOCK`` documents) are dealt out to blocks, each with the same few ``PIVOTS`` of the group, and
 joined block by block; copies of one text come together through the pivots. What is still apart is joined once more:
