@@ -6,6 +6,8 @@ no postings are shuffled. k1, b and the fusion constant are parameters with the
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,12 +66,21 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, score): exact nearest of a question's vectors, at most MAX_QUERIES of them (more are an
-    error: search them through an index). The vectors are one value of a scalar subquery, each row is scored against them where it
-    is read, and group limits keep k rows a query and task before the shuffle."""
-    asked = queries.select(id_col, vector_col).limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors")
+    """(query_id, rank, id, score): exact nearest of every query vector, in blocks of at most MAX_QUERIES of them. A block's
+    vectors are one value of a scalar subquery, each row is scored against them where it is read, and group limits keep k
+    rows a query and task before the shuffle. The blocks pass through the driver one by one."""
+    rows = queries.select(id_col, vector_col).toLocalIterator()
+    blocks = []
+    while (block := list(itertools.islice(rows, MAX_QUERIES))) or not blocks:
+        blocks.append(_block_top(vectors, block, k, id_col, vector_col))
+    if len(blocks) == 1:
+        return blocks[0]
+    # Once more over all blocks: a query id may be in several.
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
+    return functools.reduce(DataFrame.unionByName, blocks).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _block_top(vectors: DataFrame, asked: list, k: int, id_col: str, vector_col: str) -> DataFrame:
     spark = vectors.sparkSession
     schema = f"query_id {dict(vectors.dtypes)[id_col]}, q {dict(vectors.dtypes)[vector_col]}"
     held = spark.createDataFrame([(r[0], r[1]) for r in asked], schema).agg(F.collect_list(F.struct("query_id", "q")))

@@ -221,3 +221,11 @@ def test_worst_status(spark):
     assert checks.worst_status(c("ok", "warn", "ok")).first()["status"] == "warn"
     assert checks.worst_status(c("fail", "warn")).first()["status"] == "fail"
     assert checks.worst_status(c()).first()["status"] == "ok"
+
+
+def test_vector_top_takes_more_queries_than_a_block(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5), float(i % 3)]) for i in range(40)], "vec_id long, embedding array<float>")
+    rows = lambda: sorted(map(tuple, search.vector_top(v, v.where("vec_id < 25"), 3).collect()))
+    whole = rows()
+    monkeypatch.setattr(search, "MAX_QUERIES", 10)
+    assert rows() == whole and len(whole) == 75
