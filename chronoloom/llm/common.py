@@ -7,6 +7,7 @@ the same words as a scan of code points.
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import functools
 import gc
@@ -29,15 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own, but only
+    where all run on one machine: a cluster must name its folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             at = held.get()
-        else:
+        elif spark.sparkContext.master.split("[")[0] == "local":
             at = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
             spark.sparkContext.setCheckpointDir(at)
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return at.rstrip("/")
 
 
@@ -45,16 +49,50 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/chronoloom-{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a table in the shared folder and read it. It outlives lost executors."""
+class Scratch:
+    """A scope of intermediate tables: those written inside are deleted when it is left, but for kept ones, which pass to
+    the scope around it. Nothing that is read later may rest on a table that is not kept."""
+
+    _open: contextvars.ContextVar[Scratch | None] = contextvars.ContextVar("scratch", default=None)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        self.around = Scratch._open.get()
+        self._token = Scratch._open.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch._open.reset(self._token)
+        for path in self.paths:
+            delete(self.spark, path)
+
+    @classmethod
+    def enter(cls, path: str, keep: bool) -> None:
+        scope = cls._open.get()
+        scope = scope.around if scope and keep else scope
+        if scope:
+            scope.paths.append(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialise(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
+    """Cut the lineage: write a table in the shared folder and read it. It outlives lost executors. keep: it also outlives the
+    scope it is written in."""
     path = new_path(df.sparkSession, name)
+    Scratch.enter(path, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, name: str) -> DataFrame:
+def keyed(docs: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     """docs with a key of our own for every row, ``_row``; written, so that it is the same whenever it is read."""
-    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), name, keep=keep)
 
 
 def filesystem(uri: str):

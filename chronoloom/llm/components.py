@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch, materialise
 
 
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -33,19 +33,23 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     ones, to the smallest of its neighbourhood, until every edge leads to a root. Rounds grow with the logarithm of
     the nodes; each is a table in the shared folder, and only a row of totals comes to the driver. A hub meets
     the others' edges in a join that Spark can split."""
-    e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    spark = edges.sparkSession
+    own = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     before = None
-    for _ in range(most_rounds):
-        both = e.union(e.select(F.col("b"), F.col("a")))
-        least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b")
-        # (node, smaller neighbour) edges; the smallest of each node's smaller neighbours takes over.
-        least = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(least, "a").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
-        e = materialise(small, "edges")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before or now[0] == 0:
-            roots = e.select(F.col("b").alias("node")).distinct()
-            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))
-        before = now
+    with Scratch(spark):
+        e = materialise(edges.select(*own).where("a <> b").distinct(), "edges")
+        for _ in range(most_rounds):
+            both = e.union(e.select(F.col("b"), F.col("a")))
+            least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+            large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b")
+            # (node, smaller neighbour) edges; the smallest of each node's smaller neighbours takes over.
+            least = large.groupBy("a").agg(F.min("b").alias("least"))
+            small = large.join(least, "a").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+            e = materialise(small, "edges")
+            now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+            if now == before or now[0] == 0:
+                roots = e.select(F.col("b").alias("node")).distinct()
+                out = e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+                return materialise(out, "components", keep=True)
+            before = now
     raise RuntimeError("components did not settle")

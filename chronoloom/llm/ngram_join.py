@@ -5,31 +5,35 @@ T-occurrence search.
 64-bit hash. Documents with equal sets are one class, found by a 128-bit digest of the set, and only the class's
 smallest document goes on: copies are never paired with each other.
 
-*Candidates.* (1) Shingles are counted over all documents, in 2^32 hash buckets, by sorted and packed runs that executors
-merge range by range; the ``HOT`` most frequent buckets (a table of fixed size) are broadcast. (2) Sets are ordered by
+*Candidates.* (1) Shingles are counted over all documents, in 2^32 hash buckets: a task adds up what it has read, and sends
+packed (bucket, count) runs that executors merge range by range, so a shingle that all documents have is one number a
+task; the ``HOT`` most frequent buckets (a table of fixed size) are broadcast. (2) Sets are ordered by
 that frequency and hash. Two sets with the required overlap share one of the first n - T + 1 shingles of each, T being
 the overlap that n requires at least; these are posted, rare ones first, so that what is common to many documents is posted only by
 those that consist of little else. (3) Postings are packed, merged range by range, and end there if no other of their
 list is in reach by size (in a list of two, also by the shingle's places in the two orders). A shingle that more than
-``BLOCK`` documents have is no list: it is a node of its own, which the documents that post it are connected with.
+``HUB`` documents have is no list: it is a node of its own, which the documents that post it are connected with. So is a list
+of more than ``HUB`` postings that the table of frequent buckets missed; it has at most a ``HOT``-th of all shingles.
 (4) Within a list, a pair is dropped if sizes alone exclude the overlap, or a parity bitmap does: the bitmaps of two sets
 differ in no more bits than the sets in shingles. The bitmap grows with the set. What is left is close to the links; it
 is not emitted in pairs, but as the components that a list's pairs make (a document and the smallest one connected).
 
 *T-occurrence search.* The components of these candidates are groups: documents of different groups cannot link. Texts of
-documents in groups meet, and within a group (many small ones at a time) the exact join is DivideSkip (Li, Lu, Lu 2008): of a document's inverted lists, the L longest are set aside; the others are
+documents in groups meet, and within a group (many small ones at a time) the exact join is DivideSkip (Li, Lu, Lu 2008),
+at every size: of a document's inverted lists, cut to the documents in reach by size, the L longest are set aside; the others are
 heap-merged, and documents on at least T - L of them are probed for in the long lists by binary search, keeping those that
-reach the overlap that both sizes require. Two switches by size leave the result as it is: above 2^16 postings in all of a
-document's lists, as in large groups, none is set aside; above ``MERGE_BY_HEAP`` postings in the lists to be merged,
-occurrences are counted in an array, without a heap. Links again leave a task as the components they make.
+reach the overlap that both sizes require. Since a task's links leave it as the components they make, a document is not
+searched for again where it is connected with the searching one already: at first the nearest in size on each of the merged lists
+is probed for, and what these connect is left out of the merge. ``divide_skip`` on its own finds every link.
 
 *Large groups* (more than ``BLOCK`` documents) are dealt out to blocks, each with the same few ``PIVOTS`` of the group, and
-joined block by block; copies of one text come together through the pivots. What is still apart is joined once more:
+joined block by block; copies of one text come together through the pivots. What is still apart is joined once more, in blocks of ``AGAIN``:
 the documents of small components, in pooled blocks, with every block of the group, and large components with each
 other. Two documents already connected are never compared again, so a group of near copies costs in
 proportion to its size, and only what does not connect is compared block by block.
 
-Shared folder tables cut the lineage between steps. The driver sees only the table of frequent buckets.
+Shared folder tables cut the lineage between steps, and are deleted once the result is written. The driver sees only the
+table of frequent buckets.
 
 Defined results. A null or empty text, or one without words, has no shingles, links with nothing and is its own component.
 Rows with a null id take no part and have a null component. Rows that repeat an id count as one node where they are their
@@ -49,14 +53,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import input_partitions, keyed, map_arrow, materialise, mix, ragged, release_memory, segments, shielded, ship, slices, table, text_bytes, word_hashes, word_spans
+from .common import Scratch, input_partitions, keyed, map_arrow, materialise, mix, ragged, release_memory, segments, shielded, ship, slices, table, text_bytes, word_hashes, word_spans
 from .components import connected, local_roots
 
 SHINGLE, PERCENT = 4, 85
 STAGE_SHINGLE, STAGE_PERCENT = 5, 80  # of the pipeline's stage
-HOT, HOT_LEAST, BLOCK, PIVOTS, SLICE, CHUNK, SALTS = 1 << 18, 16, 4096, 8, 1 << 19, 1 << 20, 16
+HOT, HOT_LEAST, HUB, BLOCK, AGAIN, PIVOTS, SLICE, CHUNK, SALTS = 1 << 18, 16, 4096, 256, 1024, 8, 1 << 19, 1 << 20, 16
 BITMAPS = ((600, 512), (2400, 2048), (9600, 8192), (1 << 62, 32768))  # up to so many shingles, so many bits
-PAIRS, MERGE_BY_HEAP, SKIP_MU = 1 << 18, 2048, 0.0085
+PAIRS, COUNTED, PROBED, SKIP_MU = 1 << 18, 1 << 22, 16, 0.0085
 _TERMS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -137,32 +141,42 @@ def unpack(data: bytes, kind: str, *, gaps: bool = False) -> np.ndarray:
 def frequent_buckets(docs: DataFrame, k: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, count) of the HOT buckets with the most documents, by bucket."""
 
+    def runs_from(held: list[np.ndarray]) -> pa.RecordBatch:
+        b, n = np.unique(np.concatenate(held), return_counts=True)
+        cuts = np.searchsorted(b, (np.arange(1, ranges) << 32) // ranges)
+        runs = [(i, *x) for i, x in enumerate(zip(np.split(b, cuts), np.split(n.astype(np.uint32), cuts), strict=True)) if len(x[0])]
+        return pa.record_batch([pa.array([x[0] for x in runs], pa.int32()), *(pa.array(c, pa.binary()) for c in ([pack(x[1], gaps=True) for x in runs], [pack(x[2]) for x in runs]))], names=["range", "run", "counts"])
+
     def count(batches):
+        held, size = [], 0
         for batch in batches:
-            for part in slices(batch, "text", 4 * SLICE):
-                b = np.concatenate([(shingle_sets(p.column("text"), k)[0] >> np.uint64(32)).astype(np.uint32) for p in slices(part, "text", SLICE)])
-                b.sort()
-                cuts = np.searchsorted(b, (np.arange(1, ranges) << 32) // ranges)
-                runs = np.split(b, cuts)
-                full = [i for i, x in enumerate(runs) if len(x)]
-                yield pa.record_batch([pa.array(full, pa.int32()), pa.array([pack(runs[i], gaps=True) for i in full], pa.binary())], names=["range", "run"])
+            for part in slices(batch, "text", SLICE):
+                held.append((shingle_sets(part.column("text"), k)[0] >> np.uint64(32)).astype(np.uint32))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield runs_from(held)
+                    held, size = [], 0
+        if size:
+            yield runs_from(held)
 
     def merge(runs: pd.DataFrame) -> pd.DataFrame:
-        b = np.sort(np.concatenate([unpack(x, "u4", gaps=True) for x in runs["run"]]))
+        b, n = (np.concatenate(x) for x in ([unpack(x, "u4", gaps=True) for x in runs["run"]], [unpack(x, "u4") for x in runs["counts"]]))
+        order = np.argsort(b, kind="stable")
+        b, n = b[order], n[order].astype(np.int64)
         at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-        n = np.diff(np.append(at, len(b)))
+        n = np.add.reduceat(n, at)
         often = n >= HOT_LEAST
         release_memory()
         return pd.DataFrame({"bucket": b[at][often].astype(np.int64), "n": n[often]})
 
-    runs = map_arrow(docs.select("text"), count, "range int, run binary")
+    runs = map_arrow(docs.select("text"), count, "range int, run binary, counts binary")
     hot = runs.groupBy("range").applyInPandas(merge, "bucket long, n long").orderBy(F.desc("n"), "bucket").limit(HOT).toPandas().sort_values("bucket")
     return hot["bucket"].to_numpy(np.uint32), hot["n"].to_numpy(np.int64)
 
 
-def describe(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, percent: int, block: int) -> DataFrame:
+def describe(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, percent: int, hub: int) -> DataFrame:
     """(doc_id, n, sig, prefix, posted, hubs, bits): of every document its set's size and digest, the posted shingles and
-    their number, the nodes of those that more than ``block`` documents have, and the bitmap."""
+    their number, the nodes of those that more than ``hub`` documents have, and the bitmap."""
     held = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
@@ -178,18 +192,18 @@ def describe(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, percen
                 ends = n - overlap_least(n, percent) + 1
                 sig, prefix, posted, hubs, bits = [], [], [], [], []
                 for (a, z), p in zip(itertools.pairwise(at.tolist()), ends.tolist(), strict=True):
-                    s, hub = own[a:z], None
+                    s, nodes = own[a:z], None
                     if often[z] > often[a]:  # the rare ones first, each kind by hash
                         order = np.argsort(freq[a:z], kind="stable")[:p]
-                        shared = freq[a:z][order] > block
-                        s, hub = s[order[~shared]], (s[order[shared]] | np.uint64(1 << 63)).view(np.int64).tolist()
+                        shared = freq[a:z][order] > hub
+                        s, nodes = s[order[~shared]], node_of(s[order[shared]]).tolist()
                     else:
                         s = s[:p]
                     full = z > a
                     sig.append(hashlib.blake2b(own[a:z].tobytes(), digest_size=16).digest() if full else None)
                     prefix.append(s.tobytes() if full else None)
                     posted.append(len(s) if full else 0)
-                    hubs.append(hub or None)
+                    hubs.append(nodes or None)
                     bits.append(bitmap(own[a:z]) if full else None)
                 columns = [part.column("doc_id"), pa.array(n), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary()), pa.array(posted, pa.int32()), pa.array(hubs, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
                 yield pa.record_batch(columns, names=["doc_id", "n", "sig", "prefix", "posted", "hubs", "bits"])
@@ -197,6 +211,11 @@ def describe(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, percen
     return map_arrow(docs, run, "doc_id long, n long, sig binary, prefix binary, posted int, hubs array<long>, bits binary")
 
 
+def node_of(shingles: np.ndarray) -> np.ndarray:
+    """Nodes of frequent shingles among those of documents, which are not negative."""
+    return (shingles | np.uint64(1 << 63)).view(np.int64)
+
+
 def worth_keeping(key: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Of postings by (list, size): those with another of their list in reach. Sizes alone exclude a posting when its
     neighbours by size are too small or too large. In a list of two, so may the places of the shingle in the two sets'
@@ -212,8 +231,9 @@ def worth_keeping(key: np.ndarray, size: np.ndarray, place: np.ndarray, percent:
     return np.concatenate([[False], near]) | np.concatenate([near, [False]])
 
 
-def shared_lists(reps: DataFrame, ranges: int, percent: int) -> DataFrame:
-    """(list, doc_id) of postings with another of their list in reach."""
+def shared_lists(reps: DataFrame, ranges: int, percent: int, hub: int) -> DataFrame:
+    """(list, doc_id, node) of postings with another of their list in reach; of a list of more than ``hub``, the node that
+    stands for it."""
 
     def post(batches):
         for batch in batches:
@@ -239,11 +259,14 @@ def shared_lists(reps: DataFrame, ranges: int, percent: int) -> DataFrame:
         some = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
         some = some[np.lexsort((size[some], keys[some]))]
         some = some[worth_keeping(keys[some], size[some], place[some], percent)] if len(some) else some
+        keys, docs = keys[some], docs[some]
+        _, which, length = np.unique(keys, return_inverse=True, return_counts=True)
+        long = length[which] > hub
         release_memory()
-        return pd.DataFrame({"list": keys[some].view(np.int64), "doc_id": docs[some]})
+        return pd.DataFrame({"list": keys.view(np.int64), "doc_id": docs, "node": pd.arrays.IntegerArray(node_of(keys), ~long)})
 
     runs = map_arrow(reps.select("doc_id", "n", "prefix", "posted"), post, "range int, keys binary, docs binary, sizes binary, places binary")
-    return runs.groupBy("range").applyInPandas(merge, "list long, doc_id long")
+    return runs.groupBy("range").applyInPandas(merge, "list long, doc_id long, node long")
 
 
 def possible_pairs(size: np.ndarray, maps: list[bytes], at: np.ndarray, percent: int = PERCENT):
@@ -334,57 +357,99 @@ def candidate_edges(lists: DataFrame, percent: int) -> DataFrame:
 # ---------------------------------------------------------------- T-occurrence search
 
 
-def divide_skip(own: np.ndarray, at: np.ndarray, percent: int = PERCENT):
-    """Links (i, j), j < i, among sets (hashes on end, n + 1 offsets): for every set, the others that occur often enough
-    on its shingles' inverted lists. Sets by size and place: a set is searched among those before it."""
+class Forest:
+    """Which of n positions are connected: the smallest position connected with each."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, a: int, others: np.ndarray) -> None:
+        roots = np.unique(np.append(self.root[others], self.root[a]))
+        self.root[np.isin(self.root, roots)] = roots[0]
+
+    def apart(self, a: int, others: np.ndarray) -> np.ndarray:
+        return self.root[others] != self.root[a]
+
+
+class InvertedLists:
+    """Inverted lists of sets (hashes on end, n + 1 offsets), each in order of its documents' places by size."""
+
+    def __init__(self, own: np.ndarray, at: np.ndarray):
+        n = np.diff(at)
+        self.n = len(n)
+        self.rank = np.lexsort((np.arange(len(n)), n))  # documents by size
+        self.size = n[self.rank]
+        self.place = np.empty(len(n), np.int64)
+        self.place[self.rank] = np.arange(len(n))
+        docs = np.repeat(self.place, n)
+        order = np.lexsort((docs, own))
+        key = own[order]
+        number = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        self.postings = number * self.n + docs[order]  # in order: by list, then by place
+        self.list_of = np.empty(len(own), np.int64)  # of every element of the sets
+        self.list_of[order] = number
+
+    def within(self, lists: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of each list's postings of places from low to below high."""
+        return np.searchsorted(self.postings, lists * self.n + low), np.searchsorted(self.postings, lists * self.n + high)
+
+    def on_lists(self, lists: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """On how many of the lists each place is: binary probes."""
+        wanted = lists[:, None] * self.n + places
+        seat = np.minimum(np.searchsorted(self.postings, wanted), len(self.postings) - 1)
+        return (self.postings[seat] == wanted).sum(axis=0)
+
+
+def probe(lists: InvertedLists, aside: np.ndarray, cand: np.ndarray, count: np.ndarray, asks: np.ndarray) -> np.ndarray:
+    """Of the candidates, found ``count`` times so far, those that the lists set aside bring to what each asks for."""
+    for k in range(0, len(aside), PROBED):
+        alive = count + (len(aside) - k) >= asks
+        if not alive.all():
+            cand, count, asks = cand[alive], count[alive], asks[alive]
+            if not len(cand):
+                break
+        count = count + lists.on_lists(aside[k : k + PROBED], cand)
+    return cand[count >= asks]
+
+
+def divide_skip(own: np.ndarray, at: np.ndarray, percent: int = PERCENT, forest: Forest | None = None):
+    """Links (i, j) among sets (hashes on end, n + 1 offsets): for every set, the others that occur often enough
+    on its shingles' inverted lists. Sets by size and place: a set is searched among those before it. With a forest (of the
+    sets by place), sets connected with the searching one already are not searched for, and links connect."""
+    lists = InvertedLists(own, at)
     n = np.diff(at)
-    rank = np.lexsort((np.arange(len(n)), n))
-    place = np.empty(len(n), np.int64)
-    place[rank] = np.arange(len(n))
-    docs = np.repeat(place, n)
-    order = np.lexsort((docs, own))
-    posting, key = docs[order], own[order]  # inverted lists, each in order of place
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-    length = np.diff(np.append(start, len(key)))
-    list_of = np.empty(len(own), np.int64)
-    list_of[order] = np.repeat(np.arange(len(start)), length)
-    size = n[rank]
-    shared = np.concatenate([[0], np.cumsum(length[list_of] > 1)])
-    needs = overlap_least(n, percent)
-    for q in np.flatnonzero((n > 0) & (shared[at[1:]] - shared[at[:-1]] >= needs)).tolist():
-        me, need = int(place[q]), int(needs[q])
-        lists = list_of[at[q] : at[q + 1]]
-        lists = lists[length[lists] > 1]
-        lists = lists[np.argsort(length[lists], kind="stable")]
-        longest, total = int(length[lists[-1]]), int(length[lists].sum())
-        long = 0 if total > 1 << 16 else min(need - 1, int(need / (SKIP_MU * np.log2(longest) + 1)))
-        few, aside = lists[: len(lists) - long], lists[len(lists) - long :]
-        if int(length[few].sum()) <= MERGE_BY_HEAP:
-            merged = heapq.merge(*(posting[start[x] : start[x] + length[x]].tolist() for x in few.tolist()))
-            found = [(d, c) for d, g in itertools.groupby(merged) if d < me and (c := sum(1 for _ in g)) >= need - long]
-            cand = np.array([d for d, _ in found], np.int64)
-            count = np.array([c for _, c in found], np.int64)
-        else:
-            tally = np.bincount(posting[ragged(start[few], length[few])], minlength=me)[:me]
-            cand = np.flatnonzero(tally >= need - long)
-            count = tally[cand]
-        if not len(cand):
+    needs, lows = overlap_least(n, percent), np.searchsorted(lists.size, overlap_least(n, percent))
+    for q in lists.rank[n[lists.rank] > 0].tolist():
+        me, need = int(lists.place[q]), int(needs[q])
+        mine = lists.list_of[at[q] : at[q + 1]]
+        start, end = lists.within(mine, int(lows[q]), me)
+        length = end - start
+        some = np.flatnonzero(length)
+        if len(some) < need:
+            continue
+        some = some[np.argsort(length[some], kind="stable")]
+        mine, start, end, length = mine[some], start[some], end[some], length[some]
+        long = min(need - 1, int(need / (SKIP_MU * np.log2(length[-1] + 1) + 1)))
+        few, aside = len(mine) - long, mine[len(mine) - long :]
+        short = [lists.postings[a:z] % lists.n for a, z in zip(start[:few].tolist(), end[:few].tolist(), strict=True)]
+        if forest is not None:
+            near = np.unique([x[-1] for x in short])
+            near = near[forest.apart(me, near)]
+            hit = probe(lists, mine, near, np.zeros(len(near), np.int64), overlap_required(n[q], lists.size[near], percent))
+            if len(hit):
+                forest.join(me, hit)
+                yield np.full(len(hit), q), lists.rank[hit]
+            short = [x[forest.apart(me, x)] for x in short]
+        merged = heapq.merge(*(x.tolist() for x in short if len(x)))
+        found = [(d, c) for d, g in itertools.groupby(merged) if (c := sum(1 for _ in g)) >= need - long]
+        if not found:
             continue
-        asks = overlap_required(n[q], size[cand], percent)
-        left = long
-        for x in aside.tolist():
-            alive = count + left >= asks
-            if not alive.all():
-                cand, count, asks = cand[alive], count[alive], asks[alive]
-                if not len(cand):
-                    break
-            own_list = posting[start[x] : start[x] + length[x]]
-            seat = np.searchsorted(own_list, cand)
-            count = count + (own_list[np.minimum(seat, len(own_list) - 1)] == cand)
-            left -= 1
-        hit = cand[count >= asks]
+        cand, count = np.array(found, np.int64).T
+        hit = probe(lists, aside, cand, count, overlap_required(n[q], lists.size[cand], percent))
         if len(hit):
-            yield np.full(len(hit), q), rank[hit]
+            if forest is not None:
+                forest.join(me, hit)
+            yield np.full(len(hit), q), lists.rank[hit]
 
 
 def true_edges(grouped: DataFrame, parts: int, k: int, percent: int) -> DataFrame:
@@ -401,7 +466,7 @@ def true_edges(grouped: DataFrame, parts: int, k: int, percent: int) -> DataFram
                 own, at = shingle_sets(part.column("text"), k)
                 sets.append(own)
                 sizes.append(np.diff(at))
-            links = list(divide_skip(np.concatenate(sets), segments(np.concatenate(sizes)), percent))
+            links = list(divide_skip(np.concatenate(sets), segments(np.concatenate(sizes)), percent, Forest(len(doc))))
             if links and (edges := _stars(doc, np.concatenate([i for i, _ in links]), np.concatenate([j for _, j in links]))) is not None:
                 yield edges
 
@@ -422,7 +487,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the join
 
 
-def group_links(texts: DataFrame, groups: DataFrame, parts: int, k: int, percent: int, block: int) -> DataFrame:
+def group_links(texts: DataFrame, groups: DataFrame, parts: int, k: int, percent: int, block: int, again: int) -> DataFrame:
     """texts (doc_id, packed text) and groups (node, component) -> (node, component) of the links within groups."""
     large = groups.groupBy("component").count().where(F.col("count") > block).select("component", F.ceil(F.col("count") / block).cast("int").alias("nb"))
     large = materialise(large, "ngram-large")
@@ -442,10 +507,10 @@ def group_links(texts: DataFrame, groups: DataFrame, parts: int, k: int, percent
     # Blocks again, now by what is connected: large components have blocks of their own, small ones share blocks.
     labelled = materialise(big.join(so_far, "node", "left").select("node", "component", F.coalesce("label", "node").alias("label")), "ngram-labels")
     counts = labelled.groupBy("component", "label").count()
-    pool = counts.where(F.col("count") <= block // 2).groupBy("component").agg(F.ceil(F.sum("count") / block).cast("int").alias("pb"))
+    pool = counts.where(F.col("count") <= again // 2).groupBy("component").agg(F.ceil(F.sum("count") / again).cast("int").alias("pb"))
     seated = labelled.join(counts, ["component", "label"]).join(pool, "component", "left")
-    pooled = F.col("count") <= block // 2
-    seat = F.when(pooled, F.xxhash64("component", F.pmod(F.xxhash64("label"), "pb"))).otherwise(F.xxhash64("component", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / block))))
+    pooled = F.col("count") <= again // 2
+    seat = F.when(pooled, F.xxhash64("component", F.pmod(F.xxhash64("label"), "pb"))).otherwise(F.xxhash64("component", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / again))))
     seated = materialise(seated.select("node", "component", F.when(~pooled, F.col("label")).alias("label"), seat.alias("seat")), "ngram-seats")
     seats = materialise(seated.select("component", "label", "seat").distinct(), "ngram-blocks")
     shared, whole = seats.where("label IS NULL").select("component", F.col("seat").alias("x")), seats.where("label IS NOT NULL")
@@ -454,37 +519,40 @@ def group_links(texts: DataFrame, groups: DataFrame, parts: int, k: int, percent
     two = names.join(names.select("component", F.col("label").alias("other")), "component").where("label < other")
     pairs = pairs.union(two.join(whole, ["component", "label"]).withColumnRenamed("seat", "x").join(whole.select("component", F.col("label").alias("other"), F.col("seat").alias("y")), ["component", "other"]).select("component", "x", "y"))
     pairs = pairs.select(F.explode(F.array("x", "y")).alias("seat"), F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("grp")).distinct()
-    again = seated.select(F.col("node").alias("doc_id"), "seat").join(pairs, "seat").select("doc_id", "grp")
-    return connected(inside.union(true_edges(texts.join(again, "doc_id"), parts, k, percent)))
+    met = seated.select(F.col("node").alias("doc_id"), "seat").join(pairs, "seat").select("doc_id", "grp")
+    return connected(inside.union(true_edges(texts.join(met, "doc_id"), parts, k, percent)))
 
 
 def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranges = max(8, input_partitions(docs))
-    block = BLOCK
-    hot = frequent_buckets(docs, k, ranges)
-    described = materialise(describe(docs, hot, k, percent, block), "ngram-docs")
-    small = described.select("doc_id", "n", "sig")
-    classes = materialise(small.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "ngram-classes")
-    chosen = classes.select(F.col("sig"), F.col("rep").alias("doc_id"))
-
-    reps = described.join(chosen, ["sig", "doc_id"], "left_semi")
-    lists = materialise(shared_lists(reps, ranges, percent), "ngram-lists")
-    sizes = described.select("doc_id", "n", "bits", "sig").join(chosen, ["sig", "doc_id"], "left_semi").drop("sig")
-    hubs = described.where("hubs IS NOT NULL").join(chosen, ["sig", "doc_id"], "left_semi").select(F.col("doc_id").alias("a"), F.explode("hubs").alias("b"))
-    groups = connected(candidate_edges(lists.join(sizes, "doc_id"), percent).union(hubs))
-
-    links = group_links(packed_texts(docs), groups, ranges, k, percent, block)
-
-    # Back to all documents, by digest; copies are dealt out over salts.
-    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
-    label = classes.join(links.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"), "rep", "copies")
-    salts = F.when(F.col("copies") > 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(salt("rep")))
-    label = label.select("sig", "component_id", F.explode(salts).alias("salt"))
-    out = small.withColumn("salt", salt("doc_id")).join(label, ["sig", "salt"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    with Scratch(spark):
+        hot = frequent_buckets(docs, k, ranges)
+        described = materialise(describe(docs, hot, k, percent, HUB), "ngram-docs")
+        small = described.select("doc_id", "n", "sig")
+        classes = materialise(small.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "ngram-classes")
+        chosen = classes.select(F.col("sig"), F.col("rep").alias("doc_id"))
+
+        reps = described.join(chosen, ["sig", "doc_id"], "left_semi")
+        lists = materialise(shared_lists(reps, ranges, percent, HUB), "ngram-lists")
+        sizes = described.select("doc_id", "n", "bits", "sig").join(chosen, ["sig", "doc_id"], "left_semi").drop("sig")
+        hubs = described.where("hubs IS NOT NULL").join(chosen, ["sig", "doc_id"], "left_semi").select(F.col("doc_id").alias("a"), F.explode("hubs").alias("b"))
+        hubs = hubs.union(lists.where("node IS NOT NULL").select("doc_id", "node"))
+        pairs = lists.where("node IS NULL").select("list", "doc_id").join(sizes, "doc_id")
+        groups = connected(candidate_edges(pairs, percent).union(hubs))
+
+        links = group_links(packed_texts(docs), groups, ranges, k, percent, BLOCK, AGAIN)
+
+        # Back to all documents, by digest; copies are dealt out over salts.
+        salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+        label = classes.join(links.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"), "rep", "copies")
+        salts = F.when(F.col("copies") > 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(salt("rep")))
+        label = label.select("sig", "component_id", F.explode(salts).alias("salt"))
+        out = small.withColumn("salt", salt("doc_id")).join(label, ["sig", "salt"], "left")
+        return materialise(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")), "ngram-components", keep=True)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -495,9 +563,27 @@ def dedupe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """docs with one row of each component of near copies (5-word shingles, 80 % or more), the one with the smallest id (rows without an id
     come after the others). Rows are told apart by a key of the stage's own, so rows without an id, or that share one, are each joined by their own text."""
     docs, named = shielded(docs, "doc_id", "text")
-    docs = keyed(docs, "dedupe-rows")
+    docs = keyed(docs, "dedupe-rows", keep=True)
     component = join_components(docs, id_col="_row", k=STAGE_SHINGLE, percent=STAGE_PERCENT).select(F.col("doc_id").alias("_row"), "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
     ids = docs.select("_row", order.alias("order"))
     kept = component.join(ids, "_row").groupBy("component_id").agg(F.min("order")["_row"].alias("_row"))
     return named(docs.join(kept.select("_row"), "_row", "left_semi"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) END AS s FROM w),
+class AS (SELECT s, min(doc_id) AS rep FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0 AND doc_id IS NOT NULL) GROUP BY s),
+shingle AS (SELECT rep, len(s) AS n, hash(unnest(s)) AS h FROM class),
+pair AS (SELECT a.rep AS a, b.rep AS b, count(*) AS o, any_value(a.n + b.n) AS n FROM shingle a JOIN shingle b ON a.h = b.h AND a.rep < b.rep GROUP BY a.rep, b.rep),
+link AS (SELECT a, b FROM pair WHERE 100 * o >= 85 * (n - o)),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(node, found) AS (SELECT rep, rep FROM class UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.found),
+root AS (SELECT node, min(found) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, CASE WHEN d.doc_id IS NOT NULL THEN coalesce(root.component_id, d.doc_id) END AS component_id
+FROM sets d LEFT JOIN class ON class.s = list_sort(d.s) LEFT JOIN root ON root.node = class.rep
+"""

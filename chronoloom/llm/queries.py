@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE = {
     "op1_warc_round_trip": warc.OP1_SQL,
     "op2_quality_rules": quality_rules.OP2_SQL,
+    "op5_ngram_join": ngram_join.OP5_SQL,
     "op8_preference_pairs": chat.OP8_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
 }
