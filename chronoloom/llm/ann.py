@@ -3,13 +3,16 @@
 *Measure to distance.* Every vector gets one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm, and every query a
 zero; then the nearest by Euclidean distance is the largest by inner product.
 
-*Lists.* k-means centroids are fitted on a bounded sample (``SAMPLE`` vectors, those whose hashed ids come first); every
-vector is indexed, in the list of its nearest centroid. There is a list for about every ``PER_LIST`` vectors, up to
-``MAX_LISTS``. How many lists a query probes is tuned on the part of the sample (one in ``HELD_OUT``) that the fit leaves
+*Lists.* Centroids are fitted by k-means on a bounded sample (``SAMPLE`` vectors, those whose hashed ids come first), coarse
+ones, and, for tables of more than ``COARSE`` x ``PER_LIST`` vectors, fine ones for what is left of a vector less its coarse
+centroid, which all coarse cells share. A list is a coarse cell and a fine one, so there is a list for about every
+``PER_LIST`` vectors up to ``COARSE`` x ``FINE`` lists, while the model stays small. Every vector is indexed, in the list of its nearest centroids.
+How many lists a query probes is tuned on the part of the sample (one in ``HELD_OUT``) that the fit leaves
 out: these vectors are asked as queries are, with a zero for the added coordinate, and so many lists are probed that ``REACH``
 of their neighbours by inner product within that part lie in them.
-Lists are dealt out in groups of neighbouring lists, a group longer than ``BLOCK_ROWS`` to several blocks; a query goes
-once to each block of a group that it probes.
+Lists are dealt out in groups of neighbouring lists. A group's vectors are dealt to blocks of about ``BLOCK_ROWS``, and the
+queries that probe it to blocks of about ``QUERY_ROWS``; every block of vectors meets every block of queries once, so no
+task holds a group, nor all queries of one.
 
 *Scan.* Vectors and queries are turned by one random rotation, so that any leading coordinates hold a fair share of a
 distance, and lists are kept in columns, ``STRIPE`` coordinates at a time. A query's bound is its distance to the
@@ -26,8 +29,9 @@ is all that any answer can need, found with partial group limits; so a vector th
 key. Answers are expanded to the rows of each query class last, over ``SALTS`` salts.
 
 Defined results. Rows with a null id, or vectors null, empty, zero or holding null or non-finite components, take no part;
-nor do vectors of another than the most frequent length (the larger of equals). Repeated ids with equal vectors count once.
-An empty table, or one without queries, gives no rows. Only the id and vector columns are read.
+nor do vectors of another than the most frequent length (the larger of equals), which have no inner product with the others. Repeated ids with equal vectors count once.
+An empty table, or one without queries, gives no rows. Vectors of floats stay floats, others are doubles; scores are sums in
+double precision of the vectors as they are. Only the id and vector columns are read.
 """
 
 from __future__ import annotations
@@ -37,18 +41,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, table
+from .common import Scratch, materialise, ship, table
 
 K, EVERY = 20, 20
-SAMPLE, PER_LIST, MAX_LISTS, GROUP, BLOCK_ROWS, REACH, TUNING = 16_384, 128, 2048, 16, 4096, 0.96, 512
-STRIPE, EPSILON, DENSE, SALTS, SEED, SPARE, HELD_OUT = 16, 2.1, 0.15, 16, 11, 2, 4
+SAMPLE, PER_LIST, COARSE, FINE, GROUP, BLOCK_ROWS, QUERY_ROWS, REACH, TUNING = 16_384, 128, 2048, 1024, 16, 512, 256, 0.96, 512
+STRIPE, EPSILON, DENSE, SALTS, SEED, SPARE, HELD_OUT, RANKED = 16, 2.1, 0.15, 16, 11, 2, 4, 16_384
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v) of the rows that take part."""
     v = F.col("v")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size("v") > 0))
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast(kind).alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size("v") > 0))
     rows = rows.where(~F.exists(v, bad) & F.exists(v, lambda x: x != 0))
     width = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     return rows.where(F.size("v") == (width["n"] if width else 0))
@@ -112,28 +117,57 @@ class Index:
         self.largest, self.k = largest, k
         self.sample = self.augment(sample)
         self.rotation = rotation(self.sample.shape[1])
-        lists = max(1, min(MAX_LISTS, rows // PER_LIST, len(sample) // 8))
         self.fitted = len(sample) - len(sample) // HELD_OUT
-        c = kmeans(self.sample[: self.fitted], lists)
+        most = max(1, len(sample) // 8)  # centroids that the sample can tell apart
+        c = kmeans(self.sample[: self.fitted], max(1, min(COARSE, rows // PER_LIST, most)))
         # Neighbouring lists get neighbouring numbers: in order along the centroids' principal axis.
         axis = np.linalg.svd(c - c.mean(axis=0), full_matrices=False)[2][0] if len(c) > 1 else np.ones(c.shape[1])
-        self.centroids = c[np.argsort(c @ axis, kind="stable")]
-        self.own = self.distances(self.sample).argmin(axis=1)  # the sample's lists
+        self.coarse = c[np.argsort(c @ axis, kind="stable")]
+        self.fine = np.zeros((1, c.shape[1]))
+        if (cells := min(FINE, rows // (PER_LIST * len(c)), most)) > 1:
+            self.fine = kmeans(self._left(self.sample[: self.fitted])[1], cells)
+        self.cross = 2 * self.coarse @ self.fine.T
+        self.own = self.assign(self.sample)  # the sample's lists
+        self.held = np.bincount(self.own, minlength=self.lists)
         self.probes = self._tune()
 
+    @property
+    def lists(self) -> int:
+        return len(self.coarse) * len(self.fine)
+
+    def _left(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(nearest coarse centroid, what is left of each vector less it)."""
+        near = _distances(x, self.coarse).argmin(axis=1)
+        return near, x - self.coarse[near]
+
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        """The list of every vector."""
+        near, left = self._left(x)
+        return near * len(self.fine) + _distances(left, self.fine).argmin(axis=1)
+
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """Lists of every query, the nearest first: of its nearest coarse cells, about RANKED lists in all (at least those of
+        32 cells)."""
+        coarse, fine = _distances(q, self.coarse), _distances(q, self.fine)
+        cells = min(len(self.coarse), max(32, RANKED // len(self.fine)))
+        near = np.argsort(coarse, axis=1, kind="stable")[:, :cells]
+        d = np.take_along_axis(coarse, near, axis=1)[:, :, None] + self.cross[near] + fine[:, None, :]
+        at = np.argsort(d.reshape(len(q), -1), axis=1, kind="stable")
+        return np.take_along_axis(near, at // len(self.fine), axis=1) * len(self.fine) + at % len(self.fine)
+
     def _tune(self) -> int:
         """On vectors that the centroids were not fitted on: those that were lie nearer to their centroids than the table's."""
         x, n = self.sample[self.fitted :], len(self.sample) - self.fitted
         k = min(self.k, n - 1)
         if k < 1:
-            return len(self.centroids)
+            return self.lists
         pick = np.random.default_rng(SEED).choice(n, size=min(TUNING, n), replace=False)
         asked = self.queries(x[pick, :-1])
         d = -(asked @ x.T)  # the asked vectors' last coordinate is zero
         d[np.arange(len(pick)), pick] = np.inf
         near = np.argpartition(d, k - 1, axis=1)[:, :k]
-        place = np.argsort(np.argsort(self.distances(asked), axis=1), axis=1)
-        return min(len(self.centroids), int(np.quantile(np.take_along_axis(place, self.own[self.fitted :][near], axis=1), REACH)) + 1)
+        place = np.concatenate([places(o, own) for at in range(0, len(pick), 64) for o, own in zip(self.order(asked[at : at + 64]), self.own[self.fitted :][near[at : at + 64]], strict=True)])
+        return min(self.lists, int(np.quantile(place, REACH)) + 1)
 
     def augment(self, x: np.ndarray) -> np.ndarray:
         x = x.astype(np.float64)
@@ -147,27 +181,40 @@ class Index:
         """Of each query: the lists it probes, and the squared distance to the SPARE (k + 1)-th nearest of the sample in
         them; infinite where the sample has no more."""
         least = SPARE * (self.k + 1)
-        order = np.argsort(self.distances(q), axis=1, kind="stable")
-        held = np.cumsum(np.bincount(self.own, minlength=len(self.centroids))[order], axis=1)
-        probes = np.minimum(np.maximum(self.probes, (held < least).sum(axis=1) + 1), len(self.centroids))
-        probed = np.zeros(order.shape, bool)
-        np.put_along_axis(probed, order, np.arange(order.shape[1]) < probes[:, None], axis=1)
-        lists = [np.flatnonzero(x).astype(np.int32) for x in probed]
-        if len(self.sample) < least:
-            return lists, np.full(len(q), np.inf)
+        order = self.order(q)
+        held = np.cumsum(self.held[order], axis=1)
+        probes = np.minimum(np.maximum(self.probes, (held < least).sum(axis=1) + 1), order.shape[1])
+        lists = [np.sort(x[:n]) for x, n in zip(order, probes.tolist(), strict=True)]
+        bounds = np.full(len(q), np.inf)
         d = (q * q).sum(axis=1)[:, None] + (self.sample**2).sum(axis=1)[None] - 2 * (q @ self.sample.T)
-        d[~probed[:, self.own]] = np.inf
-        return lists, np.partition(d, least - 1, axis=1)[:, least - 1]
+        for i, own in enumerate(lists):
+            near = d[i, np.isin(self.own, own)]
+            if len(near) >= least:
+                bounds[i] = np.partition(near, least - 1)[least - 1]
+        return [x.astype(np.int32) for x in lists], bounds
+
+
+def _distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Squared distances, less each row's own square."""
+    return (centroids**2).sum(axis=1) - 2 * (x @ centroids.T)
+
 
-    def distances(self, x: np.ndarray) -> np.ndarray:
-        return (self.centroids**2).sum(axis=1) - 2 * (x @ self.centroids.T)
+def places(order: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted list stands in an order; its length for those that do not."""
+    by = np.argsort(order, kind="stable")
+    seat = np.minimum(np.searchsorted(order, wanted, sorter=by), len(order) - 1)
+    return np.where(order[by[seat]] == wanted, by[seat], len(order))
 
 
 def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found to every row where is_query (a condition on vec_id)."""
-    spark = vectors.sparkSession
-    ship(spark)
-    rows = usable(vectors, id_col, vector_col)
+    ship(vectors.sparkSession)
+    with Scratch(vectors.sparkSession):
+        return _search(usable(vectors, id_col, vector_col), is_query, k)
+
+
+def _search(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
+    spark, kind = rows.sparkSession, dict(rows.dtypes)["v"]
     by_id = Window.partitionBy("v").orderBy("vec_id")
     first = rows.select("v", "vec_id").withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1)
     classes = first.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))  # k + 1 ids at most
@@ -185,14 +232,13 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at : at + 2000]
-                x = held.value.augment(np.stack(part["v"].to_numpy()))
-                yield part.assign(list=held.value.distances(x).argmin(axis=1).astype(np.int32))
+                yield part.assign(list=held.value.assign(held.value.augment(np.stack(part["v"].to_numpy()))).astype(np.int32))
 
     def probe(batches):
         index = held.value
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.iloc[at : at + 200]
+            for at in range(0, len(batch), 100):
+                part = batch.iloc[at : at + 100]
                 q = index.queries(np.stack(part["v"].to_numpy()))
                 best, bounds = index.lists_and_bounds(q)
                 rows = []
@@ -202,14 +248,18 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
                     rows += [(int(x[0]) // GROUP, query, v, bound, x) for x in np.split(lists, cuts)]
                 yield pd.DataFrame(rows, columns=["group", "query", "q", "bound", "lists"])
 
-    indexed = materialise(classes.mapInPandas(assign, "v array<float>, ids array<long>, class long, list int"), "ann-index")
-    group = F.floor(F.col("list") / GROUP).cast("int").alias("group")
-    blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks")
-    sizes = materialise(indexed.groupBy(group).agg(blocks), "ann-groups")  # MAX_LISTS / GROUP rows at most
-    dealt = indexed.select("class", "v", "list", group).join(F.broadcast(sizes), "group").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    indexed = materialise(classes.mapInPandas(assign, f"v {kind}, ids array<long>, class long, list int"), "ann-index")
     asked = queries.groupBy("v").agg(F.min("vec_id").alias("query"))
-    probed = asked.mapInPandas(probe, "group int, query long, q array<float>, bound double, lists array<int>")
-    probed = probed.join(F.broadcast(sizes.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))), "group")
+    probed = materialise(asked.mapInPandas(probe, f"group int, query long, q {kind}, bound double, lists array<int>"), "ann-probed")
+    group = F.floor(F.col("list") / GROUP).cast("int").alias("group")
+    parts = lambda most: F.ceil(F.count(F.lit(1)) / most).cast("int")
+    # A row for each group: lists / GROUP of them at most.
+    sizes = indexed.groupBy(group).agg(parts(BLOCK_ROWS).alias("blocks")).join(probed.groupBy("group").agg(parts(QUERY_ROWS).alias("ask_blocks")), "group")
+    sizes = F.broadcast(materialise(sizes, "ann-groups"))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    vectors = indexed.select("class", "v", "list", group).join(sizes, "group").withColumn("block", dealt("class", "blocks")).withColumn("ask_block", every("ask_blocks")).drop("blocks", "ask_blocks")
+    asking = probed.join(sizes, "group").withColumn("ask_block", dealt("query", "ask_blocks")).withColumn("block", every("blocks")).drop("blocks", "ask_blocks")
 
     def scan(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
@@ -234,7 +284,8 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
         query, of, score = (np.concatenate(x) for x in zip(*out, strict=True))
         return pd.DataFrame({"query": query, "class": of, "score": score})
 
-    hits = dealt.groupBy("group", "block").cogroup(probed.groupBy("group", "block")).applyInPandas(scan, "query long, class long, score double")
+    block = ("group", "block", "ask_block")
+    hits = vectors.groupBy(*block).cogroup(asking.groupBy(*block)).applyInPandas(scan, "query long, class long, score double")
     # The k + 1 best classes of a query class, then the k + 1 best ids of theirs.
     best = Window.partitionBy("query").orderBy(F.desc("score"), "class")
     top = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
@@ -245,9 +296,10 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
     answers = ranked.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
     # Every row of the query class: the answer without itself.
     answers = answers.join(asked.select("query", "v"), "query").select("v", "found", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    asking = queries.distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
-    found = asking.join(answers, ["v", "salt"]).select("vec_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("found"))
-    return found.select(F.col("vec_id").alias("query_id"), F.posexplode("found")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), F.col("col.score").alias("score"))
+    everyone = queries.distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
+    found = everyone.join(answers, ["v", "salt"]).select("vec_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("found"))
+    out = found.select(F.col("vec_id").alias("query_id"), F.posexplode("found")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), F.col("col.score").alias("score"))
+    return materialise(out, "ann-answers", keep=True)
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

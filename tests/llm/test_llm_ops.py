@@ -261,21 +261,46 @@ def test_join_equals_brute_force(spark, sf_dir):
 def test_join_of_large_groups(spark, monkeypatch, block):
     """Frequent shingles as nodes, and groups of more than BLOCK documents in blocks."""
     monkeypatch.setattr(ngram_join, "HOT_LEAST", 3)
+    monkeypatch.setattr(ngram_join, "HUB", block)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "AGAIN", block + 2)
     monkeypatch.setattr(ngram_join, "PIVOTS", 2)
     docs = near_copies(2, 12, 60)
     assert joined(spark, docs) == brute_components(docs)
 
 
-def test_divide_skip_finds_every_link(monkeypatch):
-    texts = [t for _, t in near_copies(3, 40, 6)]
+def test_long_lists_outside_the_table_of_frequent_buckets(spark, monkeypatch):
+    """A shingle that the table misses counts as rare; its list is still a node once it is longer than HUB."""
+    monkeypatch.setattr(ngram_join, "HOT", 1)
+    monkeypatch.setattr(ngram_join, "HUB", 5)
+    docs = near_copies(7, 10, 40)
+    assert joined(spark, docs) == brute_components(docs)
+
+
+def test_buckets_are_counted_over_all_documents(spark, monkeypatch):
+    """Counts of several flushes and tasks add up."""
+    monkeypatch.setattr(ngram_join, "HOT_LEAST", 2)
+    monkeypatch.setattr(ngram_join, "COUNTED", 500)
+    texts = [t for _, t in near_copies(8, 20, 10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bucket, n = ngram_join.frequent_buckets(df, 4, 8)
+    own, _ = ngram_join.shingle_sets(pa.array(texts))
+    want = {int(b): c for b, c in collections.Counter((own >> np.uint64(32)).tolist()).items() if c > 1}
+    assert dict(zip(bucket.tolist(), n.tolist(), strict=True)) == want
+
+
+def test_divide_skip_finds_every_link():
+    texts = [t for _, t in near_copies(3, 40, 6)] + ["a b c d e f g h"] * 3
     own, at = ngram_join.shingle_sets(pa.array(texts))
     sets = [set(own[a:b].tolist()) for a, b in itertools.pairwise(at.tolist())]
     want = {frozenset((i, j)) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
-    for by_heap in (0, 1 << 30):
-        monkeypatch.setattr(ngram_join, "MERGE_BY_HEAP", by_heap)
-        got = [frozenset((int(i), int(j))) for a, b in ngram_join.divide_skip(own, at) for i, j in zip(a, b, strict=True)]
-        assert len(got) == len(set(got)) and set(got) == want
+    pairs = lambda links: [(int(i), int(j)) for a, b in links for i, j in zip(a, b, strict=True)]
+    got = [frozenset(p) for p in pairs(ngram_join.divide_skip(own, at))]
+    assert len(got) == len(set(got)) and set(got) == want
+    # With a forest: fewer links, of the same components.
+    few = pairs(ngram_join.divide_skip(own, at, forest=ngram_join.Forest(len(sets))))
+    roots = lambda p: components.local_roots(np.array([i for i, _ in p]), np.array([j for _, j in p]), len(sets)).tolist()
+    assert {frozenset(p) for p in few} <= want and len(few) < len(want) and roots(few) == roots([tuple(p) for p in want])
 
 
 def test_possible_pairs_lose_none():
@@ -347,12 +372,73 @@ def test_probes_are_tuned_for_inner_products(least):
     x *= rng.uniform(least, 2, (n, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
     index = ann.Index(x[:1500], float(np.linalg.norm(x, axis=1).max()), n, k)
     asked = np.arange(0, n, 30)
-    place = np.argsort(np.argsort(index.distances(index.queries(x[asked])), axis=1), axis=1)
-    own = index.distances(index.augment(x)).argmin(axis=1)
+    own = index.assign(index.augment(x))
     s = x[asked] @ x.T
     s[np.arange(len(asked)), asked] = -np.inf
     near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    assert (np.take_along_axis(place, own[near], axis=1) < index.probes).mean() >= 0.93
+    place = np.stack([ann.places(o, own[i]) for o, i in zip(index.order(index.queries(x[asked])), near, strict=True)])
+    assert (place < index.probes).mean() >= 0.93
+
+
+def test_lists_grow_with_the_table(monkeypatch):
+    """Beyond COARSE x PER_LIST vectors, lists are pairs of a coarse and a fine cell; the order of lists is that of the
+    distances to the sums of both centroids, and probes are tuned on it."""
+    monkeypatch.setattr(ann, "COARSE", 16)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 12)) * rng.uniform(0.5, 2, (4000, 1))
+    few, many = (ann.Index(x[:2000], float(np.linalg.norm(x, axis=1).max()), rows, 20) for rows in (2000, 128 * 16 * 10))
+    assert few.lists == 15 and many.lists == 160 and len(many.fine) == 10
+    q = many.queries(x[2000:2050])
+    sums = (many.coarse[:, None] + many.fine).reshape(160, -1)
+    for row, order in zip(q, many.order(q), strict=True):
+        d = ((sums - row) ** 2).sum(axis=1)
+        assert sorted(order.tolist()) == list(range(160)) and np.diff(d[order]).min() > -1e-9
+    own = many.assign(many.augment(x))
+    s = x[2000:2050] @ x.T
+    s[np.arange(50), np.arange(2000, 2050)] = -np.inf
+    near = np.argpartition(-s, 20, axis=1)[:, :20]
+    place = np.stack([ann.places(o, own[i]) for o, i in zip(many.order(q), near, strict=True)])
+    assert (place < many.probes).mean() >= 0.9 and many.probes < many.lists
+
+
+def nearest(x, q, k=20):
+    s = x @ x[q]
+    return [i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:k], s
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_embeddings_table(spark, sf):
+    """Whole tables, with a sample smaller than the table."""
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").toPandas()
+    ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+    got = collections.defaultdict(set)
+    for r in queries.QUERIES["op6_nearest_neighbours"](spark, f"/root/testdata/{sf}").collect():
+        got[r["query_id"]].add(r["vec_id"])
+    asked = np.flatnonzero(ids % 20 == 0)
+    hit = sum(len(got[int(ids[q])] & set(ids[nearest(x, q)[0]].tolist())) for q in asked)
+    assert hit / (20 * len(asked)) >= 0.9
+
+
+def test_doubles_are_scored_as_they_are(spark):
+    """Ten vectors that agree as floats."""
+    x = np.full((40, 4), 3.0) + np.arange(40)[:, None] * 1e-10
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(v, F.col("vec_id") == 0).orderBy("rank").collect()
+    order, s = nearest(x, 0)
+    assert [r["vec_id"] for r in got] == order and all(r["score"] == pytest.approx(s[r["vec_id"]], rel=1e-15) for r in got)
+
+
+def test_blocks_of_vectors_meet_all_blocks_of_queries(spark, monkeypatch):
+    """With tiny blocks and every list probed, answers are exact."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 3)
+    monkeypatch.setattr(ann.Index, "_tune", lambda self: self.lists)
+    x = np.random.default_rng(8).normal(size=(300, 8)).astype(np.float32).astype(np.float64)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = collections.defaultdict(list)
+    for r in ann.search(v, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert dict(got) == {q: nearest(x, q)[0] for q in range(0, 300, 20)}
 
 
 @pytest.mark.parametrize("probes", [None, 1])
