@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, materialise, ship, table
 
 K, EVERY = 20, 20
-SAMPLE, PER_LIST, COARSE, FINE, GROUP, BLOCK_ROWS, QUERY_ROWS, REACH, TUNING = 16_384, 128, 2048, 1024, 16, 512, 256, 0.96, 512
+SAMPLE, PER_LIST, COARSE, FINE, GROUP, BLOCK_ROWS, QUERY_ROWS, REACH, TUNING = 16_384, 128, 2048, 1024, 8, 512, 256, 0.96, 512
 STRIPE, EPSILON, DENSE, SALTS, SEED, SPARE, HELD_OUT, RANKED = 16, 2.1, 0.15, 16, 11, 2, 4, 16_384
 
 
