@@ -31,17 +31,17 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star in turn (Kiveris and others 2014): every node links its larger neighbours, then its smaller
     ones, to the smallest of its neighbourhood, until every edge leads to a root. Rounds grow with the logarithm of
-    the nodes; each is a table in the shared folder, and only a row of totals comes to the driver. A hub meets
-    the others' edges in a join that Spark can split."""
+    the nodes; each is a table in the shared folder, and only a row of totals comes to the driver. Edges lead from the
+    larger node to the smaller. A hub's edges meet its one row in a join that Spark can split."""
     spark = edges.sparkSession
     own = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     before = None
     with Scratch(spark):
         e = materialise(edges.select(*own).where("a <> b").distinct(), "edges")
         for _ in range(most_rounds):
-            both = e.union(e.select(F.col("b"), F.col("a")))
-            least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-            large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b")
+            # The smallest of b and its neighbours: of edges that lead down, b's own tell it.
+            least = e.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("least"))
+            large = e.join(least, "b", "left").select("a", F.coalesce("least", "b").alias("b"))
             # (node, smaller neighbour) edges; the smallest of each node's smaller neighbours takes over.
             least = large.groupBy("a").agg(F.min("b").alias("least"))
             small = large.join(least, "a").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("least").alias("b")).where("a <> b").distinct()

@@ -19,7 +19,7 @@ differ in no more bits than the sets in shingles. The bitmap grows with the set.
 is not emitted in pairs, but as the components that a list's pairs make (a document and the smallest one connected).
 
 *T-occurrence search.* The components of these candidates are groups: documents of different groups cannot link. Texts of
-documents in groups meet, and within a group (many small ones at a time) the exact join is DivideSkip (Li, Lu, Lu 2008),
+documents in groups meet (told apart from the others by a broadcast sieve of at most 2^``SIEVE_BITS`` bits, before the join), and within a group (many small ones at a time) the exact join is DivideSkip (Li, Lu, Lu 2008),
 at every size: of a document's inverted lists, cut to the documents in reach by size, the L longest are set aside; the others are
 heap-merged, and documents on at least T - L of them are probed for in the long lists by binary search, keeping those that
 reach the overlap that both sizes require. Since a task's links leave it as the components they make, a document is not
@@ -60,7 +60,7 @@ SHINGLE, PERCENT = 4, 85
 STAGE_SHINGLE, STAGE_PERCENT = 5, 80  # of the pipeline's stage
 HOT, HOT_LEAST, HUB, BLOCK, AGAIN, PIVOTS, SLICE, CHUNK, SALTS = 1 << 18, 16, 4096, 256, 1024, 8, 1 << 19, 1 << 20, 16
 BITMAPS = ((600, 512), (2400, 2048), (9600, 8192), (1 << 62, 32768))  # up to so many shingles, so many bits
-PAIRS, COUNTED, PROBED, SKIP_MU = 1 << 18, 1 << 22, 16, 0.0085
+PAIRS, COUNTED, PROBED, SIEVE_BITS, SKIP_MU = 1 << 18, 1 << 22, 16, 28, 0.0085
 _TERMS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -473,12 +473,56 @@ def true_edges(grouped: DataFrame, parts: int, k: int, percent: int) -> DataFram
     return map_arrow(grouped.repartition(parts, "grp").sortWithinPartitions("grp", "doc_id"), run, "a long, b long").distinct()
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
+class Sieve:
+    """A set of ids in so many bits, by two hashes: it holds all that were put in, and few others."""
+
+    def __init__(self, bits: int):
+        self.bits, self.words = bits, np.zeros(bits // 64, np.uint64)
+
+    def seats(self, ids: np.ndarray) -> np.ndarray:
+        own = ids.astype(np.int64).view(np.uint64)
+        return np.concatenate([mix(own * np.uint64(2) + np.uint64(i)) & np.uint64(self.bits - 1) for i in (0, 1)])
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        at = self.seats(ids)
+        found = (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return found[: len(ids)] & found[len(ids) :]
+
+
+def sieve_of(nodes: DataFrame) -> Sieve:
+    """A sieve of the nodes (node), of SIEVE_BITS bits at most however many there are: with very many it lets more pass."""
+    n = nodes.count()
+    sieve = Sieve(1 << max(16, min(SIEVE_BITS, (12 * n).bit_length())))
+    part = min(sieve.bits, 1 << 19)  # bits that one row has
+
+    def put(batches):
+        for batch in batches:
+            at = np.unique(sieve.seats(batch.column("node").to_numpy(zero_copy_only=False)))
+            which = (at // np.uint64(part)).astype(np.int64)
+            for x in np.unique(which).tolist():
+                own = np.zeros(part, np.uint8)
+                own[(at[which == x] % np.uint64(part)).astype(np.int64)] = 1
+                yield pa.record_batch([pa.array([x]), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    def both(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": rows["part"][:1], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in rows["bits"]]).tobytes()]})
+
+    for row in map_arrow(nodes.select("node"), put, "part long, bits binary").groupBy("part").applyInPandas(both, "part long, bits binary").toLocalIterator():
+        sieve.words[row["part"] * part // 64 : (row["part"] + 1) * part // 64] = np.frombuffer(row["bits"], np.uint64)
+    return sieve
+
+
+def packed_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, packed text) of the documents among the nodes, and of few others: only these are shuffled."""
     import zstandard
 
+    held = docs.sparkSession.sparkContext.broadcast(sieve_of(nodes))
+
     def run(batches):
         press = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("doc_id")))
+            batch = batch.filter(pa.array(held.value.has(batch.column("doc_id").to_numpy(zero_copy_only=False))))
             yield pa.record_batch([batch.column("doc_id"), pa.array([press((x or "").encode()) for x in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "text"])
 
     return map_arrow(docs, run, "doc_id long, text binary")
@@ -544,7 +588,8 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         pairs = lists.where("node IS NULL").select("list", "doc_id").join(sizes, "doc_id")
         groups = connected(candidate_edges(pairs, percent).union(hubs))
 
-        links = group_links(packed_texts(docs), groups, ranges, k, percent, BLOCK, AGAIN)
+        texts = materialise(packed_texts(docs, groups), "ngram-texts")
+        links = group_links(texts, groups, ranges, k, percent, BLOCK, AGAIN)
 
         # Back to all documents, by digest; copies are dealt out over salts.
         salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")

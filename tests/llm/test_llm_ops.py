@@ -327,6 +327,13 @@ def test_runs_end_where_keys_end(most):
     assert list(ngram_join.runs_of([], "k", most)) == []
 
 
+def test_sieve_loses_none(spark):
+    ids = np.concatenate([np.arange(0, 5000, 7), [-5, 2**62, -(2**63)]])
+    sieve = ngram_join.sieve_of(spark.createDataFrame([(int(i),) for i in ids], "node long").repartition(3))
+    assert sieve.has(ids).all() and sieve.has(np.arange(10_000, 30_000)).mean() < 0.1
+    assert not ngram_join.sieve_of(spark.createDataFrame([], "node long")).has(ids).any()
+
+
 def test_packed_columns():
     rng = np.random.default_rng(0)
     for kind in ("u4", "u8", "i8"):
