@@ -240,7 +240,8 @@ def shared_lists(reps: DataFrame, ranges: int, percent: int, hub: int) -> DataFr
             doc_ids, n, posted = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "posted"))
             if not len(posted):
                 continue
-            keys = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.uint64)
+            # Sets without frequent shingles post their least hashes, so lists are dealt out by another hash.
+            keys = mix(np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.uint64))
             doc = np.repeat(np.arange(len(posted)), posted)
             place = np.arange(len(doc)) - segments(posted)[:-1][doc]
             order = np.argsort(keys, kind="stable")
