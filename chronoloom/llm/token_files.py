@@ -8,21 +8,27 @@ that an offset is found by a jump and a short scan of words with their popcounts
 their minimum) when they do not fall, which the writer sees to, after a bitmap-free count of leading nulls. The footer
 has the sizes, ends in the magic bytes, and is read first.
 
-*Writing.* Ranges of the ids' order come from approximate percentiles over the id column alone; a task encodes its rows,
+*Writing.* Ranges of the ids' order, one for each partition of the input, come from a sample of the id column alone (``CUTS``
+ids a range, ``MOST_CUTS`` in all: it decides where ranges end, not what they hold); a task encodes its rows,
 packs each document's ids (zstandard, for the shuffle only) and tells its range; rows go straight to the range's
-partition, are sorted there, and streamed to files of about ``FILE_TOKENS`` ids under names that no other attempt uses.
+partition, are sorted there, and streamed to files of about ``FILE_TOKENS`` ids (``FILE_DOCS`` documents at most) under names that no other attempt uses.
+An id that fills several ranges (a third of all rows may lack an id) is dealt out to them by the checksum of its documents' token ids.
 The committed manifest lists the files that count. A file's first offset is the sum of the files before it.
 
+*Reading.* A file is read in blocks of ``READ_DOCS`` documents: two selects find where a block's offsets stand in the high bits,
+and only these are taken apart, so what a reader holds grows neither with the file's documents nor its ids.
+
 *Encoding.* The tokenizer drops white space and never joins across it, so a batch is split at spaces and line ends, and
 the library encodes each distinct piece of the batch once; ids of documents are gathered from those of their pieces. The
 ids of pieces seen are kept from batch to batch, in a table of bounded size.
 
 Defined results. A null or empty text has the end id alone. Null ids come first. Repeated ids keep all their rows,
-ordered by their ids' bytes. An empty table writes no file. Only the id and text columns are read.
+ordered by their token ids' checksum and bytes. An empty table writes no file. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
+import array
 import functools
 import itertools
 import json
@@ -30,6 +36,7 @@ import struct
 import unicodedata
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .common import filesystem, input_partitions, map_arrow, materialise, new_path, ragged, segments, slices, table
 
-END_ID, SAMPLE, FILE_TOKENS, SLICE, MAX_RANGES, READ_IDS, KEPT, JOINED = 2, 256, 64 << 20, 8 << 20, 4096, 1 << 20, 400_000, 400
+END_ID, SAMPLE, FILE_TOKENS, FILE_DOCS, SLICE, CUTS, MOST_CUTS, READ_DOCS, READ_IDS, KEPT, JOINED = 2, 256, 64 << 20, 4 << 20, 8 << 20, 100, 1 << 22, 1 << 13, 1 << 20, 400_000, 400
 CLOSING = ".,;:!?#$%&*+-/=@^_`~()[]{}\"'\\"  # not those of which special tokens are made
 MAGIC = b"CLTOKEF1"
 MANIFEST = "shard int, seq int, path string, docs long, tokens long"
@@ -107,11 +114,19 @@ class EliasFano:
             raise IndexError(k)
         return ((self.select(k) - k) << self.low_bits) | int(self._low(np.array([k]))[0])
 
-    def decode(self) -> np.ndarray:
-        """All values."""
-        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
-        k = np.arange(self.n)
-        return ((ones - k).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(k)
+    def slice(self, start: int, end: int) -> np.ndarray:
+        """Values from start to below end: two selects tell which words of the high bits have their one bits, and these
+        words alone are taken apart."""
+        if not 0 <= start <= end <= self.n:
+            raise IndexError((start, end))
+        if start == end:
+            return np.empty(0, np.uint64)
+        first, last = self.select(start), self.select(end - 1)
+        words = self.high[first >> 6 : (last >> 6) + 1]
+        ones = np.flatnonzero(np.unpackbits(np.ascontiguousarray(words).view(np.uint8), bitorder="little")) + (first >> 6 << 6)
+        at = int(np.searchsorted(ones, first))
+        k = np.arange(start, end)
+        return ((ones[at : at + end - start] - k).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(k)
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<QQQQQ", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples))
@@ -129,28 +144,36 @@ class EliasFano:
 
 
 class TokenFileWriter:
+    """Streams ids, and keeps 16 bytes a document until the file is closed."""
+
     def __init__(self, stream, width: int):
         self.stream, self.kind = stream, "<u2" if width == 2 else "<u4"
-        self.width, self.lengths, self.doc_ids = width, [], []
+        self.width, self.nulls, self.tokens = width, 0, 0
+        self.offsets, self.doc_ids = array.array("q", [0]), array.array("q")
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if doc_id is not None:
+            self.doc_ids.append(doc_id)
+        elif self.doc_ids:
+            raise ValueError("null ids must come first")
+        else:
+            self.nulls += 1
         self.stream.write(ids.astype(self.kind).tobytes())
-        self.lengths.append(len(ids))
-        self.doc_ids.append(doc_id)
+        self.tokens += len(ids)
+        self.offsets.append(self.tokens)
 
     def close(self) -> tuple[int, int]:
         """Write what follows the ids; (documents, ids)."""
-        offsets = segments(np.array(self.lengths, np.int64))
-        nulls = sum(x is None for x in self.doc_ids)
-        if any(x is None for x in self.doc_ids[nulls:]):
-            raise ValueError("null ids must come first")
-        ids = np.array(self.doc_ids[nulls:], np.int64)
+        ids = np.frombuffer(self.doc_ids, np.int64)
         least = int(ids[0]) if len(ids) else 0
-        boundaries, doc_ids = EliasFano.encode(offsets).to_bytes(), EliasFano.encode(ids - least).to_bytes()
-        footer = json.dumps({"width": self.width, "docs": len(self.lengths), "tokens": int(offsets[-1]), "nulls": nulls, "least": least, "boundaries": len(boundaries), "doc_ids": len(doc_ids)}).encode()
+        boundaries, doc_ids = EliasFano.encode(np.frombuffer(self.offsets, np.int64)).to_bytes(), EliasFano.encode(ids - least).to_bytes()
+        footer = json.dumps({"width": self.width, "docs": len(self), "tokens": self.tokens, "nulls": self.nulls, "least": least, "boundaries": len(boundaries), "doc_ids": len(doc_ids)}).encode()
         self.stream.write(boundaries + doc_ids + footer + struct.pack("<I", len(footer)) + MAGIC)
         self.stream.close()
-        return len(self.lengths), int(offsets[-1])
+        return len(self), self.tokens
 
 
 class TokenFile:
@@ -179,8 +202,21 @@ class TokenFile:
     def __len__(self) -> int:
         return self.meta["docs"]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.meta["nulls"] + (self._ids.decode().astype(np.int64) + self.meta["least"]).tolist()
+    def doc_ids(self, start: int = 0, end: int | None = None) -> list[int | None]:
+        """Ids of documents from start to below end."""
+        end, nulls = len(self) if end is None else end, self.meta["nulls"]
+        own = self._ids.slice(max(0, start - nulls), max(0, end - nulls)).astype(np.int64) + self.meta["least"]
+        return [None] * max(0, min(end, nulls) - start) + own.tolist()
+
+    def blocks(self, docs: int = READ_DOCS, ids: int = READ_IDS) -> Iterator[tuple[int, np.ndarray]]:
+        """(first document, its n + 1 offsets) of consecutive blocks of documents, of about so many ids."""
+        for a in range(0, len(self), docs):
+            bounds = self.boundaries.slice(a, min(len(self), a + docs) + 1).astype(np.int64)
+            k = 0
+            while k < len(bounds) - 1:
+                to = max(k + 1, int(np.searchsorted(bounds, bounds[k] + ids, side="right")) - 1)
+                yield a + k, bounds[k : to + 1]
+                k = to
 
     def tokens(self, start: int, end: int) -> np.ndarray:
         return np.frombuffer(self._at(start * self.meta["width"], (end - start) * self.meta["width"]), self.kind)
@@ -313,9 +349,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "do
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranges = min(MAX_RANGES, input_partitions(docs))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 50 * ranges).alias("c")).first()["c"] if ranges > 1 else []
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    cuts = range_cuts(docs.select("doc_id"), input_partitions(docs))
 
     def encode(batches):
         tokenizer = _tokenizer(tokenizer_path)
@@ -326,8 +360,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "do
                 ids, at = encoder.encode(part.column("text"), end_id)
                 ids = ids.astype(kind)
                 own = part.column("doc_id")
-                shard = np.searchsorted(cuts, pc.fill_null(own, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
-                yield pa.record_batch([pa.array(shard.astype(np.int32)), own, pa.array([pack(ids[a:b].tobytes()) for a, b in itertools.pairwise(at.tolist())], pa.binary())], names=["shard", "doc_id", "ids"])
+                raw = [ids[a:b].tobytes() for a, b in itertools.pairwise(at.tolist())]
+                check = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw))
+                yield pa.record_batch([pa.array(shard_of(cuts, own, check)), own, pa.array(check), pa.array(map(pack, raw), pa.binary())], names=["shard", "doc_id", "check", "ids"])
 
     def write(batches):
         width = width_of(_tokenizer(tokenizer_path))
@@ -335,7 +370,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "do
         unpack = zstandard.ZstdDecompressor().decompress
         fs, root = filesystem(path)
         fs.create_dir(root, recursive=True)
-        out, done, name, n, seq, at = None, [], "", 0, 0, None
+        out, done, name, seq, at = None, [], "", 0, None
 
         def close():
             nonlocal out
@@ -345,22 +380,44 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "do
 
         for batch in batches:
             for shard, doc_id, ids in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if out is not None and (n >= file_tokens or shard != at):
+                if out is not None and (out.tokens >= file_tokens or len(out) >= FILE_DOCS or shard != at):
                     close()
                 if out is None:
                     seq = seq + 1 if shard == at else 0
-                    name, n, at = f"{uuid.uuid4().hex}.tok", 0, shard
+                    name, at = f"{uuid.uuid4().hex}.tok", shard
                     out = TokenFileWriter(fs.open_output_stream(f"{root}/{name}", compression=None, buffer_size=1 << 20), width)
-                own = np.frombuffer(unpack(ids), kind)
-                out.add(doc_id, own)
-                n += len(own)
+                out.add(doc_id, np.frombuffer(unpack(ids), kind))
         if out is not None:
             close()
         if done:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*done, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["shard", "seq", "path", "docs", "tokens"])
 
-    rows = map_arrow(docs, encode, "shard int, doc_id long, ids binary").repartitionById(len(cuts) + 1, "shard")
-    return materialise(map_arrow(rows.sortWithinPartitions("shard", "doc_id", "ids"), write, MANIFEST), "token-manifest")
+    rows = map_arrow(docs, encode, "shard int, doc_id long, check long, ids binary").repartitionById(len(cuts) + 1, "shard")
+    return materialise(map_arrow(rows.sortWithinPartitions("shard", "doc_id", "check", "ids"), write, MANIFEST), "token-manifest")
+
+
+def _keys(ids: pa.Array) -> np.ndarray:
+    """Ids in their order, null first."""
+    least = np.iinfo(np.int64).min
+    return np.where(ids.is_null().to_numpy(zero_copy_only=False), least, np.maximum(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), least + 1))
+
+
+def range_cuts(ids: DataFrame, ranges: int) -> np.ndarray:
+    """Where ranges - 1 of so many ranges of ids (doc_id) of about equal size end; an id that fills several is there as often."""
+    n = ids.count()
+    if ranges < 2 or not n:
+        return np.empty(0, np.int64)
+    share = min(1.0, min(CUTS * ranges, MOST_CUTS) / n)
+    sample = ids if share == 1.0 else ids.where(F.rand(11) < share)
+    keys = np.sort(_keys(pa.concat_arrays(sample.toArrow().column("doc_id").chunks or [pa.array([], pa.int64())])))
+    return keys[len(keys) * np.arange(1, ranges) // ranges] if len(keys) else keys
+
+
+def shard_of(cuts: np.ndarray, ids: pa.Array, check: np.ndarray) -> np.ndarray:
+    """The range of every row, in the order of (id, checksum): what equals several cuts is dealt out between them."""
+    keys = _keys(ids)
+    low, high = np.searchsorted(cuts, keys, side="left"), np.searchsorted(cuts, keys, side="right")
+    return (low + ((high - low + 1) * check >> 32) * (high > low)).astype(np.int32)
 
 
 def read_token_files(manifest: DataFrame, *, ids: bool = False) -> DataFrame:
@@ -375,18 +432,13 @@ def read_token_files(manifest: DataFrame, *, ids: bool = False) -> DataFrame:
                 fs, at = filesystem(uri)
                 with fs.open_input_file(at) as stream:
                     f = TokenFile(stream)
-                    bounds, own = f.boundaries.decode().astype(np.int64), f.doc_ids()
-                    k = 0
-                    while k < len(f):
-                        to = max(k + 1, int(np.searchsorted(bounds, bounds[k] + READ_IDS, side="right")) - 1)
-                        block, cuts = f.tokens(bounds[k], bounds[to]), (bounds[k : to + 1] - bounds[k]).tolist()
-                        wide = block.astype("<u4")
+                    for k, bounds in f.blocks():
+                        wide, cuts = f.tokens(bounds[0], bounds[-1]).astype("<u4"), (bounds - bounds[0]).tolist()
                         crc = [zlib.crc32(wide[a:b]) for a, b in itertools.pairwise(cuts)]
-                        columns = [pa.array(own[k:to], pa.int64()), pa.array(base + bounds[k:to]), pa.array(np.diff(bounds[k : to + 1])), pa.array(crc, pa.int64())]
+                        columns = [pa.array(f.doc_ids(k, k + len(crc)), pa.int64()), pa.array(base + bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())]
                         if ids:
                             columns.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(wide.astype(np.int32))))
                         yield pa.record_batch(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
-                        k = to
 
     return map_arrow(files.select("path", "base").repartition(max(1, min(10_000, manifest.count()))), run, schema)
 

@@ -153,7 +153,9 @@ def test_elias_fano():
     rng = np.random.default_rng(1)
     for values in ([], [0], [0, 0, 0], [5, 5, 9, 1000, 10**6, 10**12], np.sort(rng.integers(0, 10**7, 5000)), np.arange(10_000) * 3, np.full(1000, 7), [0] * 700 + [2**40]):
         e = token_files.EliasFano.from_bytes(token_files.EliasFano.encode(np.array(values, np.uint64)).to_bytes())
-        assert e.decode().tolist() == list(map(int, values))
+        n = len(values)
+        for a, b in {(0, n), (0, n // 2), (n // 3, n), (n // 2, n // 2), (n // 4, n // 4 + min(n, 3) // 3)}:
+            assert e.slice(a, b).tolist() == list(map(int, values[a:b]))
         assert all(e[k] == values[k] for k in range(0, len(values), max(1, len(values) // 300)))
     n = 10_000
     size = len(token_files.EliasFano.encode(np.sort(rng.integers(0, n * 1000, n))).to_bytes()) * 8 / n
@@ -201,6 +203,33 @@ def test_token_file_random_access():
     assert w.close() == (4, 304)
     r = token_files.TokenFile(f)
     assert r.doc_ids() == [None, -3, 7, 7] and [r.document(k).tolist() for k in range(4)] == [x for _, x in docs]
+    assert all(r.doc_ids(a, b) == [None, -3, 7, 7][a:b] for a in range(5) for b in range(a, 5))
+    for size, ids in ((1, 1), (2, 100), (3, 3), (9, 9)):
+        blocks = list(r.blocks(size, ids))
+        assert [int(x) for _, b in blocks for x in b[:-1]] == [0, 1, 1, 4] and [k for k, b in blocks for k in range(k, k + len(b) - 1)] == [0, 1, 2, 3]
+        assert all(len(b) == 2 or b[-1] - b[0] <= ids for _, b in blocks)
+    with pytest.raises(ValueError):
+        late = token_files.TokenFileWriter(Held(), 2)
+        late.add(1, np.array([1]))
+        late.add(None, np.array([1]))
+
+
+@pytest.mark.parametrize("hot", [None, 5, -(2**63)])
+def test_a_hot_id_fills_several_ranges(spark, monkeypatch, hot):
+    """Half of all rows have one id, or none: they are dealt out, and the order holds over all files."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(hot, f"text {i} of the same id") for i in range(300)] + [(i, "w " * (i % 7)) for i in range(-100, 100)] + [(None, "a"), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    cuts = token_files.range_cuts(df.select("doc_id"), 8)
+    assert len(cuts) == 7 and len(set(cuts.tolist())) < 6
+    manifest = token_files.write_token_files(df, path)
+    assert manifest.agg(F.max("docs")).first()[0] < 200
+    got = token_files.read_token_files(manifest, ids=True).orderBy("start").collect()
+    key = lambda i: (i is not None, i or 0)
+    assert [key(r["doc_id"]) for r in got] == sorted(key(i) for i, _ in rows)
+    tokenizer = token_files._tokenizer(path)
+    want = sorted((key(i), [*tokenizer.encode(t, add_special_tokens=False).ids, 2]) for i, t in rows)
+    assert sorted((key(r["doc_id"]), r["ids"]) for r in got) == want and [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]).tolist()
 
 
 # ---------------------------------------------------------------- n-gram join
