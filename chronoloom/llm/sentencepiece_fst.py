@@ -1,16 +1,22 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-A model file is compiled into a transducer from text to piece ids, the composition of
-
-* N, the normaliser: a space becomes U+2581, and one such mark stands before a text that is not empty;
-* P, the closure of all pieces as a trie, and of a byte fallback path for every character that is no piece;
-* G, what weighs a sequence of pieces. A unigram model weighs each piece by its negated score. A BPE model allows a
-  piece after another exactly if the model's merges, run over the two joined, end in just these two; then the weight is
-  zero, else infinite. A sequence of which all neighbours are allowed is the model's own segmentation, and every text has
-  exactly one; so one finite state for each position is kept, and the shortest path is found whatever the ranks are.
-
-Each input is composed with it position by position, and the shortest path is taken in the tropical semiring
-(min, +). Pieces that start with U+2581 have it only in front, so no path crosses the start of a run of marks, nor a
+A model file is compiled into one weighted transducer from characters to pieces, the composition N o P o G of
+
+* N, the normaliser, of two states: the start writes a mark (U+2581) before a text that is not empty, reading nothing; then a space
+  (or a mark) is read and a mark written, and any other character is copied;
+* P, the closure of all pieces: a trie whose states lead back to the start where a piece ends, with byte fallback as a further path
+  from the start: a character that is no piece is read, and the pieces of its UTF-8 bytes (or the unknown piece) are written;
+* G, the weights: states are last pieces, and an arc to the next piece has a weight. In a unigram model that is
+  the piece's negated score, whatever came before. In a BPE model it is zero if the model's merges, run over the
+  last piece and the next joined, end in just these two, else infinite: of all sequences of pieces with a text's
+  characters, exactly one has all its neighbours so, the model's own segmentation, and it has the least total weight.
+
+N and P are composed when the model is compiled (trie arcs read what the normaliser reads); G's arcs are weighed as they are
+met, and kept. An input is composed with the machine position by position, and the shortest path is taken in the tropical
+semiring (min, +) by relaxing arcs in order of position. In a BPE model at most one state of G has a finite weight at a position (every
+prefix has one segmentation), so a state is a position there too.
+
+Pieces that start with a mark have it only in front, so no path crosses the start of a run of spaces, nor a
 character that occurs in no longer piece, nor the end of a word where no piece has more after a letter (found out when
 the model is compiled): the transducer is back in its start state there. A text so falls into segments
 whose shortest paths are independent; a batch composes each distinct segment once, and ids of texts are gathered from
@@ -20,7 +26,7 @@ Decoding joins the pieces' bytes, turns the marks into spaces and drops the firs
 
 Defined results. A null or empty text has no ids and decodes to an empty text. Control pieces in a text are ordinary
 characters. A text that itself has U+2581 decodes to spaces in its place. Other normalisers than the one above (a model with a
-character map, or that removes spaces) are an error. Only the id and text columns are read.
+character map, or that removes spaces) are an error, and so are models with user-defined pieces, which are matched before all others. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -44,6 +50,55 @@ NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 SLICE, KEPT, LONG_SEGMENT, MEMO = 2 << 20, 300_000, 48, 300_000
 
 
+class Grammar:
+    """G: the weight of a piece after the last one. Arcs are weighed when they are first met."""
+
+    def __init__(self, score: dict[str, float], unigram: bool):
+        self.score, self.unigram = score, unigram
+        self.unknown = 10.0 - min(score.values())
+        self.least = min(0.0, *(-x for x in score.values())) if unigram else 0.0  # no arc weighs less
+        self.forget()
+
+    def forget(self) -> None:
+        """Let go of the arcs of last pieces; a worker may go on to other tasks."""
+        self._arcs: dict[str | None, dict[str, float]] = {}
+        self._kept = 0
+
+    def arcs(self, last: str | None) -> dict[str, float]:
+        """Weights known of what follows a piece (None: the start)."""
+        if self._kept >= MEMO:
+            self.forget()
+        last = None if self.unigram else last
+        found = self._arcs.get(last)
+        if found is None:
+            found = self._arcs[last] = {}
+        return found
+
+    def weigh(self, last: str | None, piece: str, arcs: dict[str, float]) -> float:
+        """The weight of an arc, which is entered among arcs."""
+        if self.unigram:
+            w = -self.score[piece] if piece in self.score else self.unknown
+        else:
+            w = 0.0 if self._merged((last or "") + piece) == ([piece] if last is None else [last, piece]) else math.inf
+        self._kept += 1
+        arcs[piece] = w
+        return w
+
+    def _merged(self, text: str) -> list[str]:
+        """The BPE model's own segmentation: join the neighbours whose join scores best, the leftmost of equals."""
+        parts, score = list(text), self.score
+        while len(parts) > 1:
+            best, at = -math.inf, -1
+            for i in range(len(parts) - 1):
+                s = score.get(parts[i] + parts[i + 1], -math.inf)
+                if s > best:
+                    best, at = s, i
+            if at < 0:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+
 class Transducer:
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -53,130 +108,78 @@ class Transducer:
         spec = m.normalizer_spec
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or m.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("this model's normaliser is not supported")
-        self.unigram = m.trainer_spec.model_type == 1
-        if not self.unigram and m.trainer_spec.model_type != 2:
+        if m.trainer_spec.model_type not in (1, 2):
             raise ValueError("unigram and BPE models only")
+        if any(p.type == USER for p in m.pieces):
+            raise ValueError("models with user-defined pieces are not supported")
         self.prefix = spec.add_dummy_prefix
         self.unknown_id = next(i for i, p in enumerate(m.pieces) if p.type == UNKNOWN)
-        self.ids = {p.piece: i for i, p in enumerate(m.pieces) if p.type in (NORMAL, USER)}
-        self.score = {p.piece: p.score for p in m.pieces if p.type in (NORMAL, USER)}
+        self.ids = {p.piece: i for i, p in enumerate(m.pieces) if p.type == NORMAL}
         self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
-        self.longest = max(map(len, self.ids))
-        self.unknown_weight = 10.0 - min(self.score.values())
         self.surface = [bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else b"" if p.type == 3 else " ⁇ ".encode() if p.type == UNKNOWN else p.piece.encode() for p in m.pieces]
-        self.trie = self._trie()
+        if any(MARK in p.lstrip(MARK) for p in self.ids):
+            raise ValueError("a piece spans a space")
+        self.start = self._compile()
+        self.grammar = Grammar({p.piece: p.score for p in m.pieces if p.type == NORMAL}, m.trainer_spec.model_type == 1)
         # Characters that stand alone on every path.
         joined = set(itertools.chain.from_iterable(p for p in self.ids if len(p) > 1))
         self.splits_at_line_end = "\n" not in joined
         self.splits_after_letters = not any(a.isalpha() and not b.isalpha() for p in self.ids for a, b in itertools.pairwise(p))
-        if any(MARK in p.lstrip(MARK) for p in self.ids):
-            raise ValueError("a piece spans a space")
-        self._arcs: dict[str | None, dict[str, bool]] = {}
-        self._kept = 0
 
     @functools.cache  # noqa: B019  one for each model
     def surfaces(self) -> pa.Array:
         """Bytes of every piece, then those of every piece that opens a text."""
         return pa.array([*self.surface, *(x.removeprefix(MARK.encode()) for x in self.surface)], pa.large_binary())
 
-    def _trie(self) -> dict:
-        """Nested arcs by character; under "" the piece that ends here."""
-        root: dict = {}
+    def _compile(self) -> dict:
+        """N o P but for the default arc of byte fallback: a state is its arcs by character read; under "" the piece written on the way
+        back to the start."""
+        start: dict = {}
         for piece in self.ids:
-            node = root
+            state = start
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = piece
-        return root
-
-    def merged(self, text: str) -> list[str]:
-        """The BPE model's own segmentation: join the neighbours whose join scores best, the leftmost of equals."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = -math.inf, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1], -math.inf)
-                if s > best:
-                    best, at = s, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _arc(self, before: str | None, piece: str, known: dict[str, bool]) -> bool:
-        """Whether the BPE grammar has an arc from one piece (None: the start) to the next; kept in known."""
-        self._kept += 1
-        ok = known[piece] = self.merged(piece) == [piece] if before is None else self.merged(before + piece) == [before, piece]
-        return ok
-
-    def forget(self) -> None:
-        """Let go of what was found out about pairs of pieces; a worker may go on to other tasks."""
-        self._arcs.clear()
-        self._kept = 0
+                arc = " " if c == MARK else c  # N writes a mark for what is read as a space
+                state = state.setdefault(arc, {})
+            state[""] = piece
+        return start
 
     def shortest(self, segment: str) -> list[str]:
-        """Pieces, and characters that are none, along the shortest path."""
-        last = self._by_weight(segment) if self.unigram else self._by_grammar(segment)
-        out, at = [], len(segment)
-        while at:
-            piece = last[at]
-            out.append(piece)
-            at -= len(piece)
-        return out[::-1]
-
-    def _by_grammar(self, segment: str) -> list[str | None]:
-        """The last piece of the one path of weight zero to every position."""
-        if self._kept >= MEMO:
-            self.forget()
-        n, trie, arcs = len(segment), self.trie, self._arcs
-        last: list[str | None] = [None] * (n + 1)
-        for i in range(n):
-            before = last[i]
-            if before is None and i:
-                continue
-            known = arcs.get(before)
-            if known is None:
-                known = arcs[before] = {}
-            node, single = trie, False
-            for j in range(i, n):
-                node = node.get(segment[j])
-                if node is None:
-                    break
-                piece = node.get("")
-                if piece is not None:
-                    if j == i:
-                        single = True
-                    if last[j + 1] is None:
-                        ok = known.get(piece)
-                        if ok or (ok is None and self._arc(before, piece, known)):
-                            last[j + 1] = piece
-            if not single and last[i + 1] is None:
-                c = segment[i]
-                ok = known.get(c)
-                if ok or (ok is None and self._arc(before, c, known)):
-                    last[i + 1] = c
-        return last
-
-    def _by_weight(self, segment: str) -> list[str | None]:
-        """The last piece of the lightest path to every position."""
-        n, score = len(segment), self.score
+        """What the shortest path writes: pieces, and characters that take byte fallback. The segment is composed with
+        the machine as it is read."""
+        n, start, grammar = len(segment), self.start, self.grammar
         weight: list[float] = [0.0] + [math.inf] * n
         last: list[str | None] = [None] * (n + 1)
         for i in range(n):
-            node, single = self.trie, False
+            base = weight[i]
+            if base == math.inf:
+                continue
+            before = last[i]
+            arcs = grammar.arcs(before)
+            lightest, state, alone = base + grammar.least, start, False
             for j in range(i, n):
-                node = node.get(segment[j])
-                if node is None:
+                state = state.get(segment[j])
+                if state is None:
                     break
-                piece = node.get("")
+                piece = state.get("")
                 if piece is not None:
-                    single = single or j == i
-                    w = weight[i] - score[piece]
-                    if w < weight[j + 1]:
-                        weight[j + 1], last[j + 1] = w, piece
-            if not single and weight[i] + self.unknown_weight < weight[i + 1]:
-                weight[i + 1], last[i + 1] = weight[i] + self.unknown_weight, segment[i]
-        return last
+                    alone = alone or j == i
+                    if lightest < weight[j + 1]:  # else no arc can relax the position
+                        w = arcs.get(piece)
+                        w = base + (grammar.weigh(before, piece, arcs) if w is None else w)
+                        if w < weight[j + 1]:
+                            weight[j + 1], last[j + 1] = w, piece
+            if not alone and lightest < weight[i + 1]:
+                c = MARK if segment[i] == " " else segment[i]
+                w = arcs.get(c)
+                w = base + (grammar.weigh(before, c, arcs) if w is None else w)
+                if w < weight[i + 1]:
+                    weight[i + 1], last[i + 1] = w, c
+        out, at = [], n
+        while at:
+            piece = last[at]
+            out.append(piece)
+            at -= len(piece)
+        return out[::-1]
 
     def encode_segment(self, segment: str) -> list[int]:
         ids: list[int] = []
@@ -226,17 +229,19 @@ class Encoder:
         col = col.fill_null("")
         if not pa.types.is_large_string(col.type):
             col = col.cast(pa.large_string())
-        text = pc.replace_substring(col, " ", MARK)
-        if fst.prefix:
-            text = pc.if_else(pc.equal(col, ""), "", pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), text, pa.scalar("", pa.large_string())))
-        # Cut before a mark that follows no mark, and on both sides of a line end. U+001E marks the cuts.
+        text = col
+        if pc.any(pc.match_substring(text, MARK)).as_py():
+            text = pc.replace_substring(text, MARK, " ")  # N reads both alike
+        if fst.prefix:  # N's first arc
+            text = pc.if_else(pc.equal(col, ""), "", pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), text, pa.scalar("", pa.large_string())))
+        # Cut before a space that follows none, and on both sides of a line end. U+001E marks the cuts.
         cut = "\x1e"
         if pc.any(pc.match_substring(text, cut)).as_py():
             return self._each(text.to_pylist())
-        text = pc.replace_substring(text, MARK, cut + MARK)
-        if pc.any(pc.match_substring(text, MARK + cut + MARK)).as_py():
-            text = pc.replace_substring(text, MARK + cut + MARK, MARK + MARK)
-            text = pc.replace_substring(text, MARK + cut + MARK, MARK + MARK)
+        text = pc.replace_substring(text, " ", cut + " ")
+        if pc.any(pc.match_substring(text, f" {cut} ")).as_py():
+            text = pc.replace_substring(text, f" {cut} ", "  ")
+            text = pc.replace_substring(text, f" {cut} ", "  ")
         if fst.splits_at_line_end:
             text = pc.replace_substring(text, "\n", f"{cut}\n{cut}")
         parts = pc.split_pattern(text, cut)
@@ -282,7 +287,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id"
                 if ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(own)))
                 yield pa.record_batch(columns, names=["doc_id", "n_tokens", "ids_crc32", "decoded_bytes", "round_trip", "ids"][: len(columns)])
-        encoder.fst.forget()
+        encoder.fst.grammar.forget()
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 

@@ -144,6 +144,42 @@ def test_other_normalisers_are_refused():
     m.normalizer_spec.remove_extra_whitespaces = True
     with pytest.raises(ValueError):
         sentencepiece_fst.Transducer(m.SerializeToString())
+    m.normalizer_spec.remove_extra_whitespaces = False
+    m.pieces[500].type = 4  # user-defined
+    with pytest.raises(ValueError):
+        sentencepiece_fst.Transducer(m.SerializeToString())
+
+
+def test_shortest_path_is_the_least_of_all():
+    """Against all sequences of pieces of short texts, weighed by the grammar on their own: BPE (one of weight zero) and unigram."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.ParseFromString(_model())
+    rng = random.Random(9)
+    for kind in (2, 1):
+        m.trainer_spec.model_type = kind
+        if kind == 1:
+            for p in m.pieces:
+                p.score = -rng.uniform(3, 20)
+        fst = sentencepiece_fst.Transducer(m.SerializeToString())
+
+        def paths(text):
+            if not text:
+                yield []
+            for k in range(1, len(text) + 1):
+                if text[:k] in fst.ids or (k == 1 and text[:1] not in fst.ids):
+                    yield from ([text[:k], *rest] for rest in paths(text[k:]))
+
+        def total(path):
+            return sum(fst.grammar.weigh(None if kind == 1 or not i else path[i - 1], x, {}) for i, x in enumerate(path))
+
+        for _ in range(40):
+            text = " " + "".join(rng.choices("thein ga漢", k=rng.randint(1, 9)))
+            by = sorted((total(p), p) for p in paths(text.replace(" ", "▁")))
+            assert total(fst.shortest(text)) == pytest.approx(by[0][0])
+            if kind == 2:
+                assert by[0][0] == 0 and by[0][1] == fst.shortest(text) and (len(by) == 1 or by[1][0] == math.inf)
 
 
 # ---------------------------------------------------------------- token files
