@@ -1,18 +1,19 @@
 """Quality classifier: attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE`` words. Every passage is encoded from the statistics of its bytes (which
-bytes, which kinds of byte follow each other) and the share of words that repeat the one before, and gated attention (Ilse, Tomczak, Welling 2018) learns from labels
+bytes, which kinds of byte follow each other), its words and pairs of words in hashed buckets (A-Z folded), and the share of words that repeat the
+one before, and gated attention (Ilse, Tomczak, Welling 2018) learns from labels
 of documents alone which passages matter: with h the passage's encoding,
 
     e = tanh(W h + b)        a = softmax over the bag of  w . (tanh(V e) * sigmoid(U e))        z = sum a e
 
 and the score is sigmoid(c . z + d), that z is a good document. Training is full gradient descent (Adam) in numpy on the
-driver, on passages of at most ``MAX_DOCS`` labelled documents (those whose hashed ids come first; of a longer document,
-``MAX_PASSAGES`` passages spread evenly over it): the model's fit has a bounded sample, while scoring takes every passage
+driver, on all passages of a bounded sample of labelled documents: of the first ``MAX_DOCS`` by hashed id, those that
+bring the sum of passages to ``MAX_PASSAGES`` at most, in that order (one that would exceed it is passed over). Scoring takes every passage
 of every text. Only the weights are broadcast.
 
 Defined results. A null or empty text is a bag of one empty passage. Rows with a null id are never trained on. Labels of a
-repeated doc_id count once, at their lowest quality. Without labels of both kinds the score is the share of good ones
+repeated doc_id count once, at their lowest quality; rows that repeat an id and its text are trained on once. Without labels of both kinds the score is the share of good ones
 (or one half without any label). Only the named columns are read.
 """
 
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_arrow, segments, slices, table, text_bytes, word_hashes, word_spans
+from .common import crc_mod, map_arrow, mix, segments, slices, table, text_bytes, word_count, word_hashes, word_spans
 
-PASSAGE, MAX_DOCS, MAX_PASSAGES, SLICE, THRESHOLD = 64, 4000, 32, 1 << 20, 0.3
+PASSAGE, MAX_DOCS, MAX_PASSAGES, SLICE, THRESHOLD = 64, 4000, 32_768, 1 << 20, 0.3
 HIDDEN, GATE, STEPS, RATE, DECAY, SEED = 24, 12, 250, 0.02, 1e-4, 7
-BYTES, KINDS = 136, 8  # ASCII on its own, others by their low bits; kinds of byte
-WIDTH = BYTES + KINDS * KINDS + 3
+BYTES, KINDS, WORDS = 136, 8, 64  # ASCII on its own, others by their low bits; kinds of byte; buckets of words, and of pairs
+WIDTH = BYTES + KINDS * KINDS + 2 * WORDS + 3
 
 
 @functools.cache
@@ -68,10 +69,16 @@ def encode_passages(col: pa.Array, passage: int = PASSAGE) -> tuple[np.ndarray,
         h[:, BYTES : BYTES + KINDS * KINDS] = np.bincount(pair[own[:-1] == own[1:]], minlength=at[-1] * KINDS * KINDS).reshape(-1, KINDS * KINDS)
     h = np.sqrt(h / np.maximum(size, 1)[:, None])
     held = np.minimum(passage, np.maximum(0, np.repeat(n, count) - order * passage))
-    if len(starts) > 1:  # words that repeat the one before
-        known = word_hashes(data, starts, ends)
+    if len(starts):
+        known, of = word_hashes(data, starts, ends, fold_case=True), own[starts]
+        near = np.flatnonzero(of[1:] == of[:-1])  # words that another of their passage follows
+        pair = mix(known[near] * np.uint64(3) + known[near + 1])
+        for k, (hashes, passages) in enumerate(((known, of), (pair, of[near]))):
+            a = BYTES + KINDS * KINDS + k * WORDS
+            share = np.bincount(passages * WORDS + (hashes >> np.uint64(32)).astype(np.int64) % WORDS, minlength=at[-1] * WORDS).reshape(-1, WORDS)
+            h[:, a : a + WORDS] = np.sqrt(share / np.maximum(held, 1)[:, None])
         again = np.flatnonzero(known[1:] == known[:-1]) + 1
-        h[:, -3] = np.bincount(own[starts[again]], minlength=at[-1]) / np.maximum(held, 1)
+        h[:, -3] = np.bincount(of[again], minlength=at[-1]) / np.maximum(held, 1)
     h[:, -2] = np.log1p(held)
     h[:, -1] = size / np.maximum(held, 1) / 10
     return h, at
@@ -145,25 +152,34 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, max_passages: int = MAX_PASSAGES) -> Model:
-    """labels (doc_id, quality). Executors encode the sampled documents; their passages come to the driver, at most
-    max_docs x max_passages of them."""
+    """labels (doc_id, quality). The driver chooses among max_docs documents by their sizes; executors encode the chosen ones, and
+    max_passages passages at most come to the driver."""
     labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    sample = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).select(F.col("doc_id").alias("_id"), "label")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id").select("_id", "label", "text")
+    order = (F.xxhash64("_id"), F.col("_id"))
+    sample = labels.select(F.col("doc_id").alias("_id"), "label").orderBy(*order).limit(max_docs)
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id").withColumn("_text", F.xxhash64("text"))
+    passages = F.greatest(F.ceil(word_count(F.col("text")) / PASSAGE), F.lit(1))
+    sizes = own.select("_id", "_text", passages.alias("n")).distinct().orderBy(*order, "_text").limit(max_docs).collect()
+    chosen, total = [], 0
+    for r in sizes:
+        if total + r["n"] <= max_passages:
+            chosen.append((r["_id"], r["_text"]))
+            total += r["n"]
+    if not chosen:
+        return train(np.empty((0, WIDTH)), np.zeros(1, np.int64), np.empty(0))
+    chosen = docs.sparkSession.createDataFrame(chosen, f"_id {dict(own.dtypes)['_id']}, _text long")
+    rows = own.join(F.broadcast(chosen), ["_id", "_text"]).groupBy("_id", "_text").agg(F.first("label").alias("label"), F.first("text").alias("text"))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 h, at = encode_passages(part.column("text"))
-                kept = []
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    own = np.arange(a, b) if b - a <= max_passages else a + np.arange(max_passages) * (b - a) // max_passages
-                    kept.append(h[own].astype("<f4").tobytes())
-                yield pa.record_batch([part.column("_id"), part.column("label"), pa.array(kept, pa.binary())], names=["_id", "label", "passages"])
+                kept = [h[a:b].astype("<f4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.record_batch([part.column("_id"), part.column("_text"), part.column("label"), pa.array(kept, pa.binary())], names=["_id", "_text", "label", "passages"])
 
-    got = map_arrow(rows, run, rows.drop("text").schema.add("passages", "binary")).toPandas().sort_values(["_id", "label"], kind="stable")
+    got = map_arrow(rows, run, rows.drop("text").schema.add("passages", "binary")).toPandas().sort_values(["_id", "_text"], kind="stable")
     bags = [np.frombuffer(x, "<f4").reshape(-1, WIDTH) for x in got["passages"]]
-    h = np.concatenate(bags).astype(np.float64) if bags else np.empty((0, WIDTH))
+    h = np.concatenate(bags).astype(np.float64)
     return train(h, segments(np.array([len(x) for x in bags], np.int64)), got["label"].to_numpy(dtype=np.float64))
 
 

@@ -572,6 +572,93 @@ def test_mil_held_out_accuracy(spark):
     assert len(got) > 50 and sum(r["predicted"] == r["quality"] for r in got) / len(got) > 0.95 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def plain_hash(word):
+    """Of a word's bytes, in whole numbers."""
+    codes = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64).tolist()
+    base, full = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    return plain_mix((sum(codes[b] * pow(base, i, 1 << 64) for i, b in enumerate(word)) + len(word)) & full)
+
+
+def plain_mix(h):
+    full = (1 << 64) - 1
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ h >> 33) * factor & full
+    return h ^ h >> 33
+
+
+def plain_passages(text, per=64):
+    """Encodings of a text's passages, byte by byte and word by word."""
+    raw = (text or "").encode()
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    groups = [words[i : i + per] for i in range(0, len(words), per)] or [[]]
+    cuts = [0, *(g[0][0] for g in groups[1:]), len(raw)]
+    marks = ".,;:?'\"-()"
+
+    def kind(b):
+        c = chr(b)
+        return 7 if b > 127 else 0 if c in " \t\r\v\f" else 1 if c == "\n" else 2 if c.islower() else 3 if c.isupper() else 4 if c.isdigit() else 5 if c in marks else 6
+
+    out = []
+    for (a, b), g in zip(itertools.pairwise(cuts), groups, strict=True):
+        part, v = raw[a:b], np.zeros(quality_mil.WIDTH)
+        for x in part:
+            v[x if x < 128 else 128 + x % 8] += 1
+        for x, y in itertools.pairwise(part):
+            v[136 + kind(x) * 8 + kind(y)] += 1
+        v[:200] = np.sqrt(v[:200] / max(1, len(part)))
+        keys = [plain_hash(raw[s:e].lower()) for s, e in g]
+        for x in keys:
+            v[200 + (x >> 32) % 64] += 1
+        for x, y in itertools.pairwise(keys):
+            v[264 + (plain_mix((x * 3 + y) & ((1 << 64) - 1)) >> 32) % 64] += 1
+        n = max(1, len(g))
+        v[200:328] = np.sqrt(v[200:328] / n)
+        first = words.index(g[0]) if g else 0
+        v[328] = sum(i > 0 and raw[slice(*words[i])].lower() == raw[slice(*words[i - 1])].lower() for i in range(first, first + len(g))) / n
+        v[329:] = math.log1p(len(g)), len(part) / n / 10
+        out.append(v)
+    return out
+
+
+def test_mil_encoding_by_brute_force(spark, sf_dir):
+    rng = random.Random(4)
+    texts = [t for _, t in documents(spark, sf_dir)[:25]] + [None, "", "  \n", "a A a", "é" * 50, " ".join(rng.choices(["a", "B", "c1", "Δx", "!?"], k=300))]
+    h, at = quality_mil.encode_passages(pa.array(texts))
+    for i, t in enumerate(texts):
+        want = plain_passages(t)
+        assert at[i + 1] - at[i] == len(want) and np.allclose(h[at[i] : at[i + 1]], want, atol=1e-9)
+
+
+def test_mil_forward_by_brute_force():
+    rng = np.random.default_rng(1)
+    model = quality_mil.Model(5, rng)
+    x, at = rng.normal(size=(7, 5)), [0, 3, 4, 7]
+    w = {k: v.tolist() for k, v in model.w.items()}
+    dot = lambda a, m, j: sum(p * row[j] for p, row in zip(a, m, strict=True))
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    for bag, (a, b) in enumerate(itertools.pairwise(at)):
+        e = [[math.tanh(dot(row, w["W"], j) + w["b"][j]) for j in range(len(w["b"]))] for row in x[a:b].tolist()]
+        gated = [[math.tanh(dot(v, w["V"], j)) * sigmoid(dot(v, w["U"], j)) for j in range(len(w["a"]))] for v in e]
+        power = [math.exp(dot(v, w["a"], 0)) for v in gated]
+        z = [sum(p * v[j] for p, v in zip(power, e, strict=True)) / sum(power) for j in range(len(e[0]))]
+        assert model.forward(x, np.array(at))["y"][bag] == pytest.approx(sigmoid(dot(z, w["c"], 0) + w["d"][0]))
+
+
+def test_mil_sample_is_of_whole_documents(spark, monkeypatch):
+    """The bound on passages leaves out documents, never parts of one; copies of a labelled row count once."""
+    rows = [(i, " ".join(f"w{j}" for j in range(64 * (1 + i % 5)))) for i in range(30)] + [(3, "other text")] + [(4, "copy")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    seen = {}
+    monkeypatch.setattr(quality_mil, "train", lambda h, at, label: seen.update(h=h, at=at, label=label))
+    quality_mil.fit(docs, labels)
+    assert len(seen["label"]) == 32 and len(seen["h"]) == sum(1 + i % 5 for i in range(30)) + 2
+    quality_mil.fit(docs, labels, max_passages=20)
+    assert 16 < len(seen["h"]) <= 20 and set(np.diff(seen["at"])) <= {1, 2, 3, 4, 5}
+    quality_mil.fit(docs, labels, max_docs=4)
+    assert len(seen["label"]) == 4
+
+
 def test_mil_passages_cover_whole_texts():
     text = " ".join(f"word{i}" for i in range(1000))
     h, at = quality_mil.encode_passages(pa.array([text, None, "", "one"]))
