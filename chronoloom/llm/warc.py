@@ -15,7 +15,11 @@ record's header is parsed as soon as it is complete, its content is framed by Co
 never held, unless payloads are asked for. The reader raises on a wrong version line, a missing field, a truncated
 record, trailing bytes in a member, or a digest that does not match.
 
-Defined results. A null or empty html is an empty payload. Rows that repeat the smallest page id of a payload are all
+``verified`` also holds every revisit against the response it refers to: pairs of page id and digest that no response has are
+an error. Pairs are made distinct before they meet the responses, so a page that very many refer to is one row.
+
+Defined results. In a URL, line ends are written as %0D and %0A, and blanks at its ends as their codes, so that it stays one header
+value; a null URL is read back as an empty one. A null or empty html is an empty payload. Rows that repeat the smallest page id of a payload are all
 responses; a row without a page id is a revisit of one that has one. An empty table gives no archives and no records.
 """
 
@@ -45,6 +49,15 @@ RECORDS = "page_id long, url string, record_type string, refers_to long, payload
 # ---------------------------------------------------------------- records
 
 
+def header_value(url: str) -> str:
+    """A URL on one line, without blanks at its ends."""
+    url = url.replace("\r", "%0D").replace("\n", "%0A")
+    inner = url.strip(" \t\x0b\x0c")
+    at = url.find(inner) if inner else len(url)
+    coded = lambda blanks: "".join(f"%{ord(c):02X}" for c in blanks)
+    return coded(url[:at]) + inner + coded(url[at + len(inner) :])
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, payload_bytes: int, digest: str, refers_to: int | None) -> bytes:
     """One gzip member. refers_to: write a revisit of that page, without the payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % payload_bytes
@@ -52,7 +65,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, payload_bytes:
         ("WARC-Type", "response" if refers_to is None else "revisit"),
         ("WARC-Record-ID", f"<{PREFIX}{'' if page_id is None else page_id}>"),
         ("WARC-Date", DATE),
-        ("WARC-Target-URI", "" if url is None else "".join(url.split("\r")).replace("\n", "")),
+        ("WARC-Target-URI", header_value(url or "")),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("Content-Type", "application/http; msgtype=response"),
     ]
@@ -243,6 +256,16 @@ def read_warc(manifest: DataFrame, *, payloads: bool = False, partitions: int |
     return map_arrow(manifest.select("path").repartition(partitions), run, RECORDS)
 
 
+def verified(manifest: DataFrame) -> DataFrame:
+    """The records of the listed archives, without payloads, once every revisit agrees with a response."""
+    records = materialise(read_warc(manifest).drop("payload"), "warc-records", keep=True)
+    asked = records.where("record_type <> 'response'").select("refers_to", "payload_digest").distinct()
+    held = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest")
+    if (bad := asked.join(held, ["refers_to", "payload_digest"], "left_anti").first()) is not None:
+        raise WarcError(f"a revisit refers to page {bad['refers_to']} for {bad['payload_digest']}, which no response has")
+    return records
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     names = ("page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload")
@@ -251,7 +274,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return read_warc(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return verified(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP1_SQL = """
