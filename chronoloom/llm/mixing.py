@@ -1,32 +1,36 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations alone.
 
-Every document of a source is queued in a shuffled order (by a seeded md5 of its id), then all of them once more: a
+Every document of a source is queued in a shuffled order (by a seeded md5 of its id and text), then all of them once more: a
 document may be taken twice at most. An entry's *virtual finish time* is the number of words its source has queued up to
 and including it, divided by the source's target. All entries are then put in order of finish time over all sources, and
-the order is cut where the budget is used up. A source that is served at its target's pace finishes its target at time
+the order is cut where the budget, a whole number of words, is used up. A source that is served at its target's pace finishes its target at time
 1, so each source's share comes near its target, to within a document or so.
 
-No task holds a source: running sums are taken in two levels (4096 ranges of the shuffle order within each source, then
-inside one range), and so is the cut (ranges of the finish time, then inside the one range where the budget ends).
+No task holds a source: running sums are taken in two levels (ranges of the shuffle order within each source, then
+inside one range), and so is the cut (ranges of the finish time, then inside the one range where the budget ends). There are
+4096 ranges, 16 times as many for every 16-fold of partitions beyond that. Only tables with a row a source go through one task.
 
 Defined results. A null text has size 0; a document of size 0 is never taken. A null source is a source of its own, the
-last. A null id is shuffled as the text "null". Repeated rows are separate entries. An empty table gives an empty result.
+last. A null id is shuffled as the text "null", so rows without one are told apart by their texts. Repeated rows are separate entries. An empty table gives an empty result.
 Only the named columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, materialise, shielded, table, word_count
+from .common import Scratch, input_partitions, keyed, materialise, shielded, table, word_count
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST_COPIES = 2
 SEED = "mix-1"
-TIME_RANGES = 4096  # ranges of the finish time from 0 to 1; later ones end at LAST_TIME
-LAST_TIME = 4
+DIGITS = 3  # hexadecimal, of the number of ranges: of the shuffle order, and of the finish time from 0 to 1
+LAST_TIME = 4  # where ranges of the finish time end
 
 
 def targets(per_source: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST_COPIES) -> DataFrame:
@@ -56,12 +60,19 @@ def _key(source: Column) -> Column:
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST_COPIES, seed: str = SEED, row_col: str | None = None) -> DataFrame:
     """Per document: (doc_id, source, size, source_size, target, taken), and row_col, if given."""
-    row = [row_col] if row_col else []
-    size = word_count(F.col(text_col)) if size is None else size
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), draw.alias("draw"), *row)
-    sized = materialise(sized.withColumn("range", F.substring("draw", 1, 3)).withColumn("key", _key(F.col("source"))), "mix-sizes")
-
+    with Scratch(docs.sparkSession):
+        row = [row_col] if row_col else []
+        size = word_count(F.col(text_col)) if size is None else size
+        draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+        sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), draw.alias("draw"), *row)
+        sized = materialise(sized.withColumn("key", _key(F.col("source"))), "mix-sizes")
+        return _mix(sized, row, weights, budget, most)
+
+
+def _mix(sized: DataFrame, row: list[str], weights, budget: float, most: int) -> DataFrame:
+    digits = max(DIGITS, math.ceil(math.log(input_partitions(sized), 16)))
+    n_ranges = 16**digits
+    sized = sized.withColumn("range", F.substring("draw", 1, digits))
     ranges = sized.groupBy("key", "range").agg(F.sum("size").alias("range_size"), F.first("source").alias("source"))
     per_source = ranges.groupBy("key").agg(F.sum("range_size").alias("source_size"), F.first("source").alias("source"))
     goal = targets(per_source.select("source", "source_size"), weights, budget, most)
@@ -71,15 +82,16 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     inside = Window.partitionBy("key", "range").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     queued = sized.join(ranges, ["key", "range"]).withColumn("queued", F.col("before") + F.sum("size").over(inside))
-    queued = materialise(queued.select("doc_id", "source", "size", "source_size", "target", "key", "draw", "queued", *row), "mix-queue")
+    queued = materialise(queued.select("doc_id", "source", "size", "source_size", "target", "key", "draw", "queued", *row), "mix-queue", keep=True)
 
     can = (F.col("size") > 0) & (F.col("target") > 0)
     times = [F.when(can, (F.lit(k) * F.col("source_size") + F.col("queued")) / F.col("target")) for k in range(most)]
-    span = lambda t: F.least(F.floor(t * TIME_RANGES), F.lit(LAST_TIME * TIME_RANGES)).cast("long")
+    span = lambda t: F.least(F.floor(t * n_ranges), F.lit(LAST_TIME * n_ranges)).cast("long")
     entries = queued.select("doc_id", "size", "target", "key", "draw", F.posexplode(F.array(*times)).alias("copy", "time")).where("time IS NOT NULL").withColumn("span", span(F.col("time")))
 
     # One row each comes to the driver: the budget, the range of finish times where it ends, and the last entry taken.
-    total = goal.agg(F.sum("target").alias("b")).first()["b"] or 0.0
+    words = goal.agg(F.sum("source_size").alias("n")).first()["n"] or 0
+    total = min(math.floor(Fraction(str(budget)) * words), most * words)  # what the targets add up to, without their rounding
     upto = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spans = entries.groupBy("span").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(upto))
     cut = spans.where(F.col("upto") > F.lit(total)).orderBy("span").limit(1).select("span", (F.col("upto") - F.col("n")).alias("used")).first()
@@ -108,7 +120,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: every row as many times as it is taken, in the columns of docs. Rows are told apart by a key of the
     stage's own, so rows without an id, or that share one, are each taken as often as the mix says."""
     docs, named = shielded(docs, "doc_id", "text", "source")
-    docs = keyed(docs, "mix-rows")
+    docs = keyed(docs, "mix-rows", keep=True)
     taken = mix(docs.select("_row", "doc_id", "text", "source"), row_col="_row").where("taken > 0").select("_row", (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
     return named(docs.join(taken, "_row").withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
 
@@ -116,7 +128,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS draw
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS draw
   FROM documents),
 per_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (
@@ -143,7 +155,7 @@ entries AS (
 ordered AS (
   SELECT *, sum(size) OVER (ORDER BY finish, key, draw, doc_id, k, size ROWS UNBOUNDED PRECEDING) AS upto FROM entries),
 picked AS (
-  SELECT doc_id, draw, queued, key, sum(size) AS taken FROM ordered WHERE upto <= (SELECT sum(target) FROM goal) GROUP BY ALL)
+  SELECT doc_id, draw, queued, key, sum(size) AS taken FROM ordered WHERE upto <= (SELECT least(floor(1.5 * sum(source_size)), 2 * sum(source_size)) FROM goal) GROUP BY ALL)
 SELECT q.doc_id, q.size, q.source_size, round(q.target, 6) AS target, CAST(coalesce(p.taken, 0) AS BIGINT) AS taken
 FROM queued q LEFT JOIN picked p ON p.doc_id IS NOT DISTINCT FROM q.doc_id AND p.key = q.key AND p.queued = q.queued AND q.size > 0
 """
