@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, shielded, table
 
-RISK, ERROR, MAX_STRATA, POOLED = 0.05, 0.05, 64, "(other)"
+RISK, ERROR, MAX_STRATA, POOLED = 0.05, 0.05, 4096, "(other)"
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 #: Cutoffs from lenient to strict; a level rejects a document whose measure is above the cutoff.
 GRIDS = {
@@ -178,13 +178,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that the rules reject, in the columns of docs. The text is measured once for the cutoffs and
-    once more where the verdict is passed, instead of being shuffled to meet its verdict."""
+    """docs without those that the rules reject, in the columns of docs. Texts are measured once: rows are written with their
+    verdict's measures, and read again for the cutoffs (without the texts) and to be kept or left out."""
     docs, restored = shielded(docs, "doc_id", "text", "lang")
-    small = with_measures(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", "base_failed", "reject_level")
-    small = materialise(small, "quality-measures")
-    cuts = materialise(cutoffs(labelled_good(small, table(spark, sf_dir, "labels"))), "quality-cutoffs")
-    return restored(with_verdict(with_measures(docs), cuts).where("kept"))
+    measured = with_measures(docs).select(*docs.columns, "base_failed", "reject_level")
+    measured = materialise(measured, "quality-measured", keep=True)
+    cuts = materialise(cutoffs(labelled_good(measured, table(spark, sf_dir, "labels"))), "quality-cutoffs", keep=True)
+    return restored(with_verdict(measured, cuts).where("kept"))
 
 
 def _oracle() -> str:
@@ -201,8 +201,9 @@ WITH words AS (
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
          row_number() OVER () AS row
   FROM documents),
-windows AS (SELECT row, unnest(range(1, len(w) - {WINDOW - 2})) AS i, w FROM words WHERE len(w) >= {WINDOW}),
-grams AS (SELECT row, i, list_slice(w, i, i + {WINDOW - 1}) AS g FROM windows),
+placed AS (SELECT row, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS last FROM words WHERE len(w) >= {WINDOW}),
+windows AS (SELECT row, i, last, concat_ws(' ', x, {", ".join(f"lead(x, {k}) OVER p" for k in range(1, WINDOW))}) AS g FROM placed WINDOW p AS (PARTITION BY row ORDER BY i)),
+grams AS (SELECT row, i, g FROM windows WHERE i <= last - {WINDOW - 1}),
 repeated AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS n FROM grams) WHERE n > 1),
 covered AS (SELECT row, count(DISTINCT i + k) AS n FROM repeated, range(0, {WINDOW}) AS r(k) GROUP BY row),
 base AS (
