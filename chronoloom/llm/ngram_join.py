@@ -619,17 +619,21 @@ def dedupe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 OP5_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-         ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) END AS s FROM w),
-class AS (SELECT s, min(doc_id) AS rep FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0 AND doc_id IS NOT NULL) GROUP BY s),
-shingle AS (SELECT rep, len(s) AS n, hash(unnest(s)) AS h FROM class),
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+words AS (SELECT row, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+grams AS (
+  SELECT row, n, i, concat_ws(' ', x, lead(x, 1) OVER p, lead(x, 2) OVER p, lead(x, 3) OVER p) AS g FROM words WINDOW p AS (PARTITION BY row ORDER BY i)),
+held AS (SELECT row, list_sort(list(DISTINCT hash(g))) AS s FROM grams WHERE i <= n - 3 OR (n < 4 AND i = 1) GROUP BY row),
+sets AS (SELECT doc_id, coalesce(s, []) AS s FROM w LEFT JOIN held USING (row)),
+class AS (SELECT s, min(doc_id) AS rep FROM sets WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY s),
+shingle AS (SELECT rep, len(s) AS n, unnest(s) AS h FROM class),
 pair AS (SELECT a.rep AS a, b.rep AS b, count(*) AS o, any_value(a.n + b.n) AS n FROM shingle a JOIN shingle b ON a.h = b.h AND a.rep < b.rep GROUP BY a.rep, b.rep),
 link AS (SELECT a, b FROM pair WHERE 100 * o >= 85 * (n - o)),
 both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach(node, found) AS (SELECT rep, rep FROM class UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.found),
 root AS (SELECT node, min(found) AS component_id FROM reach GROUP BY node)
 SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, CASE WHEN d.doc_id IS NOT NULL THEN coalesce(root.component_id, d.doc_id) END AS component_id
-FROM sets d LEFT JOIN class ON class.s = list_sort(d.s) LEFT JOIN root ON root.node = class.rep
+FROM sets d LEFT JOIN class ON class.s = d.s LEFT JOIN root ON root.node = class.rep
 """

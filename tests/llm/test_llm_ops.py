@@ -56,6 +56,27 @@ def test_warc_payloads_and_rolled_archives(spark, sf_dir):
     assert got and all(want[k] == (u, bytes(p)) for k, (u, p) in got.items())
 
 
+def test_warc_revisits_are_held_against_their_responses(spark, tmp_path):
+    import hashlib
+
+    body = b"y" * 300
+    good = hashlib.sha256(body).hexdigest()
+    for name, digest, to, ok in (("a", good, 1, True), ("b", "deadbeef" * 8, 1, False), ("c", good, 9, False)):
+        (tmp_path / name).write_bytes(warc.record(1, "u", body, 300, good, None) + warc.record(2, "u", b"", 300, digest, to))
+        manifest = spark.createDataFrame([(f"file://{tmp_path}/{name}",)], "path string")
+        if ok:
+            assert warc.verified(manifest).count() == 2
+        else:
+            with pytest.raises(warc.WarcError):
+                warc.verified(manifest)
+
+
+def test_warc_urls_stay_one_header_value():
+    for url, want in (("http://a/\r\nX: y", "http://a/%0D%0AX: y"), (" a b\t", "%20a b%09"), ("  ", "%20%20"), ("", ""), ("ü", "ü")):
+        (r,) = warc.Reader(io.BytesIO(warc.record(1, url, b"", 0, "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855", None)))
+        assert r.fields["warc-target-uri"] == want and "x" not in r.fields
+
+
 # ---------------------------------------------------------------- quality rules
 
 
@@ -666,13 +687,34 @@ def test_mil_passages_cover_whole_texts():
     assert quality_mil.train(np.empty((0, quality_mil.WIDTH)), np.array([0]), np.empty(0)).constant == 0.5
 
 
+def plain_ngrams(text, buckets=1 << 14):
+    """Features of a text's 1- to 3-grams, character by character."""
+    full, out = 0xFFFFFFFF, []
+    chars = [c if c.isalpha() else " " for c in f" {text.lower()}  "] if text else []
+    for i in range(len(chars) - 2):
+        if "".join(chars[i : i + 3]).strip(" "):
+            h = 0
+            for c, factor in zip(chars[i : i + 3], (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35), strict=True):
+                h = (h ^ ord(c)) * factor & full
+                h ^= h >> 15
+                out.append((h * 0x27D4EB2F & full) >> 32 - (buckets.bit_length() - 1))
+    return out
+
+
+def test_langid_ngrams_by_brute_force(spark, sf_dir):
+    texts = [t for _, t in documents(spark, sf_dir)[:40]] + [None, "", "x", "ab", "İstanbul ẞ", "漢字 🎉 a", "1 2 3", "a\n\nb", "über der"]
+    features, at, has = langid.ngrams(texts)
+    for i, t in enumerate(texts):
+        assert features[at[i] : at[i + 1]].tolist() == plain_ngrams(t) and has[i] == any(c.isalpha() for c in (t or "").lower())
+
+
 def test_langid_counts_and_scores_by_brute_force(spark):
     docs = [("de", "Über die Brücke, über"), ("en", "over the bridge"), ("en", "the over"), (None, "x"), ("fr", None), ("de", "über 12 der")]
     df = spark.createDataFrame(docs, "lang string, text string")
     counts = collections.Counter()
     for lang, t in docs:
         if lang and t:
-            counts.update((lang, int(f)) for f in langid.ngrams([t])[0])
+            counts.update((lang, f) for f in plain_ngrams(t))
             counts[lang, -1] += 1
     assert {(r["lang"], r["bucket"]): r["n"] for r in langid.train_counts(df).collect()} == counts
     langs, prior, logp = langid.fit(df)
