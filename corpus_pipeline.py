@@ -8,6 +8,13 @@ docs. All but the last return the columns of documents. Tables other than docume
 3. n-gram Jaccard join: of every component of near copies, the document with the smallest id stays.
 4. mixing sources to target weights: a document appears as often as the mix takes it, twice at most; untaken ones go.
 5. SentencePiece encoding: the ids of every row, with their count and checksum, and whether they decode to the text.
+
+Defined results. A null or empty text, or one without a letter, goes in stage 1. A null language has no cutoffs of its own, a null
+source is a source. Rows without an id, or that share one, are told apart by keys of the stages' own and each meet their own
+verdict; of rows that are near copies, one without an id stays only if none has one. Repeated rows are copies of one text, so one stays,
+and may then be taken twice. Columns beside those named pass through, whatever their names. An empty table gives no rows.
+
+What a stage writes on its way is deleted once its own result is written.
 """
 
 from __future__ import annotations
@@ -31,5 +38,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with common.Scratch(spark):
+            docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
