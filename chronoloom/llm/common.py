@@ -86,7 +86,7 @@ def materialise(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     scope it is written in."""
     path = new_path(df.sparkSession, name)
     Scratch.enter(path, keep)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -60,7 +60,7 @@ SHINGLE, PERCENT = 4, 85
 STAGE_SHINGLE, STAGE_PERCENT = 5, 80  # of the pipeline's stage
 HOT, HOT_LEAST, HUB, BLOCK, AGAIN, PIVOTS, SLICE, CHUNK, SALTS = 1 << 18, 16, 4096, 256, 1024, 8, 1 << 19, 1 << 20, 16
 BITMAPS = ((600, 512), (2400, 2048), (9600, 8192), (1 << 62, 32768))  # up to so many shingles, so many bits
-PAIRS, COUNTED, PROBED, SIEVE_BITS, SKIP_MU = 1 << 18, 1 << 22, 16, 28, 0.0085
+PAIRS, COUNTED, PROBED, SIEVE_BITS, SKIP_MU = 1 << 18, 1 << 20, 16, 28, 0.0085
 _TERMS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
