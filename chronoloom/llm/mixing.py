@@ -122,7 +122,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs, named = shielded(docs, "doc_id", "text", "source")
     docs = keyed(docs, "mix-rows", keep=True)
     taken = mix(docs.select("_row", "doc_id", "text", "source"), row_col="_row").where("taken > 0").select("_row", (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    return named(docs.join(taken, "_row").withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
+    # A sort-merge join at every size: what is taken grows with the rows.
+    return named(docs.join(taken.hint("merge"), "_row").withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
 
 
 OP9_SQL = r"""

@@ -614,7 +614,8 @@ def dedupe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
     ids = docs.select("_row", order.alias("order"))
     kept = component.join(ids, "_row").groupBy("component_id").agg(F.min("order")["_row"].alias("_row"))
-    return named(docs.join(kept.select("_row"), "_row", "left_semi"))
+    # A sort-merge join at every size: what is kept grows with the rows.
+    return named(docs.join(kept.select("_row").hint("merge"), "_row", "left_semi"))
 
 
 OP5_SQL = r"""
