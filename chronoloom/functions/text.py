@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,9 @@ SECRETS = {
     "iban": r"\b[A-Z]{2}\d{2}(?: ?\d{4}){3,7}(?: ?\d{1,4})?\b",
 }
 
+# What closes a sentence, what may open the next one before its first character, and which characters that may be.
+CLOSERS, OPENERS, STARTERS = ".!?", "\"'([", "A-Z0-9ÄÖÜ"
+
 _MARK = "\uf8ff"
 
 
@@ -72,8 +77,10 @@ def sentences(c: Column) -> Column:
     """Sentences: a break is a run of .!? and white space before a capital or a digit (perhaps quoted), unless the token
     before the run is an abbreviation or a single initial. Runs of dots count as a space."""
     known = "|".join(sorted((a.replace(".", r"\.") for a in ABBREVIATIONS), key=len, reverse=True))
-    kept = rf"(?<!(?<![A-Za-z.])(?i:{known}|[a-z]))(?<![.!?])"
-    marked = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\.{2,}", " "), kept + r"([.!?]+)(?U:\s+)(?=[\"'(\[]?[A-Z0-9ÄÖÜ])", f"$1{_MARK}")
+    closers, openers = f"[{re.escape(CLOSERS)}]", f"[{re.escape(OPENERS)}]?"
+    # The look-ahead comes first, so that the long look-behind is tried at closing marks alone.
+    kept = rf"(?={closers})(?<!{closers})(?<!(?<![A-Za-z.])(?i:{known}|[a-z]))"
+    marked = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\.{2,}", " "), rf"{kept}({closers}+)(?U:\s+)(?={openers}[{STARTERS}])", f"$1{_MARK}")
     return F.filter(F.transform(F.split(marked, _MARK), strip), lambda s: s != "")
 
 
@@ -82,6 +89,16 @@ def is_atomic(c: Column) -> Column:
     return F.size(sentences(c)) <= 1
 
 
+def embed(c: Column, width: int = 64) -> Column:
+    """A vector of a text without a model: its words hashed to places and signs, to length 1; null without words."""
+    hashed = F.transform(tokens(c), lambda w: F.xxhash64(w))
+    sign = lambda h: F.when(F.shiftrightunsigned(h, 32) % 2 == 0, 1.0).otherwise(-1.0)
+    at = lambda i: F.aggregate(hashed, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(width)) == i, sign(h)).otherwise(0.0))
+    v = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), at)
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(norm > 0, F.transform(v, lambda x: (x / norm).cast("float")))
+
+
 def secret_shapes(*texts: Column) -> Column:
     """Names of the secret families found in the texts, which are looked at line by line after each other."""
     joined = F.concat_ws("\n", *[F.coalesce(t, F.lit("")) for t in texts])

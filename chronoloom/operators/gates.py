@@ -62,26 +62,46 @@ def rejected_matches(texts: DataFrame, rejected: DataFrame, threshold: float = S
 
     An exact prefix join: two sets that reach the threshold share one of the first n - ceil(threshold n) + 1 words of each, in an order
     of all words from rare to common; only those words are joined on, and common words are posted by those that have few
-    others. Two empty sets are equal; they meet under a word of their own."""
+    others. Two empty sets are equal; they meet under a word of their own. Texts are known by a 128-bit digest in all of this, and
+    come back for the pairs that remain."""
     if not 0 < threshold <= 1:
         raise ValueError("a threshold above 0, at most 1")
+    digest = lambda c: F.md5(F.coalesce(c, F.lit("")))
+
+    def sets(df: DataFrame, keys: list[str]) -> DataFrame:
+        """Word sets of distinct texts by (domain, digest)."""
+        one = df.select("domain", digest(F.col("text")).alias("key"), "text").groupBy("domain", "key").agg(F.first("text").alias("text"))
+        return one.select(F.col("domain"), F.col("key").alias(keys[0]), words(F.col("text")).alias(keys[1]))
+
     blank = lambda w: F.when(F.size(w) == 0, F.array(F.lit(""))).otherwise(w)
-    left = texts.select("id", "domain", "text").distinct().withColumn("w", words(F.col("text")))
-    right = rejected.select(F.col("id").alias("rejected_id"), "domain", F.explode("facts").alias("f")).distinct().withColumn("w", words(F.col("f")))
-    both = left.select("w").union(right.select("w")).select(F.explode(blank(F.col("w"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-
-    def prefixes(df: DataFrame, *keys: str) -> DataFrame:
-        long = df.select(*keys, F.size("w").alias("size"), F.explode(blank(F.col("w"))).alias("word")).join(both, "word")
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy("n", "word"))
-        need = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1
-        return long.withColumn("place", place).where(F.col("place") <= need).select(*keys, "size", "word")
-
-    a = prefixes(left, "id", "domain", "text")
-    b = prefixes(right, "rejected_id", "domain", "f").withColumnRenamed("size", "size_b")
+    refused = rejected.select(F.col("id").alias("rejected_id"), "domain", F.explode("facts").alias("text"))
+    left, right = sets(texts, ["key", "w"]), sets(refused, ["key_b", "w_b"])
+    common = left.select("w").union(right.select("w_b")).select(F.explode(blank(F.col("w"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    def prefixes(df: DataFrame, key: str, own: str, size: str) -> DataFrame:
+        long = df.select("domain", key, F.size(own).alias(size), F.explode(blank(F.col(own))).alias("word")).join(common, "word")
+        place = F.row_number().over(Window.partitionBy("domain", key).orderBy("n", "word"))
+        need = F.col(size) - F.ceil(F.lit(threshold) * F.col(size) - 1e-9) + 1
+        return long.withColumn("place", place).where(F.col("place") <= need).select("domain", key, size, "word")
+
     small, large = F.least("size", "size_b"), F.greatest("size", "size_b")
-    pairs = a.join(b, ["domain", "word"]).where(small >= F.lit(threshold) * large - 1e-9).select("id", "domain", "text", "rejected_id", "f").distinct()
-    ratio = overlap_of_words(words(F.col("text")), words(F.col("f")))
-    return pairs.withColumn("ratio", ratio).where(F.col("ratio") >= threshold).groupBy("id", "text", "rejected_id").agg(F.max("ratio").alias("ratio"))
+    pairs = prefixes(left, "key", "w", "size").join(prefixes(right, "key_b", "w_b", "size_b"), ["domain", "word"])
+    pairs = pairs.where(small >= F.lit(threshold) * large - 1e-9).select("domain", "key", "key_b").distinct()
+    ratio = overlap_of_words(F.col("w"), F.col("w_b"))
+    close = pairs.join(left, ["domain", "key"]).join(right, ["domain", "key_b"]).select("domain", "key", "key_b", ratio.alias("ratio")).where(F.col("ratio") >= threshold)
+    found = close.join(refused.select("rejected_id", "domain", digest(F.col("text")).alias("key_b")), ["domain", "key_b"])
+    best = found.groupBy("domain", "key", "rejected_id").agg(F.max("ratio").alias("ratio"))
+    asked = texts.select("id", "domain", "text", digest(F.col("text")).alias("key")).dropDuplicates(["id", "domain", "key"])
+    return asked.join(best, ["domain", "key"]).select("id", "text", "rejected_id", "ratio")
+
+
+def ranked_matches(matches: DataFrame, rejected: DataFrame, most: int = 5) -> DataFrame:
+    """For each proposal, the rejections it resembles most: by ratio, of equals the newest decision, and of them the smallest id
+    first, ``most`` of them; with place, and text and reason of the rejection."""
+    own = rejected.select(F.col("id").alias("rejected_id"), F.col("text").alias("rejected_text"), "reason", F.coalesce("decided_at", F.lit("")).alias("_at"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("ratio"), F.desc("_at"), "rejected_id"))
+    best = matches.groupBy("id", "rejected_id").agg(F.max("ratio").alias("ratio"))
+    return best.join(own, "rejected_id").withColumn("place", place).where(F.col("place") <= most).drop("_at")
 
 
 @dataclass(frozen=True)

@@ -75,6 +75,44 @@ def collect_scopes(scopes: list[DataFrame], key: str = "uuid") -> DataFrame:
     return first_wins(out, key, F.col("_scope")).drop("_scope")
 
 
+def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
+    """One row a key: the values that come last in order, at the place (the ``place`` column) of what came first."""
+    rest = [c for c in df.columns if c not in (key, order)]
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r"), F.min(order).alias("place")).select(key, "_r.*", "place")
+
+
+def scopes_of(groups: list[str], layout: str) -> list[list[str]]:
+    """Where the records of groups live, in the order they are read: by layout, each group is a scope of its own ("separate"), all are
+    one ("shared"), or all are one and the nameless group another ("single", whose writes name no group)."""
+    if layout == "separate":
+        return [[g] for g in groups]
+    if layout not in ("shared", "single"):
+        raise ValueError(f"not a layout: {layout}")
+    return [list(groups), [""]] if layout == "single" else [list(groups)]
+
+
+def read_scopes(records: DataFrame, groups: list[str], layout: str, key: str = "uuid") -> DataFrame:
+    """Records of the groups' scopes, one a key, of the first scope that has it. A read of a scope is a filter on the group, so
+    that only its files are opened."""
+    return collect_scopes([records.where(F.col("group_id").isin(s)) for s in scopes_of(groups, layout)], key)
+
+
+def single_group(groups: list[str], configured: list[str]) -> str:
+    """The one group of a read of separate stores."""
+    if len(groups) != 1:
+        raise ValueError("a read names one group, of: " + ", ".join(groups or configured))
+    return groups[0]
+
+
+def status_by_store(nodes: DataFrame, groups: list[str], stores: list[str]) -> DataFrame:
+    """Nodes of every distinct store, told under the group that comes in its place: with one store for all, only the first group
+    is named."""
+    seen = list(dict.fromkeys(stores))
+    spark = nodes.sparkSession
+    named = spark.createDataFrame(list(zip(groups, seen, strict=False)), "group_id string, store string")
+    return named.join(nodes.groupBy("store").agg(F.count(F.lit(1)).alias("n")), "store", "left").select("group_id", F.coalesce("n", F.lit(0)).alias("nodes"))
+
+
 def find_edge(drivers: list[DataFrame], uuid: str) -> DataFrame:
     return collect_scopes([d.where(F.col("uuid") == uuid) for d in drivers])
 
@@ -149,24 +187,31 @@ def dangling(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFr
 
 
 def duplicate_entities(nodes: DataFrame, *, members: bool = True) -> DataFrame:
-    """Clusters of two or more nodes of one normalised name, over all groups: (name, count[, members]). Sort and limit
-    are the report's. Names are counted first, with partial aggregation, and only repeated ones gather members."""
+    """Clusters of two or more nodes of one normalised name, over all groups: (name, count[, members]), a member being (uuid, name,
+    group_id, summary). Sort and limit are the report's. Names are counted first, with partial aggregation, and only repeated
+    ones gather members."""
     keyed = nodes.withColumn("key", normalized_name(F.col("name"))).where("key <> ''")
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
     if not members:
         return counts.withColumnRenamed("key", "name")
-    rows = keyed.select("key", F.struct("uuid", F.col("name"), "group_id").alias("m")).groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("members"))
-    return counts.join(rows, "key").withColumnRenamed("key", "name")
+    summary = member(F.col("summary") if "summary" in nodes.columns else F.lit(None).cast("string"))
+    rows = keyed.join(counts.select("key"), "key").select("key", F.struct("uuid", "name", "group_id", summary.alias("summary")).alias("m"))
+    return counts.join(rows.groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("members")), "key").withColumnRenamed("key", "name")
 
 
-def duplicate_facts(facts: DataFrame, now: Column | None = None) -> DataFrame:
-    """Clusters of current facts that say the same of the same two entities: (source, target, key, fact, count, members).
-    The label is the first member's fact in the order of ids; members go by created_at as text ("None" for null), then id."""
+def duplicate_facts(facts: DataFrame, now: Column | None = None, order: Column | None = None) -> DataFrame:
+    """Clusters of current facts that say the same of the same two entities: (source, target, key, fact, count, members), a
+    member being (uuid, group_id, created_at). The label is the first member's fact in the order of scan (``order``; ids by
+    default); members go by created_at as text ("None" for null), then id. Clusters are counted before members are gathered."""
     facts = facts if now is None else facts.where(is_current(now))
+    by = ["source_node_uuid", "target_node_uuid", "key"]
     keyed = facts.withColumn("key", normalized_name(F.col("fact"))).where("key <> ''")
+    counts = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.min_by("fact", F.col("uuid") if order is None else order).alias("fact")).where("count > 1")
     at = F.coalesce(F.col("created_at").cast("string"), F.lit("None"))
-    found = keyed.groupBy("source_node_uuid", "target_node_uuid", "key").agg(F.count(F.lit(1)).alias("count"), F.min_by("fact", "uuid").alias("fact"), F.sort_array(F.collect_list(F.struct(at.alias("at"), "uuid"))).alias("m"))
-    return found.where("count > 1").withColumn("members", F.transform("m", lambda x: x["uuid"])).drop("m")
+    group = F.col("group_id") if "group_id" in facts.columns else F.lit(None).cast("string")
+    rows = keyed.select(*by, F.struct(at.alias("at"), "uuid", group.alias("group_id"), "created_at").alias("m")).join(counts.select(*by), by)
+    gathered = rows.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list("m")), lambda m: F.struct(m["uuid"].alias("uuid"), m["group_id"].alias("group_id"), m["created_at"].alias("created_at"))).alias("members"))
+    return counts.join(gathered, by)
 
 
 def total_members(clusters: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import pathlib
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ("entity_node", "episodic_node", "entity_edge", "episodic_edge")
 DECISIONS = ("accept", "refuse", "contested", "review")
@@ -77,11 +79,105 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     return head, lines.where(F.col("kind").isin(list(KINDS))).select("kind", "line")
 
 
+def typed_records(lines: DataFrame, kind: str, group: str | None = None) -> DataFrame:
+    """Records of one kind from a snapshot's lines (kind, line), with the kind's schema: without vectors, and of another group, if given."""
+    from ..sources.views import KINDS as SCHEMAS
+
+    schema = T.StructType([f for f in SCHEMAS[kind] if f.name not in VECTORS])
+    rows = lines.where(F.col("kind") == kind).select(F.from_json("line", schema).alias("r")).select("r.*")
+    return rows if group is None else rows.withColumn("group_id", F.lit(group))
+
+
+def all_records(lines: DataFrame, group: str | None = None) -> dict[str, DataFrame]:
+    return {kind: typed_records(lines, kind, group) for kind in KINDS}
+
+
+def write_parts(parts: dict[str, DataFrame], path: str, header: dict) -> dict:
+    """A snapshot as a folder of Parquet parts, one a task and none through the driver: (part, place, kind, line), each part with the checksum
+    of its lines in the manifest beside them. The header has the checksum over the parts' checksums."""
+    lines = snapshot_lines(parts).orderBy("kind_order", "uuid", "line").select("line", F.get_json_object("line", "$.kind").alias("kind"))
+    placed = lines.withColumn("place", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
+    placed.write.mode("error").parquet(f"{path}/lines")
+    sums = _part_sums(lines.sparkSession.read.parquet(f"{path}/lines"))
+    sums.write.mode("error").parquet(f"{path}/manifest")
+    return header | {"kind": "export", "format_version": 2} | _whole(lines.sparkSession.read.parquet(f"{path}/manifest"))
+
+
+def _part_sums(lines: DataFrame) -> DataFrame:
+    """(part, records, sha256) with the checksums made where the lines are: of each line, then of a part's in their order."""
+    one = lines.select("part", F.struct("place", F.unhex(F.sha2(F.concat("line", F.lit("\n")), 256)).alias("h")).alias("x"))
+    return one.groupBy("part").agg(F.count(F.lit(1)).alias("records"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: F.hex(x["h"])), ""), 256).alias("sha256"))
+
+
+def _whole(manifest: DataFrame) -> dict:
+    rows = manifest.orderBy("part").collect()  # a row a part
+    return {"record_count": sum(r["records"] for r in rows), "sha256": hashlib.sha256("".join(r["sha256"] for r in rows).encode()).hexdigest()}
+
+
+def read_parts(spark: SparkSession, path: str, header: dict | None = None) -> DataFrame:
+    """(kind, line) of a snapshot in parts, once every part's checksum, and the header's, match."""
+    lines, manifest = spark.read.parquet(f"{path}/lines"), spark.read.parquet(f"{path}/manifest")
+    both = _part_sums(lines).withColumnRenamed("sha256", "own").join(manifest.select("part", "sha256"), "part", "full_outer")
+    if (bad := both.where(~F.col("own").eqNullSafe(F.col("sha256"))).orderBy("part").first()) is not None:
+        raise ValueError(f"{path}: part {bad['part']} does not match its checksum")
+    if header is not None and {k: header.get(k) for k in ("record_count", "sha256")} != _whole(manifest):
+        raise ValueError(f"{path}: the parts are not those of the header")
+    return lines.select("kind", "line")
+
+
 def decision_template(facts: DataFrame) -> DataFrame:
     """A row for every fact, to be decided."""
     return facts.select(F.lit("decision").alias("kind"), F.lit("entity_edge").alias("record_kind"), "uuid", "fact", F.lit("review").alias("decision"), F.lit("").alias("reason"))
 
 
+def write_decisions(rows: DataFrame, path: str, snapshot: dict) -> dict:
+    """A folder of JSONL decisions for a snapshot with this header, and the header of the decisions, which names it."""
+    header = {"kind": "review", "format_version": 1, "decision_scope": "entity_edge", "snapshot_sha256": snapshot.get("sha256"), "snapshot_record_count": snapshot.get("record_count")}
+    spark = rows.sparkSession
+    rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("value")).write.mode("error").text(f"{path}/decisions")
+    spark.createDataFrame([(json.dumps(header, sort_keys=True),)], "value string").coalesce(1).write.mode("error").text(f"{path}/header")
+    return header
+
+
+def read_decisions(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
+    """(header, rows) of decisions in a folder, or in one file whose first line is the header. A row of another kind or scope, an unknown
+    word and a refusal without a reason are errors that tell the line."""
+    from ..sources.records import _lines, json_lines, line_number
+    from ..sources.views import DECISION
+
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/decisions")
+    apart = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    source = f"{path}/decisions" if apart else path
+    first = (spark.read.text(f"{path}/header") if apart else _lines(spark, path).where(F.trim("line") != "").select("line")).first()
+    header = json.loads(first[0]) if first else None
+    if header is None or header.get("kind") != "review":
+        raise ValueError(f"{path}: no decisions")
+    if header.get("format_version") != 1:
+        raise ValueError(f"{path}: format {header.get('format_version')} is not supported")
+    rows = json_lines(spark, source)
+    rows = rows if apart else rows.where(F.coalesce(F.col("object")["kind"], F.lit("")) != "review")
+    rows = rows.select("file", "block", "n", *[F.col("object")[c].alias(c) for c in DECISION.fieldNames()])
+    wrong = (
+        F.when(~F.col("kind").eqNullSafe("decision"), "not a decision").when(~F.col("record_kind").eqNullSafe("entity_edge"), "decisions are of facts alone")
+        .when(~F.coalesce(F.col("decision").isin(list(DECISIONS)), F.lit(False)), "an unknown decision").when((F.col("decision") == "refuse") & (F.trim(F.coalesce("reason", F.lit(""))) == ""), "a refusal without a reason")
+    )
+    if (bad := rows.withColumn("wrong", wrong).where("wrong IS NOT NULL").orderBy("file", "block", "n").first()) is not None:
+        raise ValueError(f"{bad['file']}:{line_number(_lines(spark, source), bad)}: {bad['wrong']}")
+    return header, rows.drop("file", "block", "n")
+
+
+def promote(snapshot: dict, records: dict[str, DataFrame], review: dict, decisions: DataFrame) -> tuple[dict, dict[str, DataFrame]]:
+    """(header, records) of what reviewers accepted. The decisions must be of this snapshot, one for every fact, and none open."""
+    if review.get("snapshot_sha256") != snapshot.get("sha256"):
+        raise ValueError(f"decisions are of snapshot {review.get('snapshot_sha256')}, not {snapshot.get('sha256')}")
+    facts = records["entity_edge"]
+    if (bad := decision_problems(facts, decisions).orderBy("problem", "uuid").first()) is not None:
+        raise ValueError(f"decision on {bad['uuid']}: {bad['problem']}")
+    kept, episodes = apply_decisions(facts, records["episodic_node"], decisions)
+    counts = decisions.agg(F.count_if(F.col("decision") == "accept").alias("accepted"), F.count_if(F.col("decision") == "refuse").alias("refused")).first()
+    return snapshot | {"review": {"source_sha256": snapshot.get("sha256"), **counts.asDict()}}, records | {"entity_edge": kept, "episodic_node": episodes}
+
+
 def decision_problems(facts: DataFrame, decisions: DataFrame) -> DataFrame:
     """(problem, uuid): decisions that are unknown, repeated, of an unknown word, without a reason for a refusal, or
     open, and facts without one. Empty if the decisions can be applied."""
@@ -108,6 +204,18 @@ def apply_decisions(facts: DataFrame, episodes: DataFrame, decisions: DataFrame)
     return kept, own.withColumn("entity_edges", lists).drop("_e", "_kept")
 
 
+def restore_plan(records: dict[str, DataFrame], allowed: list[str], override: str | None = None) -> DataFrame:
+    """A dry run: (target_group, kind, planned) of what a restore would write; a record of no group, or of one that is not
+    allowed, is an error."""
+    from .metadata import target_group
+
+    rows = reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), "uuid", "group_id") for kind, df in records.items()])
+    planned = target_group(rows, override, allowed)
+    if (bad := planned.where("problem IS NOT NULL").orderBy("problem", "uuid").first()) is not None:
+        raise ValueError(f"{bad['kind']} {bad['uuid']}: {bad['problem']}")
+    return planned.groupBy("target_group", "kind").agg(F.count(F.lit(1)).alias("planned"))
+
+
 def restore(existing: dict[str, DataFrame], records: dict[str, DataFrame], group: str | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """Upsert records by uuid: nodes, episodes, facts, mentions. Edges whose endpoints neither exist nor come along are
     left out and reported as (kind, uuid, missing)."""

@@ -8,21 +8,28 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .reads import is_current
+from .reads import in_date_range, in_groups, is_current, of_types, with_any_label
 
 K1, B, FUSION, MAX_QUERIES = 1.2, 0.75, 60, 1000
 
 
+# The most results of one call, and the most candidates that are looked at for them.
+MOST_RESULTS, MOST_CANDIDATES = 100, 1000
+
+
 def candidate_limit(limit: int, multiplier: int = 3) -> int:
-    if not 1 <= limit <= 100:
-        raise ValueError("result limit must be between 1 and 100")
-    return min(1000, limit * multiplier)
+    """Candidates for so many results."""
+    if limit not in range(1, MOST_RESULTS + 1):
+        raise ValueError(f"{limit} results asked for; a call gives 1 to {MOST_RESULTS}")
+    wanted = multiplier * limit
+    return wanted if wanted < MOST_CANDIDATES else MOST_CANDIDATES
 
 
 def question_terms(question: str) -> list[str]:
@@ -37,20 +44,19 @@ def question_terms(question: str) -> list[str]:
 def bm25(docs: DataFrame, id_col: str, text: Column, question: str, *, k1: float = K1, b: float = B) -> DataFrame:
     """docs with score, those that have a term of the question. Two passes over the text: statistics, scores."""
     terms = question_terms(question)
-    own = docs.withColumn("_tokens", tokens(text)).withColumn("_dl", F.size("_tokens"))
-    def times(term: str) -> Column:
-        return F.size(F.filter("_tokens", lambda x: x == F.lit(term)))
-
-    for i, t in enumerate(terms):
-        own = own.withColumn(f"_tf{i}", times(t))
-    stats = own.agg(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avgdl"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+    held = F.array(*[F.lit(t) for t in terms])
+    counts = F.transform(held, lambda t: F.size(F.filter("_tokens", lambda x: x == t)))
+    # A filter on the counts must not be pushed below them, where it would find the tokens anew for every term: a column that
+    # is not deterministic keeps it above.
+    own = docs.withColumn("_tokens", tokens(text)).withColumn("_dl", F.size("_tokens")).withColumn("_tf", counts).drop("_tokens").withColumn("_row", F.monotonically_increasing_id())
+    stats = own.agg(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avgdl"), *[F.count_if(F.col("_tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
         idf = F.log(F.lit(1 + (stats["n"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)))
-        tf = F.col(f"_tf{i}")
+        tf = F.col("_tf")[i]
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_dl") / F.lit(stats["avgdl"] or 1.0)))
-    some = F.greatest(*[F.col(f"_tf{i}") for i in range(len(terms))], F.lit(0)) > 0
-    return own.where(some).withColumn("score", F.round(score, 9)).drop("_tokens", "_dl", *[f"_tf{i}" for i in range(len(terms))])
+    some = F.exists("_tf", lambda n: n > 0) & (F.col("_row") >= 0)
+    return own.where(some).withColumn("score", F.round(score, 9)).drop("_dl", "_tf", "_row")
 
 
 def top(scored: DataFrame, limit: int, id_col: str) -> DataFrame:
@@ -124,23 +130,108 @@ def stats(requested: int, ceiling: int, seen: int, eligible: int, returned: int,
     return {"requested": requested, "candidate_limit": ceiling, "candidates_seen": seen, "eligible": eligible, "returned": returned, "suppressed": hidden, "recall_may_be_incomplete": seen >= ceiling}
 
 
-def search_facts(facts: DataFrame, question: str, now: Column, *, limit: int = 10, multiplier: int = 3, min_score: float = 0.0, include_invalidated: bool = False, candidates: DataFrame | None = None, ranker: Callable[[DataFrame], DataFrame] = passthrough) -> DataFrame:
-    """The composite search: candidates up to a ceiling (by BM25 over name and fact, unless given as ranked rows), only
-    then the currency filter, then rerank, threshold and limit."""
-    ceiling = candidate_limit(limit, multiplier)
-    if candidates is None:
-        candidates = top(bm25(facts, "uuid", F.concat_ws(" ", "name", "fact"), question), ceiling, "uuid")
-    current = candidates if include_invalidated else candidates.where(is_current(now))
-    return ranker(current.drop("score")).where(F.col("score") >= min_score).orderBy("rank").limit(limit)
-
-
-def search_report(facts: DataFrame, question: str, now: Column, *, limit: int = 10, multiplier: int = 3, min_score: float = 0.0) -> DataFrame:
-    """One row: the numbers of ``stats`` for search_facts."""
-    ceiling = candidate_limit(limit, multiplier)
-    seen = top(bm25(facts, "uuid", F.concat_ws(" ", "name", "fact"), question), ceiling, "uuid")
-    row = seen.agg(F.count(F.lit(1)).alias("candidates_seen"), F.count_if(is_current(now)).alias("eligible"))
-    returned = F.least(F.col("eligible"), F.lit(limit))
-    return row.select(F.lit(limit).alias("requested"), F.lit(ceiling).alias("candidate_limit"), "candidates_seen", "eligible", returned.alias("returned"), (F.col("candidates_seen") - F.col("eligible")).alias("suppressed"), (F.col("candidates_seen") >= ceiling).alias("recall_may_be_incomplete"))
+@dataclass(frozen=True)
+class Asked:
+    """What a search looks for, and among what: keyword only, or hybrid with the question's vector; near a centre; of groups
+    (None: all), relation types, labels and dates."""
+
+    question: str
+    limit: int = 10
+    multiplier: int = 3
+    vector: Sequence[float] | None = None
+    centre: str | None = None
+    groups: list[str] | None = None
+    types: list[str] | None = None
+    labels: list[str] | None = None
+    dates: dict = field(default_factory=dict)
+    steps: int = 3  # how far from the centre distances are told
+
+    @property
+    def ceiling(self) -> int:
+        return candidate_limit(self.limit, self.multiplier)
+
+
+@dataclass(frozen=True)
+class Found:
+    """rows in their order by ``place``, and ``stats``, one row: what the search may have missed."""
+
+    rows: DataFrame
+    stats: DataFrame
+
+
+def nearest_to(rows: DataFrame, vector: Sequence[float], vector_col: str, limit: int, id_col: str = "uuid") -> DataFrame:
+    """Rows by cosine with one vector, with score and rank; those without a vector are left out."""
+    scored = rows.withColumn("score", F.round(cosine(F.col(vector_col), F.array(*[F.lit(float(x)) for x in vector])), 6)).where("score IS NOT NULL")
+    return top(scored, limit, id_col)
+
+
+def candidates(rows: DataFrame, asked: Asked, text: Column, vector_col: str, edges: DataFrame | None = None, ends: Sequence[str] = ("uuid",)) -> DataFrame:
+    """The best of rows for the question, up to the ceiling, with rank: by words; with a vector, by reciprocal ranks of words and
+    cosine; with a centre, those whose ends are nearest to it first."""
+    found = top(bm25(rows, "uuid", text, asked.question), asked.ceiling, "uuid")
+    if asked.vector is not None:
+        near = nearest_to(rows, asked.vector, vector_col, asked.ceiling)
+        fused = top(fuse([found, near], "uuid"), asked.ceiling, "uuid")
+        found = rows.join(fused, "uuid")
+    if asked.centre is not None:
+        if edges is None:
+            raise ValueError("a centre needs edges")
+        away = node_distance(edges, asked.centre, asked.steps)
+        for i, end in enumerate(ends):
+            found = found.join(away.select(F.col("uuid").alias(end), F.col("distance").alias(f"_d{i}")), end, "left")
+        distance = F.coalesce(F.least(*[F.col(f"_d{i}") for i in range(len(ends))], F.lit(asked.steps + 1)), F.lit(asked.steps + 1))
+        found = found.withColumn("distance", distance).drop(*[f"_d{i}" for i in range(len(ends))])
+        found = found.withColumn("rank", F.row_number().over(Window.orderBy("distance", "rank")))  # the ceiling bounds these rows
+    return found
+
+
+def _stats(asked: Asked, seen: DataFrame, eligible: Column, returned: DataFrame) -> DataFrame:
+    row = seen.agg(F.count(F.lit(1)).alias("candidates_seen"), F.count_if(eligible).alias("eligible"))
+    given = returned.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return row.select(
+        F.lit(asked.limit).alias("requested"), F.lit(asked.ceiling).alias("candidate_limit"), "candidates_seen", "eligible", given.alias("returned"),
+        (F.col("candidates_seen") - F.col("eligible")).alias("suppressed"), (F.col("candidates_seen") >= asked.ceiling).alias("recall_may_be_incomplete"),
+    )
+
+
+def find_facts(facts: DataFrame, asked: Asked, now: Column, *, edges: DataFrame | None = None, min_score: float = 0.0, include_invalidated: bool = False, ranker: Callable[[DataFrame], DataFrame] | None = None) -> Found:
+    """The composite search of facts: filters, then candidates up to the ceiling, only then what holds now, then the ranker's
+    answer (passage, place, score) by n-th text, its threshold and the limit. ``ranker`` maps candidates (fact, rank) to that
+    answer; by default they keep their order."""
+    pool = in_date_range(of_types(in_groups(facts, asked.groups), asked.types or []), **asked.dates)
+    seen = candidates(pool, asked, F.concat_ws(" ", "name", "fact"), "fact_embedding", facts if edges is None else edges, ("source_node_uuid", "target_node_uuid"))
+    eligible = F.lit(True) if include_invalidated else is_current(now)
+    current = seen.where(eligible).drop("score")
+    if ranker is None:
+        order = F.row_number().over(Window.orderBy("rank"))
+        rows = passthrough(current).where(F.col("score") >= min_score).orderBy("rank").limit(asked.limit).withColumn("place", order).drop("rank")
+    else:
+        rows = rerank(current, ranker(current), min_score=min_score, limit=asked.limit).withColumnRenamed("final_rank", "place")
+    return Found(rows, _stats(asked, seen, eligible, rows))
+
+
+def find_nodes(nodes: DataFrame, asked: Asked, *, edges: DataFrame | None = None) -> Found:
+    """The search of nodes by name and summary, of any of the labels. Nodes have no dates, so all that is seen is eligible."""
+    pool = with_any_label(in_groups(nodes, asked.groups), asked.labels or [])
+    seen = candidates(pool, asked, F.concat_ws(" ", "name", "summary"), "name_embedding", edges)
+    rows = seen.orderBy("rank").limit(asked.limit).withColumnRenamed("rank", "place")
+    return Found(rows, _stats(asked, seen, F.lit(True), rows))
+
+
+def search_facts(facts: DataFrame, question: str, now: Column, *, limit: int = 10, multiplier: int = 3, min_score: float = 0.0, include_invalidated: bool = False) -> DataFrame:
+    """Facts that hold now, found by words."""
+    return find_facts(facts, Asked(question, limit, multiplier), now, min_score=min_score, include_invalidated=include_invalidated).rows
+
+
+def search_report(facts: DataFrame, question: str, now: Column, *, limit: int = 10, multiplier: int = 3) -> DataFrame:
+    """One row: what search_facts saw, left out and may have missed."""
+    return find_facts(facts, Asked(question, limit, multiplier), now).stats
+
+
+def split_by_currency(ranked: DataFrame, now: Column, limit: int, order: str = "rank") -> DataFrame:
+    """Ranked facts as two lists, what holds now and what was replaced, each cut to the limit: ``current`` and ``place`` in its list."""
+    own = ranked.withColumn("current", is_current(now))
+    return own.withColumn("place", F.row_number().over(Window.partitionBy("current").orderBy(order))).where(F.col("place") <= limit)
 
 
 def node_distance(edges: DataFrame, centre: str, most: int = 3) -> DataFrame:

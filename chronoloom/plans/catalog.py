@@ -94,10 +94,20 @@ def suppressed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.suppressed(temporal_facts(spark, sf_dir), _now(), "group_id", "name")
 
 
-@query(f"{_FACTS} SELECT count(*) AS leaked FROM cur WHERE NOT current AND uuid IN (SELECT uuid FROM cur WHERE current)")
+@query(f"{_FACTS}, f2 AS (SELECT uuid, name || ' ' || fact AS body FROM facts), {_bm25_sql('f2', QUESTION, 'uuid')}, cand AS (SELECT uuid FROM scored ORDER BY score DESC, uuid LIMIT 30)" + " SELECT 0 AS from_current, count(*) AS from_history FROM cand JOIN cur USING (uuid) WHERE NOT current")
 def invalidation_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that no longer hold among what two searches serve: none if history is left out, some if it is not."""
     f = temporal_facts(spark, sf_dir)
-    return checks.leaked(reads.current_facts(f, _now()), f, _now()).agg(F.count(F.lit(1)).alias("leaked"))
+    served = lambda history: search.find_facts(f, search.Asked(QUESTION, limit=30, multiplier=1), _now(), include_invalidated=history).rows
+    leaks = lambda history: checks.leaked(served(history), f, _now()).agg(F.count(F.lit(1)).alias("n"))
+    return leaks(True).select(leaks(False).scalar().alias("from_current"), F.col("n").alias("from_history"))
+
+
+@query(f"{_FACTS} SELECT uuid, fact, valid_at FROM facts WHERE uuid = 'E17'")
+def edge_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One fact, of the first store that has it."""
+    f = temporal_facts(spark, sf_dir)
+    return reads.find_edge([f.where("group_id = '0'"), f.where("group_id <> '0'"), f], "E17").select("uuid", "fact", "valid_at")
 
 
 # ---------------------------------------------------------------- nodes, episodes, groups
@@ -116,7 +126,7 @@ def status_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, role, md5(text) AS digest FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 20")
 def recent_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").orderBy(F.desc("conv_id"), F.desc("turn")).limit(20)
+    c = reads.recent_episodes(table(spark, sf_dir, "conversations"), 20, None, "conv_id", F.desc("turn"))
     return c.select("conv_id", "turn", "role", F.md5("text").alias("digest"))
 
 
@@ -149,7 +159,16 @@ SELECT source_node_uuid, target_node_uuid, key, count(*) AS count, string_agg(uu
 FROM k GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reads.duplicate_facts(supply_facts(spark, sf_dir))
-    return found.select("source_node_uuid", "target_node_uuid", "key", "count", F.array_join("members", ",").alias("members"))
+    return found.select("source_node_uuid", "target_node_uuid", "key", "count", F.array_join(F.transform("members", lambda m: m["uuid"]), ",").alias("members"))
+
+
+@query("""WITH k AS (SELECT 'P' || p_partkey AS uuid, trim(regexp_replace(lower(p_name), '[^0-9a-z]+', ' ', 'g')) AS key, p_name, substr(p_type, 1, 120) AS summary FROM part)
+SELECT key AS name, count(*) AS count, string_agg(uuid || '/' || p_name || '/' || summary, ',' ORDER BY uuid) AS members FROM k WHERE key <> '' GROUP BY key HAVING count(*) > 1 ORDER BY count(*) DESC, key LIMIT 50""")
+def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest clusters of parts, with their members."""
+    n = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("uuid"), F.col("p_name").alias("name"), F.lit("part").alias("group_id"), F.col("p_type").alias("summary"))
+    members = F.transform("members", lambda m: F.concat_ws("/", m["uuid"], m["name"], m["summary"]))
+    return reads.report(reads.duplicate_entities(n)).select("name", "count", F.array_join(members, ",").alias("members"))
 
 
 # ---------------------------------------------------------------- text and identity
@@ -160,9 +179,20 @@ def normalized_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalized_name(F.col("text"))).alias("name"))
 
 
-@query()
+def _sentences_sql(rows: str, key: str) -> str:
+    """Relations up to ``sent`` (key, n): texts are cut at every possible break, and breaks after an abbreviation or initial are not counted."""
+    known = ", ".join(f"'{a}'" for a in text.ABBREVIATIONS)
+    return rf"""
+cut AS (SELECT {key}, regexp_replace(text, '\.{{2,}}', ' ', 'g') AS t FROM {rows}),
+piece AS (SELECT {key}, t, string_split(regexp_replace(t, '([.!?]+)[\s\x0B]+(["''(\[]?[A-Z0-9ÄÖÜ])', '\1' || chr(63743) || '\2', 'g'), chr(63743)) AS p FROM cut),
+word AS (SELECT {key}, t, list_transform(list_slice(p, 1, len(p) - 1), lambda x: lower(regexp_extract(regexp_replace(x, '[.!?]+$', ''), '[A-Za-z.]+$'))) AS w FROM piece),
+sent AS (SELECT {key}, CASE WHEN regexp_replace(coalesce(t, ''), '[\s\x0B]+', '', 'g') = '' THEN 0 ELSE 1 + len(list_filter(w, lambda x: NOT (x IN ({known}) OR regexp_matches(x, '^[a-z]$')))) END AS n FROM word)"""
+
+
+@query(f"WITH {_sentences_sql('documents', 'doc_id')} SELECT doc_id, CAST(n AS INTEGER) AS n, n <= 1 AS atomic FROM sent")
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).alias("n"), text.is_atomic(F.col("text")).alias("atomic"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).alias("n"))
+    return found.withColumn("atomic", F.col("n") <= 1)
 
 
 def _secret_sql() -> str:
@@ -186,11 +216,11 @@ def record_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.keyed_records(rows, "en").select("doc_id", "key", "episode_uuid")
 
 
-@query("""SELECT doc_id, 'sha256:' || sha256('{"domain":"' || lang || '","fact_type":"source-fact","id":"proposal-' || doc_id || '","operation":"assert","provenance":"' || source || '","supersedes":"","text":"' || md5(text) || '"}') AS digest FROM documents""")
+@query("""SELECT doc_id, 'sha256:' || sha256('{"domain":"' || lang || '","fact_type":"source-fact","id":"proposal-' || doc_id || '","operation":"assert","provenance":"' || source || '","supersedes":"","text":' || CAST(to_json(text) AS VARCHAR) || '}') AS digest FROM documents""")
 def content_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "documents").select(
         "doc_id", F.concat(F.lit("proposal-"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("domain"), F.lit("source-fact").alias("fact_type"), F.lit("assert").alias("operation"),
-        F.col("source").alias("provenance"), F.lit("").alias("supersedes"), F.md5("text").alias("text"), F.lit(None).cast("string").alias("link"),
+        F.col("source").alias("provenance"), F.lit("").alias("supersedes"), F.col("text"), F.lit(None).cast("string").alias("link"),
     )
     return p.select("doc_id", identity.content_digest(p.columns).alias("digest"))
 
@@ -372,12 +402,51 @@ def filing_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.first_refusal(_proposals(spark, sf_dir)).select("id", "refusal")
 
 
-@query()
+def _gates_sql() -> str:
+    shapes = ", ".join("CASE WHEN regexp_matches(j, '" + pattern.replace("'", "''") + f"') THEN '{name}' END" for name, pattern in text.SECRETS.items())
+    words = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+'))"
+    return _PROPOSALS + f""", {_sentences_sql('p', 'id')},
+near AS (SELECT p.id, min('rejected-' || b.item_id) AS resembles FROM p JOIN documents d ON d.doc_id = p.doc_id AND d.lang = 'en', benchmark b
+  WHERE len(list_intersect({words('p.text')}, {words('b.text')})) >= {STRICT} * len(list_distinct(list_concat({words('p.text')}, {words('b.text')}))) GROUP BY p.id),
+g AS (SELECT p.id, CASE WHEN fact_type = 'rumour' THEN 'fact_type' WHEN operation = 'guess' THEN 'operation' WHEN trim(text) = '' AND p.n = 1 THEN 'empty'
+    WHEN operation <> 'assert' AND supersedes IS NULL THEN 'supersedes' WHEN p.n > 1 AND provenance IS NULL AND src IS NULL AND link IS NULL AND said IS NULL THEN 'bundle_source' END AS refusal,
+  concat_ws(chr(10), text, CASE WHEN p.n > 1 THEN md5(text) END, coalesce(supersedes, ''), coalesce(provenance, ''), coalesce(src, ''), coalesce(link, ''), coalesce(said, '')) AS j,
+  CAST(greatest(s.n, p.n - 1) AS INTEGER) AS n_sentences, resembles
+  FROM p JOIN sent s USING (id) LEFT JOIN near USING (id)),
+h AS (SELECT *, array_to_string(list_filter([{shapes}], lambda x: x IS NOT NULL), ',') AS secrets FROM g)
+SELECT id, refusal, secrets, n_sentences, resembles,
+  CASE WHEN refusal IS NOT NULL THEN 2 WHEN secrets <> '' THEN 6 WHEN n_sentences > 1 THEN 4 WHEN resembles IS NOT NULL THEN 5 ELSE 0 END AS exit_code FROM h"""
+
+
+@query(_gates_sql())
 def gate_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("rejected-"), F.col("item_id").cast("string")).alias("id"), F.lit("en").alias("domain"), F.array("text").alias("facts"))
     return gates.gate_codes(_proposals(spark, sf_dir), items).select("id", "refusal", F.array_join("secrets", ",").alias("secrets"), "n_sentences", "resembles", "exit_code")
 
 
+@query(_PROPOSALS + """, f AS (SELECT id, doc_id, n, unnest([0, 1]) AS index FROM p WHERE operation <> 'retire'),
+o AS (SELECT id, n, count_if(NOT (doc_id % 7 = 0 AND index = 0) AND (doc_id + index) % 3 > 0) AS landed FROM f WHERE index < n GROUP BY id, n)
+SELECT id, landed = n AS archived, CAST(landed AS INTEGER) AS landed, landed > 0 OR landed = n AS claimed FROM o""")
+def drain_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drain of all proposals but retirements, where one in seven bundles fails at its first fact and every third fact yields no edge."""
+    from ..operators import drain
+    from ..sources.views import PROPOSAL
+
+    p = _proposals(spark, sf_dir).where("operation <> 'retire'").withColumn("status", F.lit("approved"))
+    queue = p.select(*[(F.col(f.name) if f.name in p.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in PROPOSAL])
+    queue = queue.withColumn("approved_digest", identity.content_digest(queue.columns))
+
+    def land(episodes: DataFrame) -> DataFrame:
+        doc = F.substring("id", 10, 20).cast("long")
+        error = F.when((doc % 7 == 0) & (F.col("index") == 0), "no answer")
+        return episodes.select("id", "index", F.concat_ws("#", "id", F.col("index").cast("string")).alias("episode_uuid"), ((doc + F.col("index")) % 3).cast("int").alias("edges"), error.alias("error"))
+
+    done = drain.drain(queue, supply_facts(spark, sf_dir).withColumn("invalid_at", F.lit(None).cast("timestamp_ntz")), land, F.lit("2024-01-16T00:00:00Z"), _now())
+    size = F.greatest(F.coalesce(F.size("landed"), F.lit(0)), F.lit(0)).alias("landed")
+    rows = lambda df, archived: df.select("id", F.lit(archived).alias("archived"), size, F.col("draining_at").isNotNull().alias("claimed"))
+    return rows(done.archived, True).union(rows(done.queue, False))
+
+
 @query(_PROPOSALS + """ SELECT id, CASE WHEN operation = 'assert' THEN CASE WHEN fact_type = 'source-fact' AND src IS NOT NULL AND link IS NOT NULL THEN 'policy:source-fact:source-link'
 WHEN fact_type = 'live-finding' AND said IS NOT NULL THEN 'policy:live-finding:said' END END AS rule FROM p""")
 def auto_approval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,15 +481,15 @@ def retire_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'refuse' WHEN quality = 1 THEN 'accept' ELSE 'review' END AS decision FROM documents LEFT JOIN labels USING (doc_id)),
-k AS (SELECT lang, count(*) AS facts, count_if(decision = 'refuse') AS refused FROM documents JOIN d USING (doc_id) GROUP BY lang)
-SELECT lang AS uuid, facts - refused AS kept, refused FROM k""")
+k AS (SELECT doc_id // 10 AS e, count(*) AS facts, count_if(decision = 'refuse') AS refused FROM documents JOIN d USING (doc_id) GROUP BY e)
+SELECT CAST(e AS VARCHAR) AS uuid, facts - refused AS kept, refused FROM k""")
 def review_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as facts, languages as the episodes that list them, labels as decisions."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("uuid"), "lang")
+    """Documents as facts, every ten of them of one episode, labels as decisions."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("uuid"), F.floor(F.col("doc_id") / 10).cast("string").alias("episode"))
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("uuid"), "quality", "toxic")
     word = F.when(F.col("toxic") == 1, "refuse").when(F.col("quality") == 1, "accept").otherwise("review")
     decisions = d.join(lab, "uuid", "left").select("uuid", word.alias("decision"))
-    episodes = d.groupBy("lang").agg(F.collect_list("uuid").alias("entity_edges")).withColumnRenamed("lang", "uuid")
+    episodes = d.groupBy("episode").agg(F.collect_list("uuid").alias("entity_edges")).withColumnRenamed("episode", "uuid")
     total = episodes.select("uuid", F.size("entity_edges").alias("n"))
     kept = review.apply_decisions(d, episodes, decisions)[1].select("uuid", F.size("entity_edges").cast("long").alias("kept"))
     return kept.join(total, "uuid").select("uuid", "kept", (F.col("n") - F.col("kept")).cast("long").alias("refused"))
@@ -471,18 +540,18 @@ def data_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- payloads, retraction, restore, metadata
 
 
-@query(f"SELECT uuid, name, fact, group_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at, strftime(valid_at, '%Y-%m-%dT%H:%M:%S+00:00') AS valid_at, strftime(invalid_at, '%Y-%m-%dT%H:%M:%S+00:00') AS invalid_at, 0 AS n_episodes FROM ({TEMPORAL_SQL})")
+@query(f"SELECT uuid, name, fact, group_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at, strftime(valid_at, '%Y-%m-%dT%H:%M:%S+00:00') AS valid_at, strftime(invalid_at, '%Y-%m-%dT%H:%M:%S+00:00') AS invalid_at, CASE WHEN CAST(substr(uuid, 2) AS BIGINT) % 2 = 0 THEN 1 ELSE 0 END AS n_episodes FROM ({TEMPORAL_SQL})")
 def fact_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = temporal_facts(spark, sf_dir).withColumn("episodes", F.lit(None).cast("array<string>")).withColumn("expired_at", F.lit(None).cast("timestamp_ntz"))
+    f = temporal_facts(spark, sf_dir).withColumn("episodes", F.when(F.substring("uuid", 2, 30).cast("long") % 2 == 0, F.array("target_node_uuid"))).withColumn("expired_at", F.lit(None).cast("timestamp_ntz"))
     return reads.fact_rows(f).select("uuid", "name", "fact", "group_id", "created_at", "valid_at", "invalid_at", F.size("episodes").alias("n_episodes"))
 
 
-@query("SELECT 'P' || p_partkey AS uuid, substr(p_type || ' ' || p_brand || ' ' || repeat('x', p_size * 4), 1, 120) AS summary, 'brand,size' AS keys FROM part")
+@query("SELECT 'P' || p_partkey AS uuid, p_name AS name, 'part' AS group_id, 'part' AS labels, substr(p_type || ' ' || p_brand || ' ' || repeat('x', p_size * 4), 1, 120) AS summary, 'brand,size' AS keys FROM part")
 def node_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries cut to 120 characters; attributes without those that name an embedding."""
     text_ = F.concat_ws(" ", "p_type", "p_brand", F.expr("repeat('x', p_size * 4)"))
     n = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("uuid"), F.col("p_name").alias("name"), F.lit("part").alias("group_id"), F.array(F.lit("part")).alias("labels"), F.lit(None).cast("timestamp").alias("created_at"), text_.alias("summary"), F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("Name_Embedding"), F.lit("[0.5]"), F.lit("size"), F.col("p_size").cast("string")).alias("attributes"))
-    return reads.node_rows(n).select("uuid", reads.member(F.col("summary")).alias("summary"), F.array_join(F.array_sort(F.map_keys("attributes")), ",").alias("keys"))
+    return reads.node_rows(n).select("uuid", "name", "group_id", F.array_join("labels", ",").alias("labels"), reads.member(F.col("summary")).alias("summary"), F.array_join(F.array_sort(F.map_keys("attributes")), ",").alias("keys"))
 
 
 @query(f"""WITH f AS ({SUPPLY_SQL}), pair AS (SELECT source_node_uuid, target_node_uuid, min(uuid) AS uuid, list_distinct(flatten(list(episodes))) AS eps, max(created_at) AS last FROM f GROUP BY ALL),
@@ -583,19 +652,92 @@ def node_search_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windowed counts from a stream of the events that ends when it has read them."""
-    import tempfile
     import uuid
 
+    from ..sources.store import shared_dir
     from ..streaming.ingest import event_counts
 
     schema = table(spark, sf_dir, "events").schema
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()  # a folder of our own only where none is shared
-    base = f"{shared.rstrip('/')}/chronoloom-stream-{uuid.uuid4().hex}"
-    counts = event_counts(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir), delay="366 days")
+    base = f"{shared_dir(spark)}/chronoloom-stream-{uuid.uuid4().hex}"
+    counts = event_counts(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir), delay="7 days")
 
     def land(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    # A batch has the windows that it changed, so that those behind the watermark need not be held; the last to change one counts.
+    counts.writeStream.outputMode("update").foreachBatch(land).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{base}/out").groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("r"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "r.n", F.round("r.total", 4).alias("total"))
+
+
+# ---------------------------------------------------------------- composite search, indexes
+
 
-    counts.writeStream.outputMode("complete").foreachBatch(land).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(f"{base}/out")
-    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+def _embedded_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have a vector as facts; every third no longer holds."""
+    d, v = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    ended = F.when(F.col("doc_id") % 3 == 0, F.lit("2023-01-01").cast("timestamp_ntz"))
+    return d.join(v, d["doc_id"] == v["vec_id"]).select(
+        F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("uuid"), F.col("source").alias("name"), F.col("text").alias("fact"), F.col("lang").alias("group_id"),
+        F.concat(F.lit("S"), (F.col("doc_id") % 10).cast("string")).alias("source_node_uuid"), F.concat(F.lit("G"), "lang").alias("target_node_uuid"), ended.alias("invalid_at"), F.col("embedding").alias("fact_embedding"),
+    )
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> search.Found:
+    vector = table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
+    return search.find_facts(_embedded_facts(spark, sf_dir), search.Asked(WORDS, limit=10, vector=vector, groups=["en", "de", "fr", "es"]), _now())
+
+
+_HYBRID = f"""WITH f AS (SELECT doc_id, 'D' || doc_id AS uuid, coalesce(source || ' ', '') || coalesce(text, '') AS body, embedding::DOUBLE[] AS e, doc_id % 3 <> 0 AS current
+  FROM documents JOIN embeddings ON doc_id = vec_id WHERE lang IN ('en', 'de', 'fr', 'es')), {_bm25_sql('f', WORDS, 'uuid')},
+near AS (SELECT uuid, round(list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))), 6) AS score FROM f, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)),
+lists AS (SELECT uuid, row_number() OVER (ORDER BY score DESC, uuid) AS rank FROM scored QUALIFY rank <= 30
+  UNION ALL SELECT uuid, row_number() OVER (ORDER BY score DESC, uuid) AS rank FROM near QUALIFY rank <= 30),
+fused AS (SELECT uuid, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM lists GROUP BY uuid),
+cand AS (SELECT uuid, row_number() OVER (ORDER BY score DESC, uuid) AS rank FROM fused QUALIFY rank <= 30),
+held AS (SELECT uuid, row_number() OVER (ORDER BY rank) AS place, count(*) OVER () AS n FROM cand JOIN f USING (uuid) WHERE current)"""
+
+
+@query(_HYBRID + " SELECT uuid, CAST(place AS INTEGER) AS place, round((n - (place - 1)) / n, 9) AS score FROM held WHERE place <= 10")
+def search_facts_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir).rows.select("uuid", "place", "score")
+
+
+@query(_HYBRID + """ SELECT 10 AS requested, 30 AS candidate_limit, count(*) AS candidates_seen, count_if(current) AS eligible, (SELECT count(*) FROM held WHERE place <= 10) AS returned,
+count(*) - count_if(current) AS suppressed, count(*) >= 30 AS recall_may_be_incomplete FROM cand JOIN f USING (uuid)""")
+def search_facts_hybrid_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir).stats
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT 'P' || p_partkey AS uuid, p_name || ' ' || p_type AS body FROM part), {_bm25_sql('e', 'red steel widget', 'uuid')}, f AS ({SUPPLY_SQL}),
+b AS (SELECT source_node_uuid AS a, target_node_uuid AS b FROM f UNION SELECT target_node_uuid, source_node_uuid FROM f),
+walk(uuid, distance) AS (SELECT 'S1', 0 UNION SELECT b.b, distance + 1 FROM walk JOIN b ON b.a = walk.uuid WHERE distance < 2),
+near AS (SELECT uuid, min(distance) AS distance FROM walk GROUP BY uuid), cand AS (SELECT uuid, score, row_number() OVER (ORDER BY score DESC, uuid) AS rank FROM scored QUALIFY rank <= 60)
+SELECT uuid, coalesce(distance, 3) AS distance, CAST(row_number() OVER (ORDER BY coalesce(distance, 3), rank) AS INTEGER) AS place FROM cand LEFT JOIN near USING (uuid) QUALIFY place <= 20""")
+def search_nodes_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by name and type, of a label, those nearest to a supplier first."""
+    n = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("uuid"), F.col("p_name").alias("name"), F.col("p_type").alias("summary"), F.lit("part").alias("group_id"), F.array(F.lit("part"), F.lit("thing")).alias("labels"))
+    asked = search.Asked("red steel widget", limit=20, centre="S1", labels=["part", "planet"], steps=2)
+    return search.find_nodes(n, asked, edges=supply_facts(spark, sf_dir)).rows.select("uuid", "distance", "place")
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS term FROM documents)
+SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM t GROUP BY term""")
+def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index over documents has of every term."""
+    from ..sources.store import postings
+
+    found = postings(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences"))
+
+
+@query(f"""{_FACTS}, f2 AS (SELECT uuid, name || ' ' || fact AS body FROM facts), {_bm25_sql('f2', QUESTION, 'uuid')},
+cand AS (SELECT uuid, row_number() OVER (ORDER BY score DESC, uuid) AS rank FROM scored QUALIFY rank <= 40)
+SELECT uuid, current, row_number() OVER (PARTITION BY current ORDER BY rank) AS place, strftime(valid_at, '%Y-%m-%d') AS valid_on, strftime(invalid_at, '%Y-%m-%d') AS invalid_on
+FROM cand JOIN cur USING (uuid) QUALIFY place <= 5""")
+def current_then_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds now, then what was replaced, each up to five, with days."""
+    f = temporal_facts(spark, sf_dir)
+    found = search.top(search.bm25(f, "uuid", F.concat_ws(" ", "name", "fact"), QUESTION), 40, "uuid")
+    split = search.split_by_currency(found, _now(), 5)
+    return split.select("uuid", "current", "place", F.date_format("valid_at", "yyyy-MM-dd").alias("valid_on"), F.date_format("invalid_at", "yyyy-MM-dd").alias("invalid_on"))

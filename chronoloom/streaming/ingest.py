@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,31 +12,112 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..functions.identity import uuid_of
+from ..operators.metadata import FINAL_KINDS, PASSING_KINDS, PASSING_WORDS
 from ..operators.workflow import keyed_records, resume_plan
+from ..shipping import ship
 from ..sources.views import LEDGER, RECORD
 
 
-def ingest_stream(spark: SparkSession, source: str, target: str, ledger: str, checkpoint: str, *, domain: str, extract: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Ingest what is new in a folder of JSONL, then stop. A micro-batch lands the records whose key the ledger lacks and
-    then enters them; its files carry the batch's number, so a batch that is run again replaces what it had written.
-    ``extract`` maps records to what is stored (default: the records as episodes)."""
-    records = spark.readStream.schema(RECORD).json(source)
+OUTCOME = "key string, episode_uuid string, name string, domain string, facts array<string>, nodes int, edges int, attempts int, operation string, error_type string, error string, retryable boolean"
+
+
+def passes(error: BaseException) -> bool:
+    """Whether a failed call is worth another try: by its status if it has one, else by its kind or one that it is a kind of, else by
+    its words."""
+    status = getattr(error, "status_code", None) or getattr(getattr(error, "response", None), "status_code", None)
+    kinds = {k.__name__ for k in type(error).__mro__}
+    if kinds & set(FINAL_KINDS):
+        return False
+    if isinstance(status, int) and 400 <= status <= 599:
+        return status == 429 or status >= 500
+    return bool(kinds & set(PASSING_KINDS)) or re.search(PASSING_WORDS, str(error).lower()) is not None
+
+
+def extract_records(records: DataFrame, extract: Callable[[dict], tuple[int, list[str]]], *, attempts: int = 3, base: float = 0.0) -> DataFrame:
+    """(OUTCOME) of keyed records: ``extract`` takes a record and returns (nodes, facts). A record that fails costs no other: it is tried
+    ``attempts`` times if the failure may pass, after a delay that doubles and differs by key, and then has an error in place of facts.
+    Runs in Arrow batches, as it may call out to a model."""
+    ship(records.sparkSession)
+
+    def one(row: dict) -> tuple:
+        for attempt in range(1, attempts + 1):
+            try:
+                nodes, facts = extract(row)
+                return facts, nodes, len(facts), attempt, None, None, None, None
+            except Exception as e:  # noqa: BLE001  whatever it is belongs to this record
+                again = passes(e)
+                if not again or attempt == attempts:
+                    return None, 0, 0, attempt, "extract", type(e).__name__, str(e).strip() or f"{type(e).__name__} (no message)", again
+                time.sleep(base * 2 ** (attempt - 1) + base * 0.25 * int(row["key"][:8], 16) / 0xFFFFFFFF)
+        raise AssertionError
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in OUTCOME.split(", ")]
+        for frame in frames:
+            rows = [(r["key"], r["episode_uuid"], r["name"], r["domain"], *one(r)) for r in frame.to_dict("records")]
+            yield pd.DataFrame(rows, columns=names).astype({"nodes": "int32", "edges": "int32", "attempts": "int32"})
+
+    return records.mapInPandas(run, OUTCOME)
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def ingest_stream(spark: SparkSession, source: str, target: str, ledger: str, checkpoint: str, *, domain: str, extract: Callable[[dict], tuple[int, list[str]]] | None = None, attempts: int = 3, files_per_batch: int | None = None) -> StreamingQuery:
+    """Ingest what is new in a folder of JSONL, then stop; stopped early, it ends between two micro-batches (of ``files_per_batch`` files).
+
+    A micro-batch takes the records whose key the ledger lacks and writes them once (``target``); then those that are done are entered
+    in the ledger, with receipts and failures beside it. Its files carry the batch's number, so a batch that is run again
+    replaces what it had written. ``extract`` as in extract_records; without it, records are kept as episodes."""
+    reader = spark.readStream.schema(RECORD)
+    records = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(source)
 
     def land(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
-        try:
-            done = s.read.schema(LEDGER).parquet(f"{ledger}/batch=*").where(~F.input_file_name().contains(f"/batch={number}/"))
-        except Exception:  # noqa: BLE001  no ledger yet
-            done = s.createDataFrame([], LEDGER)
+        done = s.createDataFrame([], LEDGER)
+        if _there(s, ledger):  # any other failure to read it is one
+            done = s.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(ledger).where(~F.input_file_name().contains(f"/batch={number}/"))
         new = resume_plan(keyed_records(batch, domain), done)
-        stored = extract(new) if extract else new
-        stored.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        entry = new.select("key", "domain", "name", F.lit(str(number)).alias("ingested_at")).dropDuplicates(["key"])
+        outcome = extract_records(new, extract, attempts=attempts) if extract else new.withColumn("error", F.lit(None).cast("string"))
+        outcome.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        held = s.read.schema(outcome.schema).parquet(f"{target}/batch={number}")
+        entry = held.where("error IS NULL").select("key", "domain", "name", F.lit(str(number)).alias("ingested_at")).dropDuplicates(["key"])
+        if extract:
+            held.where("error IS NULL").select("key", "episode_uuid", "name", "domain", "nodes", "edges", "attempts").write.mode("overwrite").parquet(f"{target}-receipts/batch={number}")
+            held.where("error IS NOT NULL").drop("facts", "nodes", "edges").write.mode("overwrite").parquet(f"{target}-failures/batch={number}")
         entry.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
 
     return records.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stage_extraction(records: DataFrame, extract: Callable[[dict], tuple[int, list[str]]], path: str, *, allowed: list[str], default: str) -> tuple[dict, DataFrame]:
+    """Extract into a snapshot of its own for review, and change nothing else: (header, failures). Records must be of one allowed
+    group. Writes the snapshot in parts at ``path``, and its decisions, all open, beside it."""
+    from ..operators.review import decision_template, read_parts, typed_records, write_decisions, write_parts
+
+    own = keyed_records(records, default)
+    groups = sorted(r["domain"] for r in own.select("domain").distinct().limit(2).collect())
+    if len(groups) != 1:
+        raise ValueError("a snapshot for review has one group; these are of " + ", ".join(groups))
+    if groups[0] not in allowed:
+        raise ValueError(f"unknown group: {groups[0]}")
+    extract_records(own, extract).write.mode("error").parquet(f"{path}/outcome")
+    spark = records.sparkSession
+    outcome = spark.read.parquet(f"{path}/outcome")
+    fine = outcome.where("error IS NULL").join(own.dropDuplicates(["key"]).select("key", "body"), "key").dropDuplicates(["key"])
+    uuid = uuid_of(F.substring(F.sha2(F.concat_ws("\x1f", "key", F.col("pos").cast("string")), 256), 1, 32))
+    facts = fine.select("key", "episode_uuid", "domain", F.posexplode("facts").alias("pos", "fact")).select(uuid.alias("uuid"), "fact", F.array("episode_uuid").alias("episodes"), F.col("domain").alias("group_id"), "episode_uuid")
+    listed = facts.groupBy(F.col("episode_uuid").alias("uuid")).agg(F.sort_array(F.collect_list("uuid")).alias("entity_edges"))
+    episodes = fine.select(F.col("episode_uuid").alias("uuid"), "name", F.col("domain").alias("group_id"), F.col("body").alias("content")).join(listed, "uuid", "left")
+    header = write_parts({"episodic_node": episodes, "entity_edge": facts.drop("episode_uuid")}, f"{path}/snapshot", {"groups": groups, "provider": "staged"})
+    template = decision_template(typed_records(read_parts(spark, f"{path}/snapshot", header), "entity_edge"))
+    write_decisions(template, f"{path}/review", header)
+    return header, outcome.where("error IS NOT NULL").drop("facts", "nodes", "edges")
+
+
 def distinct_records(records: DataFrame, delay: str = "1 hour") -> DataFrame:
     """A stream of keyed records (key, event_time) without repeats that arrive within the delay."""
     return records.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["key"])
