@@ -65,7 +65,7 @@ def test_fact_clusters(spark):
     rows = [("e1", "It uses X.", "a", "b", None, "2024-01-02"), ("e2", "it uses x", "a", "b", None, None), ("e3", "it uses x", "b", "a", None, None), ("e4", "it uses x", "a", "b", "2024-01-01", None)]
     f = spark.createDataFrame(rows, "uuid string, fact string, source_node_uuid string, target_node_uuid string, inv string, cr string").withColumn("invalid_at", F.to_timestamp("inv")).withColumn("created_at", F.to_timestamp("cr"))
     got = reads.duplicate_facts(f, now()).collect()
-    assert [(r["count"], r["fact"], r["members"]) for r in got] == [(2, "It uses X.", ["e1", "e2"])]
+    assert [(r["count"], r["fact"], [m["uuid"] for m in r["members"]]) for r in got] == [(2, "It uses X.", ["e1", "e2"])]
 
 
 def test_rerank_multiplicity_omission_and_order(spark):
