@@ -47,7 +47,7 @@ from .common import map_arrow, ragged, segments, slices, table
 
 MARK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
-SLICE, KEPT, LONG_SEGMENT, MEMO = 2 << 20, 200_000, 48, 200_000
+SLICE, KEPT, LONG_SEGMENT, MEMO = 2 << 20, 300_000, 48, 300_000
 
 
 class Grammar:
@@ -64,15 +64,11 @@ class Grammar:
         self._arcs: dict[str | None, dict[str, float]] = {}
         self._kept = 0
 
-    def arcs(self, last: str | None) -> dict[str, float]:
-        """Weights known of what follows a piece (None: the start)."""
+    def table(self) -> dict[str | None, dict[str, float]]:
+        """Weights known of what follows each last piece (None: the start, and in a unigram model whatever came before)."""
         if self._kept >= MEMO:
             self.forget()
-        last = None if self.unigram else last
-        found = self._arcs.get(last)
-        if found is None:
-            found = self._arcs[last] = {}
-        return found
+        return self._arcs
 
     def weigh(self, last: str | None, piece: str, arcs: dict[str, float]) -> float:
         """The weight of an arc, which is entered among arcs."""
@@ -132,8 +128,8 @@ class Transducer:
         return pa.array([*self.surface, *(x.removeprefix(MARK.encode()) for x in self.surface)], pa.large_binary())
 
     def _compile(self) -> dict:
-        """N o P but for the default arc of byte fallback: a state is its arcs by character read; under "" the piece written on the way
-        back to the start."""
+        """N o P but for the default arc of byte fallback, as the start's arcs: an arc by character read leads to a state (its arcs, the piece
+        written on the way back to the start, or none)."""
         start: dict = {}
         for piece in self.ids:
             state = start
@@ -141,33 +137,38 @@ class Transducer:
                 arc = " " if c == MARK else c  # N writes a mark for what is read as a space
                 state = state.setdefault(arc, {})
             state[""] = piece
-        return start
+
+        def settled(arcs: dict) -> dict:
+            return {c: (settled(state), state.get("")) for c, state in arcs.items() if c}
+
+        return settled(start)
 
     def shortest(self, segment: str) -> list[str]:
         """What the shortest path writes: pieces, and characters that take byte fallback. The segment is composed with
         the machine as it is read."""
-        n, start, grammar = len(segment), self.start, self.grammar
-        weight: list[float] = [0.0] + [math.inf] * n
+        n, start, grammar, inf = len(segment), self.start, self.grammar, math.inf
+        table, least, unigram = grammar.table(), grammar.least, grammar.unigram
+        weight: list[float] = [0.0] + [inf] * n
         last: list[str | None] = [None] * (n + 1)
         for i in range(n):
             base = weight[i]
-            if base == math.inf:
+            if base == inf:
                 continue
-            before = last[i]
-            arcs = grammar.arcs(before)
-            lightest, state, alone = base + grammar.least, start, False
-            for j in range(i, n):
-                state = state.get(segment[j])
-                if state is None:
-                    break
-                piece = state.get("")
+            before = None if unigram else last[i]
+            arcs = table.get(before)
+            if arcs is None:
+                arcs = table[before] = {}
+            lightest, ways, alone, j = base + least, start, False, i
+            while j < n and (state := ways.get(segment[j])) is not None:
+                j += 1
+                ways, piece = state
                 if piece is not None:
-                    alone = alone or j == i
-                    if lightest < weight[j + 1]:  # else no arc can relax the position
+                    alone = alone or j == i + 1
+                    if lightest < weight[j]:  # else no arc can relax the position
                         w = arcs.get(piece)
                         w = base + (grammar.weigh(before, piece, arcs) if w is None else w)
-                        if w < weight[j + 1]:
-                            weight[j + 1], last[j + 1] = w, piece
+                        if w < weight[j]:
+                            weight[j], last[j] = w, piece
             if not alone and lightest < weight[i + 1]:
                 c = MARK if segment[i] == " " else segment[i]
                 w = arcs.get(c)
