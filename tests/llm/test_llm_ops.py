@@ -729,6 +729,22 @@ def test_langid_counts_and_scores_by_brute_force(spark):
         langid.fit(df, max_langs=1)
 
 
+@pytest.mark.parametrize("most", [1, 2])
+def test_langid_blocks_of_languages_agree(spark, sf_dir, most):
+    """Languages in several passes give what one pass gives, on rows with ties, no letters, nulls and clashing columns."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", F.lit(5).alias("_top"), F.lit("x").alias("a b"))
+    more = spark.createDataFrame([(-1, None, "en", 1, "y"), (-2, "", "de", 1, "y"), (-3, "1 2 3", None, 1, "y"), (-4, "aaa", "zz", 1, "y"), (-5, "aaa", "zy", 1, "y")], docs.schema)
+    docs = docs.unionByName(more)
+    one, some = list(langid.blocks(docs)), list(langid.blocks(docs, most=most))
+    assert len(one) == 1 and len(some) == -(-len(one[0][0]) // most) and sum((b[0] for b in some), []) == one[0][0]
+    assert np.array_equal(np.concatenate([b[2] for b in some]), one[0][2]) and np.array_equal(np.concatenate([b[1] for b in some]), one[0][1])
+    want, got = (langid.predict(docs.select("doc_id", "text", "_top", "a b"), m) for m in (one, some))
+    assert got.columns == ["doc_id", "text", "a b", "lang_pred", "score"] == want.columns
+    want, got = ({r["doc_id"]: (r["lang_pred"], r["score"]) for r in x.collect()} for x in (want, got))
+    assert {i: g for i, (g, _) in got.items()} == {i: g for i, (g, _) in want.items()} and got[-1] == ("und", 0.0)
+    assert [got[i][1] for i in sorted(got)] == pytest.approx([want[i][1] for i in sorted(want)], abs=1e-9)
+
+
 def test_langid_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = queries.QUERIES["op10_language_id"](spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
