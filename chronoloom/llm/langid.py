@@ -85,7 +85,7 @@ def train_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
                 own, rows_of, names = np.repeat(which, np.diff(at)), np.bincount(which), list(known)
                 for lo in range(0, len(names), COUNTED):
                     some = names[lo : lo + COUNTED]
-                    here = (own >= lo) & (own < lo + len(some))
+                    here = (own >= lo) & (own < lo + len(some)) if len(some) < len(names) else slice(None)
                     n = np.bincount((own[here] - lo) * buckets + features[here], minlength=len(some) * buckets).reshape(-1, buckets)
                     for i, lang in enumerate(some):
                         held = total.setdefault(lang, np.zeros(buckets + 1, np.int64))
