@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, langid, mixing, ngram_join, quality_mil, quality_rules, sentencepiece_fst, token_files, warc
+from . import ann, chat, divergence, langid, mixing, ngram_join, odd_sketch, quality_mil, quality_rules, resample, sentencepiece_fst, token_files, warc
 
 QUERIES = {
     "op1_warc_round_trip": warc.op1_warc_round_trip,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_preference_pairs": chat.op8_preference_pairs,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_language_id": langid.op10_language_id,
+    "op11_minhash_dedup": odd_sketch.op11_minhash_dedup,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_importance_resampling": resample.op13_importance_resampling,
 }
 
 ORACLE = {
@@ -23,4 +26,7 @@ ORACLE = {
     "op5_ngram_join": ngram_join.OP5_SQL,
     "op8_preference_pairs": chat.OP8_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
+    "op11_minhash_dedup": odd_sketch.OP11_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
+    "op13_importance_resampling": resample.OP13_SQL,
 }

@@ -35,7 +35,7 @@ def tables(request, spark, tmp_path_factory):
     return d, keep
 
 
-ROWS = {"op1": 9, "op2": 51, "op3": 51, "op4": 51, "op5": 51, "op7": 51, "op9": 51, "op10": 51, "op8": 3}
+ROWS = {"op1": 9, "op2": 51, "op3": 51, "op4": 51, "op5": 51, "op7": 51, "op9": 51, "op10": 51, "op11": 51, "op13": 51, "op8": 3}
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
