@@ -60,7 +60,8 @@ def words(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
+    """Runs of letters, numbers and underscores of any script, lower case; a combining mark is none of these."""
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
 def overlap_of_words(a: Column, b: Column) -> Column:

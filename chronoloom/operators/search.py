@@ -10,6 +10,7 @@ import functools
 import itertools
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from .reads import in_date_range, in_groups, is_current, of_types, with_any_label
 
+if TYPE_CHECKING:
+    from .index import WordIndex
+
 K1, B, FUSION, MAX_QUERIES = 1.2, 0.75, 60, 1000
 
 
@@ -165,10 +169,14 @@ def nearest_to(rows: DataFrame, vector: Sequence[float], vector_col: str, limit:
     return top(scored, limit, id_col)
 
 
-def candidates(rows: DataFrame, asked: Asked, text: Column, vector_col: str, edges: DataFrame | None = None, ends: Sequence[str] = ("uuid",)) -> DataFrame:
-    """The best of rows for the question, up to the ceiling, with rank: by words; with a vector, by reciprocal ranks of words and
-    cosine; with a centre, those whose ends are nearest to it first."""
-    found = top(bm25(rows, "uuid", text, asked.question), asked.ceiling, "uuid")
+def candidates(rows: DataFrame, asked: Asked, text: Column, vector_col: str, edges: DataFrame | None = None, ends: Sequence[str] = ("uuid",), index: WordIndex | None = None) -> DataFrame:
+    """The best of rows for the question, up to the ceiling, with rank: by words, from the index if there is one; with a vector, by
+    reciprocal ranks of words and cosine; with a centre, those whose ends are nearest to it first."""
+    if index is None:
+        found = top(bm25(rows, "uuid", text, asked.question), asked.ceiling, "uuid")
+    else:  # the ceiling bounds what is sent to all tasks
+        hits = index.search(asked.question, asked.ceiling, asked.groups)
+        found = top(rows.join(F.broadcast(hits.withColumnRenamed("id", "uuid")), "uuid"), asked.ceiling, "uuid")
     if asked.vector is not None:
         near = nearest_to(rows, asked.vector, vector_col, asked.ceiling)
         fused = top(fuse([found, near], "uuid"), asked.ceiling, "uuid")
@@ -194,12 +202,14 @@ def _stats(asked: Asked, seen: DataFrame, eligible: Column, returned: DataFrame)
     )
 
 
-def find_facts(facts: DataFrame, asked: Asked, now: Column, *, edges: DataFrame | None = None, min_score: float = 0.0, include_invalidated: bool = False, ranker: Callable[[DataFrame], DataFrame] | None = None) -> Found:
+def find_facts(facts: DataFrame, asked: Asked, now: Column, *, edges: DataFrame | None = None, min_score: float = 0.0, include_invalidated: bool = False, ranker: Callable[[DataFrame], DataFrame] | None = None, index: WordIndex | None = None) -> Found:
     """The composite search of facts: filters, then candidates up to the ceiling, only then what holds now, then the ranker's
     answer (passage, place, score) by n-th text, its threshold and the limit. ``ranker`` maps candidates (fact, rank) to that
-    answer; by default they keep their order."""
+    answer; by default they keep their order. ``index`` is one of the facts' names and texts; filters by type or date, whose
+    statistics an index does not have, scan."""
+    index = None if asked.types or asked.dates else index
     pool = in_date_range(of_types(in_groups(facts, asked.groups), asked.types or []), **asked.dates)
-    seen = candidates(pool, asked, F.concat_ws(" ", "name", "fact"), "fact_embedding", facts if edges is None else edges, ("source_node_uuid", "target_node_uuid"))
+    seen = candidates(pool, asked, F.concat_ws(" ", "name", "fact"), "fact_embedding", facts if edges is None else edges, ("source_node_uuid", "target_node_uuid"), index)
     eligible = F.lit(True) if include_invalidated else is_current(now)
     current = seen.where(eligible).drop("score")
     if ranker is None:
@@ -210,10 +220,11 @@ def find_facts(facts: DataFrame, asked: Asked, now: Column, *, edges: DataFrame
     return Found(rows, _stats(asked, seen, eligible, rows))
 
 
-def find_nodes(nodes: DataFrame, asked: Asked, *, edges: DataFrame | None = None) -> Found:
-    """The search of nodes by name and summary, of any of the labels. Nodes have no dates, so all that is seen is eligible."""
+def find_nodes(nodes: DataFrame, asked: Asked, *, edges: DataFrame | None = None, index: WordIndex | None = None) -> Found:
+    """The search of nodes by name and summary, of any of the labels. Nodes have no dates, so all that is seen is eligible.
+    ``index`` is one of the nodes' names and summaries; a filter by labels scans."""
     pool = with_any_label(in_groups(nodes, asked.groups), asked.labels or [])
-    seen = candidates(pool, asked, F.concat_ws(" ", "name", "summary"), "name_embedding", edges)
+    seen = candidates(pool, asked, F.concat_ws(" ", "name", "summary"), "name_embedding", edges, index=None if asked.labels else index)
     rows = seen.orderBy("rank").limit(asked.limit).withColumnRenamed("rank", "place")
     return Found(rows, _stats(asked, seen, F.lit(True), rows))
 

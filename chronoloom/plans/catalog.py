@@ -741,3 +741,23 @@ def current_then_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.top(search.bm25(f, "uuid", F.concat_ws(" ", "name", "fact"), QUESTION), 40, "uuid")
     split = search.split_by_currency(found, _now(), 5)
     return split.select("uuid", "current", "place", F.date_format("valid_at", "yyyy-MM-dd").alias("valid_on"), F.date_format("invalid_at", "yyyy-MM-dd").alias("invalid_on"))
+
+
+@query(f"""{_FACTS}, f2 AS (SELECT uuid, name || ' ' || fact || CASE WHEN CAST(substr(uuid, 2) AS BIGINT) % 5 = 0 THEN ' purchase again' ELSE '' END AS body FROM facts WHERE CAST(substr(uuid, 2) AS BIGINT) % 11 > 0), {_bm25_sql("f2", QUESTION, "uuid")}
+SELECT uuid, score, CAST(row_number() OVER (ORDER BY score DESC, uuid) AS INTEGER) AS rank FROM scored QUALIFY rank <= 30""")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best facts by words, from blocks of an index: built over some of the facts, then brought to a state in which some are new, some
+    say more, and some are gone."""
+    import uuid
+
+    from ..operators.index import WordIndex
+    from ..sources.store import shared_dir
+
+    number, body = F.substring("uuid", 2, 20).cast("long"), F.concat_ws(" ", "name", "fact")
+    facts = temporal_facts(spark, sf_dir).select("uuid", "name", "fact", "group_id")
+    before = facts.where(number % 3 > 0)
+    after = facts.where(number % 11 > 0).withColumn("fact", F.when(number % 5 == 0, F.concat(F.col("fact"), F.lit(" purchase again"))).otherwise(F.col("fact")))
+    index = WordIndex.create(before, f"{shared_dir(spark)}/chronoloom-index-{uuid.uuid4().hex}", text=body)
+    index.update(before, after, text=body)
+    found = search.top(index.search(QUESTION, 30).withColumnRenamed("id", "uuid"), 30, "uuid")
+    return found.select("uuid", "score", "rank")

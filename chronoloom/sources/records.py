@@ -176,22 +176,6 @@ def rewrite_queue(queue: DataFrame, moves) -> tuple[DataFrame, DataFrame]:
     return queue.where(~moved), queue.where(moved)
 
 
-def versions(spark: SparkSession, base: str) -> list[str]:
-    """Paths of a table's complete versions, the oldest first."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(base)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    done = [s for s in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return [s.getPath().toString() for s in sorted(done, key=lambda s: (s.getModificationTime(), s.getPath().getName()))]
-
-
-def read_latest(spark: SparkSession, base: str, schema: T.StructType) -> DataFrame:
-    """The newest version of a table as it is now; what others commit later is seen by the next read. Without one, no rows."""
-    found = versions(spark, base)
-    return spark.read.schema(schema).parquet(found[-1]) if found else spark.createDataFrame([], schema)
-
-
 def write_by_group(df: DataFrame, path: str, mode: str = "append") -> None:
     """One folder a group, so that a read of a group opens only its own files."""
     df.write.mode(mode).partitionBy("group_id").parquet(path)

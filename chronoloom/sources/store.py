@@ -1,22 +1,27 @@
-"""A graph as a folder of versioned tables, and the word indexes beside them.
+"""A graph and its queue as tables under one commit log, and the word indexes beside them.
 
-A write of a kind makes a new version and never touches an older one; a read takes the newest that is complete, so one that
-began before a write goes on with what it had, and the next sees the write."""
+A write of tables is one commit and never touches older versions; a read takes the last commit, so one that began before a write goes
+on with what it had, and the next sees the write, of all tables or of none. An index tells which version of its kind it has: a search
+uses it where that is the one it reads, and scans otherwise."""
 
 from __future__ import annotations
 
 import contextlib
 import tempfile
 import threading
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..operators.index import WordIndex
 from ..operators.reads import in_groups
-from .records import read_latest, replace_table, versions
-from .views import KINDS
+from ..operators.search import Asked, Found, find_facts, find_nodes
+from .commits import CommitLog, Conflict, Snapshot, Transaction
+from .views import KINDS, PROPOSAL
+
+TABLES = {**KINDS, "queue": PROPOSAL, "archive": PROPOSAL}
 
 # What is indexed by its words: (kind, columns).
 INDEXES = {"episode_content": ("episodic_node", ("content",)), "node_name_and_summary": ("entity_node", ("name", "summary")), "edge_name_and_fact": ("entity_edge", ("name", "fact"))}
@@ -32,39 +37,87 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def fitted(rows: DataFrame, name: str) -> DataFrame:
+    """rows in the columns and types of a table; what they lack is null."""
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name]])
+
+
 class Store:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
+        self.log = CommitLog(spark, self.base, TABLES)
 
     def set_up(self) -> None:
-        """An empty version of every kind that has none."""
-        for kind, schema in KINDS.items():
-            if not versions(self.spark, f"{self.base}/{kind}"):
-                self.write(kind, self.spark.createDataFrame([], schema))
-
-    def write(self, kind: str, rows: DataFrame) -> str:
-        return replace_table(rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in KINDS[kind]]), f"{self.base}/{kind}")
-
-    def read(self, kind: str, groups: list[str] | None = None) -> DataFrame:
-        return in_groups(read_latest(self.spark, f"{self.base}/{kind}", KINDS[kind]), groups)
+        """Empty tables, in one commit, where there is no commit yet."""
+        if not self.log.head():
+            with self.log.transaction("set up") as t:
+                for name, schema in TABLES.items():
+                    t.write(name, self.spark.createDataFrame([], schema))
+
+    def write(self, kind: str, rows: DataFrame) -> int:
+        """Replace a table, whatever it was: the number of the commit."""
+        return self.write_all({kind: rows})
+
+    def write_all(self, tables: dict[str, DataFrame]) -> int:
+        """Replace tables in one commit."""
+        staged = {name: self.log.stage(name, fitted(rows, name)) for name, rows in tables.items()}
+        while True:
+            try:
+                return self.log.commit(staged, self.log.head())
+            except Conflict:  # another came between; what is there is replaced all the same
+                continue
+
+    def change(self, work: Callable[[Transaction], object], note: str = ""):
+        """What ``work`` gives, which reads and writes tables in a transaction; done anew where another commit came between."""
+        return self.log.retried(work, note=note)
+
+    def read(self, kind: str, groups: list[str] | None = None, number: int | None = None) -> DataFrame:
+        return in_groups(self.log.at(number).read(kind), groups)
 
     def sql(self, text: str, **args) -> DataFrame:
-        """A query over the kinds as tables, with named parameters (:name)."""
-        for kind in KINDS:
-            self.read(kind).createOrReplaceTempView(kind)
+        """A query over the tables of one commit, with named parameters (:name)."""
+        held = self.log.at()
+        for name in TABLES:
+            held.read(name).createOrReplaceTempView(name)
         return self.spark.sql(text, args=args)
 
+    # ------------------------------------------------------------ indexes
+
+    def index(self, name: str) -> WordIndex:
+        return WordIndex(self.spark, f"{self.base}/indexes/{name}")
+
     def build_indexes(self) -> None:
+        """Bring every index to the last commit: a segment of what changed since the version that it has."""
+        held = self.log.at()
         for name, (kind, columns) in INDEXES.items():
-            postings(self.read(kind), "uuid", F.concat_ws(" ", *columns)).write.mode("overwrite").parquet(f"{self.base}/indexes/{name}")
+            index, path, text = self.index(name), held.paths.get(kind, ""), F.concat_ws(" ", *columns)
+            if index.meta is None:
+                WordIndex.create(held.read(kind), index.base, text=text, of=path)
+            elif (had := index.of) != path:
+                before = self.spark.read.schema(KINDS[kind]).parquet(had) if had else self.spark.createDataFrame([], KINDS[kind])
+                index.update(before, held.read(kind), text=text, of=path)
 
     def missing_indexes(self) -> list[str]:
-        done = lambda name: self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/indexes/{name}/_SUCCESS")
-        return [n for n in INDEXES if not done(n).getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done(n))]
+        """Indexes that are not there, or do not have the last commit."""
+        held = self.log.at()
+        return [n for n, (kind, _) in INDEXES.items() if self._fit(n, kind, held) is None]
+
+    def _fit(self, name: str, kind: str, held: Snapshot) -> WordIndex | None:
+        index = self.index(name)
+        return index if index.meta is not None and index.of == held.paths.get(kind, "") else None
 
     def look_up(self, index: str, terms: list[str]) -> DataFrame:
         """(uuid, term, tf, dl) of the terms, read from the index alone."""
-        return self.spark.read.parquet(f"{self.base}/indexes/{index}").where(F.col("term").isin(terms))
+        return self.index(index).look_up(terms).select(F.col("id").alias("uuid"), "term", "tf", "dl")
+
+    def find_facts(self, asked: Asked, now: Column, **how) -> Found:
+        """The search of facts of the last commit, through the index where it has that commit."""
+        held = self.log.at()
+        return find_facts(held.read("entity_edge"), asked, now, index=self._fit("edge_name_and_fact", "entity_edge", held), **how)
+
+    def find_nodes(self, asked: Asked) -> Found:
+        held = self.log.at()
+        return find_nodes(held.read("entity_node"), asked, edges=held.read("entity_edge"), index=self._fit("node_name_and_summary", "entity_node", held))
 
 
 def postings(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
