@@ -1,20 +1,45 @@
 """The pipeline against a plain version of each stage."""
 
+import pathlib
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
-from tests.llm.test_llm_ops import brute_components, plain_ngrams
+from tests.llm.test_llm_new import plain_components
+from tests.llm.test_llm_ops import plain_ngrams
 
 import corpus_pipeline
-from chronoloom.llm import langid, mixing, quality_rules
+from chronoloom.llm import langid, mixing, ngram_join, quality_rules
 
 
-def test_pipeline_by_brute_force(spark, sf_dir):
+def planted(sf_dir, at):
+    """The tables with pairs of 141 words, three of them changed: 122 of 152 shingles of five words are shared (80.3 %), 126 of 150 of
+    four (84 %), so the stage's rule links them and that of the query of its own does not."""
     import pandas as pd
 
+    docs = pd.read_parquet(f"{sf_dir}/documents.parquet")
+    more = []
+    for text in docs[docs["lang"] == "en"]["text"]:
+        words = (text or "").split()[:141]
+        if len(words) == 141 and len(set(words)) > 80 and len(more) < 20:
+            other = [f"{w}x" if i in (30, 70, 110) else w for i, w in enumerate(words)]
+            more += [(10**6 + len(more), " ".join(words)), (10**6 + 1 + len(more), " ".join(other))]
+    extra = docs.iloc[: len(more)].copy()
+    extra["doc_id"], extra["text"], extra["lang"], extra["n_chars"] = [i for i, _ in more], [x for _, x in more], "en", [len(x) for _, x in more]
+    pd.concat([docs, extra.astype(docs.dtypes)]).to_parquet(f"{at}/documents.parquet", index=False)
+    (at / "labels.parquet").symlink_to(pathlib.Path(f"{sf_dir}/labels.parquet"))
+    return str(at)
+
+
+@pytest.mark.parametrize("which", ["given", "planted"])
+def test_pipeline_by_brute_force(spark, sf_dir, tmp_path, which):
+    import pandas as pd
+
+    sf_dir = sf_dir if which == "given" else planted(sf_dir, tmp_path)
+
     docs = pd.read_parquet(f"{sf_dir}/documents.parquet")
     # 1. Naive Bayes with counters.
     rows = [(i, t, g) for i, t, g in zip(docs["doc_id"], docs["text"], docs["lang"], strict=True)]
@@ -37,7 +62,10 @@ def test_pipeline_by_brute_force(spark, sf_dir):
     con.register("documents", documents)
     kept = con.execute(f"SELECT doc_id FROM ({quality_rules.OP2_SQL}) WHERE kept").fetchall()
     documents = documents[documents["doc_id"].isin([r[0] for r in kept])]
-    group = brute_components(list(zip(documents["doc_id"], documents["text"], strict=True)))
+    rows = list(zip(documents["doc_id"], documents["text"], strict=True))
+    group = plain_components(rows, ngram_join.STAGE_SHINGLE, ngram_join.STAGE_PERCENT)
+    roots = lambda g: {i: r for i, (_, r) in g.items()}
+    assert which == "given" or roots(group) != roots(plain_components(rows, ngram_join.SHINGLE, ngram_join.PERCENT))
     documents = documents[[group[i][1] == i for i in documents["doc_id"]]]
     con.register("documents", documents)
     copies = dict(con.execute(f"SELECT doc_id, taken // size FROM ({mixing.OP9_SQL}) WHERE taken > 0").fetchall())
