@@ -1,20 +1,25 @@
 """The queue's life as transformations of tables: filing, decisions, claims, landing, archive.
 
-A queue is a DataFrame with the columns of ``views.PROPOSAL``. Every step takes one and returns new ones; a caller writes them
-as new versions (``records.replace_table``), so a reader sees a step whole or not at all.
+A queue is a DataFrame with the columns of ``views.PROPOSAL``. Every step takes one and returns new ones; ``drain_store`` commits them to a
+store, so a reader sees a step whole or not at all.
 """
 
 from __future__ import annotations
 
 import contextlib
+import json
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import content_digest
 from ..functions.text import secret_shapes, strip
+from ..sources.commits import Transaction, put_if_absent, read_text
+from ..sources.records import replace_table
+from ..sources.store import Store, shared_dir
 from .gates import EXIT, ApproveRule, approving_rule, binding_error, decidable, gate_codes
 from .reads import in_groups
 from .workflow import clean_reason, episodes_to_land, mark_retired
@@ -115,20 +120,51 @@ class Drained:
     summary: DataFrame
 
 
+def land_claimed(queue: DataFrame, land: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, index, episode_uuid, edges, error) of what is claimed and still says what was approved, written: ``land``, which may ask a
+    model, is called once for each fact, however often its outcome is read."""
+    spark = queue.sparkSession
+    ready = queue.where("status = 'approved' AND draining_at IS NOT NULL").where(binding_error(queue.columns).isNull())
+    outcome = land(episodes_to_land(ready)).select("id", "index", "episode_uuid", "edges", "error")
+    return spark.read.schema(outcome.schema).parquet(replace_table(outcome, f"{shared_dir(spark)}/chronoloom-landed"))
+
+
 def drain(queue: DataFrame, facts: DataFrame, land: Callable[[DataFrame], DataFrame], now: Column, at: Column) -> Drained:
-    """Land all that is approved. ``land`` takes episodes (id, index, name, body, domain, valid_at, provenance) and returns (id, index,
-    episode_uuid, edges, error); what it returns is used several times, so it should be a table that was written. ``now`` is
-    text for the queue, ``at`` an instant for facts.
+    """Claim, land and settle all that is approved. ``land`` takes episodes (id, index, name, body, domain, valid_at, provenance) and
+    returns (id, index, episode_uuid, edges, error). ``now`` is text for the queue, ``at`` an instant for facts."""
+    queue = claim(release(queue), now)
+    return settle(queue, facts, land_claimed(queue, land), now, at)
+
+
+def drain_store(store: Store, land: Callable[[DataFrame], DataFrame], now: Column, at: Column) -> Row:
+    """A drain of a store, as its one drain (``only_drain``): the claim is committed before anything lands, so that no reviewer
+    rejects what is landing; what landed is settled against the queue as it is then, anew if another commit comes between.
+    Returns the summary (completed, failed)."""
+    store.change(lambda t: t.write("queue", claim(release(t.read("queue")), now)), "claim")
+    outcome = land_claimed(store.read("queue"), land)
+
+    def finish(t: Transaction) -> Row:
+        done = settle(t.read("queue"), t.read("entity_edge"), outcome, now, at)
+        t.write("queue", done.queue)
+        t.write("archive", t.read("archive").unionByName(done.archived))
+        t.write("entity_edge", done.facts)
+        return done.summary.first()
+
+    return store.change(finish, "drain")
+
+
+def settle(queue: DataFrame, facts: DataFrame, outcome: DataFrame, now: Column, at: Column) -> Drained:
+    """What a claimed queue and the facts are after its facts landed with that outcome (a written table, as it is read several times).
 
     A fact has landed if there was no error and it gave at least one edge. A proposal of which all facts landed goes to the
     archive; of one that failed in part, what landed is recorded and the rest stays approved for the next drain; one that
     failed whole is released. A retirement is done whole or not at all."""
-    queue = claim(release(queue), now)
-    approved = queue.where("status = 'approved'").withColumn("_error", binding_error(queue.columns))
-    unbound = approved.where("_error IS NOT NULL").select("id", "domain", _null("int").alias("index"), F.col("_error").alias("error"))
+    approved = queue.where("status = 'approved' AND draining_at IS NOT NULL").withColumn("_error", binding_error(queue.columns))
+    loose = queue.where("status = 'approved'").withColumn("_error", binding_error(queue.columns))
+    unbound = loose.where("_error IS NOT NULL").select("id", "domain", _null("int").alias("index"), F.col("_error").alias("error"))
     ready = approved.where("_error IS NULL").drop("_error")
 
-    outcome = land(episodes_to_land(ready)).join(ready.select("id", "domain"), "id")
+    outcome = outcome.join(ready.select("id", "domain"), "id")
     error = F.coalesce("error", F.when(F.coalesce("edges", F.lit(0)) <= 0, F.lit(NO_FACTS)))
     outcome = outcome.select("id", "domain", "index", "episode_uuid", error.alias("error"))
     by_id = outcome.where("error IS NULL").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("index", "episode_uuid"))).alias("_got"))
@@ -163,18 +199,28 @@ def drain(queue: DataFrame, facts: DataFrame, land: Callable[[DataFrame], DataFr
 
 
 @contextlib.contextmanager
-def only_drain(spark: SparkSession, lock: str) -> Iterator[bool]:
-    """Whether this is the one drain of a workspace: a file that only one can create, in a folder that all share."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(lock)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    try:
-        fs.create(path, False).close()
-    except Exception as e:
-        if "already exists" not in str(e).lower() and "FileAlreadyExists" not in str(e):
-            raise
+def only_drain(spark: SparkSession, lock: str, lease: float = 3600.0) -> Iterator[bool]:
+    """Whether this is the one drain of a workspace: the holder of the last of numbered leases, in a folder that all share. A lease ends
+    when it is given back, or, if its driver died, ``lease`` seconds after it began: what it claimed and did not land
+    is then the next drain's. Each number can be put once, so of several that follow an ended lease one gets the next."""
+    names = _names(spark, lock)
+    number = max((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), default=0)
+    if number and f"{number}.done" not in names:
+        held = json.loads(read_text(spark, f"{lock}/{number}.json"))
+        if held["until"] > time.time():
+            yield False
+            return
+    mine = f"{lock}/{number + 1}"
+    if not put_if_absent(spark, f"{mine}.json", json.dumps({"owner": spark.sparkContext.applicationId, "until": time.time() + lease})):
         yield False
         return
     try:
         yield True
     finally:
-        fs.delete(path, False)
+        put_if_absent(spark, f"{mine}.done", "")
+
+
+def _names(spark: SparkSession, folder: str) -> set[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {s.getPath().getName() for s in fs.listStatus(path)} if fs.exists(path) else set()

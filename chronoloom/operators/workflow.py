@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,43 @@ from ..functions.text import correction_body, provenance_line, strip
 from .reads import episode_edges, in_groups
 
 
-def latest_states(log: DataFrame) -> DataFrame:
-    """An event log (id, seq, status ...) -> each proposal's last row, by seq, in one aggregation."""
-    rest = [c for c in log.columns if c != "id"]
-    return log.groupBy("id").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("id", "r.*")
+#: The steps that a proposal may take from each state; "" is before it was filed. Nothing leads out of the last two.
+STEPS = {
+    "": ("pending", "approved"), "pending": ("approved", "rejected"), "approved": ("rejected", "draining"), "draining": ("approved", "archived"),
+    "rejected": (), "archived": (),
+}
+STATES, RUN = tuple(STEPS), 4096
+
+
+def step(state: str, status: str) -> str | None:
+    """The state after an event; None if it is refused."""
+    return status if status in STEPS[state] else None
+
+
+def _after(was: Column, status: Column) -> Column:
+    """Whether an event is a step that leads on from a state."""
+    return functools.reduce(Column.__or__, [(was == s) & status.isin(list(to)) for s, to in STEPS.items() if to])
+
+
+def folded_states(log: DataFrame, *, run: int = RUN) -> DataFrame:
+    """An event log (id, seq, status) -> (id, seq, status, refused): each proposal's state, the event that led to it, and how many
+    events were no step from the state that they met. Before the first step the status is null.
+
+    What a run of events does is a function from the state before it to the state after it, so runs of at most ``run``
+    numbers are each made such a function, wherever they are, and only these are put together by id: no task holds all
+    events of a proposal, however many it has."""
+    at = lambda s, seq, refused: F.struct(s.alias("status"), seq.alias("seq"), refused.alias("refused"))
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    start = F.array(*[at(F.lit(s), none, zero) for s in STATES])
+    events = F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), F.col("status"))))
+    runs = log.groupBy("id", F.floor(F.col("seq") / run).alias("run")).agg(events.alias("events"))
+    taken = lambda x, e: F.when(F.coalesce(_after(x["status"], e["status"]), F.lit(False)), at(e["status"], e["seq"], x["refused"])).otherwise(at(x["status"], x["seq"], x["refused"] + 1))
+    runs = runs.select("id", "run", F.aggregate("events", start, lambda acc, e: F.transform(acc, lambda x: taken(x, e))).alias("does"))
+    place = F.create_map(*[F.lit(x) for i, s in enumerate(STATES) for x in (s, i)])
+    then = lambda acc, does: F.transform(F.array(F.element_at(does, F.element_at(place, acc["status"]) + 1)), lambda y: at(y["status"], F.coalesce(y["seq"], acc["seq"]), acc["refused"] + y["refused"]))[0]
+    whole = runs.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "does"))), lambda r: r["does"]).alias("runs"))
+    last = whole.select("id", F.aggregate("runs", at(F.lit(""), none, zero), then).alias("r"))
+    return last.select("id", "r.seq", F.nullif(F.col("r.status"), F.lit("")).alias("status"), "r.refused")
 
 
 def episodes_to_land(approved: DataFrame) -> DataFrame:

@@ -424,26 +424,40 @@ def gate_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.gate_codes(_proposals(spark, sf_dir), items).select("id", "refusal", F.array_join("secrets", ",").alias("secrets"), "n_sentences", "resembles", "exit_code")
 
 
-@query(_PROPOSALS + """, f AS (SELECT id, doc_id, n, unnest([0, 1]) AS index FROM p WHERE operation <> 'retire'),
-o AS (SELECT id, n, count_if(NOT (doc_id % 7 = 0 AND index = 0) AND (doc_id + index) % 3 > 0) AS landed FROM f WHERE index < n GROUP BY id, n)
-SELECT id, landed = n AS archived, CAST(landed AS INTEGER) AS landed, landed > 0 OR landed = n AS claimed FROM o""")
+@query(_PROPOSALS + """, l AS (SELECT *, 'L' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS uuid FROM lineitem),
+f AS (SELECT id, doc_id, n, unnest([0, 1]) AS index FROM p WHERE operation <> 'retire'),
+o AS (SELECT id, n, count_if(NOT (doc_id % 7 = 0 AND index = 0) AND (doc_id + index) % 3 > 0) AS landed FROM f WHERE index < n GROUP BY id, n),
+e AS (SELECT p.id, l.uuid, l.l_linenumber, CASE WHEN l.l_linenumber % 3 = 0 THEN l.l_shipdate END AS ended FROM p JOIN l ON l.l_orderkey = p.doc_id WHERE operation = 'retire' AND l.l_returnflag = 'N'),
+q AS (SELECT p.id, doc_id % 5 = 2 OR count(uuid) = 0 AS fails, count(uuid) AS edges, count_if(ended IS NULL) AS open FROM p LEFT JOIN e USING (id) WHERE operation = 'retire' GROUP BY p.id, doc_id)
+SELECT id, landed = n AS archived, CAST(landed AS INTEGER) AS landed, landed > 0 OR landed = n AS claimed, 0 AS retired, 0 AS already FROM o
+UNION ALL SELECT id, NOT fails, 0, NOT fails, CAST(CASE WHEN fails THEN 0 ELSE open END AS INTEGER), CAST(CASE WHEN fails THEN 0 ELSE edges - open END AS INTEGER) FROM q""")
 def drain_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A drain of all proposals but retirements, where one in seven bundles fails at its first fact and every third fact yields no edge."""
+    """A drain of all proposals: one in seven bundles fails at its first fact, every third fact yields no edge, and retirements end the
+    facts of an order that are in their group; some of these have an end already, and some retirements name a fact that is not there."""
     from ..operators import drain
     from ..sources.views import PROPOSAL
 
-    p = _proposals(spark, sf_dir).where("operation <> 'retire'").withColumn("status", F.lit("approved"))
+    facts = supply_facts(spark, sf_dir)
+    ended = F.when(F.regexp_extract("uuid", r"-(\d+)-", 1).cast("int") % 3 == 0, F.col("created_at"))
+    facts = facts.withColumn("invalid_at", ended.cast("timestamp_ntz"))
+    own = facts.where("group_id = 'N'").select(F.concat(F.lit("proposal-"), F.substring(F.col("episodes")[0], 2, 20)).alias("id"), "uuid").groupBy("id").agg(F.sort_array(F.collect_list("uuid")).alias("edges"))
+
+    doc = F.expr("cast(substring(id, 10) as bigint)")
+    p = _proposals(spark, sf_dir).join(own, "id", "left").withColumn("status", F.lit("approved"))
+    retires = F.col("operation") == "retire"
+    lost = F.when((doc % 5 == 2) | F.col("edges").isNull(), F.array(F.lit("nowhere"))).otherwise(F.array().cast("array<string>"))
+    edges = F.when(retires, F.concat(F.coalesce("edges", F.array().cast("array<string>")), lost))
+    p = p.withColumn("edges", edges).withColumn("domain", F.when(retires, F.lit("N")).otherwise(F.col("domain")))
     queue = p.select(*[(F.col(f.name) if f.name in p.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in PROPOSAL])
     queue = queue.withColumn("approved_digest", identity.content_digest(queue.columns))
 
     def land(episodes: DataFrame) -> DataFrame:
-        doc = F.substring("id", 10, 20).cast("long")
         error = F.when((doc % 7 == 0) & (F.col("index") == 0), "no answer")
         return episodes.select("id", "index", F.concat_ws("#", "id", F.col("index").cast("string")).alias("episode_uuid"), ((doc + F.col("index")) % 3).cast("int").alias("edges"), error.alias("error"))
 
-    done = drain.drain(queue, supply_facts(spark, sf_dir).withColumn("invalid_at", F.lit(None).cast("timestamp_ntz")), land, F.lit("2024-01-16T00:00:00Z"), _now())
-    size = F.greatest(F.coalesce(F.size("landed"), F.lit(0)), F.lit(0)).alias("landed")
-    rows = lambda df, archived: df.select("id", F.lit(archived).alias("archived"), size, F.col("draining_at").isNotNull().alias("claimed"))
+    done = drain.drain(queue, facts, land, F.lit("2024-01-16T00:00:00Z"), _now())
+    size = lambda c, name: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).alias(name)
+    rows = lambda df, archived: df.select("id", F.lit(archived).alias("archived"), size("landed", "landed"), F.col("draining_at").isNotNull().alias("claimed"), size("retired", "retired"), size("already_invalid", "already"))
     return rows(done.archived, True).union(rows(done.queue, False))
 
 
@@ -454,12 +468,16 @@ def auto_approval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.approving_rule(_proposals(spark, sf_dir), rules).select("id", "rule")
 
 
-@query("""WITH s AS (SELECT event_id % 500 AS id, event_id AS seq, ['pending', 'approved', 'rejected', 'draining', 'archived'][event_id % 5 + 1] AS status FROM events)
-SELECT id, max(seq) AS seq, max_by(status, seq) AS status FROM s GROUP BY id""")
+@query(f"""WITH s AS (SELECT event_id % 500 AS id, event_id AS seq, ['pending', 'approved', 'rejected', 'draining', 'archived', 'lost'][event_id // 7 % 6 + 1] AS status FROM events),
+f AS (SELECT id, list_reduce(list({{'status': status, 'seq': seq, 'refused': 0::BIGINT}} ORDER BY seq), lambda a, e:
+  CASE WHEN a.status || '>' || e.status IN ({", ".join(f"'{s}>{to}'" for s, tos in workflow.STEPS.items() for to in tos)}) THEN {{'status': e.status, 'seq': e.seq, 'refused': a.refused}}
+  ELSE {{'status': a.status, 'seq': a.seq, 'refused': a.refused + 1}} END, {{'status': '', 'seq': NULL::BIGINT, 'refused': 0::BIGINT}}) AS r FROM s GROUP BY id)
+SELECT id, r.seq AS seq, nullif(r.status, '') AS status, r.refused AS refused FROM f""")
 def proposal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of proposals by their events, of which some are no step that they may take."""
     e, n = table(spark, sf_dir, "events"), F.col("event_id")
-    status = F.element_at(F.array(*[F.lit(x) for x in ("pending", "approved", "rejected", "draining", "archived")]), (n % 5 + 1).cast("int"))
-    return workflow.latest_states(e.select((n % 500).alias("id"), n.alias("seq"), status.alias("status")))
+    status = F.element_at(F.array(*[F.lit(x) for x in ("pending", "approved", "rejected", "draining", "archived", "lost")]), (F.floor(n / 7) % 6 + 1).cast("int"))
+    return workflow.folded_states(e.select((n % 500).alias("id"), n.alias("seq"), status.alias("status")))
 
 
 @query(_PROPOSALS + """, q AS (SELECT id, doc_id, operation, fact_type, provenance, src, link, said, supersedes, n, unnest([text, md5(text)]) AS fact, unnest([0, 1]) AS index FROM p WHERE operation <> 'retire')

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.identity import uuid_of
 from ..operators.metadata import FINAL_KINDS, PASSING_KINDS, PASSING_WORDS
-from ..operators.workflow import keyed_records, resume_plan
+from ..operators.workflow import keyed_records, resume_plan, step
 from ..shipping import ship
 from ..sources.views import LEDGER, RECORD
 
@@ -71,24 +72,43 @@ def ingest_stream(spark: SparkSession, source: str, target: str, ledger: str, ch
 
     A micro-batch takes the records whose key the ledger lacks and writes them once (``target``); then those that are done are entered
     in the ledger, with receipts and failures beside it. Its files carry the batch's number, so a batch that is run again
-    replaces what it had written. ``extract`` as in extract_records; without it, records are kept as episodes."""
+    replaces what it had written. A record that failed is kept whole in a queue beside the target (``-retry``): the next run takes
+    what of it the ledger lacks before anything new, once a run. ``extract`` as in extract_records; without it, records are kept as episodes."""
     reader = spark.readStream.schema(RECORD)
     records = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(source)
+    queue = f"{target}-retry"
+
+    def done(s: SparkSession, but: str | None = None) -> DataFrame:
+        if not _there(s, ledger):  # any other failure to read it is one
+            return s.createDataFrame([], LEDGER)
+        held = s.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(ledger)
+        return held if but is None else held.where(~F.input_file_name().contains(f"/batch={but}/"))
+
+    def enter(new: DataFrame, name: str) -> DataFrame:
+        """Records through extraction into folders of that name; what there is of each key."""
+        s = new.sparkSession
+        outcome = extract_records(new, extract, attempts=attempts) if extract else new.withColumn("error", F.lit(None).cast("string"))
+        outcome.write.mode("overwrite").parquet(f"{target}/batch={name}")
+        held = s.read.schema(outcome.schema).parquet(f"{target}/batch={name}")
+        entry = held.where("error IS NULL").select("key", "domain", "name", F.lit(name).alias("ingested_at")).dropDuplicates(["key"])
+        if extract:
+            held.where("error IS NULL").select("key", "episode_uuid", "name", "domain", "nodes", "edges", "attempts").write.mode("overwrite").parquet(f"{target}-receipts/batch={name}")
+            held.where("error IS NOT NULL").drop("facts", "nodes", "edges").write.mode("overwrite").parquet(f"{target}-failures/batch={name}")
+        entry.write.mode("overwrite").parquet(f"{ledger}/batch={name}")
+        return held
+
+    tried = None
+    if extract and _there(spark, queue):
+        waiting = resume_plan(spark.read.option("recursiveFileLookup", "true").parquet(queue), done(spark)).dropDuplicates(["key"])
+        if not waiting.isEmpty():
+            tried = enter(waiting, f"retry-{uuid.uuid4().hex}").select("key")
 
     def land(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
-        done = s.createDataFrame([], LEDGER)
-        if _there(s, ledger):  # any other failure to read it is one
-            done = s.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(ledger).where(~F.input_file_name().contains(f"/batch={number}/"))
-        new = resume_plan(keyed_records(batch, domain), done)
-        outcome = extract_records(new, extract, attempts=attempts) if extract else new.withColumn("error", F.lit(None).cast("string"))
-        outcome.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        held = s.read.schema(outcome.schema).parquet(f"{target}/batch={number}")
-        entry = held.where("error IS NULL").select("key", "domain", "name", F.lit(str(number)).alias("ingested_at")).dropDuplicates(["key"])
+        new = resume_plan(keyed_records(batch, domain), done(s, str(number)))
+        held = enter(new if tried is None else new.join(tried.distinct(), "key", "left_anti"), str(number))
         if extract:
-            held.where("error IS NULL").select("key", "episode_uuid", "name", "domain", "nodes", "edges", "attempts").write.mode("overwrite").parquet(f"{target}-receipts/batch={number}")
-            held.where("error IS NOT NULL").drop("facts", "nodes", "edges").write.mode("overwrite").parquet(f"{target}-failures/batch={number}")
-        entry.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+            new.join(held.where("error IS NOT NULL").select("key").distinct(), "key", "left_semi").write.mode("overwrite").parquet(f"{queue}/batch={number}")
 
     return records.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -130,25 +150,62 @@ def event_counts(events: DataFrame, width: str = "1 hour", delay: str = "1 hour"
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-class _LatestState(StatefulProcessor):
-    """Keeps a proposal's last status by seq; a decision on an archived one is refused."""
+class _Review(StatefulProcessor):
+    """Walks a proposal's events by the steps that the batch fold takes. The last step taken and how many events were refused are a state
+    each; a claim may have an end, at which a timer hands it back unless it was settled; decided proposals may be forgotten."""
+
+    def __init__(self, claim_ms: int | None, forget_ms: int | None):
+        self.claim_ms, self.forget_ms = claim_ms, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "seq long, status string")
+        self.handle = handle
+        self.last = handle.getValueState("last", "seq long, status string", self.forget_ms)
+        self.refused = handle.getValueState("refused", "n long", self.forget_ms)
+        self.claim = handle.getValueState("claim", "until long")
+
+    def _row(self, key, seq: int | None, status: str, refused: int) -> pd.DataFrame:
+        return pd.DataFrame({"id": [key[0]], "seq": pd.array([seq], dtype="Int64"), "status": [status or None], "refused": [refused]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        seq, status = self.state.get() if self.state.exists() else (-1, "")
-        frames = pd.concat(list(rows)).sort_values("seq")
-        for s, new in zip(frames["seq"].tolist(), frames["status"].tolist(), strict=True):
-            if s > seq and status not in ("rejected", "archived"):
-                seq, status = int(s), new
-        self.state.update((seq, status))
-        yield pd.DataFrame({"id": [key[0]], "seq": [seq], "status": [status]})
+        seq, status = self.last.get() if self.last.exists() else (None, "")
+        refused = self.refused.get()[0] if self.refused.exists() else 0
+        events = sorted((int(s), str(x)) for frame in rows for s, x in zip(frame["seq"], frame["status"], strict=True))
+        for at, event in events:
+            late = seq is not None and at <= seq
+            after = None if late else step(status, event)
+            if after is None:
+                refused += 1
+                continue
+            seq, status = at, after
+            if self.claim_ms is not None and status == "draining":
+                until = timerValues.getCurrentProcessingTimeInMs() + self.claim_ms
+                self.claim.update((until,))
+                self.handle.registerTimer(until)
+            elif self.claim.exists():
+                self.handle.deleteTimer(self.claim.get()[0])
+                self.claim.clear()
+        if seq is not None:
+            self.last.update((seq, status))
+        self.refused.update((refused,))
+        yield self._row(key, seq, status, refused)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if not self.claim.exists() or not self.last.exists():
+            return
+        seq, status = self.last.get()
+        self.claim.clear()
+        if status == "draining":
+            self.last.update((seq, "approved"))
+            yield self._row(key, seq, "approved", self.refused.get()[0])
 
     def close(self) -> None:
         pass
 
 
-def proposal_states(log: DataFrame) -> DataFrame:
-    """A stream of (id, seq, status) events -> each proposal's state after every batch. Needs the RocksDB state store."""
-    return log.groupBy("id").transformWithStateInPandas(_LatestState(), "id string, seq long, status string", "update", "none")
+def proposal_states(log: DataFrame, *, claim_ms: int | None = None, forget_ms: int | None = None) -> DataFrame:
+    """A stream of (id, seq, status) events -> each proposal's state after every batch, as ``workflow.folded_states`` has it of the same log.
+    An event that comes after a later one of its proposal is refused. claim_ms: a claim that is not settled in so many milliseconds is
+    handed back; forget_ms: a proposal without events for so long is forgotten. Needs the RocksDB state store."""
+    mode = "none" if claim_ms is None and forget_ms is None else "processingTime"
+    ship(log.sparkSession)
+    return log.groupBy("id").transformWithStateInPandas(_Review(claim_ms, forget_ms), "id string, seq long, status string, refused long", "update", mode)

@@ -141,6 +141,67 @@ def test_one_drain_at_a_time(spark, tmp_path):
         assert mine
 
 
+def test_a_dead_drains_lease_ends(spark, tmp_path):
+    lock = f"file://{tmp_path}/lock"
+    dead = drain.only_drain(spark, lock, lease=0.0)
+    assert dead.__enter__()  # and its driver is gone
+    with drain.only_drain(spark, lock) as mine:
+        assert mine
+        with drain.only_drain(spark, lock) as other:
+            assert not other
+
+
+def counted(spark, tmp_path, error=None):
+    """Landing in a UDF that leaves a file for every call."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def land(episodes):
+        def one(i, n):
+            import pathlib
+            import uuid
+
+            (pathlib.Path(str(calls)) / f"{i}-{n}-{uuid.uuid4().hex}").touch()
+            return 1
+
+        return episodes.select("id", "index", F.col("id").alias("episode_uuid"), F.udf(one, "int")("id", "index").alias("edges"), F.lit(error).cast("string").alias("error"))
+
+    return land, lambda: sorted(p.name.rsplit("-", 1)[0] for p in calls.iterdir())
+
+
+def test_each_fact_lands_once(spark, tmp_path):
+    """However many of a drain's outputs are read."""
+    land, calls = counted(spark, tmp_path)
+    queue = approved(spark, {"id": "a"}, {"id": "b", "facts": ["f0", "f1"], "provenance": "d"}, {"id": "c", "status": "pending"})
+    got = drain.drain(queue, facts_of(spark, {"uuid": "e"}), land, now(), at())
+    for df in (got.queue, got.archived, got.facts, got.failures, got.summary, got.archived):
+        df.collect()
+    assert calls() == ["a-0", "b-0", "b-1"]
+
+
+def test_drain_of_a_store(spark, tmp_path):
+    """The claim is there before anything lands, so a rejection made meanwhile is refused; another commit is kept."""
+    s = store.Store(spark, f"file://{tmp_path}/graph")
+    s.set_up()
+    s.write_all({"queue": approved(spark, {"id": "a"}, {"id": "end", "operation": "retire", "edges": ["e1"], "valid_at": "2024-01-10"}, {"id": "p", "status": "pending"}), "entity_edge": facts_of(spark, {"uuid": "e1"}, {"uuid": "e2"})})
+    land, calls = counted(spark, tmp_path)
+    seen = []
+
+    def meanwhile(episodes):
+        queue = s.read("queue")
+        seen.append({r["id"]: r["draining_at"] for r in queue.collect()})
+        ids = spark.createDataFrame([("a",), ("p",)], "id string")
+        left, gone, changed = drain.decide(queue, ids, "rejected", now(), reason="no")
+        seen.append({r["id"]: r["changed"] for r in changed.collect()})
+        s.write_all({"queue": left, "archive": gone})
+        return land(episodes)
+
+    assert drain.drain_store(s, meanwhile, now(), at()).asDict() == {"completed": 2, "failed": 0}
+    assert seen == [{"a": "2024-02-01T00:00:00Z", "end": "2024-02-01T00:00:00Z", "p": None}, {"a": False, "p": True}] and calls() == ["a-0"]
+    assert s.read("queue").isEmpty() and {r["id"]: r["status"] for r in s.read("archive").collect()} == {"a": "approved", "end": "approved", "p": "rejected"}
+    assert {r["uuid"]: r["invalid_at"] is not None for r in s.read("entity_edge").collect()} == {"e1": True, "e2": False}
+
+
 def test_queue_readers(spark):
     queue = proposals(spark, {"id": "a", "status": "pending"}, {"id": "b", "status": "pending", "domain": "h"}, {"id": "c", "status": "approved"})
     ids = lambda df: sorted(r["id"] for r in df.collect())
@@ -207,6 +268,33 @@ def test_stream_with_extraction_keeps_receipts_and_failures(spark, tmp_path):
     ingest._there(spark, ledger)
 
 
+def test_a_failed_record_is_tried_by_the_next_run(spark, tmp_path):
+    """Also with no new file; once a run; and no more when it is done."""
+    source, mended = tmp_path / "in", tmp_path / "mended"
+    source.mkdir()
+    (source / "1.jsonl").write_text('{"name": "a", "body": "x1"}\n{"name": "later", "body": "y1", "domain": "own"}\n')
+    out, ledger, check = (f"file://{tmp_path}/{x}" for x in ("out", "ledger", "check"))
+
+    def extract(row):
+        import pathlib
+
+        if row["name"] == "later" and not pathlib.Path(str(mended)).exists():
+            raise ValueError("not yet")
+        return 1, [row["body"]]
+
+    run = lambda: ingest.ingest_stream(spark, str(source), out, ledger, check, domain="d", extract=extract).awaitTermination(120)
+    held = lambda at: sorted(r["name"] for r in spark.read.parquet(at).collect())
+    run()
+    run()
+    assert held(ledger) == ["a"] and held(f"{out}-failures") == ["later", "later"]
+    mended.touch()
+    run()
+    assert held(ledger) == ["a", "later"] and {(r["name"], r["domain"]) for r in spark.read.parquet(f"{out}-receipts").collect()} == {("a", "d"), ("later", "own")}
+    n = len(list((tmp_path / "ledger").iterdir()))
+    run()
+    assert len(list((tmp_path / "ledger").iterdir())) == n and held(ledger) == ["a", "later"]
+
+
 def test_a_broken_ledger_is_an_error(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.jsonl").write_text('{"name": "a", "body": "x"}\n')

@@ -1,8 +1,11 @@
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from chronoloom.operators import workflow
 from chronoloom.sources import records
 from chronoloom.streaming import ingest
 
@@ -65,11 +68,73 @@ def test_stream_windows_equal_batch(spark, tmp_path, sf_dir):
     assert spark.table("counts").agg(F.sum("n")).first()[0] == events.count()
 
 
-def test_stream_proposal_states(spark, tmp_path):
-    source = str(tmp_path / "log")
-    spark.createDataFrame([("p", 1, "pending"), ("p", 2, "rejected"), ("p", 3, "approved"), ("q", 1, "approved")], "id string, seq long, status string").coalesce(1).write.parquet(source)
-    stream = spark.readStream.schema("id string, seq long, status string").parquet(source)
-    q = ingest.proposal_states(stream).writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert {r["id"]: r["status"] for r in spark.table("states").collect()} == {"p": "rejected", "q": "approved"}
+def walk(events):
+    """Each proposal's state by a plain loop over its events in order."""
+    out = {}
+    for i, seq, status in sorted(events, key=lambda e: e[1]):
+        at, last, refused = out.get(i, ("", None, 0))
+        legal = {"": "pending approved", "pending": "approved rejected", "approved": "rejected draining", "draining": "approved archived"}.get(at, "")
+        out[i] = (status, seq, refused) if status in legal.split() else (at, last, refused + 1)
+    return {i: (s or None, q, r) for i, (s, q, r) in out.items()}
+
+
+def some_events(n=600):
+    rng = random.Random(4)
+    steps = ["pending", "approved", "approved", "draining", "draining", "archived", "rejected", "lost"]
+    return [(f"p{rng.randint(0, 60)}", seq, rng.choice(steps if seq > 60 else ["pending", "rejected"])) for seq in range(n)]
+
+
+SCHEMA = "id string, seq long, status string"
+
+
+def test_folded_states(spark):
+    """Whatever the length of runs: a hot proposal's events are never together."""
+    events = some_events() + [("hot", 1000 + i, ["approved", "draining"][i % 2]) for i in range(300)]
+    df = spark.createDataFrame(events, SCHEMA).repartition(3)
+    for run in (1, 7, 4096):
+        assert {r["id"]: (r["status"], r["seq"], r["refused"]) for r in workflow.folded_states(df, run=run).collect()} == walk(events)
+    assert workflow.folded_states(df.limit(0)).collect() == []
+
+
+def states(spark, tmp_path, batches, name, **how):
+    source, got = tmp_path / name, []
+    source.mkdir()
+    q = ingest.proposal_states(spark.readStream.schema(SCHEMA).parquet(str(source)), **how).writeStream.outputMode("update")
+    q = q.foreachBatch(lambda df, n: got.extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / f"{name}-cp")).start()
+    try:
+        for i, batch in enumerate(batches):
+            if not isinstance(batch, list):  # time passes, at most a minute
+                until = time.time() + 60
+                while not batch(got) and time.time() < until:
+                    time.sleep(0.2)
+            else:
+                spark.createDataFrame(batch, SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"{name}-{i}"))
+                for p in (tmp_path / f"{name}-{i}").glob("*.parquet"):
+                    p.rename(source / f"{i}-{p.name}")
+            if not how:  # with timers there is always another batch
+                q.processAllAvailable()
+    finally:
+        q.stop()
+    return got
+
+
+def test_stream_states_equal_the_batch(spark, tmp_path):
+    events = some_events()
+    batches = [events[:100], events[100:350], events[350:]]
+    last = {}
+    for i, seq, status, refused in states(spark, tmp_path, batches, "log"):
+        last[i] = (status, seq, refused)
+    assert last == walk(events) == {r["id"]: (r["status"], r["seq"], r["refused"]) for r in workflow.folded_states(spark.createDataFrame(events, SCHEMA)).collect()}
+
+
+def test_late_events_are_refused(spark, tmp_path):
+    got = states(spark, tmp_path, [[("p", 1, "pending"), ("p", 5, "approved")], [("p", 3, "rejected")], [("p", 6, "rejected")]], "late")
+    assert got == [("p", 5, "approved", 0), ("p", 5, "approved", 1), ("p", 6, "rejected", 1)]
+
+
+def test_claims_end(spark, tmp_path):
+    """One that is not settled is handed back; one that is, is not."""
+    first = [("a", 1, "approved"), ("a", 2, "draining"), ("b", 1, "approved"), ("b", 2, "draining"), ("b", 3, "archived")]
+    got = states(spark, tmp_path, [first, lambda got: len(got) > 2, [("a", 3, "draining"), ("c", 1, "pending")], lambda got: any(r[0] == "c" for r in got)], "claims", claim_ms=1500)
+    assert sorted(got[:2]) == [("a", 2, "draining", 0), ("b", 3, "archived", 0)] and got[2] == ("a", 2, "approved", 0)
+    assert ("a", 3, "draining", 0) in got[3:] and not any(r[0] == "b" for r in got[2:])
