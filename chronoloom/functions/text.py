@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,8 +33,8 @@ SECRETS = {
     "iban": r"\b[A-Z]{2}\d{2}(?: ?\d{4}){3,7}(?: ?\d{1,4})?\b",
 }
 
-# What closes a sentence, what may open the next one before its first character, and which characters that may be.
-CLOSERS, OPENERS, STARTERS = ".!?", "\"'([", "A-Z0-9ÄÖÜ"
+# Fixed value: what stands between two sentences: closing marks, white space, and before a capital or a digit perhaps an opening mark.
+BOUNDARY = r"([.!?]+)(?U:\s+)(?=[\"'(\[]?[A-Z0-9ÄÖÜ])"
 
 _MARK = "\uf8ff"
 
@@ -78,10 +76,9 @@ def sentences(c: Column) -> Column:
     """Sentences: a break is a run of .!? and white space before a capital or a digit (perhaps quoted), unless the token
     before the run is an abbreviation or a single initial. Runs of dots count as a space."""
     known = "|".join(sorted((a.replace(".", r"\.") for a in ABBREVIATIONS), key=len, reverse=True))
-    closers, openers = f"[{re.escape(CLOSERS)}]", f"[{re.escape(OPENERS)}]?"
     # The look-ahead comes first, so that the long look-behind is tried at closing marks alone.
-    kept = rf"(?={closers})(?<!{closers})(?<!(?<![A-Za-z.])(?i:{known}|[a-z]))"
-    marked = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\.{2,}", " "), rf"{kept}({closers}+)(?U:\s+)(?={openers}[{STARTERS}])", f"$1{_MARK}")
+    kept = rf"(?=[.!?])(?<![.!?])(?<!(?<![A-Za-z.])(?i:{known}|[a-z]))"
+    marked = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\.{2,}", " "), kept + BOUNDARY, f"$1{_MARK}")
     return F.filter(F.transform(F.split(marked, _MARK), strip), lambda s: s != "")
 
 

@@ -18,15 +18,14 @@ WIDTHS = {
 LAYOUTS = ("shared", "single", "separate")
 
 
-def expand(value, env: Mapping[str, str]):
-    """Every ${NAME} or ${NAME:default} in texts of a nested value, from env; a name that it lacks is its default, or empty."""
-    if isinstance(value, Mapping):
-        return {k: expand(v, env) for k, v in value.items()}
-    if isinstance(value, list):
-        return [expand(v, env) for v in value]
-    if not isinstance(value, str):
-        return value
-    return re.sub(r"\$\{(?P<name>[A-Za-z_]\w*)(?::(?P<default>[^}]*))?\}", lambda m: env.get(m["name"], m["default"] or ""), value)
+# Fixed value: how a setting names a variable, perhaps with what it reads as without one.
+VARIABLE = re.compile(r"\$\{(?P<name>[A-Za-z_]\w*)(?::(?P<default>[^}]*))?\}")
+
+
+def expand(text: str, env: Mapping[str, str]) -> str:
+    """A text with its variables from env; one that env lacks is its default, or nothing."""
+    plain = VARIABLE.split(text)  # text, name, default, text, ...
+    return "".join(x if i % 3 == 0 else env.get(x, plain[i + 1] or "") for i, x in enumerate(plain) if i % 3 < 2)
 
 
 @dataclass(frozen=True)
@@ -72,4 +71,6 @@ def load(path: str, env: Mapping[str, str] | None = None) -> Settings:
         raw = json.loads(text)
     if not isinstance(raw, dict) or set(raw) - {f.name for f in fields(Settings)}:
         raise ValueError(f"{path}: not a mapping of known settings")
-    return Settings(**expand(raw, os.environ if env is None else env))
+    env = os.environ if env is None else env
+    fill = lambda v: expand(v, env) if isinstance(v, str) else v  # noqa: E731  settings are texts, numbers, and lists of texts
+    return Settings(**{k: [fill(x) for x in v] if isinstance(v, list) else fill(v) for k, v in raw.items()})
