@@ -1,4 +1,5 @@
-"""Entity resolution: exact by normalised name, then fuzzy by shared character shingles."""
+"""Entity resolution: exact by normalised name, then fuzzy by shared character shingles: by an exact prefix join, or, where
+signatures are kept with the nodes, by their bands."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalized_name
 
 THRESHOLD, MIN_LENGTH, MIN_ENTROPY = 0.9, 6, 1.5
+BANDS, ROWS, CHUNK = 32, 8, 1024
 
 
 def exact_resolution(new: DataFrame, known: DataFrame) -> DataFrame:
@@ -59,3 +61,33 @@ def fuzzy_resolution(new: DataFrame, known: DataFrame, *, threshold: float = THR
     found = pairs.join(first, pairs["y"] == first["key"]).select("x", "resolved", "score")
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("score"), "resolved"))).where("n = 1")
     return a.join(best, a["key"] == best["x"], "left").select("uuid", "resolved", "score")
+
+
+def signed_names(nodes: DataFrame, *, bands: int = BANDS, rows: int = ROWS, min_length: int = MIN_LENGTH, min_entropy: float = MIN_ENTROPY) -> DataFrame:
+    """nodes (uuid, name) -> (key, uuid, s, bands): each telling name once, with its smallest node, its shingles, and the bands of its
+    MinHash values: what is to be kept with nodes, so that only new ones are signed."""
+    names = nodes.select("uuid", normalized_name(F.col("name")).alias("key")).groupBy("key").agg(F.min("uuid").alias("uuid"))
+    names = names.where((F.length("key") >= min_length) & (entropy(F.col("key")) >= min_entropy)).withColumn("s", shingles(F.col("key")))
+    # A value bound by ``let`` is computed once, where a column would be computed anew for every use in a lambda.
+    let = lambda value, use: F.transform(F.array(value), use)[0]
+    least = lambda h: F.transform(F.sequence(F.lit(0), F.lit(bands * rows - 1)), lambda i: F.array_min(F.transform(h, lambda x: F.xxhash64(x, i))))
+    keys = lambda m: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice(m, b * rows + 1, rows)))
+    hashed = F.transform("s", lambda g: F.xxhash64(g))
+    return names.select("key", "uuid", "s", let(hashed, lambda h: let(least(h), keys)).alias("bands"))
+
+
+def lsh_resolution(new: DataFrame, known: DataFrame, *, threshold: float = THRESHOLD, chunk: int = CHUNK, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(uuid, resolved, score) as fuzzy_resolution has it, of new nodes and of known signed names of the same bands: names meet that
+    share a band, which two of a similarity of 0.9 miss with a probability of (1 - 0.9^8)^32, below 10^-7, and their exact
+    similarity decides. A band's known names come in chunks of about ``chunk``; a new name keeps the best of each chunk
+    where they meet, so what is shuffled on is a row a chunk, not a pair."""
+    own = known.select(F.explode("bands").alias("band"), F.struct("key", "uuid", "s").alias("k"))
+    sizes = own.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    held = own.join(sizes, "band").groupBy("band", F.pmod(F.xxhash64("k.key"), F.col("chunks")).alias("chunk")).agg(F.collect_list("k").alias("names"))
+    asked = signed_names(new, bands=bands, rows=rows).select("key", "s", F.explode("bands").alias("band"))
+    alike = lambda k: F.round(F.size(F.array_intersect(k["s"], F.col("s"))) / F.size(F.array_union(k["s"], F.col("s"))), 9)
+    near = F.filter("names", lambda k: F.least(F.size(k["s"]), F.size("s")) >= threshold * F.greatest(F.size(k["s"]), F.size("s")) - 1e-9)
+    scored = F.filter(F.transform(near, lambda k: F.struct((-alike(k)).alias("away"), k["uuid"].alias("resolved"))), lambda x: x["away"] <= -threshold)
+    met = asked.join(held, "band").select("key", F.array_min(scored).alias("best")).where("best IS NOT NULL")
+    best = met.groupBy("key").agg(F.min("best").alias("best")).select("key", "best.resolved", (-F.col("best.away")).alias("score"))
+    return new.select("uuid", normalized_name(F.col("name")).alias("key")).join(best, "key", "left").select("uuid", "resolved", "score")

@@ -534,6 +534,20 @@ def exact_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.exact_resolution(p, p.where("p_size <= 2"))
 
 
+@query("""WITH n AS (SELECT 'P' || p_partkey AS uuid, p_size, lower(replace(p_name, ' ', '') || 'of' || p_type || 'by' || regexp_replace(p_brand, '[^0-9A-Za-z]+', '', 'g')) AS key FROM part),
+s AS (SELECT uuid, p_size, key, len(key) AS l FROM n), g AS (SELECT DISTINCT key || 's' AS key, list_distinct(list_transform(range(1, l), lambda i: substr(key || 's', i, 3))) AS s FROM s),
+k AS (SELECT min(uuid) AS resolved, list_distinct(list_transform(range(1, any_value(l) - 1), lambda i: substr(key, i, 3))) AS s FROM s WHERE p_size <= 2 GROUP BY key),
+p AS (SELECT g.key, resolved, round(len(list_intersect(g.s, k.s)) / len(list_distinct(list_concat(g.s, k.s))), 9) AS score FROM g, k),
+b AS (SELECT * FROM p WHERE score >= 0.9 QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, resolved) = 1)
+SELECT uuid, resolved, score FROM n LEFT JOIN b ON b.key = n.key || 's'""")
+def lsh_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by a long name that ends in one letter more, among the signed names of some of them."""
+    name = F.concat_ws(" ", "p_name", F.lit("of"), "p_type", F.lit("by"), "p_brand")
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("uuid"), name.alias("name"), "p_size")
+    known = resolve.signed_names(p.where("p_size <= 2"))
+    return resolve.lsh_resolution(p.select("uuid", F.concat("name", F.lit("s")).alias("name")), known)
+
+
 @query("""WITH n AS (SELECT 'C' || c_custkey AS uuid, trim(regexp_replace(lower(c_name), '[^0-9a-z]+', ' ', 'g')) AS key FROM customer),
 k AS (SELECT 'S' || s_suppkey AS uuid, trim(regexp_replace(lower('Customer' || substr(s_name, 9)), '[^0-9a-z]+', ' ', 'g')) AS key FROM supplier),
 sn AS (SELECT uuid, key, list_distinct(list_transform(range(1, length(replace(key, ' ', '')) - 1), lambda i: substr(replace(key, ' ', ''), i, 3))) AS s FROM n),

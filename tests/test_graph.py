@@ -264,6 +264,28 @@ def test_fuzzy_ties_go_to_the_smallest(spark):
     assert resolve.exact_resolution(n, k).first()["resolved"] is None
 
 
+def test_lsh_equals_the_exact_join(spark):
+    """Misspelled names among thousands: the recall of all that the exact join resolves, and the same answers; however small chunks are."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(5, 9)))
+    known = [(f"k{i:04d}", " ".join(word() for _ in range(rng.randint(2, 5)))) for i in range(1500)]
+    known += [(f"t{i:04d}", f"a template of many names, number {i % 40}") for i in range(200)]
+    new = []
+    for i, (_, name) in enumerate(rng.sample(known, 400)):
+        at = rng.randrange(len(name))
+        new.append((f"n{i}", rng.choice([name, name + "x", name[:at] + "q" + name[at + 1 :], name.upper() + "!"])))
+    new += [("short", "ab"), ("none", None), ("flat", "aaaaaaaaaa")]
+    new, known = (spark.createDataFrame(x, "uuid string, name string").repartition(3) for x in (new, known))
+    rows = lambda df: {r["uuid"]: (r["resolved"], r["score"]) for r in df.collect()}
+    exact, signed = rows(resolve.fuzzy_resolution(new, known)), resolve.signed_names(known).cache()
+    for chunk in (1024, 5):
+        got = rows(resolve.lsh_resolution(new, signed, chunk=chunk))
+        found = [u for u, (r, _) in exact.items() if r is not None]
+        assert len(found) > 200 and set(got) == set(exact) and got == exact
+    few = rows(resolve.lsh_resolution(new, resolve.signed_names(known, bands=1, rows=12), bands=1, rows=12))
+    assert sum(few[u][0] is not None for u in found) < len(found)  # bands do decide who meets
+
+
 def test_worst_status(spark):
     c = lambda *s: spark.createDataFrame([(x,) for x in s], "status string")
     assert checks.worst_status(c("ok", "warn", "ok")).first()["status"] == "warn"
