@@ -123,16 +123,19 @@ class Drained:
 def land_claimed(queue: DataFrame, land: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, index, episode_uuid, edges, error) of what is claimed and still says what was approved, written: ``land``, which may ask a
     model, is called once for each fact, however often its outcome is read."""
-    spark = queue.sparkSession
     ready = queue.where("status = 'approved' AND draining_at IS NOT NULL").where(binding_error(queue.columns).isNull())
-    outcome = land(episodes_to_land(ready)).select("id", "index", "episode_uuid", "edges", "error")
-    return spark.read.schema(outcome.schema).parquet(replace_table(outcome, f"{shared_dir(spark)}/chronoloom-landed"))
+    return _written(land(episodes_to_land(ready)).select("id", "index", "episode_uuid", "edges", "error"), "landed")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the folder that all share: what several outputs read is computed once."""
+    return df.sparkSession.read.schema(df.schema).parquet(replace_table(df, f"{shared_dir(df.sparkSession)}/chronoloom-{name}"))
 
 
 def drain(queue: DataFrame, facts: DataFrame, land: Callable[[DataFrame], DataFrame], now: Column, at: Column) -> Drained:
     """Claim, land and settle all that is approved. ``land`` takes episodes (id, index, name, body, domain, valid_at, provenance) and
     returns (id, index, episode_uuid, edges, error). ``now`` is text for the queue, ``at`` an instant for facts."""
-    queue = claim(release(queue), now)
+    queue = _written(claim(release(queue), now), "claimed")
     return settle(queue, facts, land_claimed(queue, land), now, at)
 
 
@@ -186,7 +189,7 @@ def settle(queue: DataFrame, facts: DataFrame, outcome: DataFrame, now: Column,
     own = own.withColumn("retired", F.coalesce("_retired", F.col("retired"))).withColumn("already_invalid", F.coalesce("_already", F.col("already_invalid")))
     claimed = (F.col("status") == "approved") & F.col("draining_at").isNotNull()
     whole = F.when(F.col("operation") == "retire", F.col("_retired").isNotNull()).otherwise(F.coalesce(F.size("landed"), F.lit(0)) >= n)
-    own = own.withColumn("_done", F.coalesce(claimed & whole & binding_error(queue.columns).isNull(), F.lit(False)))
+    own = _written(own.withColumn("_done", F.coalesce(claimed & whole & binding_error(queue.columns).isNull(), F.lit(False))), "settled")
     archived = own.where("_done").withColumn("drained_at", now).select(*queue.columns)
     failed = outcome.where("error IS NOT NULL").select("id", "domain", (F.col("index") + 1).alias("index"), "error")
     failures = unbound.unionByName(failed).unionByName(lost)
