@@ -83,14 +83,20 @@ def _unlanded() -> Column:
     return F.coalesce(F.size("landed"), F.lit(0)) <= 0
 
 
+def _released(draining_at: Column, fails: Column) -> Column:
+    """The claim of a proposal after a drain: handed back where it fails, unless something of it landed."""
+    stale = (F.col("status") == "approved") & draining_at.isNotNull() & _unlanded() & fails
+    return F.when(~F.coalesce(stale, F.lit(False)), draining_at)
+
+
 def release(queue: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """The queue with claims handed back, of all (what a drain that stopped left) or of the given ids; what landed in part keeps its claim,
     as it must not be rejected any more."""
-    stale = (F.col("status") == "approved") & F.col("draining_at").isNotNull() & _unlanded()
+    named = F.lit(True)
     if only is not None:
         queue = queue.join(only.select("id").distinct().withColumn("_only", F.lit(True)), "id", "left")
-        stale = stale & F.coalesce("_only", F.lit(False))
-    return queue.withColumn("draining_at", F.when(~F.coalesce(stale, F.lit(False)), F.col("draining_at"))).drop("_only")
+        named = F.col("_only")
+    return queue.withColumn("draining_at", _released(F.col("draining_at"), named)).drop("_only")
 
 
 def claim(queue: DataFrame, now: Column) -> DataFrame:
@@ -123,7 +129,11 @@ class Drained:
 def land_claimed(queue: DataFrame, land: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, index, episode_uuid, edges, error) of what is claimed and still says what was approved, written: ``land``, which may ask a
     model, is called once for each fact, however often its outcome is read."""
-    ready = queue.where("status = 'approved' AND draining_at IS NOT NULL").where(binding_error(queue.columns).isNull())
+    return _landed(queue.where("draining_at IS NOT NULL"), land)
+
+
+def _landed(queue: DataFrame, land: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    ready = queue.where("status = 'approved'").where(binding_error(queue.columns).isNull())
     return _written(land(episodes_to_land(ready)).select("id", "index", "episode_uuid", "edges", "error"), "landed")
 
 
@@ -135,8 +145,8 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 def drain(queue: DataFrame, facts: DataFrame, land: Callable[[DataFrame], DataFrame], now: Column, at: Column) -> Drained:
     """Claim, land and settle all that is approved. ``land`` takes episodes (id, index, name, body, domain, valid_at, provenance) and
     returns (id, index, episode_uuid, edges, error). ``now`` is text for the queue, ``at`` an instant for facts."""
-    queue = _written(claim(release(queue), now), "claimed")
-    return settle(queue, facts, land_claimed(queue, land), now, at)
+    held = _held(claim(release(queue), now))
+    return _settled(queue, held, facts, _landed(queue, land), now, at)  # whatever is approved and bound is claimed
 
 
 def drain_store(store: Store, land: Callable[[DataFrame], DataFrame], now: Column, at: Column) -> Row:
@@ -161,43 +171,63 @@ def settle(queue: DataFrame, facts: DataFrame, outcome: DataFrame, now: Column,
 
     A fact has landed if there was no error and it gave at least one edge. A proposal of which all facts landed goes to the
     archive; of one that failed in part, what landed is recorded and the rest stays approved for the next drain; one that
-    failed whole is released. A retirement is done whole or not at all."""
-    approved = queue.where("status = 'approved' AND draining_at IS NOT NULL").withColumn("_error", binding_error(queue.columns))
-    loose = queue.where("status = 'approved'").withColumn("_error", binding_error(queue.columns))
-    unbound = loose.where("_error IS NOT NULL").select("id", "domain", _null("int").alias("index"), F.col("_error").alias("error"))
-    ready = approved.where("_error IS NULL").drop("_error")
-
-    outcome = outcome.join(ready.select("id", "domain"), "id")
-    error = F.coalesce("error", F.when(F.coalesce("edges", F.lit(0)) <= 0, F.lit(NO_FACTS)))
-    outcome = outcome.select("id", "domain", "index", "episode_uuid", error.alias("error"))
-    by_id = outcome.where("error IS NULL").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("index", "episode_uuid"))).alias("_got"))
-
-    ends = ready.where("operation = 'retire'").select("id", "domain", "valid_at", F.explode("edges").alias("uuid"))
+    failed whole is released. A retirement is done whole or not at all. Ids are unique; approved rows that share one share its outcome."""
+    return _settled(queue, _held(queue), facts, outcome, now, at)
+
+
+def _held(queue: DataFrame) -> DataFrame:
+    """Of what is approved, all that settling asks for but no texts, written: the digest of a proposal is computed once, and neither
+    joins nor tables between them carry its content."""
+    approved, retires = queue.where("status = 'approved'"), F.col("operation") == "retire"
+    n = F.when(F.coalesce(F.size("facts"), F.lit(0)) > 0, F.size("facts")).otherwise(1)
+    own = approved.select("id", "domain", "valid_at", "landed", "draining_at", retires.alias("_retires"), F.when(retires, F.col("edges")).alias("edges"), n.alias("_n"), binding_error(queue.columns).alias("_error"))
+    return _written(own, "held")
+
+
+def _settled(queue: DataFrame, held: DataFrame, facts: DataFrame, outcome: DataFrame, now: Column, at: Column) -> Drained:
+    """``held`` says what is claimed, whatever the queue says of it."""
+    ready = held.where("draining_at IS NOT NULL AND _error IS NULL")
+    error = F.coalesce("error", F.when(F.coalesce(F.col("edges"), F.lit(0)) <= 0, F.lit(NO_FACTS)))
+    outcome = outcome.join(ready.select("id", "domain"), "id").select("id", "domain", "index", "episode_uuid", error.alias("error"))
+    good = F.when(F.col("error").isNull(), F.struct("index", "episode_uuid"))
+    by_id = outcome.groupBy("id").agg(F.sort_array(F.collect_list(good)).alias("_got"), F.count("error").alias("_failed"))
+
+    ends = ready.where("_retires").select("id", "domain", F.explode("edges").alias("uuid"))
     known = in_groups(facts, None).select("uuid", F.coalesce("group_id", F.lit("")).alias("_group"), F.col("invalid_at").isNotNull().alias("_ended"))
     met = ends.join(known, "uuid", "left").withColumn("_here", F.col("_group").isNotNull() & ((F.col("_group") == F.col("domain")) | (F.col("_group") == "")))
     mine = lambda c: F.array_sort(F.array_compact(F.collect_list(F.when(c, F.col("uuid")))))
-    per = met.groupBy("id", "domain").agg(mine(~F.col("_here")).alias("_missing"), mine(F.col("_here") & ~F.col("_ended")).alias("_retired"), mine(F.col("_here") & F.col("_ended")).alias("_already"))
-    lost = per.where(F.size("_missing") > 0).select("id", "domain", _null("int").alias("index"), F.concat(F.lit("facts not found: "), F.array_join("_missing", ", ")).alias("error"))
-
-    n = F.when(F.coalesce(F.size("facts"), F.lit(0)) > 0, F.size("facts")).otherwise(1)
-    own = queue.join(by_id, "id", "left").join(per.where(F.size("_missing") == 0).select("id", "_retired", "_already"), "id", "left")
-    got = lambda name: F.coalesce(F.transform("_got", lambda x: x[name]), F.array().cast("array<int>" if name == "index" else "array<string>"))
-    touched = F.col("_got").isNotNull()
-    landed = F.when(touched, F.array_union(F.coalesce("landed", F.array().cast("array<int>")), got("index"))).otherwise(F.col("landed"))
-    episodes = F.when(touched, F.concat(F.coalesce("episodes", F.array().cast("array<string>")), got("episode_uuid"))).otherwise(F.col("episodes"))
-    own = own.withColumn("landed", landed).withColumn("episodes", episodes)
-    own = own.withColumn("retired", F.coalesce("_retired", F.col("retired"))).withColumn("already_invalid", F.coalesce("_already", F.col("already_invalid")))
-    claimed = (F.col("status") == "approved") & F.col("draining_at").isNotNull()
-    whole = F.when(F.col("operation") == "retire", F.col("_retired").isNotNull()).otherwise(F.coalesce(F.size("landed"), F.lit(0)) >= n)
-    own = _written(own.withColumn("_done", F.coalesce(claimed & whole & binding_error(queue.columns).isNull(), F.lit(False))), "settled")
-    archived = own.where("_done").withColumn("drained_at", now).select(*queue.columns)
-    failed = outcome.where("error IS NOT NULL").select("id", "domain", (F.col("index") + 1).alias("index"), "error")
-    failures = unbound.unionByName(failed).unionByName(lost)
-    left = release(own.where("NOT _done").select(*queue.columns), failures)
-
-    ended = met.join(archived.select("id"), "id", "left_semi").groupBy("uuid").agg(F.min("valid_at").alias("_valid_at"))
+    per = met.groupBy("id").agg(mine(~F.col("_here")).alias("_missing"), mine(F.col("_here") & ~F.col("_ended")).alias("_open"), mine(F.col("_here") & F.col("_ended")).alias("_over"))
+
+    own = held.join(by_id, "id", "left").join(per, "id", "left")
+    found, touched = F.size("_missing") == 0, F.size("_got") > 0
+    landed = F.when(touched, F.array_union(F.coalesce("landed", F.array().cast("array<int>")), F.transform("_got", lambda x: x["index"])))
+    whole = F.when(F.col("_retires"), F.coalesce(found, F.lit(False))).otherwise(F.coalesce(F.size(F.coalesce(landed, F.col("landed"))), F.lit(0)) >= F.col("_n"))
+    done = F.col("draining_at").isNotNull() & F.col("_error").isNull() & whole
+    lost = F.coalesce(F.size("_missing") > 0, F.lit(False))
+    fails = F.col("_error").isNotNull() | (F.coalesce("_failed", F.lit(0)) > 0) | lost
+    own = own.select(
+        "id", "domain", "valid_at", "edges", "_error", F.col("draining_at").alias("_claim"), landed.alias("_landed"), F.when(touched, F.transform("_got", lambda x: x["episode_uuid"])).alias("_episodes"),
+        F.when(lost, F.col("_missing")).alias("_lost"), F.when(found, F.col("_open")).alias("_open"), F.when(found, F.col("_over")).alias("_over"), F.coalesce(done, F.lit(False)).alias("_done"), fails.alias("_fails"),
+    )
+    own = _written(own.dropDuplicates(["id"]), "settled")
+
+    failure = lambda df, index, error: df.select("id", "domain", index.alias("index"), error.alias("error"))
+    failures = failure(own.where("_error IS NOT NULL"), _null("int"), F.col("_error")).unionByName(failure(outcome.where("error IS NOT NULL"), F.col("index") + 1, F.col("error")))
+    failures = failures.unionByName(failure(own.where("_lost IS NOT NULL"), _null("int"), F.concat(F.lit("facts not found: "), F.array_join("_lost", ", "))))
+
+    verdicts = own.select("id", "_claim", "_landed", "_episodes", "_open", "_over", "_done", "_fails")
+    after = queue.join(verdicts, "id", "left")
+    approved = F.col("status") == "approved"
+    after = after.withColumn("landed", F.coalesce("_landed", F.col("landed"))).withColumn("episodes", F.when(F.col("_episodes").isNotNull(), F.concat(F.coalesce("episodes", F.array().cast("array<string>")), "_episodes")).otherwise(F.col("episodes")))
+    after = after.withColumn("retired", F.coalesce("_open", F.col("retired"))).withColumn("already_invalid", F.coalesce("_over", F.col("already_invalid")))
+    after = after.withColumn("draining_at", F.when(approved, F.col("_claim")).otherwise(F.col("draining_at")))
+    gone = F.coalesce(approved & F.col("_done"), F.lit(False))
+    archived = after.where(gone).withColumn("drained_at", now).select(*queue.columns)
+    left = after.where(~gone).withColumn("draining_at", _released(F.col("draining_at"), F.col("_fails"))).select(*queue.columns)
+
+    ended = own.where("_done AND _open IS NOT NULL").select("valid_at", F.explode("edges").alias("uuid")).groupBy("uuid").agg(F.min("valid_at").alias("_valid_at"))
     changed = mark_retired(facts.join(ended, "uuid", "left"), ended.select("uuid"), ended=F.coalesce(F.to_timestamp("_valid_at").cast(dict(facts.dtypes)["invalid_at"]), at), now=at).drop("_valid_at", "outcome")
-    summary = archived.agg(F.count(F.lit(1)).alias("completed")).select("completed", failures.agg(F.count(F.lit(1)).alias("n")).scalar().alias("failed"))
+    summary = own.agg(F.count_if("_done").alias("completed")).select("completed", failures.agg(F.count(F.lit(1)).alias("n")).scalar().alias("failed"))
     return Drained(left, archived, changed, failures, summary)
 
 
