@@ -46,10 +46,12 @@ def strip(c: Column) -> Column:
 
 def normalized_name(c: Column) -> Column:
     """Case folded, every run of other than 0-9 and a-z one space, no space at the ends; "" for null."""
-    folded = F.lower(F.coalesce(c, F.lit("")))
+    lower = F.lower(F.coalesce(c, F.lit("")))
+    folded = lower
     for one, many in FOLDED.items():
         folded = F.replace(folded, F.lit(one), F.lit(many))
-    return F.trim(F.regexp_replace(folded, "[^0-9a-z]+", " "))
+    ascii_only = F.length(lower) == F.octet_length(lower)
+    return F.trim(F.regexp_replace(F.when(ascii_only, lower).otherwise(folded), "[^0-9a-z]+", " "))
 
 
 def words(c: Column) -> Column:

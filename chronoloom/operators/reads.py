@@ -189,29 +189,62 @@ def dangling(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFr
 def duplicate_entities(nodes: DataFrame, *, members: bool = True) -> DataFrame:
     """Clusters of two or more nodes of one normalised name, over all groups: (name, count[, members]), a member being (uuid, name,
     group_id, summary). Sort and limit are the report's. Names are counted first, with partial aggregation, and only repeated
-    ones gather members."""
+    ones gather members; ``entity_members`` gives those of a report's clusters as rows."""
     keyed = nodes.withColumn("key", normalized_name(F.col("name"))).where("key <> ''")
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1").withColumnRenamed("key", "name")
     if not members:
-        return counts.withColumnRenamed("key", "name")
+        return counts
+    rows = entity_members(nodes, counts).select("cluster", F.struct("uuid", "name", "group_id", "summary").alias("m"))
+    return counts.join(rows.groupBy(F.col("cluster").alias("name")).agg(F.sort_array(F.collect_list("m")).alias("members")), "name")
+
+
+def entity_members(nodes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(cluster, uuid, name, group_id, summary): the members of the clusters (name), a row each, however many a cluster has."""
     summary = member(F.col("summary") if "summary" in nodes.columns else F.lit(None).cast("string"))
-    rows = keyed.join(counts.select("key"), "key").select("key", F.struct("uuid", "name", "group_id", summary.alias("summary")).alias("m"))
-    return counts.join(rows.groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("members")), "key").withColumnRenamed("key", "name")
+    rows = nodes.select(normalized_name(F.col("name")).alias("cluster"), "uuid", "name", "group_id", summary.alias("summary"))
+    return rows.join(clusters.select(F.col("name").alias("cluster")), "cluster")
+
+
+FACT_CLUSTER = ("source_node_uuid", "target_node_uuid", "key_digest")
+
+
+def keyed_facts(facts: DataFrame, now: Column | None = None, order: Column | None = None) -> DataFrame:
+    """Current facts that say something, with the digest of their normalised text (128 bits, so no text is a join's key), written:
+    counting and gathering read it, and texts are normalised once."""
+    from ..sources.records import replace_table
+    from ..sources.store import shared_dir
+
+    facts = facts if now is None else facts.where(is_current(now))
+    group = F.col("group_id") if "group_id" in facts.columns else F.lit(None).cast("string")
+    key = normalized_name(F.col("fact"))
+    own = facts.where(key != "").select(*FACT_CLUSTER[:2], F.unhex(F.md5(key)).alias("key_digest"), "uuid", "fact", group.alias("group_id"), "created_at", (F.col("uuid") if order is None else order).alias("place"))
+    spark = facts.sparkSession
+    return spark.read.schema(own.schema).parquet(replace_table(own, f"{shared_dir(spark)}/chronoloom-keyed-facts"))
+
+
+def fact_clusters(keyed: DataFrame) -> DataFrame:
+    """Clusters of two or more of ``keyed_facts``: (source, target, key_digest, key, fact, count). The label is the first member's fact in
+    the order of scan; its normalised text, which all members share, is the key."""
+    counts = keyed.groupBy(*FACT_CLUSTER).agg(F.count(F.lit(1)).alias("count"), F.min_by("fact", "place").alias("fact")).where("count > 1")
+    return counts.withColumn("key", normalized_name(F.col("fact")))
+
+
+def fact_members(keyed: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(source, target, key_digest, at, uuid, group_id, created_at): the members of the clusters, a row each, however many a cluster has."""
+    at = F.coalesce(F.col("created_at").cast("string"), F.lit("None"))
+    return keyed.select(*FACT_CLUSTER, at.alias("at"), "uuid", "group_id", "created_at").join(clusters.select(*FACT_CLUSTER), list(FACT_CLUSTER))
 
 
 def duplicate_facts(facts: DataFrame, now: Column | None = None, order: Column | None = None) -> DataFrame:
     """Clusters of current facts that say the same of the same two entities: (source, target, key, fact, count, members), a
     member being (uuid, group_id, created_at). The label is the first member's fact in the order of scan (``order``; ids by
-    default); members go by created_at as text ("None" for null), then id. Clusters are counted before members are gathered."""
-    facts = facts if now is None else facts.where(is_current(now))
-    by = ["source_node_uuid", "target_node_uuid", "key"]
-    keyed = facts.withColumn("key", normalized_name(F.col("fact"))).where("key <> ''")
-    counts = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.min_by("fact", F.col("uuid") if order is None else order).alias("fact")).where("count > 1")
-    at = F.coalesce(F.col("created_at").cast("string"), F.lit("None"))
-    group = F.col("group_id") if "group_id" in facts.columns else F.lit(None).cast("string")
-    rows = keyed.select(*by, F.struct(at.alias("at"), "uuid", group.alias("group_id"), "created_at").alias("m")).join(counts.select(*by), by)
-    gathered = rows.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list("m")), lambda m: F.struct(m["uuid"].alias("uuid"), m["group_id"].alias("group_id"), m["created_at"].alias("created_at"))).alias("members"))
-    return counts.join(gathered, by)
+    default); members go by created_at as text ("None" for null), then id. Clusters are counted before members are gathered; a
+    report limits ``fact_clusters`` first, and reads ``fact_members`` of what is left."""
+    keyed = keyed_facts(facts, now, order)
+    clusters = fact_clusters(keyed)
+    rows = fact_members(keyed, clusters).select(*FACT_CLUSTER, F.struct("at", "uuid", "group_id", "created_at").alias("m"))
+    gathered = rows.groupBy(*FACT_CLUSTER).agg(F.transform(F.sort_array(F.collect_list("m")), lambda m: F.struct(m["uuid"].alias("uuid"), m["group_id"].alias("group_id"), m["created_at"].alias("created_at"))).alias("members"))
+    return clusters.join(gathered, list(FACT_CLUSTER)).drop("key_digest")
 
 
 def total_members(clusters: DataFrame) -> DataFrame:

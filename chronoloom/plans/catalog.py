@@ -167,8 +167,9 @@ SELECT key AS name, count(*) AS count, string_agg(uuid || '/' || p_name || '/' |
 def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest clusters of parts, with their members."""
     n = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("uuid"), F.col("p_name").alias("name"), F.lit("part").alias("group_id"), F.col("p_type").alias("summary"))
-    members = F.transform("members", lambda m: F.concat_ws("/", m["uuid"], m["name"], m["summary"]))
-    return reads.report(reads.duplicate_entities(n)).select("name", "count", F.array_join(members, ",").alias("members"))
+    most = reads.report(reads.duplicate_entities(n, members=False))
+    rows = reads.entity_members(n, most).groupBy(F.col("cluster").alias("name")).agg(F.sort_array(F.collect_list(F.struct("uuid", F.concat_ws("/", "uuid", "name", "summary").alias("line")))).alias("m"))
+    return most.join(rows, "name").select("name", "count", F.array_join(F.transform("m", lambda m: m["line"]), ",").alias("members"))
 
 
 # ---------------------------------------------------------------- text and identity

@@ -58,7 +58,8 @@ def test_edge_sources_keep_order_and_missing(spark):
 def test_name_clusters_cross_groups(spark):
     n = spark.createDataFrame([("1", "ACME Corp", "a"), ("2", "acme corp.", "b"), ("3", "Other", "a"), ("4", "--", "a"), ("5", "..", "a")], "uuid string, name string, group_id string")
     got = reads.duplicate_entities(n).collect()
-    assert [(r["name"], r["count"], [m["uuid"] for m in r["members"]]) for r in got] == [("acme corp", 2, ["1", "2"])] or sorted(m["uuid"] for m in got[0]["members"]) == ["1", "2"]
+    assert [(r["name"], r["count"], [m["uuid"] for m in r["members"]]) for r in got] == [("acme corp", 2, ["1", "2"])]
+    assert sorted(r["uuid"] for r in reads.entity_members(n, reads.duplicate_entities(n, members=False)).collect()) == ["1", "2"]
 
 
 def test_fact_clusters(spark):
@@ -66,6 +67,10 @@ def test_fact_clusters(spark):
     f = spark.createDataFrame(rows, "uuid string, fact string, source_node_uuid string, target_node_uuid string, inv string, cr string").withColumn("invalid_at", F.to_timestamp("inv")).withColumn("created_at", F.to_timestamp("cr"))
     got = reads.duplicate_facts(f, now()).collect()
     assert [(r["count"], r["fact"], [m["uuid"] for m in r["members"]]) for r in got] == [(2, "It uses X.", ["e1", "e2"])]
+    keyed = reads.keyed_facts(f.withColumn("fact", F.when(F.col("uuid") == "e2", "It USES\u3000x").otherwise(F.col("fact"))))
+    clusters = reads.fact_clusters(keyed)
+    assert [(r["key"], r["count"]) for r in clusters.collect()] == [("it uses x", 3)]
+    assert sorted((r["uuid"], r["at"]) for r in reads.fact_members(keyed, clusters).collect()) == [("e1", "2024-01-02 00:00:00"), ("e2", "None"), ("e4", "None")]
 
 
 def test_rerank_multiplicity_omission_and_order(spark):
