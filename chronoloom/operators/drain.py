@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import content_digest
 from ..functions.text import secret_shapes, strip
 from ..sources.commits import Transaction, put_if_absent, read_text
-from ..sources.records import replace_table
-from ..sources.store import Store, shared_dir
+from ..sources.store import Store, written
 from .gates import EXIT, ApproveRule, approving_rule, binding_error, decidable, gate_codes
 from .reads import in_groups
 from .workflow import clean_reason, episodes_to_land, mark_retired
@@ -134,12 +133,7 @@ def land_claimed(queue: DataFrame, land: Callable[[DataFrame], DataFrame]) -> Da
 
 def _landed(queue: DataFrame, land: Callable[[DataFrame], DataFrame]) -> DataFrame:
     ready = queue.where("status = 'approved'").where(binding_error(queue.columns).isNull())
-    return _written(land(episodes_to_land(ready)).select("id", "index", "episode_uuid", "edges", "error"), "landed")
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder that all share: what several outputs read is computed once."""
-    return df.sparkSession.read.schema(df.schema).parquet(replace_table(df, f"{shared_dir(df.sparkSession)}/chronoloom-{name}"))
+    return written(land(episodes_to_land(ready)).select("id", "index", "episode_uuid", "edges", "error"), "landed")
 
 
 def drain(queue: DataFrame, facts: DataFrame, land: Callable[[DataFrame], DataFrame], now: Column, at: Column) -> Drained:
@@ -181,7 +175,7 @@ def _held(queue: DataFrame) -> DataFrame:
     approved, retires = queue.where("status = 'approved'"), F.col("operation") == "retire"
     n = F.when(F.coalesce(F.size("facts"), F.lit(0)) > 0, F.size("facts")).otherwise(1)
     own = approved.select("id", "domain", "valid_at", "landed", "draining_at", retires.alias("_retires"), F.when(retires, F.col("edges")).alias("edges"), n.alias("_n"), binding_error(queue.columns).alias("_error"))
-    return _written(own, "held")
+    return written(own, "held")
 
 
 def _settled(queue: DataFrame, held: DataFrame, facts: DataFrame, outcome: DataFrame, now: Column, at: Column) -> Drained:
@@ -209,7 +203,7 @@ def _settled(queue: DataFrame, held: DataFrame, facts: DataFrame, outcome: DataF
         "id", "domain", "valid_at", "edges", "_error", F.col("draining_at").alias("_claim"), landed.alias("_landed"), F.when(touched, F.transform("_got", lambda x: x["episode_uuid"])).alias("_episodes"),
         F.when(lost, F.col("_missing")).alias("_lost"), F.when(found, F.col("_open")).alias("_open"), F.when(found, F.col("_over")).alias("_over"), F.coalesce(done, F.lit(False)).alias("_done"), fails.alias("_fails"),
     )
-    own = _written(own.dropDuplicates(["id"]), "settled")
+    own = written(own.dropDuplicates(["id"]), "settled")
 
     failure = lambda df, index, error: df.select("id", "domain", index.alias("index"), error.alias("error"))
     failures = failure(own.where("_error IS NOT NULL"), _null("int"), F.col("_error")).unionByName(failure(outcome.where("error IS NOT NULL"), F.col("index") + 1, F.col("error")))

@@ -211,15 +211,13 @@ FACT_CLUSTER = ("source_node_uuid", "target_node_uuid", "key_digest")
 def keyed_facts(facts: DataFrame, now: Column | None = None, order: Column | None = None) -> DataFrame:
     """Current facts that say something, with the digest of their normalised text (128 bits, so no text is a join's key), written:
     counting and gathering read it, and texts are normalised once."""
-    from ..sources.records import replace_table
-    from ..sources.store import shared_dir
+    from ..sources.store import written
 
     facts = facts if now is None else facts.where(is_current(now))
     group = F.col("group_id") if "group_id" in facts.columns else F.lit(None).cast("string")
     key = normalized_name(F.col("fact"))
     own = facts.where(key != "").select(*FACT_CLUSTER[:2], F.unhex(F.md5(key)).alias("key_digest"), "uuid", "fact", group.alias("group_id"), "created_at", (F.col("uuid") if order is None else order).alias("place"))
-    spark = facts.sparkSession
-    return spark.read.schema(own.schema).parquet(replace_table(own, f"{shared_dir(spark)}/chronoloom-keyed-facts"))
+    return written(own, "keyed-facts")
 
 
 def fact_clusters(keyed: DataFrame) -> DataFrame:

@@ -184,7 +184,11 @@ def candidates(rows: DataFrame, asked: Asked, text: Column, vector_col: str, edg
     if asked.centre is not None:
         if edges is None:
             raise ValueError("a centre needs edges")
-        away = node_distance(edges, asked.centre, asked.steps)
+        from ..sources.store import written
+
+        found = written(found, "candidates")  # read for its ends, and for the rows
+        nodes = functools.reduce(DataFrame.union, [found.select(F.col(end).alias("uuid")) for end in ends])
+        away = distance_to(edges, asked.centre, nodes, asked.steps)
         for i, end in enumerate(ends):
             found = found.join(away.select(F.col("uuid").alias(end), F.col("distance").alias(f"_d{i}")), end, "left")
         distance = F.coalesce(F.least(*[F.col(f"_d{i}") for i in range(len(ends))], F.lit(asked.steps + 1)), F.lit(asked.steps + 1))
@@ -245,15 +249,63 @@ def split_by_currency(ranked: DataFrame, now: Column, limit: int, order: str = "
     return own.withColumn("place", F.row_number().over(Window.partitionBy("current").orderBy(order))).where(F.col("place") <= limit)
 
 
+# A frontier of so many rows at most is sent to all tasks, a larger one is joined by node and salt.
+SENT_FRONTIER, HUB_SALTS = 100_000, 16
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    ends = F.array(F.struct(F.col("source_node_uuid").alias("a"), F.col("target_node_uuid").alias("b")), F.struct(F.col("target_node_uuid").alias("a"), F.col("source_node_uuid").alias("b")))
+    return edges.select(F.inline(ends)).where("a IS NOT NULL AND b IS NOT NULL")
+
+
+def _next(ways: DataFrame, frontier: DataFrame, n: int, reached: DataFrame, distance: int) -> DataFrame:
+    """The nodes next to a frontier (of, uuid; n rows) that are not reached yet, written. A hub's edges are dealt over salts where the
+    frontier is not sent to all tasks."""
+    from ..sources.store import written
+
+    own = frontier.select("of", F.col("uuid").alias("a"))
+    if n <= SENT_FRONTIER:
+        met = ways.join(F.broadcast(own), "a")
+    else:
+        salted = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(HUB_SALTS - 1))))
+        met = ways.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(HUB_SALTS)).cast("int")).join(salted, ["a", "_salt"])
+    found = met.select("of", F.col("b").alias("uuid")).distinct().join(reached.select("of", "uuid"), ["of", "uuid"], "left_anti")
+    return written(found.withColumn("distance", F.lit(distance)), "frontier")
+
+
+def _start(nodes: DataFrame, of: Column) -> DataFrame:
+    return nodes.select(of.alias("of"), "uuid", F.lit(0).alias("distance"))
+
+
 def node_distance(edges: DataFrame, centre: str, most: int = 3) -> DataFrame:
-    """(uuid, distance) of nodes within ``most`` steps of a centre, edges taken both ways. A step joins what was reached
-    last with the edges, and leaves out what was reached before."""
-    both = edges.select(F.col("source_node_uuid").alias("a"), F.col("target_node_uuid").alias("b"))
-    both = both.union(both.select(F.col("b"), F.col("a"))).distinct()
-    spark = edges.sparkSession
-    reached = spark.createDataFrame([(centre, 0)], "uuid string, distance int")
-    last = reached
+    """(uuid, distance) of nodes within ``most`` steps of a centre, edges taken both ways: breadth first, each frontier written once,
+    so that no step's plan holds those before it."""
+    ways = _both_ways(edges)
+    frontier = reached = _start(edges.sparkSession.createDataFrame([(centre,)], "uuid string"), F.lit(""))
+    n = 1
     for step in range(1, most + 1):
-        last = both.join(last.select(F.col("uuid").alias("a")), "a").select(F.col("b").alias("uuid")).distinct().join(reached.select("uuid"), "uuid", "left_anti").withColumn("distance", F.lit(step))
-        reached = reached.unionByName(last)
-    return reached
+        frontier = _next(ways, frontier, n, reached, step)
+        reached, n = reached.unionByName(frontier), frontier.count()
+        if n == 0:
+            break
+    return reached.select("uuid", "distance")
+
+
+def distance_to(edges: DataFrame, centre: str, targets: DataFrame, most: int = 3) -> DataFrame:
+    """(uuid, distance) of those of the targets (uuid; a bounded list, as of candidates) that are within ``most`` steps of a centre, edges taken
+    both ways. Breadth first from both ends, always on from the smaller frontier; a path of at most ``most`` steps has a
+    node that both ends have reached, so what a hub has around it need not be walked to the end."""
+    ways = _both_ways(edges)
+    spark = edges.sparkSession
+    ends = [_start(spark.createDataFrame([(centre,)], "uuid string"), F.lit("")), _start(targets.select("uuid").where("uuid IS NOT NULL").distinct(), F.col("uuid"))]
+    frontier, reached, sizes, depth = list(ends), list(ends), [1, ends[1].count()], [0, 0]
+    for _ in range(most):
+        side = 0 if sizes[0] <= sizes[1] else 1
+        if sizes[side] == 0:  # this end has nothing new to reach, so it has all that it can
+            break
+        depth[side] += 1
+        frontier[side] = _next(ways, frontier[side], sizes[side], reached[side], depth[side])
+        reached[side], sizes[side] = reached[side].unionByName(frontier[side]), frontier[side].count()
+    far = reached[1].withColumnRenamed("distance", "_far")
+    met = reached[0].select("uuid", F.col("distance").alias("_near")).join(far, "uuid")
+    return met.groupBy(F.col("of").alias("uuid")).agg(F.min(F.col("_near") + F.col("_far")).alias("distance"))

@@ -19,6 +19,7 @@ from ..operators.index import WordIndex
 from ..operators.reads import in_groups
 from ..operators.search import Asked, Found, find_facts, find_nodes
 from .commits import CommitLog, Conflict, Snapshot, Transaction
+from .records import replace_table
 from .views import KINDS, PROPOSAL
 
 TABLES = {**KINDS, "queue": PROPOSAL, "archive": PROPOSAL}
@@ -37,6 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the folder that all share: what several outputs read is computed once, and plans do not grow."""
+    return df.sparkSession.read.schema(df.schema).parquet(replace_table(df, f"{shared_dir(df.sparkSession)}/chronoloom-{name}"))
+
+
 def fitted(rows: DataFrame, name: str) -> DataFrame:
     """rows in the columns and types of a table; what they lack is null."""
     return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name]])

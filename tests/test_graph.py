@@ -304,3 +304,24 @@ def test_vector_top_takes_more_queries_than_a_block(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(search, "MAX_QUERIES", 10)
     assert rows() == whole and len(whole) == 75
+
+
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_distances_from_both_ends(spark, monkeypatch, sent):
+    """Against a plain walk, with a hub, a loop, a node without an end and one out of reach; with frontiers sent, and joined by salt."""
+    monkeypatch.setattr(search, "SENT_FRONTIER", sent)
+    pairs = [("c", "hub"), *[("hub", f"h{i}") for i in range(40)], *[(f"t{i}", f"t{i + 1}") for i in range(6)], ("t0", "h3"), ("t6", "c"), ("x", "y"), ("h1", "h1"), (None, "h2"), ("h2", None)]
+    near, todo = {"c": 0}, ["c"]
+    for at in todo:
+        for a, b in [p for p in pairs if None not in p]:
+            for one, other in ((a, b), (b, a)):
+                if one == at and other not in near:
+                    near[other] = near[at] + 1
+                    todo.append(other)
+    edges = spark.createDataFrame(pairs, "source_node_uuid string, target_node_uuid string").repartition(3)
+    asked = ["c", "h7", "t0", "t2", "t3", "t4", "x", "unknown"]
+    targets = spark.createDataFrame([(n,) for n in [*asked, "t2", None]], "uuid string")
+    for most in (1, 3, 6):
+        within = {n: d for n, d in near.items() if d <= most}
+        assert {r["uuid"]: r["distance"] for r in search.node_distance(edges, "c", most).collect()} == within
+        assert {r["uuid"]: r["distance"] for r in search.distance_to(edges, "c", targets, most).collect()} == {n: within[n] for n in asked if n in within}
