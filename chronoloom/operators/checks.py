@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SEVERITY = ("ok", "warn", "fail")
@@ -15,22 +15,62 @@ def leaked(served: DataFrame, facts: DataFrame, now: Column) -> DataFrame:
     return served.select("uuid").join(facts.where(~is_current(now)).select("uuid"), "uuid", "left_semi")
 
 
+# What a row may have wrong by itself, and how grave that is.
+LEVELS = {"no id": "fail", "blank facts": "warn", "ends before start": "warn", "vector width": "fail"}
+
+
+def row_rules(columns: list[str], width: int | None = None) -> dict[str, Column]:
+    """The checks that a row with these columns answers alone, by name: true where it is wrong."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    rules = {}
+    if "uuid" in columns:
+        rules["no id"] = blank("uuid")
+    if "fact" in columns:
+        rules["blank facts"] = blank("fact")
+    if {"valid_at", "invalid_at"} <= set(columns):
+        rules["ends before start"] = F.coalesce(F.col("invalid_at") < F.col("valid_at"), F.lit(False))
+    for vector in ("embedding", "name_embedding", "fact_embedding"):
+        if vector in columns and width is not None:
+            rules["vector width"] = F.coalesce(F.size(vector) != width, F.lit(False)) & F.col(vector).isNotNull()
+    return rules
+
+
+class Watched:
+    """``rows`` to be written, and what the write itself sees of them: their number and, for each of the rules, how many break it. The
+    counts are taken in the tasks that write, each of which counts once however often it is tried, so no scan follows."""
+
+    def __init__(self, rows: DataFrame, rules: dict[str, Column]):
+        self.rules, self._seen = list(rules), Observation()
+        counts = [F.count_if(broken).alias(f"_{i}") for i, broken in enumerate(rules.values())]
+        self.rows = rows.observe(self._seen, F.count(F.lit(1)).alias("_rows"), *counts)
+
+    def counts(self) -> dict[str, int]:
+        """{"rows": n, rule: n, ...}, once the rows are written; a table that is planned away as empty has 0 of all."""
+        got = self._seen.get
+        return {"rows": got.get("_rows") or 0} | {rule: got.get(f"_{i}") or 0 for i, rule in enumerate(self.rules)}
+
+
+def counted_checks(spark: SparkSession, counts: dict[str, dict[str, int]]) -> DataFrame:
+    """(kind, check, status, detail) of the counts that writes have left, by table; nothing is read."""
+    found = [(kind, rule, "ok" if not n else LEVELS[rule], n) for kind, of in sorted(counts.items()) for rule, n in of.items() if rule != "rows"]
+    return spark.createDataFrame(found, "kind string, check string, status string, detail long")
+
+
 def data_checks(facts: DataFrame, nodes: DataFrame, width: int | None = None, vectors: DataFrame | None = None) -> DataFrame:
-    """(check, status, detail): duplicate ids, unknown endpoints, ends before starts, blank facts, vectors of another width."""
-    from .reads import dangling
-
-    def check(name: str, bad: DataFrame, level: str) -> DataFrame:
-        n = bad.agg(F.count(F.lit(1)).alias("detail"))
-        return n.select(F.lit(name).alias("check"), F.when(F.col("detail") == 0, "ok").otherwise(level).alias("status"), "detail")
-
-    out = check("duplicate ids", facts.groupBy("uuid").count().where("count > 1"), "fail")
-    out = out.union(check("unknown endpoints", dangling(facts, nodes, nodes), "fail"))
-    if {"valid_at", "invalid_at"} <= set(facts.columns):
-        out = out.union(check("ends before start", facts.where("invalid_at < valid_at"), "warn"))
-    out = out.union(check("blank facts", facts.where(F.trim(F.coalesce("fact", F.lit(""))) == ""), "warn"))
+    """(check, status, detail): duplicate ids, unknown endpoints, ends before starts, blank facts, vectors of another width. Facts are
+    read once for all of their checks: each is flagged, flags are added up by id, then over all ids."""
+    from .reads import with_missing
+
+    levels = {"duplicate ids": "fail", "unknown endpoints": "fail"} | {k: v for k, v in LEVELS.items() if k in row_rules(facts.columns) and k != "no id"}
+    rules = row_rules(facts.columns)
+    flags = {"unknown endpoints": F.col("missing").isNotNull()} | {k: v for k, v in rules.items() if k in levels}
+    by_id = with_missing(facts, nodes, nodes).groupBy("uuid").agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(broken).alias(k) for k, broken in flags.items()])
+    total = by_id.agg(F.count_if(F.col("_n") > 1).alias("duplicate ids"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in flags])
     if vectors is not None:
-        out = out.union(check("vector width", vectors.where(F.size("embedding") != width), "fail"))
-    return out
+        levels["vector width"] = "fail"
+        total = total.withColumn("vector width", vectors.agg(F.count_if(F.size("embedding") != width).alias("n")).scalar())
+    row = lambda k: F.struct(F.lit(k).alias("check"), F.when(F.col(k) == 0, "ok").otherwise(levels[k]).alias("status"), F.col(k).alias("detail"))
+    return total.select(F.inline(F.array(*[row(k) for k in levels])))
 
 
 def worst_status(checks: DataFrame) -> DataFrame:

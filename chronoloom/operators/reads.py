@@ -175,12 +175,17 @@ def edge_sources(facts: DataFrame, episodes: DataFrame) -> DataFrame:
     return listed.join(episodes.withColumnRenamed("uuid", "episode"), "episode", "left")
 
 
-def dangling(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """Edges whose endpoints are not both among the nodes (uuid), with which is missing first."""
+def with_missing(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """All edges, with which of their endpoints is the first that is not among the nodes (uuid); null where both are."""
     has = lambda df, c: df.select(F.col("uuid").alias(c)).distinct().withColumn(f"_has_{c}", F.lit(True))
     both = edges.join(has(sources, "source_node_uuid"), "source_node_uuid", "left").join(has(targets, "target_node_uuid"), "target_node_uuid", "left")
     missing = F.when(F.col("_has_source_node_uuid").isNull(), F.lit("source")).when(F.col("_has_target_node_uuid").isNull(), F.lit("target"))
-    return both.withColumn("missing", missing).where("missing IS NOT NULL").drop("_has_source_node_uuid", "_has_target_node_uuid")
+    return both.withColumn("missing", missing).drop("_has_source_node_uuid", "_has_target_node_uuid")
+
+
+def dangling(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """Edges whose endpoints are not both among the nodes (uuid), with which is missing first."""
+    return with_missing(edges, sources, targets).where("missing IS NOT NULL")
 
 
 # ---------------------------------------------------------------- duplicates and counts

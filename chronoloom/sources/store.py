@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..operators.checks import counted_checks
 from ..operators.index import WordIndex
 from ..operators.reads import in_groups
 from ..operators.search import Asked, Found, find_facts, find_nodes
@@ -80,6 +81,14 @@ class Store:
     def read(self, kind: str, groups: list[str] | None = None, number: int | None = None) -> DataFrame:
         return in_groups(self.log.at(number).read(kind), groups)
 
+    def counts(self, number: int | None = None) -> dict[str, int]:
+        """Rows of every table of a commit, as its writes counted them: no table is read."""
+        return {kind: of["rows"] for kind, of in self.log.at(number).counts.items()}
+
+    def checks(self, number: int | None = None) -> DataFrame:
+        """(kind, check, status, detail) of a commit's rows, as its writes counted them; ``data_checks`` has those that need joins."""
+        return counted_checks(self.spark, self.log.at(number).counts)
+
     def sql(self, text: str, **args) -> DataFrame:
         """A query over the tables of one commit, with named parameters (:name)."""
         held = self.log.at()

@@ -266,3 +266,22 @@ def test_words_have_no_combining_marks(spark):
     text = "éa b x_1 ١٢ ½"
     (got,) = spark.createDataFrame([(text,)], "t string").select(tokens(F.col("t")).alias("w")).collect()
     assert got["w"] == ["e", "a", "b", "x_1", "١٢", "½"] == re.findall(r"\w+", text)
+
+
+def test_writes_count_and_check_what_they_write(spark, tmp_path):
+    """Counts and checks come from the write's own job, and a commit keeps those of the tables that it did not write."""
+    s = store.Store(spark, f"file://{tmp_path}")
+    s.set_up()
+    assert set(s.counts()) == set(store.TABLES) and set(s.counts().values()) == {0}
+    f = spark.range(100, numPartitions=3).select(F.col("id").cast("string").alias("uuid"), F.when(F.col("id") % 10 > 0, "a fact").otherwise(" ").alias("fact"), F.lit("2024-01-02").cast("timestamp").alias("valid_at"))
+    f = f.withColumn("invalid_at", F.when(F.col("uuid").endswith("7"), F.lit("2024-01-01").cast("timestamp"))).withColumn("uuid", F.when(F.col("uuid") != "5", F.col("uuid")))
+    spark.sparkContext.setJobGroup("counted", "")
+    number = s.write("entity_edge", f)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    assert s.counts() == dict.fromkeys(store.TABLES, 0) | {"entity_edge": 100} and jobs == len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) == 1
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    s.write("entity_node", spark.createDataFrame([("n", "name")], "uuid string, name string"))
+    assert s.counts()["entity_edge"] == 100 and s.counts()["entity_node"] == 1 and s.counts(number)["entity_node"] == 0
+    got = {(r["check"], r["status"]): r["detail"] for r in s.checks().where("kind = 'entity_edge'").collect()}
+    assert got == {("no id", "fail"): 1, ("blank facts", "warn"): 10, ("ends before start", "warn"): 10}
+    assert {r["status"] for r in s.checks().where("kind = 'entity_node'").collect()} == {"ok"}
