@@ -7,7 +7,7 @@ import json
 import pathlib
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,37 +92,73 @@ def all_records(lines: DataFrame, group: str | None = None) -> dict[str, DataFra
     return {kind: typed_records(lines, kind, group) for kind in KINDS}
 
 
+# A block is 2 ** BRANCH_BITS records that follow each other in a part; so many children has a node of the tree above the blocks.
+BRANCH_BITS = 12
+
+
 def write_parts(parts: dict[str, DataFrame], path: str, header: dict) -> dict:
-    """A snapshot as a folder of Parquet parts, one a task and none through the driver: (part, place, kind, line), each part with the checksum
-    of its lines in the manifest beside them. The header has the checksum over the parts' checksums."""
+    """A snapshot as a folder of Parquet parts, one a task and none through the driver: (part, place, kind, line), with the checksum of every
+    block of ordered records in the manifest beside them. The header has the root of the tree over the blocks' checksums,
+    so neither a task nor the driver holds the hashes of a part."""
     lines = snapshot_lines(parts).orderBy("kind_order", "uuid", "line").select("line", F.get_json_object("line", "$.kind").alias("kind"))
     placed = lines.withColumn("place", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
     placed.write.mode("error").parquet(f"{path}/lines")
-    sums = _part_sums(lines.sparkSession.read.parquet(f"{path}/lines"))
-    sums.write.mode("error").parquet(f"{path}/manifest")
-    return header | {"kind": "export", "format_version": 2} | _whole(lines.sparkSession.read.parquet(f"{path}/manifest"))
+    spark = lines.sparkSession
+    block_sums(spark.read.parquet(f"{path}/lines")).write.mode("error").parquet(f"{path}/manifest")
+    return header | {"kind": "export", "format_version": 2} | tree_root(spark.read.parquet(f"{path}/manifest"))
+
+
+def _sum_of(members: str | Column) -> Column:
+    """The checksum of gathered (number, digest), in the order of their numbers, which count too."""
+    return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(members)), lambda x: F.concat(x["n"].cast("string"), F.lit(":"), x["h"])), "\n"), 256)
+
+
+def block_sums(lines: DataFrame) -> DataFrame:
+    """(block, part, records, sha256): the leaves of the tree. A place is the part's number and, in its lower 33 bits, that of the record in it,
+    so a block never has records of two parts."""
+    one = lines.select("part", F.shiftright("place", BRANCH_BITS).alias("block"), F.struct(F.col("place").alias("n"), F.sha2(F.concat("line", F.lit("\n")), 256).alias("h")).alias("x"))
+    return one.groupBy("block").agg(F.min("part").alias("part"), F.count(F.lit(1)).alias("records"), _sum_of("x").alias("sha256"))
+
+
+def tree_root(blocks: DataFrame) -> dict:
+    """{record_count, sha256}: the root over the blocks' checksums. Levels are made until one has as few nodes as a node may have children;
+    blocks of several snapshots whose places differ have one root too, however they are put together."""
+    from ..sources.store import written
+
+    level, most = blocks.select(F.col("block").alias("n"), "records", F.col("sha256").alias("h")), 1 << BRANCH_BITS
+    while level.count() > most:
+        above = level.groupBy(F.shiftright("n", BRANCH_BITS).alias("_above")).agg(F.sum("records").alias("records"), _sum_of_level().alias("h"))
+        level = written(above.select(F.col("_above").alias("n"), "records", "h"), "tree")
+    root = level.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), _sum_of_level().alias("h")).first()
+    return {"record_count": root["records"], "sha256": root["h"]}
+
+
+def _sum_of_level() -> Column:
+    return _sum_of(F.struct("n", "h"))
 
 
-def _part_sums(lines: DataFrame) -> DataFrame:
-    """(part, records, sha256) with the checksums made where the lines are: of each line, then of a part's in their order."""
-    one = lines.select("part", F.struct("place", F.unhex(F.sha2(F.concat("line", F.lit("\n")), 256)).alias("h")).alias("x"))
-    return one.groupBy("part").agg(F.count(F.lit(1)).alias("records"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: F.hex(x["h"])), ""), 256).alias("sha256"))
+def damaged_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(block, part, first, last): blocks of a snapshot in parts whose records are not those of the manifest, with the numbers that their
+    records have, or should have, in the part."""
+    had = spark.read.parquet(f"{path}/manifest").select("block", F.col("part").alias("_part"), F.col("sha256").alias("_sha256"))
+    both = block_sums(spark.read.parquet(f"{path}/lines")).join(had, "block", "full_outer").where(~F.col("sha256").eqNullSafe(F.col("_sha256")))
+    first = F.shiftleft(F.col("block"), BRANCH_BITS) % F.lit(1 << 33)
+    return both.select("block", F.coalesce("part", "_part").alias("part"), first.alias("first"), (first + (1 << BRANCH_BITS) - 1).alias("last"))
 
 
-def _whole(manifest: DataFrame) -> dict:
-    rows = manifest.orderBy("part").collect()  # a row a part
-    return {"record_count": sum(r["records"] for r in rows), "sha256": hashlib.sha256("".join(r["sha256"] for r in rows).encode()).hexdigest()}
+def read_block(spark: SparkSession, path: str, block: int) -> DataFrame:
+    """(place, kind, line) of one block: the range of places reaches the files, which are in that order, so the rest is not read."""
+    at = block << BRANCH_BITS
+    return spark.read.parquet(f"{path}/lines").where(F.col("place").between(at, at + (1 << BRANCH_BITS) - 1)).select("place", "kind", "line")
 
 
 def read_parts(spark: SparkSession, path: str, header: dict | None = None) -> DataFrame:
-    """(kind, line) of a snapshot in parts, once every part's checksum, and the header's, match."""
-    lines, manifest = spark.read.parquet(f"{path}/lines"), spark.read.parquet(f"{path}/manifest")
-    both = _part_sums(lines).withColumnRenamed("sha256", "own").join(manifest.select("part", "sha256"), "part", "full_outer")
-    if (bad := both.where(~F.col("own").eqNullSafe(F.col("sha256"))).orderBy("part").first()) is not None:
-        raise ValueError(f"{path}: part {bad['part']} does not match its checksum")
-    if header is not None and {k: header.get(k) for k in ("record_count", "sha256")} != _whole(manifest):
+    """(kind, line) of a snapshot in parts, once every block's checksum, and the header's, match."""
+    if (bad := damaged_blocks(spark, path).orderBy("block").first()) is not None:
+        raise ValueError(f"{path}: part {bad['part']}, records {bad['first']} to {bad['last']} do not match their checksum")
+    if header is not None and {k: header.get(k) for k in ("record_count", "sha256")} != tree_root(spark.read.parquet(f"{path}/manifest")):
         raise ValueError(f"{path}: the parts are not those of the header")
-    return lines.select("kind", "line")
+    return spark.read.parquet(f"{path}/lines").select("kind", "line")
 
 
 def decision_template(facts: DataFrame) -> DataFrame:

@@ -371,6 +371,41 @@ def test_parts_are_checked(spark, tmp_path):
         review.read_parts(spark, f"{at}2", header)
 
 
+def test_a_tree_of_blocks(spark, tmp_path, monkeypatch):
+    """The root against a plain version, with several levels; a changed, a lost and an added record each name their block."""
+    monkeypatch.setattr(review, "BRANCH_BITS", 3)
+    at = f"file://{tmp_path}/s"
+    nodes = spark.range(1000).select(F.format_string("n%04d", "id").alias("uuid"), F.concat(F.lit("name "), "id").alias("name"))
+    header = review.write_parts({"entity_node": nodes}, at, {})
+    lines = spark.read.parquet(f"{at}/lines").orderBy("place").collect()
+
+    def tree(children):
+        return hashlib.sha256("\n".join(f"{n}:{h}" for n, h in children).encode()).hexdigest()
+
+    def above(level):
+        return {k: tree(sorted(x for x in level.items() if x[0] >> 3 == k)) for k in {n >> 3 for n in level}}
+
+    level = above({r["place"]: hashlib.sha256((r["line"] + "\n").encode()).hexdigest() for r in lines})
+    assert len(level) > 64
+    while len(level) > 8:
+        level = above(level)
+    assert header["sha256"] == tree(sorted(level.items())) and header["record_count"] == 1000 and review.read_parts(spark, at, header).count() == 1000
+
+    own = lines[500]["place"]
+    block = review.read_block(spark, at, own >> 3)
+    assert own in [r["place"] for r in block.collect()] and block.count() <= 8 and "GreaterThanOrEqual(place" in block._jdf.queryExecution().toString()
+    here, table = F.col("place") == own, spark.read.parquet(f"{at}/lines")
+    added = spark.createDataFrame([(lines[-1]["line"], "entity_node", 7 << 33, 7)], "line string, kind string, place long, part int")
+    broken = {"a": (table.withColumn("line", F.when(here, F.concat("line", F.lit(" "))).otherwise(F.col("line"))), own >> 3), "b": (table.where(~here), own >> 3), "c": (table.unionByName(added), 7 << 30)}
+    for name, (rows, bad) in broken.items():
+        rows.write.parquet(f"{at}-{name}/lines")
+        spark.read.parquet(f"{at}/manifest").write.parquet(f"{at}-{name}/manifest")
+        found = review.damaged_blocks(spark, f"{at}-{name}").collect()
+        assert [r["block"] for r in found] == [bad] and found[0]["first"] == (bad << 3) % (1 << 33)
+        with pytest.raises(ValueError, match=f"part {found[0]['part']}, records {found[0]['first']} to"):
+            review.read_parts(spark, f"{at}-{name}", header)
+
+
 def test_restore_plan(spark):
     rows = {"entity_node": spark.createDataFrame([("a", "g"), ("b", "")], "uuid string, group_id string"), "entity_edge": spark.createDataFrame([("c", "g")], "uuid string, group_id string")}
     with pytest.raises(ValueError, match="b: no group"):
