@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import pathlib
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -252,13 +253,15 @@ def restore_plan(records: dict[str, DataFrame], allowed: list[str], override: st
     return planned.groupBy("target_group", "kind").agg(F.count(F.lit(1)).alias("planned"))
 
 
-def restore(existing: dict[str, DataFrame], records: dict[str, DataFrame], group: str | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+def restore(existing: dict[str, DataFrame], records: dict[str, DataFrame], group: str | None = None, embed: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """Upsert records by uuid: nodes, episodes, facts, mentions. Edges whose endpoints neither exist nor come along are
-    left out and reported as (kind, uuid, missing)."""
+    left out and reported as (kind, uuid, missing). A snapshot has no vectors: ``embed`` (``models.re_embedded`` of a model) gives
+    the records new ones."""
     from .reads import dangling
     from .workflow import upsert
 
     into = {k: (df if group is None else df.withColumn("group_id", F.lit(group))).drop(*VECTORS) for k, df in records.items()}
+    into = into if embed is None else embed(into)
     out, failed = dict(existing), None
     for kind in KINDS:
         if kind not in into:
