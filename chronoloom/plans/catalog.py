@@ -5,11 +5,14 @@ The tables play the graph's parts as ``sources.views`` says. Queries ask at a fi
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, text
 from ..operators import checks, chunk, gates, reads, resolve, review, search, workflow
+from ..sources.store import shared_dir, written
 from ..sources.views import ENTITY_SQL, NOW, SUPPLY_SQL, TEMPORAL_SQL, entities, supply_facts, table, temporal_facts
 
 QUERIES: dict = {}
@@ -234,6 +237,20 @@ def resume_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.resume_plan(rows, ledger).select("doc_id", F.col("name").alias("source"))
 
 
+@query(ORACLE["resume_plan"])
+def resume_from_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What resume_plan gives, by a ledger of three earlier writes, of which only files that may hold a document's key are opened."""
+    from ..sources.ledger import Ledger
+
+    d = table(spark, sf_dir, "documents")
+    rows = workflow.keyed_records(d.select("doc_id", F.col("lang").alias("domain"), F.col("source").alias("name"), F.col("text").alias("body"), F.lit(None).cast("string").alias("valid_at")), "en")
+    rows = written(rows.select("doc_id", "key", "domain", "name"), "keys")
+    ledger = Ledger(spark, f"{shared_dir(spark)}/chronoloom-ledger/{uuid.uuid4().hex}")
+    for i in range(3):
+        ledger.enter(rows.where(f"doc_id % 9 = {3 * i}").select("key", "domain", "name", F.lit(str(i)).alias("ingested_at")).dropDuplicates(["key"]), str(i))
+    return workflow.resume_plan(rows, ledger.entries_of(rows)).select("doc_id", F.col("name").alias("source"))
+
+
 @query()
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("body"))
@@ -685,9 +702,6 @@ def node_search_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windowed counts from a stream of the events that ends when it has read them."""
-    import uuid
-
-    from ..sources.store import shared_dir
     from ..streaming.ingest import event_counts
 
     schema = table(spark, sf_dir, "events").schema
@@ -781,10 +795,7 @@ SELECT uuid, score, CAST(row_number() OVER (ORDER BY score DESC, uuid) AS INTEGE
 def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best facts by words, from blocks of an index: built over some of the facts, then brought to a state in which some are new, some
     say more, and some are gone."""
-    import uuid
-
     from ..operators.index import WordIndex
-    from ..sources.store import shared_dir
 
     number, body = F.substring("uuid", 2, 20).cast("long"), F.concat_ws(" ", "name", "fact")
     facts = temporal_facts(spark, sf_dir).select("uuid", "name", "fact", "group_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
 import uuid
@@ -17,7 +18,8 @@ from ..functions.identity import uuid_of
 from ..operators.metadata import FINAL_KINDS, PASSING_KINDS, PASSING_WORDS
 from ..operators.workflow import keyed_records, resume_plan, step
 from ..shipping import ship
-from ..sources.views import LEDGER, RECORD
+from ..sources.ledger import Ledger
+from ..sources.views import RECORD
 
 
 OUTCOME = "key string, episode_uuid string, name string, domain string, facts array<string>, nodes int, edges int, attempts int, operation string, error_type string, error string, retryable boolean"
@@ -70,20 +72,16 @@ def _there(spark: SparkSession, path: str) -> bool:
 def ingest_stream(spark: SparkSession, source: str, target: str, ledger: str, checkpoint: str, *, domain: str, extract: Callable[[dict], tuple[int, list[str]]] | None = None, attempts: int = 3, files_per_batch: int | None = None) -> StreamingQuery:
     """Ingest what is new in a folder of JSONL, then stop; stopped early, it ends between two micro-batches (of ``files_per_batch`` files).
 
-    A micro-batch takes the records whose key the ledger lacks and writes them once (``target``); then those that are done are entered
-    in the ledger, with receipts and failures beside it. Its files carry the batch's number, so a batch that is run again
-    replaces what it had written. A record that failed is kept whole in a queue beside the target (``-retry``): the next run takes
-    what of it the ledger lacks before anything new, once a run. ``extract`` as in extract_records; without it, records are kept as episodes."""
+    A micro-batch takes the records whose key the ledger lacks, of which it opens only files that may hold one of them (``Ledger``), and writes
+    them once (``target``); then those that are done are entered in the ledger, with receipts and failures beside it. Its folders carry the
+    checkpoint's id and the batch's number, so a batch that is run again replaces what it had written, and streams with
+    checkpoints of their own may share a ledger, one at a time. A record that failed is kept whole in a queue beside the target
+    (``-retry``): the next run takes what of it the ledger lacks before anything new, once a run. ``extract`` as in
+    extract_records; without it, records are kept as episodes."""
     reader = spark.readStream.schema(RECORD)
     records = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(source)
     queue = f"{target}-retry"
 
-    def done(s: SparkSession, but: str | None = None) -> DataFrame:
-        if not _there(s, ledger):  # any other failure to read it is one
-            return s.createDataFrame([], LEDGER)
-        held = s.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(ledger)
-        return held if but is None else held.where(~F.input_file_name().contains(f"/batch={but}/"))
-
     def enter(new: DataFrame, name: str) -> DataFrame:
         """Records through extraction into folders of that name; what there is of each key."""
         s = new.sparkSession
@@ -94,21 +92,26 @@ def ingest_stream(spark: SparkSession, source: str, target: str, ledger: str, ch
         if extract:
             held.where("error IS NULL").select("key", "episode_uuid", "name", "domain", "nodes", "edges", "attempts").write.mode("overwrite").parquet(f"{target}-receipts/batch={name}")
             held.where("error IS NOT NULL").drop("facts", "nodes", "edges").write.mode("overwrite").parquet(f"{target}-failures/batch={name}")
-        entry.write.mode("overwrite").parquet(f"{ledger}/batch={name}")
+        Ledger(s, ledger).enter(entry, name)
         return held
 
     tried = None
     if extract and _there(spark, queue):
-        waiting = resume_plan(spark.read.option("recursiveFileLookup", "true").parquet(queue), done(spark)).dropDuplicates(["key"])
+        failed = spark.read.option("recursiveFileLookup", "true").parquet(queue)
+        waiting = resume_plan(failed, Ledger(spark, ledger).entries_of(failed)).dropDuplicates(["key"])
         if not waiting.isEmpty():
             tried = enter(waiting, f"retry-{uuid.uuid4().hex}").select("key")
 
     def land(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
-        new = resume_plan(keyed_records(batch, domain), done(s, str(number)))
-        held = enter(new if tried is None else new.join(tried.distinct(), "key", "left_anti"), str(number))
+        name = f"{json.loads(s.read.text(f'{checkpoint}/metadata').first()[0])['id']}-{number}"
+        held_keys = Ledger(s, ledger)
+        held_keys.merge(but=name)
+        own = keyed_records(batch, domain)
+        new = resume_plan(own, held_keys.entries_of(own, but=name))
+        held = enter(new if tried is None else new.join(tried.distinct(), "key", "left_anti"), name)
         if extract:
-            new.join(held.where("error IS NOT NULL").select("key").distinct(), "key", "left_semi").write.mode("overwrite").parquet(f"{queue}/batch={number}")
+            new.join(held.where("error IS NOT NULL").select("key").distinct(), "key", "left_semi").write.mode("overwrite").parquet(f"{queue}/batch={name}")
 
     return records.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.operators import workflow
-from chronoloom.sources import records
+from chronoloom.sources import ledger, records
 from chronoloom.streaming import ingest
 
 
@@ -138,3 +138,51 @@ def test_claims_end(spark, tmp_path):
     got = states(spark, tmp_path, [first, lambda got: len(got) > 2, [("a", 3, "draining"), ("c", 1, "pending")], lambda got: any(r[0] == "c" for r in got)], "claims", claim_ms=1500)
     assert sorted(got[:2]) == [("a", 2, "draining", 0), ("b", 3, "archived", 0)] and got[2] == ("a", 2, "approved", 0)
     assert ("a", 3, "draining", 0) in got[3:] and not any(r[0] == "b" for r in got[2:])
+
+
+def test_a_ledger_opens_only_files_that_may_hold_a_key(spark, tmp_path):
+    """Over 50 writes of new keys a lookup opens next to nothing, finds every key that is there, and runs stay few."""
+    own = ledger.Ledger(spark, f"file://{tmp_path}/ledger")
+    batch = lambda i: spark.range(i * 20, i * 20 + 20, 1, 1).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), F.lit("d").alias("domain"), F.lit("n").alias("name"), F.lit(str(i)).alias("ingested_at"))
+    opened, runs = [], []
+    for i in range(50):
+        own.merge()
+        if i % 7 == 0:
+            assert own.entries_of(batch(i)).join(batch(i), "key", "left_semi").isEmpty()
+            opened.append(len(own.opened))
+        own.enter(batch(i), f"s-{i}")
+        runs.append(len(own.runs()))
+    assert max(opened) <= 1 and max(runs) <= 2 * ledger.FAN
+    everything = spark.range(0, 1000).select(F.sha2(F.col("id").cast("string"), 256).alias("key"))
+    assert own.entries_of(everything).select("key").distinct().count() == 1000
+    assert own.entries_of(batch(49).limit(1)).where("ingested_at = '49'").count() and len(own.opened) == 1
+
+
+def test_a_ledger_of_many_files(spark, tmp_path, monkeypatch):
+    """Keys by digits, in files and in filters; a run without filters is read whole; an empty run leaves none; a run left out."""
+    monkeypatch.setattr(ledger, "FILE_ROWS", 100)
+    monkeypatch.setattr(ledger, "BLOCK_KEYS", 20)
+    own = ledger.Ledger(spark, f"file://{tmp_path}/ledger")
+    rows = spark.range(1000).select(F.concat(F.lit("key "), "id").alias("key"), F.lit(None).cast("string").alias("domain"), F.lit("n").alias("name"), F.lit("1").alias("ingested_at"))
+    own.enter(rows, "a")
+    assert len(list((tmp_path / "ledger" / "batch=a").glob("bucket=*"))) == 16
+    one = rows.where("key = 'key 77'")
+    assert own.entries_of(one).join(one, "key", "left_semi").count() == 1 and len(own.opened) == 1
+    other = rows.select(F.concat("key", F.lit("?")).alias("key"))
+    assert own.entries_of(other).join(other, "key", "left_semi").isEmpty()
+    rows.limit(3).select(*rows.columns).write.parquet(f"file://{tmp_path}/ledger/batch=cut")
+    own.entries_of(other)
+    assert any(p.endswith("/batch=cut") for p in own.opened)
+    own.enter(rows.limit(0), "a")
+    assert own.runs() == ["cut"]
+    assert own.entries_of(rows, but="cut").isEmpty() and own.entries_of(rows).count() == 3
+
+
+def test_streams_with_their_own_checkpoints_share_a_ledger(spark, tmp_path):
+    for i, names in enumerate((["a", "b"], ["b", "c"])):
+        source = tmp_path / f"in{i}"
+        source.mkdir()
+        (source / "1.jsonl").write_text("".join(f'{{"name": "{n}", "body": "x"}}\n' for n in names))
+        ingest.ingest_stream(spark, str(source), *[str(tmp_path / x) for x in ("out", "ledger", f"check{i}")], domain="d").awaitTermination(120)
+    assert sorted(r["name"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+    assert sorted(r["name"] for r in spark.read.parquet(str(tmp_path / "ledger")).collect()) == ["a", "b", "c"]
