@@ -8,6 +8,7 @@ import pathlib
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,31 +54,21 @@ def write_snapshot(parts: dict[str, DataFrame], path: str, header: dict) -> dict
 
 
 def read_snapshot(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
-    """(header, lines (kind, line)). The header comes first, kinds and format are known, and of format 2 the count and
-    checksum match."""
-    digest, n, head = hashlib.sha256(), 0, None
-    with open(path, encoding="utf-8", newline="\n") as f:
-        for number, line in enumerate(f, 1):
-            if not line.strip():
-                continue
-            if head is None:
-                head = json.loads(line)
-                if head.get("kind") != "export":
-                    raise ValueError(f"{path}: no export header")
-                if head.get("format_version") not in FORMATS:
-                    raise ValueError(f"{path}: format {head.get('format_version')} is not supported")
-                continue
-            kind = json.loads(line).get("kind")
-            if kind not in KINDS:
-                raise ValueError(f"{path}:{number}: unknown kind {kind!r}")
-            digest.update(line.rstrip("\r\n").encode() + b"\n")
-            n += 1
-    if head is None:
-        raise ValueError(f"{path}: empty file")
-    if head["format_version"] == 2 and (head.get("record_count"), head.get("sha256")) != (n, digest.hexdigest()):
-        raise ValueError(f"{path}: count or checksum does not match")
-    lines = spark.read.text(path).withColumnRenamed("value", "line").withColumn("kind", F.get_json_object("line", "$.kind"))
-    return head, lines.where(F.col("kind").isin(list(KINDS))).select("kind", "line")
+    """(header, lines (kind, line)) of a snapshot in one file, once it was read through: the header comes first, kinds and format are known, and of
+    format 2 the count and checksum match. Tasks read it, by ranges of bytes; the driver reads the header alone."""
+    from ..sources import formats
+
+    formats.register(spark)
+    head, _ = formats.first_line(path)
+    lines = spark.read.format(formats.SnapshotSource.name()).load(path)
+    try:
+        lines.write.format("noop").mode("overwrite").save()
+    except PySparkException as e:
+        told = [x for x in str(e).splitlines() if x.startswith("ValueError: ")]
+        if not told:
+            raise
+        raise ValueError(told[-1].removeprefix("ValueError: ")) from e
+    return head, lines.select("kind", "line")
 
 
 def typed_records(lines: DataFrame, kind: str, group: str | None = None) -> DataFrame:
