@@ -8,7 +8,8 @@ the order is cut where the budget, a whole number of words, is used up. A source
 
 No task holds a source: running sums are taken in two levels (ranges of the shuffle order within each source, then
 inside one range), and so is the cut (ranges of the finish time, then inside the one range where the budget ends). There are
-4096 ranges, 16 times as many for every 16-fold of partitions beyond that. Only tables with a row a source go through one task.
+4096 ranges, 16 times as many for every 16-fold of partitions beyond that. Rows alike in source, id and text share a place in the
+shuffle order; they are counted in 64 lanes, so a window has at most 64 rows for them, however many there are. Only tables with a row a source go through one task.
 
 Defined results. A null text has size 0; a document of size 0 is never taken. A null source is a source of its own, the
 last. A null id is shuffled as the text "null", so rows without one are told apart by their texts. Repeated rows are separate entries. An empty table gives an empty result.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ BUDGET = 1.5
 MOST_COPIES = 2
 SEED = "mix-1"
 DIGITS = 3  # hexadecimal, of the number of ranges: of the shuffle order, and of the finish time from 0 to 1
+LANES = 64  # that rows alike are dealt to
 LAST_TIME = 4  # where ranges of the finish time end
 
 
@@ -64,7 +67,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         row = [row_col] if row_col else []
         size = word_count(F.col(text_col)) if size is None else size
         draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-        sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), draw.alias("draw"), *row)
+        lane = F.monotonically_increasing_id() % LANES
+        sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), draw.alias("draw"), lane.alias("lane"), *row)
         sized = materialise(sized.withColumn("key", _key(F.col("source"))), "mix-sizes")
         return _mix(sized, row, weights, budget, most)
 
@@ -80,8 +84,17 @@ def _mix(sized: DataFrame, row: list[str], weights, budget: float, most: int) ->
     before = F.coalesce(F.sum("range_size").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = ranges.select("key", "range", before.alias("before")).join(goal, "key")
 
-    inside = Window.partitionBy("key", "range").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    queued = sized.join(ranges, ["key", "range"]).withColumn("queued", F.col("before") + F.sum("size").over(inside))
+    # Rows alike in id and text share a draw, and so a range: a window has one row for all of them in a lane.
+    alike = ["key", "range", "draw", "doc_id", "size", "lane"]
+    lanes = sized.groupBy(*alike).agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source"), *[F.min(c).alias(c) for c in row])
+    inside = Window.partitionBy("key", "range").orderBy("draw", "doc_id", "size", "lane").rowsBetween(Window.unboundedPreceding, -1)
+    lanes = lanes.join(ranges, ["key", "range"]).withColumn("first", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
+    if row:
+        lanes = materialise(lanes, "mix-lanes")
+        queued = lanes.where("n = 1").withColumn("nth", F.lit(1)).unionByName(_each(sized, lanes.where("n > 1"), alike, row))
+    else:
+        queued = lanes.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    queued = queued.withColumn("queued", F.col("first") + F.col("nth") * F.col("size"))
     queued = materialise(queued.select("doc_id", "source", "size", "source_size", "target", "key", "draw", "queued", *row), "mix-queue", keep=True)
 
     can = (F.col("size") > 0) & (F.col("target") > 0)
@@ -112,6 +125,13 @@ def _mix(sized: DataFrame, row: list[str], weights, budget: float, most: int) ->
     return queued.select("doc_id", "source", "size", "source_size", "target", sum(taken[1:], taken[0]).cast("long").alias("taken"), *row)
 
 
+def _each(sized: DataFrame, lanes: DataFrame, alike: list[str], row: list[str]) -> DataFrame:
+    """The rows of lanes that have several, with their number in the lane. A sort-merge join at every size."""
+    s, n = sized.select(*alike, *row).alias("s"), lanes.drop(*row).hint("merge").alias("n")
+    both = s.join(n, reduce(Column.__and__, [F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}")) for c in alike])).select("n.*", *[f"s.{c}" for c in row])
+    return both.withColumn("nth", F.row_number().over(Window.partitionBy(*alike).orderBy(*row)))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 

@@ -39,3 +39,18 @@ def test_common_turns_are_the_prompt(spark):
     df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
     (got,) = chat.format_pairs(df, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0).collect()
     assert got["n_prompt_turns"] == 1 and "hi" in got["prompt"] and "yes" in got["chosen"] and "no" in got["rejected"] and "hi" not in got["chosen"]
+
+
+def test_rows_alike_are_mixed_as_any_others(spark):
+    """Most of the table one text without an id: equal to the SQL over the same rows, as documents and by a key of the rows."""
+    import duckdb
+
+    rows = [(None, "a b c", "web")] * 3000 + [(i, f"w{i} " * (i % 40), ["web", "books", None][i % 3]) for i in range(900)] + [(7, "x y", "books")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    want = sorted(map(repr, con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.OP9_SQL})").fetchall()))
+    of = lambda df: sorted(repr((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"])) for r in df.collect())
+    assert of(mixing.mix(docs)) == want
+    keyed = mixing.mix(docs.withColumn("_row", F.monotonically_increasing_id()), row_col="_row")
+    assert of(keyed) == want and keyed.select("_row").distinct().count() == len(rows)
