@@ -325,3 +325,41 @@ def test_distances_from_both_ends(spark, monkeypatch, sent):
         within = {n: d for n, d in near.items() if d <= most}
         assert {r["uuid"]: r["distance"] for r in search.node_distance(edges, "c", most).collect()} == within
         assert {r["uuid"]: r["distance"] for r in search.distance_to(edges, "c", targets, most).collect()} == {n: within[n] for n in asked if n in within}
+
+
+def test_names_are_weighed_once_not_for_every_node(spark):
+    """The filter on a name's variety stays above the grouping of equal names."""
+    nodes = spark.createDataFrame([("a", "one name")], "uuid string, name string").repartition(2)
+    plan = resolve.signed_names(nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LOG2") < plan.index("Aggregate") and "LOG2" not in plan[plan.index("Aggregate") :]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.9, 1.0])
+def test_sets_at_the_threshold_share_a_key(threshold):
+    """Of all pairs of sets at the threshold, by the places that keys take in ordered sets; numbers that differ in a digit share none at 0.9."""
+    known, new, most, largest = resolve._choices(threshold)
+    assert most == 128 and largest >= most
+
+    def keys(choices, s):
+        return {(j, tuple(sorted(s)[i - 1] for i in at)) for size, j, at in choices if size == len(s)}
+
+    rng = random.Random(5)
+    for _ in range(150):
+        a = set(rng.sample(range(400), rng.randint(3, 30)))
+        b = (a - set(rng.sample(sorted(a), rng.randint(0, len(a) // 5)))) | set(rng.sample(range(400), rng.randint(0, 3)))
+        if b and len(a & b) / len(a | b) >= threshold:
+            assert keys(new, a) & keys(known, b), (a, b)
+    name = lambda n: {f"customer{n:09d}"[i : i + 3] for i in range(15)}
+    if threshold == 0.9:
+        assert not any(keys(new, name(123456789)) & keys(known, name(n)) for n in (123456389, 193456789, 213456789))
+
+
+def test_fuzzy_resolution_of_numbers_equals_all_pairs(spark):
+    new, known = ([(f"{c}{i}", f"Customer#{i * step:09d}") for i in range(150)] for c, step in (("n", 37), ("k", 111)))
+    sets = lambda rows: [(u, {n.lower().replace("#", "")[i : i + 3] for i in range(15)}) for u, n in rows]
+    theirs = {}
+    for u, a in sets(new):
+        found = sorted((-round(len(a & b) / len(a | b), 9), k) for k, b in sets(known) if len(a & b) / len(a | b) >= 0.9)
+        theirs[u] = (found[0][1], -found[0][0]) if found else (None, None)
+    new, known = (spark.createDataFrame(x, "uuid string, name string") for x in (new, known))
+    assert {r["uuid"]: (r["resolved"], r["score"]) for r in resolve.fuzzy_resolution(new, known).collect()} == theirs
