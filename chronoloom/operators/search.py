@@ -7,7 +7,6 @@ no postings are shuffled. k1, b and the fusion constant are parameters with the
 from __future__ import annotations
 
 import functools
-import itertools
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import TYPE_CHECKING
@@ -21,7 +20,7 @@ from .reads import in_date_range, in_groups, is_current, of_types, with_any_labe
 if TYPE_CHECKING:
     from .index import WordIndex
 
-K1, B, FUSION, MAX_QUERIES = 1.2, 0.75, 60, 1000
+K1, B, FUSION, FEW_QUERIES, MAX_QUERIES = 1.2, 0.75, 60, 8, 8192
 
 
 # The most results of one call, and the most candidates that are looked at for them.
@@ -76,18 +75,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, score): exact nearest of every query vector, in blocks of at most MAX_QUERIES of them. A block's
-    vectors are one value of a scalar subquery, each row is scored against them where it is read, and group limits keep k
-    rows a query and task before the shuffle. The blocks pass through the driver one by one."""
-    rows = queries.select(id_col, vector_col).toLocalIterator()
-    blocks = []
-    while (block := list(itertools.islice(rows, MAX_QUERIES))) or not blocks:
-        blocks.append(_block_top(vectors, block, k, id_col, vector_col))
-    if len(blocks) == 1:
-        return blocks[0]
-    # Once more over all blocks: a query id may be in several.
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
-    return functools.reduce(DataFrame.unionByName, blocks).withColumn("rank", rank).where(F.col("rank") <= k)
+    """(query_id, rank, id, score): exact nearest of every query vector. Few queries are one value of a scalar subquery, and each
+    row is scored against them where it is read; more are dealt to cells of about MAX_QUERIES, which meet cells of vectors
+    (``nearest``). Either way k rows a query and task are shuffled on. The work is queries times vectors."""
+    few = queries.select(id_col, vector_col).limit(FEW_QUERIES + 1).collect()
+    if len(few) <= FEW_QUERIES:
+        return _block_top(vectors, few, k, id_col, vector_col)
+    from .nearest import many_top
+
+    found = many_top(vectors, queries, k, id_col, vector_col, -(-queries.count() // MAX_QUERIES)).withColumn("score", F.round("score", 6))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("id").alias(id_col), "score", "rank")
 
 
 def _block_top(vectors: DataFrame, asked: list, k: int, id_col: str, vector_col: str) -> DataFrame:

@@ -363,3 +363,32 @@ def test_fuzzy_resolution_of_numbers_equals_all_pairs(spark):
         theirs[u] = (found[0][1], -found[0][0]) if found else (None, None)
     new, known = (spark.createDataFrame(x, "uuid string, name string") for x in (new, known))
     assert {r["uuid"]: (r["resolved"], r["score"]) for r in resolve.fuzzy_resolution(new, known).collect()} == theirs
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_vectors_in_cells_equal_those_scored_in_place(spark, monkeypatch, kind):
+    """With copies, null, zero and non-finite vectors and components, vectors of another width and a query id in two rows; and no block of
+    queries is a value of the plan."""
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-1.0, 0.5, 0.25, rng.gauss(0, 1)]) for _ in range(4 if i % 10 else 3)]) for i in range(300)]
+    rows += [(1000 + i, rows[7][1]) for i in range(50)] + [(2000, None), (2001, [0.0] * 4), (2002, [float("nan"), 1.0, 1.0, 1.0]), (2003, [None, 1.0, 1.0, 1.0]), (2004, [float("inf"), 1.0, 1.0, 1.0]), (2005, []), (0, rows[4][1]), (1, rows[5][1])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("vec_id", F.col("vec_id").cast(kind)).repartition(3)
+    asked = v.where("vec_id < 40 OR vec_id >= 1045")
+    got = []
+    for few in (1000, 0):
+        monkeypatch.setattr(search, "FEW_QUERIES", few)
+        monkeypatch.setattr(search, "MAX_QUERIES", 30)
+        found = search.vector_top(v, asked, 5)
+        got.append(sorted(repr(tuple(r)) for r in found.select("query_id", "vec_id", "score", "rank").collect()))
+    assert got[0] == got[1] and len(got[0]) > 200
+    assert "ScalarSubquery" not in found._jdf.queryExecution().optimizedPlan().toString() and "Union" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_are_rounded_as_spark_does(spark):
+    from chronoloom.operators.nearest import rounded
+
+    xs = [i / 2e6 for i in range(-41, 42)] + [0.1234565, 0.9999995, -0.0000005, 1.0, 0.3333333333]
+    theirs = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(F.round("x", 6)).collect()]
+    import numpy as np
+
+    assert [abs(a - b) for a, b in zip(rounded(np.array(xs)).tolist(), theirs)] == [0] * len(xs)
