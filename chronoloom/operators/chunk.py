@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,14 +50,12 @@ def chunks(text: str | None, most: int = MAX_CHARS) -> list[str]:
 def chunk_records(records: DataFrame, most: int = MAX_CHARS) -> DataFrame:
     """records (name, body, ...) in chunks: further columns stay, a name of several parts tells which, and chunk_index
     and chunk_count are null for a whole. Records without text vanish. Cutting depends on what was cut before, so it runs
-    in Python, by batches."""
+    in Python, by rows."""
 
     ship(records.sparkSession)
 
-    @F.pandas_udf("array<string>")
-    def cut(body: pd.Series) -> pd.Series:
-        return body.map(lambda x: chunks(x, most))
-
+    # By rows, not Arrow batches: a worker holds a hundred texts and their chunks, however long texts are, where a batch holds 10,000.
+    cut = F.udf(lambda body: chunks(body, most), "array<string>", useArrow=False)
     long = records.withColumn("_c", cut("body")).withColumn("_n", F.size("_c")).select("*", F.posexplode("_c").alias("_i", "_b"))
     several = F.col("_n") > 1
     part = F.concat(F.trim(F.col("name")), F.lit(" [part "), (F.col("_i") + 1).cast("string"), F.lit("/"), F.col("_n").cast("string"), F.lit("]"))

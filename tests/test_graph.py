@@ -392,3 +392,10 @@ def test_scores_are_rounded_as_spark_does(spark):
     import numpy as np
 
     assert [abs(a - b) for a, b in zip(rounded(np.array(xs)).tolist(), theirs)] == [0] * len(xs)
+
+
+def test_texts_are_cut_by_rows(spark):
+    """A worker holds few texts at once: no Arrow batch of 10,000."""
+    r = spark.createDataFrame([("doc", "a" * 30)], "name string, body string")
+    plan = chunk.chunk_records(r, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
