@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import content_digest
-from ..functions.text import overlap_of_words, secret_shapes, sentences, words
+from ..functions.text import secret_shapes, sentences, words
 
 # Fixed values.
 FACT_TYPES = ("belief", "source-fact", "action-record", "live-finding")
 OPERATIONS = ("assert", "revise", "invalidate", "retire")
 EXIT = {"rejected": 2, "not_atomic": 4, "resembles_rejected": 5, "secret": 6}
 SIMILARITY = 0.75
+SENT_WORDS = 200_000  # words of rejections that go to all tasks
 
 
 def _blank(name: str) -> Column:
@@ -60,39 +61,37 @@ def rejected_matches(texts: DataFrame, rejected: DataFrame, threshold: float = S
     """texts (id, domain, text) and rejected (id, domain, facts) -> (id, text, rejected_id, ratio): pairs of one domain
     whose word sets have a Jaccard ratio of the threshold or more, the best over a rejection's facts.
 
-    An exact prefix join: two sets that reach the threshold share one of the first n - ceil(threshold n) + 1 words of each, in an order
-    of all words from rare to common; only those words are joined on, and common words are posted by those that have few
-    others. Two empty sets are equal; they meet under a word of their own. Texts are known by a 128-bit digest in all of this, and
-    come back for the pairs that remain."""
+    An exact prefix join: a rejection of n words shares one of the first n - ceil(threshold n) + 1 of them, from rare to common among the
+    rejections, with any set that reaches the threshold; only those words are posted. Texts whose number of words no rejection could
+    reach are left out first. Up to SENT_WORDS posted words go to all tasks, so that texts are compared where they are read and only
+    matches are shuffled. Two empty sets are equal; they meet under a word of their own."""
     if not 0 < threshold <= 1:
         raise ValueError("a threshold above 0, at most 1")
     digest = lambda c: F.md5(F.coalesce(c, F.lit("")))
-
-    def sets(df: DataFrame, keys: list[str]) -> DataFrame:
-        """Word sets of distinct texts by (domain, digest)."""
-        one = df.select("domain", digest(F.col("text")).alias("key"), "text").groupBy("domain", "key").agg(F.first("text").alias("text"))
-        return one.select(F.col("domain"), F.col("key").alias(keys[0]), words(F.col("text")).alias(keys[1]))
-
     blank = lambda w: F.when(F.size(w) == 0, F.array(F.lit(""))).otherwise(w)
-    refused = rejected.select(F.col("id").alias("rejected_id"), "domain", F.explode("facts").alias("text"))
-    left, right = sets(texts, ["key", "w"]), sets(refused, ["key_b", "w_b"])
-    common = left.select("w").union(right.select("w_b")).select(F.explode(blank(F.col("w"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-
-    def prefixes(df: DataFrame, key: str, own: str, size: str) -> DataFrame:
-        long = df.select("domain", key, F.size(own).alias(size), F.explode(blank(F.col(own))).alias("word")).join(common, "word")
-        place = F.row_number().over(Window.partitionBy("domain", key).orderBy("n", "word"))
-        need = F.col(size) - F.ceil(F.lit(threshold) * F.col(size) - 1e-9) + 1
-        return long.withColumn("place", place).where(F.col("place") <= need).select("domain", key, size, "word")
-
-    small, large = F.least("size", "size_b"), F.greatest("size", "size_b")
-    pairs = prefixes(left, "key", "w", "size").join(prefixes(right, "key_b", "w_b", "size_b"), ["domain", "word"])
-    pairs = pairs.where(small >= F.lit(threshold) * large - 1e-9).select("domain", "key", "key_b").distinct()
-    ratio = overlap_of_words(F.col("w"), F.col("w_b"))
-    close = pairs.join(left, ["domain", "key"]).join(right, ["domain", "key_b"]).select("domain", "key", "key_b", ratio.alias("ratio")).where(F.col("ratio") >= threshold)
-    found = close.join(refused.select("rejected_id", "domain", digest(F.col("text")).alias("key_b")), ["domain", "key_b"])
-    best = found.groupBy("domain", "key", "rejected_id").agg(F.max("ratio").alias("ratio"))
-    asked = texts.select("id", "domain", "text", digest(F.col("text")).alias("key")).dropDuplicates(["id", "domain", "key"])
-    return asked.join(best, ["domain", "key"]).select("id", "text", "rejected_id", "ratio")
+    refused = rejected.select(F.col("id").alias("rejected_id"), "domain", F.explode("facts").alias("text")).withColumn("key_b", digest(F.col("text")))
+    right = refused.groupBy("domain", "key_b").agg(F.first("text").alias("text")).select("domain", "key_b", words(F.col("text")).alias("w_b"))
+    long = right.select("domain", "key_b", "w_b", F.explode(blank(F.col("w_b"))).alias("word"))
+    count = F.count(F.lit(1)).over(Window.partitionBy("domain", "word"))
+    place = F.row_number().over(Window.partitionBy("domain", "key_b").orderBy("n", "word"))
+    size = F.size("w_b")
+    posted = long.withColumn("n", count).withColumn("place", place).where(F.col("place") <= F.greatest(size, F.lit(1)) - F.ceil(F.lit(threshold) * F.greatest(size, F.lit(1)) - 1e-9) + 1).select("domain", "word", "key_b", "w_b")
+    of = right.agg(F.coalesce(F.sum(F.greatest(size, F.lit(1))), F.lit(0)).alias("words"), F.coalesce(F.min(size), F.lit(0)).alias("least"), F.coalesce(F.max(size), F.lit(0)).alias("most")).first()
+    posted = F.broadcast(posted) if of["words"] <= SENT_WORDS else posted
+
+    # A filter on the words must not be pushed below them, where they would be found anew: a column that is not deterministic keeps it above.
+    left = texts.select("id", "domain", "text", words(F.col("text")).alias("w"), F.monotonically_increasing_id().alias("_row"))
+    left = left.where((F.size("w") >= F.lit(threshold * of["least"] - 1e-9)) & (F.size("w") <= F.lit(of["most"] / threshold + 1e-9)) & (F.col("_row") >= 0))
+    small, large = F.least(F.size("w"), size), F.greatest(F.size("w"), size)
+    met = left.select("id", "domain", "text", "w", F.explode(blank(F.col("w"))).alias("word")).join(posted, ["domain", "word"]).where(small >= F.lit(threshold) * large - 1e-9)
+    # Sets without repetitions: what they share tells what either has.
+    both = F.size(F.array_intersect("w", "w_b"))
+    ratio = F.when(large == 0, F.lit(1.0)).otherwise(both / (F.size("w") + size - both))
+    close = met.select("id", "domain", "text", "key_b", ratio.alias("ratio")).where(F.col("ratio") >= threshold)
+    close = close.withColumn("key", digest(F.col("text"))).groupBy("id", "domain", "key", "key_b").agg(F.first("text").alias("text"), F.max("ratio").alias("ratio"))
+    found = close.join(refused.select("rejected_id", "domain", "key_b"), ["domain", "key_b"])
+    best = found.groupBy("id", "domain", "key", "rejected_id").agg(F.first("text").alias("text"), F.max("ratio").alias("ratio"))
+    return best.select("id", "text", "rejected_id", "ratio")
 
 
 def ranked_matches(matches: DataFrame, rejected: DataFrame, most: int = 5) -> DataFrame:

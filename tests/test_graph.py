@@ -399,3 +399,23 @@ def test_texts_are_cut_by_rows(spark):
     r = spark.createDataFrame([("doc", "a" * 30)], "name string, body string")
     plan = chunk.chunk_records(r, 20)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_rejections_meet_texts_where_these_are_read(spark, monkeypatch, sent):
+    """Only matches are shuffled while rejections are few; however they meet, the result is that of all pairs, empty sets, repeated and
+    null texts among them."""
+    monkeypatch.setattr(gates, "SENT_WORDS", sent)
+    rng = random.Random(11)
+    line = lambda: " ".join(rng.choices("abcdefghij", k=rng.randint(0, 7)))
+    t = [(i % 60, rng.choice("xy"), line()) for i in range(150)] + [(1, "x", "a b"), (1, "x", "a b"), (2, "x", None), (3, None, "a b"), (4, "x", "?!"), (5, "y", "z " * 50)]
+    r = [(f"r{i}", rng.choice("xy"), [line(), line()]) for i in range(20)] + [("e", "x", [""]), ("n", None, ["a b"])]
+    words = lambda s: set((s or "").replace("?!", "").split())
+    texts, rejected = spark.createDataFrame(t, "id long, domain string, text string").repartition(3), spark.createDataFrame(r, "id string, domain string, facts array<string>")
+    for threshold in (0.3, 0.75, 1.0):
+        jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+        theirs = {(i, s or "", k, max(jaccard(words(s), words(f)) for f in fs)) for i, d, s in t for k, e, fs in r if d is not None and d == e and max(jaccard(words(s), words(f)) for f in fs) >= threshold}
+        got = gates.rejected_matches(texts, rejected, threshold)
+        assert sorted((x["id"], x["text"] or "", x["rejected_id"], x["ratio"]) for x in got.collect()) == sorted(theirs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == bool(sent)
