@@ -419,3 +419,15 @@ def test_rejections_meet_texts_where_these_are_read(spark, monkeypatch, sent):
         assert sorted((x["id"], x["text"] or "", x["rejected_id"], x["ratio"]) for x in got.collect()) == sorted(theirs)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert ("strategy=broadcast" in plan) == bool(sent)
+
+
+def test_words_are_counted_where_their_texts_are(spark):
+    """No row of a word is shuffled: one exchange, of texts, below the words."""
+    from chronoloom.sources.store import term_counts
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "b c"), (4, "")], "doc_id long, text string").repartition(2)
+    found = term_counts(docs, "doc_id", F.col("text"))
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 2, 3), (1, "b", 1, 3), (3, "b", 1, 2), (3, "c", 1, 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert "Exchange" not in final[: final.index("Generate")]
