@@ -10,7 +10,7 @@ negative; a bound of a block holds without what is gone. Searches add up the seg
 them into one, from postings, without a look at texts.
 
 *Search* (MaxScore with block maxima). Counts give each term's weight. (1) Of every term, the blocks with the best lower bounds
-give a score that enough documents reach. (2) Terms whose upper bounds together stay below it need not be looked through; of the
+give a score that enough documents reach; where too many documents are gone for counts to tell, the documents of a few such blocks. (2) Terms whose upper bounds together stay below it need not be looked through; of the
 others, only blocks are read that could reach it together with all other terms. (3) Documents found there whose bound falls
 below the best partial scores are dropped. (4) What is left looks up its other terms in the blocks whose range of ids has it. The
 scores are those of the scan, summed in the same order."""
@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources.commits import Conflict, put_if_absent, read_text
+from ..sources.records import replace_table
 from .search import B, K1, question_terms
 
-BLOCK, BUCKETS, MOST_BUCKETS, SLICE_DOCS, FAN, SLACK, FEW = 128, 16, 4096, 1 << 20, 8, 1e-8, 4096
+BLOCK, BUCKETS, SLICE_DOCS, FAN, SLACK, FEW = 128, 16, 1 << 20, 8, 1e-8, 4096
+KEY = ("seg", "bucket", "term", "grp", "slice", "block")
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -37,10 +39,14 @@ def bucket_of(term: Column, buckets: int) -> Column:
 
 
 def _posted(rows: DataFrame, slices: int) -> DataFrame:
-    """rows (id, grp, text) -> (term, grp, slice, id, tf, dl)."""
-    own = rows.select("id", "grp", tokens(F.col("text")).alias("t")).select("id", "grp", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    own = own.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
-    return own.groupBy("term", "grp", "slice", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    """rows (id, grp, text) of unique ids -> (term, grp, slice, id, tf, dl). A text's words are sorted and each run is counted in its row, so
+    counting shuffles nothing and keeps no table of words."""
+    slice_ = F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice")
+    own = rows.select("id", "grp", slice_, F.sort_array(tokens(F.col("text"))).alias("t")).where(F.size("t") > 0)
+    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    own = own.select("id", "grp", "slice", "t", F.size("t").alias("dl"), starts.alias("starts"))
+    counted = F.transform("starts", lambda s, j: F.struct(F.get("t", s).alias("term"), (F.coalesce(F.get("starts", j + 1), F.col("dl")) - s).alias("tf")))
+    return own.select("id", "grp", "slice", "dl", F.explode(counted).alias("w")).select("w.term", "grp", "slice", "id", "w.tf", "dl")
 
 
 def _blocks(posted: DataFrame, buckets: int, block: int) -> DataFrame:
@@ -66,11 +72,12 @@ class WordIndex:
 
     @classmethod
     def create(cls, rows: DataFrame, base: str, *, id_col: str = "uuid", text: Column, group_col: str = "group_id", buckets: int = BUCKETS, block: int = BLOCK, slice_docs: int = SLICE_DOCS, of: str = "") -> WordIndex:
-        """An index of rows where there is none yet; ``of`` is a name of the state of the rows that it has."""
+        """An index of rows, whose ids are unique, where there is none yet; ``of`` is a name of the state of the rows that it has.
+        Only slices grow with the rows, so files are as many as rows ask for and not as their square."""
         spark, base = rows.sparkSession, base.rstrip("/")
         own = cls._own(rows, id_col, text, group_col)
         slices = max(1, math.ceil(own.count() / slice_docs))
-        meta = {"buckets": min(buckets * slices, max(buckets, MOST_BUCKETS)), "block": block, "slices": slices}
+        meta = {"buckets": buckets, "block": block, "slices": slices}
         if not put_if_absent(spark, f"{base}/meta.json", json.dumps(meta)):
             raise ValueError(f"{base}: there is an index already")
         index = cls(spark, base)
@@ -82,25 +89,28 @@ class WordIndex:
         return rows.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(group_col).cast("string"), F.lit("")).alias("grp"), text.alias("text")).where("id IS NOT NULL")
 
     def update(self, before: DataFrame, after: DataFrame, *, id_col: str = "uuid", text: Column, group_col: str = "group_id", of: str = "") -> None:
-        """A segment of what differs between two states of the rows; ids are unique in each."""
-        a, b = self._own(before, id_col, text, group_col), self._own(after, id_col, text, group_col)
-        key = lambda df: df.withColumn("h", F.xxhash64("grp", "text"))
-        added = key(b).join(key(a).select("id", "h"), ["id", "h"], "left_anti").drop("h")
-        gone = key(a).join(key(b).select("id", "h"), ["id", "h"], "left_anti").drop("h")
+        """A segment of what differs between two states of the rows; ids are unique in each. The states meet once, and what differs is
+        written: postings, counts and the ids that are gone are all read from there."""
+        side = lambda rows, name: self._own(rows, id_col, text, group_col).select("id", F.xxhash64("grp", "text").alias("h"), F.struct("grp", "text").alias(name))
+        both = side(before, "a").join(side(after, "b"), ["id", "h"], "full_outer").where("a IS NULL OR b IS NULL")
+        changes = replace_table(both.select("id", F.col("b").isNotNull().alias("new"), F.coalesce("b", "a").alias("r")).select("id", "new", "r.grp", "r.text"), f"{self.base}/changes")
+        held = self.spark.read.schema("id string, new boolean, grp string, text string").parquet(changes)
         segments, number = self._segments()
-        segments = [*segments, self._segment(added, gone)]
+        segments = [*segments, self._segment(held.where("new").drop("new"), held.where("NOT new").drop("new"))]
         self._publish([self._merged(segments)] if len(segments) > FAN else segments, number, of)
+        self._drop(changes)
 
     def _segment(self, added: DataFrame, gone: DataFrame | None) -> str:
         """Blocks, counts of terms, counts of groups and the ids that are gone, as tables of a folder of their own."""
         path, m = f"{self.base}/segments/{uuid.uuid4().hex}", self.meta
         _blocks(_posted(added, m["slices"]), m["buckets"], m["block"]).sortWithinPartitions("bucket", "term", "slice", "grp", "block").write.partitionBy("bucket").parquet(f"{path}/blocks")
-        lengths = lambda df, sign: df.select("grp", F.lit(sign).alias("n"), (F.size(tokens(F.col("text"))) * sign).alias("dl"))
         counts = self.spark.read.parquet(f"{path}/blocks") if self._any(f"{path}/blocks") else None
-        parts = [lengths(added, 1)]
-        terms = [] if counts is None else [counts.select("term", "grp", "n")]
+        parts, terms = [added.select("grp", F.lit(1).alias("n"), F.lit(0).alias("dl"))], []
+        if counts is not None:  # words of all texts together are those of the blocks, so that no text is taken apart for its length
+            parts.append(counts.select("grp", F.lit(0).alias("n"), F.aggregate("tfs", F.lit(0), lambda s, x: s + x).alias("dl")))
+            terms.append(counts.select("term", "grp", "n"))
         if gone is not None:
-            parts.append(lengths(gone, -1))
+            parts.append(gone.select("grp", F.lit(-1).alias("n"), (-F.size(tokens(F.col("text")))).alias("dl")))
             terms.append(_posted(gone, 1).select("term", "grp", F.lit(-1).alias("n")))
             gone.select("id").write.parquet(f"{path}/gone")
         self._write_counts(path, terms, parts)
@@ -147,6 +157,10 @@ class WordIndex:
         if not put_if_absent(self.spark, f"{self.base}/manifests/{after + 1:012d}.json", json.dumps({"segments": segments, "of": of})):
             raise Conflict(f"{self.base}: another writer came first")
 
+    def _drop(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     # ------------------------------------------------------------ reads
 
     def _any(self, path: str) -> bool:
@@ -210,6 +224,13 @@ class WordIndex:
         upper = {t: idf[t] * most[t] for t in live}
         whole = sum(upper.values())
 
+        def weighed(found: DataFrame) -> DataFrame:
+            place, weight, bound = (F.lit(None).cast(kind) for kind in ("int", "double", "double"))
+            for i, t in enumerate(live):
+                is_t = F.col("term") == t
+                place, weight, bound = F.when(is_t, F.lit(i)).otherwise(place), F.when(is_t, F.log(F.lit(inside[t]))).otherwise(weight), F.when(is_t, F.lit(upper[t])).otherwise(bound)
+            return found.where(F.col("term").isin(live)).withColumn("i", place).withColumn("c", part(weight, F.col("tf"), F.col("dl"))).withColumn("upper", bound)
+
         # (1) What enough documents reach by one term: from narrow columns of the blocks with the best lower bounds.
         least, dead = -math.inf, self._read(segments, "gone").count()
         if dead <= FEW:
@@ -222,6 +243,13 @@ class WordIndex:
                     if reached[t] >= wanted:
                         least = max(least, idf[t] * r["below"])
 
+        else:  # counts do not tell how many of a block are left: those of a few blocks of each term are looked at
+            nth = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("below"), F.desc("seg"), F.desc("n")))
+            best = blocks.select(*KEY, "below", "n").withColumn("nth", nth).where(F.col("nth") <= limit).select(*KEY)
+            probed = weighed(self._postings(blocks.join(F.broadcast(best), list(KEY)), segments))
+            reached = [r["c"] for r in probed.groupBy("id").agg(F.sum("c").alias("c")).orderBy(F.desc("c")).limit(limit).select("c").collect()]
+            least = reached[-1] if len(reached) == limit else least
+
         # (2) Terms whose bounds together stay below that are only looked up; of the others, the blocks that could reach it.
         only_looked_up, total = set(), 0.0
         for t in sorted(live, key=upper.get):
@@ -234,13 +262,6 @@ class WordIndex:
             if t not in only_looked_up:
                 reach = reach | ((F.col("term") == t) & (F.col("above") * idf[t] + (whole - upper[t]) >= least - SLACK))
 
-        def weighed(found: DataFrame) -> DataFrame:
-            place, weight, bound = (F.lit(None).cast(kind) for kind in ("int", "double", "double"))
-            for i, t in enumerate(live):
-                is_t = F.col("term") == t
-                place, weight, bound = F.when(is_t, F.lit(i)).otherwise(place), F.when(is_t, F.log(F.lit(inside[t]))).otherwise(weight), F.when(is_t, F.lit(upper[t])).otherwise(bound)
-            return found.where(F.col("term").isin(live)).withColumn("i", place).withColumn("c", part(weight, F.col("tf"), F.col("dl"))).withColumn("upper", bound)
-
         # (3) Partial scores, and what they could become.
         partial = weighed(self._postings(blocks.where(reach), segments)).groupBy("id").agg(F.first("slice").alias("slice"), F.sum("c").alias("partial"), (F.sum("c") + F.lit(whole) - F.sum("upper")).alias("bound"))
         best = [r["partial"] for r in partial.select("partial").orderBy(F.desc("partial")).limit(limit).collect()]

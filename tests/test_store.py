@@ -195,6 +195,34 @@ def test_search_reads_few_blocks(built, monkeypatch):
     assert "ids" not in narrow._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
 
 
+def test_search_reads_few_blocks_though_many_are_gone(spark, tmp_path, monkeypatch):
+    facts = some_facts(spark, 400).cache()
+    ix = index.WordIndex.create(facts, f"file://{tmp_path}", text=body(), buckets=8, block=4, slice_docs=200)
+    left = facts.where(F.substring("uuid", 5, 1) != "3")
+    ix.update(facts, left, text=body())
+    monkeypatch.setattr(index, "FEW", 20)
+    read = []
+    keep = index.WordIndex._postings
+    monkeypatch.setattr(index.WordIndex, "_postings", lambda self, blocks, segments: read.append(blocks) or keep(self, blocks, segments))
+    assert through(ix, "w30 w0 n", 3) == scan(left, "w30 w0 n", 3)
+    whole = ix._of(ix._read(ix._segments()[0], "blocks"), ["w30", "w0", "n"], None).agg(F.sum("n")).first()[0]
+    assert all(one.agg(F.sum("n")).first()[0] * 4 < whole for one in read[:2])
+
+
+def test_files_of_an_index_do_not_grow_with_the_square_of_its_slices(spark, tmp_path):
+    """Words are counted in their rows, buckets stay as they are however many slices there are, and what an update met is not kept."""
+    facts = some_facts(spark, 120)
+    ix = index.WordIndex.create(facts, f"file://{tmp_path}", text=body(), buckets=4, block=4, slice_docs=10)
+    assert ix.meta["slices"] == 12 and ix.meta["buckets"] == 4
+    own = index.WordIndex._own(facts, "uuid", body(), "group_id")
+    posted = index._posted(own, 12)
+    assert "Exchange" not in posted._jdf.queryExecution().executedPlan().toString()
+    ours = sorted((r["id"], r["term"], r["tf"], r["dl"]) for r in posted.collect())
+    assert ours == sorted((r["id"], r["term"], r["tf"], r["dl"]) for r in store.term_counts(own, "id", F.col("text")).collect())
+    ix.update(facts, facts.where("uuid > 'f0050'"), text=body())
+    assert list((tmp_path / "changes").glob("*/*")) == []
+
+
 def test_find_facts_by_index_and_by_scan(spark, built):
     """The same rows and statistics from both plans; only the scan takes texts apart."""
     facts, ix = built
