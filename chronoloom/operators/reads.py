@@ -155,11 +155,23 @@ def episode_edges(episodes: DataFrame, facts: DataFrame, now: Column | None = No
     wanted = episodes.select(F.explode("entity_edges").alias("uuid")).distinct()
     found = facts.join(wanted, "uuid")
     found = in_groups(found if now is None else found.where(is_current(now)), groups)
-    given = episodes.select(F.col("uuid").alias("_episode")).distinct().withColumn("_given", F.lit(1))
-    support = found.select("uuid", F.explode("episodes").alias("_episode")).join(given, "_episode", "left").groupBy("uuid").agg(F.count_if(F.col("_given").isNull()).alias("_others"))
+    support = met_support(found.select("uuid", F.explode("episodes").alias("_episode")), episodes).groupBy("uuid").agg(F.count_if(F.col("_given").isNull()).alias("_others"))
     return found.join(support, "uuid", "left").withColumn("only", F.coalesce("_others", F.lit(0)) == 0).drop("_others")
 
 
+def met_support(support: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Rows (_episode, ...) of what supports something, with ``_given``, which is null where the episode is none of the given (uuid)."""
+    given = episodes.select(F.col("uuid").alias("_episode")).distinct().withColumn("_given", F.lit(1))
+    return support.join(given, "_episode", "left")
+
+
+def support_split(support: DataFrame, episodes: DataFrame, *key: str) -> DataFrame:
+    """(key, uuid, only) of what a given episode supports, from rows (key, uuid, _episode) of its facts: the smallest uuid of them, and whether
+    no other episode supports it. Rows meet the given ones once and are then added up by key, so no list of episodes is gathered."""
+    added = met_support(support.where("_episode IS NOT NULL"), episodes).groupBy(*key).agg(F.min("uuid").alias("uuid"), F.count("_given").alias("_given"), F.count_if(F.col("_given").isNull()).alias("_others"))
+    return added.where("_given > 0").select(*key, "uuid", (F.col("_others") == 0).alias("only"))
+
+
 def episode_entities(episodes: DataFrame, facts: DataFrame, mentions: DataFrame, nodes: DataFrame, group: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(facts, mentioned nodes) of the given episodes, once each."""
     edges = facts.join(episodes.select(F.explode("entity_edges").alias("uuid")).distinct(), "uuid", "left_semi")

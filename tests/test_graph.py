@@ -49,6 +49,19 @@ def test_provenance_split_and_empty_lists(spark):
     assert {r["uuid"]: r["only"] for r in reads.episode_edges(e, f).collect()} == {"only": True, "shared": False, "none": True}
 
 
+def test_support_is_split_without_lists(spark, sf_dir):
+    """Each input is read once; an episode without an id supports nothing; equal ids of two keys stay apart."""
+    from chronoloom.plans import catalog
+
+    rows = [("a", "x", "f2", "e1"), ("a", "x", "f1", "e1"), ("a", "y", "f3", "e1"), ("a", "y", "f4", "e9"), ("b", "x", "f5", "e9"), ("b", "y", None, None), ("b", "y", "f6", "e2"), (None, "z", "f6", "e2")]
+    s = spark.createDataFrame(rows, "source string, target string, uuid string, _episode string")
+    e = spark.createDataFrame([("e1",), ("e1",), ("e2",), (None,)], "uuid string")
+    got = sorted((str(r["source"]), r["target"], r["uuid"], r["only"]) for r in reads.support_split(s, e, "source", "target").collect())
+    assert got == [("None", "z", "f6", True), ("a", "x", "f1", True), ("a", "y", "f3", False), ("b", "y", "f6", True)]
+    plan = catalog.QUERIES["provenance_split"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Relation") == 2
+
+
 def test_edge_sources_keep_order_and_missing(spark):
     f = spark.createDataFrame([("f", ["e2", "gone", "e1"])], "uuid string, episodes array<string>")
     e = spark.createDataFrame([("e1", "one"), ("e2", "two")], "uuid string, name string")
