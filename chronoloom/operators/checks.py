@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEVERITY = ("ok", "warn", "fail")
+DEALT = 1 << 20  # about as many ids a task sorts, however many there are
 
 
 def leaked(served: DataFrame, facts: DataFrame, now: Column) -> DataFrame:
@@ -58,14 +61,18 @@ def counted_checks(spark: SparkSession, counts: dict[str, dict[str, int]]) -> Da
 
 def data_checks(facts: DataFrame, nodes: DataFrame, width: int | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """(check, status, detail): duplicate ids, unknown endpoints, ends before starts, blank facts, vectors of another width. Facts are
-    read once for all of their checks: each is flagged, flags are added up by id, then over all ids."""
+    flagged where they are read and counted once for all of their checks; flags alone go with the ids. Ids are nearly all unique, so tables
+    of them would hold them all: they are dealt to as many tasks as they ask for and sorted, and a second one of an id is a duplicate."""
     from .reads import with_missing
 
     levels = {"duplicate ids": "fail", "unknown endpoints": "fail"} | {k: v for k, v in LEVELS.items() if k in row_rules(facts.columns) and k != "no id"}
     rules = row_rules(facts.columns)
-    flags = {"unknown endpoints": F.col("missing").isNotNull()} | {k: v for k, v in rules.items() if k in levels}
-    by_id = with_missing(facts, nodes, nodes).groupBy("uuid").agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(broken).alias(k) for k, broken in flags.items()])
-    total = by_id.agg(F.count_if(F.col("_n") > 1).alias("duplicate ids"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in flags])
+    own = facts.select("uuid", "source_node_uuid", "target_node_uuid", *[broken.alias(k) for k, broken in rules.items() if k in levels])
+    flagged = with_missing(own, nodes, nodes).withColumn("unknown endpoints", F.col("missing").isNotNull())
+    flags = [k for k in levels if k in flagged.columns]
+    tasks = max(facts.sparkSession.sparkContext.defaultParallelism, math.ceil(facts.count() / DEALT))
+    nth = F.row_number().over(Window.partitionBy("uuid").orderBy("uuid"))
+    total = flagged.select("uuid", *flags).repartition(tasks, "uuid").withColumn("_nth", nth).agg(F.count_if(F.col("_nth") == 2).alias("duplicate ids"), *[F.count_if(k).alias(k) for k in flags])
     if vectors is not None:
         levels["vector width"] = "fail"
         total = total.withColumn("vector width", vectors.agg(F.count_if(F.size("embedding") != width).alias("n")).scalar())

@@ -188,8 +188,9 @@ def edge_sources(facts: DataFrame, episodes: DataFrame) -> DataFrame:
 
 
 def with_missing(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """All edges, with which of their endpoints is the first that is not among the nodes (uuid); null where both are."""
-    has = lambda df, c: df.select(F.col("uuid").alias(c)).distinct().withColumn(f"_has_{c}", F.lit(True))
+    """All edges, with which of their endpoints is the first that is not among the nodes (uuid); null where both are. Nodes are met by sorting,
+    as their columns' size in files, by which a plan would send them to all tasks, is far below what a table of their ids takes in each."""
+    has = lambda df, c: df.select(F.col("uuid").alias(c)).distinct().withColumn(f"_has_{c}", F.lit(True)).hint("merge")
     both = edges.join(has(sources, "source_node_uuid"), "source_node_uuid", "left").join(has(targets, "target_node_uuid"), "target_node_uuid", "left")
     missing = F.when(F.col("_has_source_node_uuid").isNull(), F.lit("source")).when(F.col("_has_target_node_uuid").isNull(), F.lit("target"))
     return both.withColumn("missing", missing).drop("_has_source_node_uuid", "_has_target_node_uuid")

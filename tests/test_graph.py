@@ -62,6 +62,20 @@ def test_support_is_split_without_lists(spark, sf_dir):
     assert "collect_list" not in plan and plan.count("Relation") == 2
 
 
+def test_data_checks_hold_no_table_of_ids(spark, monkeypatch):
+    from chronoloom.operators import checks
+
+    rows = [("a", "x", "y", "said"), ("a", "x", "y", " "), ("a", "x", "q", None), ("b", "q", "q", "said"), (None, "x", "y", "said"), (None, "x", None, "said"), ("c", "y", "x", "said")]
+    f = spark.createDataFrame(rows, "uuid string, source_node_uuid string, target_node_uuid string, fact string")
+    n = spark.createDataFrame([("x",), ("y",), ("y",)], "uuid string")
+    monkeypatch.setattr(checks, "DEALT", 2)
+    found = checks.data_checks(f, n)
+    assert {r["check"]: (r["status"], r["detail"]) for r in found.collect()} == {"duplicate ids": ("fail", 2), "unknown endpoints": ("fail", 3), "blank facts": ("warn", 2)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate(keys=[uuid" not in plan.split("Join")[0] and "REPARTITION_BY_NUM" in plan and "BroadcastHashJoin" not in plan
+    assert {r["check"]: r["detail"] for r in checks.data_checks(f.limit(0), n).collect()} == {"duplicate ids": 0, "unknown endpoints": 0, "blank facts": 0}
+
+
 def test_edge_sources_keep_order_and_missing(spark):
     f = spark.createDataFrame([("f", ["e2", "gone", "e1"])], "uuid string, episodes array<string>")
     e = spark.createDataFrame([("e1", "one"), ("e2", "two")], "uuid string, name string")
